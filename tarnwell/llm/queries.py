@@ -5,11 +5,13 @@ from __future__ import annotations
 from .decontaminate import OP8_SQL, op8_decontamination
 from .mixing import OP4_SQL, op4_mixing
 from .quality_rules import OP1_SQL, op1_quality_rules
+from .token_output import op10_token_output
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_mixing": op4_mixing,
     "op8_decontamination": op8_decontamination,
+    "op10_token_output": op10_token_output,
 }
 
 ORACLE_SQL = {
