@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontamination
+from .language_id import op9_language_id
 from .mixing import OP4_SQL, op4_mixing
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .token_output import op10_token_output
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_mixing": op4_mixing,
     "op8_decontamination": op8_decontamination,
+    "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
 }
 
