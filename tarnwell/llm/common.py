@@ -83,3 +83,25 @@ def batches_by_size(series, limit: int = 16 << 20):
             start, held = i + 1, 0
     if start < len(series):
         yield start, len(series)
+
+
+def spread(df: DataFrame, rows_at_most: int = 2_000_000) -> DataFrame:
+    """``df``, marked for broadcast if a count shows that it has few (narrow) rows; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(rows_at_most + 1).count() <= rows_at_most else df
+
+
+def runs_of(batches, keys: list[str]):
+    """Yields (batch, starts) such that no run of equal keys is cut: the input is sorted by ``keys`` within its partition."""
+    import pandas as pd
+
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        changes = np.flatnonzero((batch[keys] != batch[keys].shift()).any(axis=1).to_numpy())
+        if len(changes) < 2:
+            rest = batch
+            continue
+        yield batch.iloc[: changes[-1]], changes
+        rest = batch.iloc[changes[-1] :].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest, np.append(np.flatnonzero((rest[keys] != rest[keys].shift()).any(axis=1).to_numpy()), len(rest))

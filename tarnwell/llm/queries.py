@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontamination
+from .jaccard_join import op3_jaccard_join
 from .language_id import op9_language_id
 from .mixing import OP4_SQL, op4_mixing
 from .quality_rules import OP1_SQL, op1_quality_rules
@@ -10,6 +11,7 @@ from .token_output import op10_token_output
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_mixing": op4_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
