@@ -1,10 +1,71 @@
-"""The corpus pipeline: documents through five operators, each stage over all that its predecessor kept."""
+"""The corpus pipeline: documents through five operators, each stage over all that its predecessor kept.
+
+Language identification drops documents without a language, the Jaccard join keeps one document of each group of near-duplicates,
+decontamination drops documents that hold benchmark passages, mixing repeats sources to their target weights, and the last stage writes the mix as
+token shards and reads them back.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnwell.llm.common import new_folder, spread, word_count
+from tarnwell.llm.decontaminate import decontaminate
+from tarnwell.llm.jaccard_join import jaccard_join
+from tarnwell.llm.language_id import UNDETERMINED, held_out, identify, train
+from tarnwell.llm.mixing import mix, repeated
+from tarnwell.llm.token_output import tokens_digest
+
+#: Below this probability a prediction is no more than a guess among all languages.
+LEAST_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those whose language stays a guess."""
+    found = identify(docs, train(docs, learn_from=~held_out()))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least id in each group. Documents without id are copies of no one; repeated rows stay once."""
+    joined = jaccard_join(docs)
+    away = joined.where(F.col("doc_id") != F.col("class_id")).select("doc_id", "text_hash").distinct()
+    marked = docs.withColumn("text_hash", F.xxhash64("text"))
+    kept = marked.join(spread(away), ["doc_id", "text_hash"], "left_anti")
+    twice = joined.where((F.col("doc_id") == F.col("class_id")) & (F.col("n_links") > 0)).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    if twice.take(1):
+        again = spread(twice.drop("n"))
+        once = kept.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        kept = kept.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a window of a benchmark item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(~F.col("contaminated")).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and samples documents so that sources reach their target weights; n_chars follows a text that is taken in part."""
+    return repeated(mix(docs, size=word_count(F.col("text"))), docs.columns).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokens_digest(docs)
+
+
+STAGES = [("language_id", language_id), ("jaccard_join", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]
+
+#: Classifier, similarity join and tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = new_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, word_count, written
+from .common import documents, spread, word_array, word_count, written
 
 #: Hexadecimal digits of the draw that one level of the search for a source's boundary looks at.
 _DIGITS, _LEVELS = 2, 2
@@ -47,49 +47,59 @@ def cyclic_weights(sources: DataFrame, source_col: str, weights: Sequence[float]
 
 
 def mix(docs: DataFrame, *, size: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """One row per document: the id and source columns, size, source_size (long), target (double), epochs (whole repetitions),
-    extra (words of one more, partial or whole repetition) and taken (long: epochs * size + extra).
+    """``docs`` with size, source_size (long), target (double), epochs (whole repetitions), extra (words of one more, partial or
+    whole repetition) and taken (long: epochs * size + extra). Columns of these names are replaced.
 
     A null source is a source of its own. Documents of size 0 take nothing. Repeated rows are drawn each for itself; ties of the draw go by id.
     The draw is a digest of seed and id, so reruns agree. A hot source is never gathered: its boundary is found by sums over digest prefixes,
     and only documents that share the boundary's prefix (one of 65,536) are put in order.
     """
-    id_, source = F.col(id_col), F.col(source_col)
-    draw = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_.cast("string"), F.lit(""))))
-    base = written(docs.select(id_.alias("_id"), source.alias("_source"), size.cast("long").alias("size"), draw.alias("_draw")), "mix")
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "epochs", "extra", "taken")]
+    draw = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    sized = docs.withColumns({"_size": F.coalesce(size, F.lit(0)).cast("long"), "_draw": draw}).select(*names, F.col("_size").alias("size"), "_draw")
+    base = written(sized.select(F.col(source_col).alias("_source"), "size", F.substring("_draw", 1, _LEVELS * _DIGITS).alias("_draw")), "mix")
     sources = base.groupBy("_source").agg(F.sum("size").alias("source_size"))
+    sources = written(cyclic_weights(sources, "_source", weights), "mix-sources")
     budget = share * (sources.agg(F.sum("source_size")).first()[0] or 0)
-    shares = water_fill(written(cyclic_weights(sources, "_source", weights), "mix-sources"), budget, cap=F.col("source_size") * max_epochs).withColumn("target", F.round("target", 6))
-    words = F.round("target").cast("long")
-    sizes = F.greatest("source_size", F.lit(1))
-    plan = written(shares.withColumns({"epochs": F.floor(words / sizes), "_left": words % sizes}), "mix-plan")
+    shares = water_fill(sources, budget, cap=F.col("source_size") * max_epochs).withColumn("target", F.round("target", 6))
+    words, sizes = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
+    plan = written(shares.select("_source", "source_size", "target", F.floor(words / sizes).alias("epochs"), (words % sizes).alias("_left")), "mix-plan")
     # The boundary: within a source, documents whose draw lies before it take one more repetition.
-    edge = plan.select(F.col("_source").alias("_of"), F.col("_left"), F.lit("").alias("_prefix"))
+    edge = plan.select("_source", "_left", F.lit("").alias("_prefix"))
     for level in range(1, _LEVELS + 1):
-        here = base.withColumn("_step", F.substring("_draw", 1, level * _DIGITS))
-        within = here.join(edge, F.col("_source").eqNullSafe(F.col("_of")) & (F.substring("_draw", 1, (level - 1) * _DIGITS) == F.col("_prefix")))
-        steps = within.groupBy("_of", "_left", "_step").agg(F.sum("size").alias("_sum"))
+        of = edge.select(F.col("_source").alias("_of"), "_left", "_prefix")
+        within = base.join(of, F.col("_source").eqNullSafe(F.col("_of")) & (F.substring("_draw", 1, (level - 1) * _DIGITS) == F.col("_prefix")))
+        steps = within.groupBy("_of", "_left", F.substring("_draw", 1, level * _DIGITS).alias("_step")).agg(F.sum("size").alias("_sum"))
         before = F.sum("_sum").over(Window.partitionBy("_of").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1))
         steps = steps.withColumn("_before", F.coalesce(before, F.lit(0)))
         at = steps.where((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_sum")))
-        edge = written(at.select("_of", (F.col("_left") - F.col("_before")).alias("_left"), F.col("_step").alias("_prefix")), "mix-edge")
-    cut = edge.withColumnRenamed("_left", "_rest").withColumnRenamed("_of", "_edge_of")
-    all_ = base.join(plan.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of")), "left").join(cut, F.col("_source").eqNullSafe(F.col("_edge_of")), "left")
+        edge = written(at.select(F.col("_of").alias("_source"), (F.col("_left") - F.col("_before")).alias("_left"), F.col("_step").alias("_prefix")), "mix-edge")
+    cuts = plan.drop("_left").join(edge.select(F.col("_source").alias("_edge"), F.col("_left").alias("_rest"), "_prefix"), F.col("_source").eqNullSafe(F.col("_edge")), "left")
+    cuts = cuts.select(F.col("_source").alias("_of"), "source_size", "target", "epochs", "_rest", "_prefix")
+    joined = sized.join(spread(cuts), F.col(source_col).eqNullSafe(F.col("_of")), "left").drop("_of")
     prefix = F.substring("_draw", 1, _LEVELS * _DIGITS)
-    keep = ["_id", "_source", "size", "source_size", "target", "epochs"]
     # A source without boundary (nothing left, or no words) takes no more.
-    away = all_.where(F.col("_prefix").isNull() | (prefix != F.col("_prefix")))
-    away = away.select(*keep, F.when(prefix < F.col("_prefix"), F.col("size")).otherwise(F.lit(0)).alias("extra"))
-    order = Window.partitionBy("_source").orderBy("_draw", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    on = all_.where(prefix == F.col("_prefix"))
-    on = on.select(*keep, F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.coalesce(F.sum("size").over(order), F.lit(0)))).alias("extra"))
+    away = joined.where(F.col("_prefix").isNull() | (prefix != F.col("_prefix")))
+    away = away.withColumn("extra", F.when(prefix < F.col("_prefix"), F.col("size")).otherwise(F.lit(0)))
+    order = Window.partitionBy(source_col).orderBy("_draw", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
+    on = joined.where(prefix == F.col("_prefix"))
+    on = on.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
     out = away.unionByName(on).withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
-    return out.withColumnsRenamed({"_id": id_col, "_source": source_col})
+    return out.select(*names, "size", "source_size", "target", "epochs", F.col("extra").cast("long").alias("extra"), "taken")
+
+
+def repeated(mixed: DataFrame, columns: Sequence[str], *, text_col: str = "text") -> DataFrame:
+    """The mix itself: each row of :func:`mix` as often as it is taken. A repetition in part holds the first ``extra`` words, one space between."""
+    times = F.col("epochs") + (F.col("extra") > 0).cast("long")
+    rows = mixed.where((times > 0) & (F.col("taken") > 0)).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    part = (F.col("_turn") > F.col("epochs")) & (F.col("extra") < F.col("size"))
+    text = F.when(part, F.array_join(F.slice(word_array(F.col(text_col)), 1, F.col("extra").cast("int")), " ")).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, text).select(*columns)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    mixed = mix(documents(spark, sf_dir).select("doc_id", "source", "text"), size=word_count(F.col("text")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    sizes = written(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    return mix(sizes, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP4_SQL = r"""
