@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import OP5_SQL, op5_chat_format
 from .decontaminate import OP8_SQL, op8_decontamination
 from .jaccard_join import op3_jaccard_join
 from .language_id import op9_language_id
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mixing": op4_mixing,
+    "op5_chat_format": op5_chat_format,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
@@ -21,5 +23,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
     "op4_mixing": OP4_SQL,
+    "op5_chat_format": OP5_SQL,
     "op8_decontamination": OP8_SQL,
 }
