@@ -51,8 +51,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_array(text: Column) -> Column:
     """Words of a text; none for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACES)
-    return F.filter(parts, lambda w: w != "")
+    spaced = F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, " " * len(SPACE_CHARS))
+    parts = F.split(spaced, " ")
+    # Only leading, trailing and double spaces leave empty parts.
+    return F.when(F.contains(F.concat(F.lit(" "), spaced, F.lit(" ")), F.lit("  ")), F.filter(parts, lambda w: w != "")).otherwise(parts)
 
 
 def word_count(text: Column) -> Column:

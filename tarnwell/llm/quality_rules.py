@@ -48,15 +48,13 @@ def text_features(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_words": n.cast("long"),
-        "_grams": F.array_sort(F.coalesce(grams, F.expr("cast(array() as array<struct<h:bigint,i:int>>)"))),
+        "_grams": F.sort_array(grams),
     }).drop("_words", "_lines")
     # Sorted by hash, windows found twice are neighbours.
-    m = F.size("_grams")
-    at = lambda i: F.get("_grams", i)["h"]
-    twice = F.filter(F.sequence(F.lit(0), m - 1), lambda i: F.coalesce(at(i) == at(i - 1), F.lit(False)) | F.coalesce(at(i) == at(i + 1), F.lit(False)))
-    df = df.withColumn("_twice", F.when(m >= 2, F.transform(twice, lambda i: F.get("_grams", i)["i"])))
-    marked = F.array_distinct(F.flatten(F.transform("_twice", lambda i: F.array(i, i + 1, i + 2))))
-    return df.withColumn("n_repeat_words", F.coalesce(F.size(marked), F.lit(0)).cast("long")).withColumn("n_repeat_words", F.greatest("n_repeat_words", F.lit(0)).cast("long")).drop("_grams", "_twice")
+    twice = F.zip_with("_grams", F.slice("_grams", 2, F.greatest(F.size("_grams"), F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    marked = F.transform(F.flatten(F.filter(twice, lambda x: x.isNotNull())), lambda i: F.array(i, i + 1, i + 2))
+    repeats = F.size(F.array_distinct(F.flatten(marked)))
+    return df.withColumn("n_repeat_words", F.when(F.col("_grams").isNull(), F.lit(0)).otherwise(repeats).cast("long")).drop("_grams")
 
 
 def base_rules() -> list[Rule]:
