@@ -8,6 +8,7 @@ from .jaccard_join import op3_jaccard_join
 from .language_id import op9_language_id
 from .mixing import OP4_SQL, op4_mixing
 from .quality_rules import OP1_SQL, op1_quality_rules
+from .substring_dedup import op7_substring_dedup
 from .token_output import op10_token_output
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mixing": op4_mixing,
     "op5_chat_format": op5_chat_format,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
