@@ -7,15 +7,19 @@ from .decontaminate import OP8_SQL, op8_decontamination
 from .jaccard_join import op3_jaccard_join
 from .language_id import op9_language_id
 from .mixing import OP4_SQL, op4_mixing
+from .pseudo_likelihood import op2_pseudo_likelihood
+from .quality_classifier import op6_quality_classifier
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .substring_dedup import op7_substring_dedup
 from .token_output import op10_token_output
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pseudo_likelihood": op2_pseudo_likelihood,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mixing": op4_mixing,
     "op5_chat_format": op5_chat_format,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
