@@ -238,11 +238,11 @@ def _leaves(nodes: DataFrame, block: int, dense: float) -> DataFrame:
         if level == LEVELS - 1 or not here.where(F.col("n") > block).take(1):
             done.append(here)
             break
-        # Mean similarity of a large bucket: how often two members agree in a bin of their sketches, over some bins.
-        large = here.where(F.col("n") > block)
-        bins = F.array(*[F.concat(F.lit(bytes([k])), F.substring("sketch", 2 * k + 1, 2)) for k in range(0, BINS, 8)])
-        agree = large.join(nodes.select("node", "sketch"), "node").select("path", "n", F.explode(bins).alias("bin")).groupBy("path", "n", "bin").agg(F.count("*").alias("c"))
-        mean = agree.groupBy("path", "n").agg((F.sum(F.col("c") * F.col("c")) / (F.col("n") * F.col("n") * (BINS // 8))).alias("mean"))
+        # Mean similarity of a large bucket: how far its members' sketches agree with that of its least member.
+        large = here.where(F.col("n") > block).join(nodes.select("node", "sketch"), "node")
+        first = large.groupBy("path").agg(F.min(F.struct("node", "sketch"))["sketch"].alias("of"))
+        bins = [F.substring("sketch", 2 * k + 1, 2) == F.substring("of", 2 * k + 1, 2) for k in range(0, BINS, 4)]
+        mean = large.join(first, "path").groupBy("path").agg((F.sum(sum((b.cast("int") for b in bins), F.lit(0))) / (F.count("*") * len(bins))).alias("mean"))
         split = written(mean.where(F.col("mean") < dense).select("path"), "split")
         done.append(here.join(split, "path", "left_anti"))
         picks = nodes.select("node", F.explode(f"l{level + 1}").alias("pick")).withColumn("run", F.col("pick").bitwiseAND(F.lit(-(1 << 32))))
