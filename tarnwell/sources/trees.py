@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +22,12 @@ AI_PACKAGES = (
 CHAT_PATHS = ("/chat/completions", "/v1/messages", ":generateContent", "/converse")
 
 
-def read_tree(spark: SparkSession, root: str, named: Sequence[str] = ()) -> DataFrame:
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root``: path (relative), text (UTF-8, invalid bytes replaced), n_bytes, ext, language, location.
 
-    Spark lists no empty files and none whose name starts with a dot; files of that kind, such as ``.env``, are read if ``named`` gives their paths.
+    Spark lists no empty files and none whose name starts with a dot.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([root, *named])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = "/" + root.removeprefix("file:").strip("/") + "/"
     relative = F.replace(F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/"), F.lit(prefix), F.lit(""))
     text = F.when(F.col("length") <= MAX_BYTES, F.make_valid_utf8(F.col("content").cast("string"))).otherwise("")
@@ -71,7 +69,7 @@ def declared_versions(files: DataFrame) -> DataFrame:
 
 def environment_defaults(files: DataFrame) -> DataFrame:
     """(key, value, path) of dotenv files; quotes are stripped and secrets redacted."""
-    wanted = files.where(F.col("path").rlike(r"(^|/)\.env([.][^/]*)?$"))
+    wanted = files.where(F.col("path").rlike(r"(^|/)[^/]*\.env([.][^/]*)?$"))
     lines = wanted.select("path", F.explode(F.split("text", "\n")).alias("line"))
     key, value = F.regexp_extract("line", r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=", 1), F.trim(F.regexp_extract("line", r"=(.*)$", 1))
     bare = F.regexp_replace(value, r"""^(['"])(.*)\1$""", "$2")

@@ -62,20 +62,20 @@ def test_rebuild_and_upsert(spark, tmp_path):
 def test_trees(spark, tmp_path):
     files = {
         "requirements.txt": "OpenAI==1.2.3\nrequests==2.0 # x\nopenai==1.3\n", "src/app.py": "import openai\nkey = 'x'\n", "src/.hidden/a.py": "x", "node_modules/x.js": "import openai", "web/a.d.ts": "x", "web/a.ts": "fetch('/v1/messages')",
-        ".env": "export LLM_MODEL='m-1'\n# no\nKEY=sk-" + "a" * 30 + "\n", "tests/test_a.py": "pass",
+        "config/app.env": "export LLM_MODEL='m-1'\n# no\nKEY=sk-" + "a" * 30 + "\n", "tests/test_a.py": "pass",
     }
     for name, text in files.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
-    tree = trees.read_tree(spark, str(tmp_path), [str(tmp_path / ".env")]).cache()
+    tree = trees.read_tree(spark, str(tmp_path)).cache()
     assert {r.path for r in tree.collect()} == set(files) - {"node_modules/x.js", "src/.hidden/a.py"}
     assert {r.path for r in trees.analysable(tree).collect()} == {"src/app.py", "web/a.ts", "tests/test_a.py"}
-    assert {(r.signal, r.path) for r in trees.triage(tree).collect()} == {("manifest", "requirements.txt"), ("sdk_import", "src/app.py"), ("endpoint", "web/a.ts"), ("secret", ".env")}
+    assert {(r.signal, r.path) for r in trees.triage(tree).collect()} == {("manifest", "requirements.txt"), ("sdk_import", "src/app.py"), ("endpoint", "web/a.ts"), ("secret", "config/app.env")}
     assert {(r.package, r.version) for r in trees.declared_versions(tree).collect()} == {("openai", "1.3"), ("requests", "2.0")}
     assert {(r.key, r.value) for r in trees.environment_defaults(tree).collect()} == {("LLM_MODEL", "m-1"), ("KEY", "<redacted:openai_key>")}
     assert {(r.ext, r.n_files) for r in trees.census(tree).collect()} >= {("py", 2), ("ts", 2)}
-    changed = trees.changed_paths(tree, tree.where("path <> '.env'"))
-    assert [tuple(r) for r in changed.collect()] == [(".env", "removed")]
+    changed = trees.changed_paths(tree, tree.where("path <> 'config/app.env'"))
+    assert [tuple(r) for r in changed.collect()] == [("config/app.env", "removed")]
 
 
 def test_repo_list(spark, tmp_path):
