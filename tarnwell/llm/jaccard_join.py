@@ -19,17 +19,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import SPACE_CHARS, discard, documents, mix64, runs_of, spread, written
+from .common import discard, documents, mix64, runs_of, spread, written
 from .components import components
 
 LEVELS = 3
 BINS = 64
-_SPACES = str.maketrans(dict.fromkeys(SPACE_CHARS, " "))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[str, int] = {}
+_WORDS: dict[bytes, int] = {}
 
 
 def runs_for(recall: float, threshold: float, levels: int = LEVELS) -> int:
@@ -40,11 +40,11 @@ def runs_for(recall: float, threshold: float, levels: int = LEVELS) -> int:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of every word (split at ASCII white space)."""
-    words = [w for w in text.translate(_SPACES).split(" ") if w] if text else []
-    if len(_WORDS) > 1 << 19:
+    words = text.encode("utf-8", "surrogatepass").split() if text else []
+    if len(_WORDS) > 1 << 18:
         _WORDS.clear()
     for w in set(words).difference(_WORDS):
-        _WORDS[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        _WORDS[w] = xxh64_intdigest(w)
     return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
@@ -68,18 +68,27 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.where(ends > at, np.maximum(values, 1), 0).astype("<u2")
 
 
-def choose(found: np.ndarray, runs: int, threshold: float) -> list[list[int]]:
-    """Of each level, the chosen shingles of all runs, as run << 32 | 32 bits of the shingle. Deeper levels choose twice as many."""
-    picks: list[list[np.ndarray]] = [[] for _ in range(LEVELS)]
-    low = found & np.uint64(0xFFFFFFFF)
-    limits = [min(2**32, (1 if k == 0 else 2) * 2**32 / (threshold * len(found))) for k in range(LEVELS)]
-    for run in range(runs):
-        for k in range(LEVELS):
-            if k % 2 == 0:
-                mixed = mix64(found ^ mix64(np.array([run * LEVELS + k + 1], dtype=np.uint64)))
-            part = mixed >> np.uint64(32) if k % 2 == 0 else mixed & np.uint64(0xFFFFFFFF)
-            picks[k].append(low[part < limits[k]] | np.uint64(run << 32))
-    return [np.concatenate(p).astype(np.int64).tolist() for p in picks]
+def _multipliers(runs: int) -> np.ndarray:
+    """An odd multiplier for each level and run."""
+    return mix64(np.arange(1, LEVELS * runs + 1, dtype=np.uint64) * _MULT) | np.uint64(1)
+
+
+def choose(found: np.ndarray, runs: int, threshold: float) -> list[np.ndarray]:
+    """Of each level, the chosen shingles of all runs, as run << 32 | 32 bits of the shingle. Deeper levels choose twice as many.
+
+    Shingles are hashes already, so a multiplication of its own gives each level of each run another order of them.
+    """
+    factors = _multipliers(runs)[:, None]
+    share = np.repeat([1.0] + [2.0] * (LEVELS - 1), runs) / (threshold * len(found))
+    limits = np.minimum(share * 2.0**64, 2.0**64 - 2048).astype(np.uint64)[:, None]
+    rows, low = [], []
+    for at in range(0, len(found), 1 << 15):
+        row, column = np.nonzero(found[None, at : at + (1 << 15)] * factors < limits)
+        rows.append(row)
+        low.append(found[at + column])
+    row, low = np.concatenate(rows), np.concatenate(low) & np.uint64(0xFFFFFFFF)
+    picks = ((row % runs).astype(np.uint64) << np.uint64(32) | low).astype(np.int64)
+    return [picks[row // runs == k] for k in range(LEVELS)]
 
 
 def _signatures(width: int, runs: int, threshold: float):
@@ -91,7 +100,7 @@ def _signatures(width: int, runs: int, threshold: float):
                 if len(found):
                     rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), len(found), sketch(found).tobytes(), *choose(found, runs, threshold)))
                 else:
-                    rows.append((b"", 0, b"", *[[]] * LEVELS))
+                    rows.append((b"", 0, b"", *[np.zeros(0, dtype=np.int64)] * LEVELS))
             yield pd.DataFrame(rows, columns=["node", "n", "sketch", *(f"l{k}" for k in range(LEVELS))])
 
     return sign
