@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -89,56 +89,63 @@ def link(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Of several calls of one identifier the first stands, of several results the first; the others are kept and marked.
     """
-    key = ["conv_id", "call_id"]
-    first_call = calls.where(F.col("call_id").isNotNull()).groupBy(*key).agg(F.min(F.struct("turn", "idx")).alias("_call"))
-    first_result = results.where(F.col("call_id").isNotNull()).groupBy(*key).agg(F.min("turn").alias("_result"))
-
-    def keyed(df: DataFrame, to: str) -> DataFrame:
-        return df.withColumnsRenamed({"conv_id": f"_conv{to}", "call_id": f"_id{to}"})
-
-    def on(to: str):
-        return F.col("conv_id").eqNullSafe(F.col(f"_conv{to}")) & (F.col("call_id") == F.col(f"_id{to}"))
-
-    of = keyed(first_call.join(keyed(first_result, "1"), on("1"), "left").select(*key, "_call", "_result"), "2")
+    both = calls.withColumns({"_kind": F.lit(0)}).unionByName(results.withColumns({"_kind": F.lit(1)}), allowMissingColumns=True)
+    same = Window.partitionBy("conv_id", "call_id")
+    both = both.withColumns({
+        "_call": F.min(F.when(F.col("_kind") == 0, F.struct("turn", "idx"))).over(same),
+        "_result": F.min(F.when(F.col("_kind") == 1, F.col("turn"))).over(same),
+    })
     status = F.when(F.col("call_id").isNull(), "no_id").when((F.col("_call.turn") != F.col("turn")) | (F.col("_call.idx") != F.col("idx")), "duplicate_id").when(F.col("_result").isNull(), "no_result").otherwise("linked")
-    marked = calls.join(of, on("2"), "left").select(*calls.columns, status.alias("status"))
-    is_first = F.col("_result") == F.col("turn")
-    tied = results.join(of, on("2"), "left").select(*results.columns, F.when(is_first, F.col("_call.turn")).alias("call_turn"), F.when(is_first, F.col("_call.idx")).alias("call_idx"))
-    return marked, tied
+    marked = both.where(F.col("_kind") == 0).select(*calls.columns, status.alias("status"))
+    tied = F.col("call_id").isNotNull() & (F.col("_result") == F.col("turn"))
+    answered = both.where(F.col("_kind") == 1).select(*results.columns, F.when(tied, F.col("_call.turn")).alias("call_turn"), F.when(tied, F.col("_call.idx")).alias("call_idx"))
+    return marked, answered
 
 
-def in_order(calls: DataFrame) -> DataFrame:
-    """``calls`` with at and hop (long) and cyclic: sorted by (at, hop, turn, idx), each call follows those in ``after``.
+def moves(calls: DataFrame) -> DataFrame | None:
+    """Calls that cannot stand at their own turn: conv_id, turn, idx, at, hop (long) and cyclic; None if there are none.
 
-    A call stands at its own turn unless it depends on one that stands later; then it stands right behind that one. Dependencies in the order of turns are
-    settled at once; each further round is one join over those that run against it. A call that moves back more often than its
-    conversation has calls waits for itself: it is cyclic and stays at its own turn. Unknown identifiers are no dependencies.
+    With (turn, 0) for all others, calls sorted by (at, hop, turn, idx) each follow those in ``after``. A call moves if it depends on one that stands later: it then
+    stands right behind that one. Dependencies in the order of turns need no work; each round is one join over those that run against it. A
+    call that moves back more often than its conversation has calls waits for itself: it is cyclic and stays at its own turn. Unknown identifiers are no
+    dependencies.
     """
-    known = calls.where(F.col("call_id").isNotNull() & (F.col("status") != "duplicate_id")).select("conv_id", "call_id", "turn", "idx")
-    needs = known.alias("c").join(calls.where(F.size("after") > 0).select("conv_id", "call_id", "turn", "idx", F.explode(F.array_distinct("after")).alias("need")).alias("n"), F.col("c.conv_id").eqNullSafe(F.col("n.conv_id")) & (F.col("c.call_id") == F.col("n.need")))
-    needs = written(needs.select("n.conv_id", "n.turn", "n.idx", F.col("c.turn").alias("d_turn"), F.col("c.idx").alias("d_idx")), "needs")
-    # Only dependencies on later calls, and what hangs on calls they have moved, can move anything.
-    moved = needs.where(F.struct("d_turn", "d_idx") >= F.struct("turn", "idx")).select("conv_id", "turn", "idx", F.col("d_turn").alias("at"), F.lit(1).cast("long").alias("hop"))
-    best = lambda df: df.groupBy("conv_id", "turn", "idx").agg(F.max(F.struct("at", "hop")).alias("m")).select("conv_id", "turn", "idx", "m.at", "m.hop")
-    now = written(best(moved), "moved")
-    sizes = calls.groupBy("conv_id").agg(F.count("*").alias("size"))
-    while now.take(1):
+    key = ["conv_id", "turn", "idx"]
+    known = calls.where(F.col("status").isin("linked", "no_result")).select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_id"), F.col("turn").alias("d_turn"), F.col("idx").alias("d_idx"))
+    wanting = calls.where(F.size("after") > 0).select(*key, F.explode(F.array_distinct("after")).alias("_need"))
+    needs = wanting.join(known, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_need") == F.col("_id"))).select(*key, "d_turn", "d_idx")
+    needs = written(needs, "needs")
+    against = needs.where(F.struct("d_turn", "d_idx") >= F.struct("turn", "idx"))
+    if not against.take(1):
+        return None
+
+    def best(df: DataFrame) -> DataFrame:
+        return df.groupBy(*key).agg(F.max(F.struct("at", "hop")).alias("m")).select(*key, "m.at", "m.hop")
+
+    sizes = written(calls.groupBy(F.col("conv_id").alias("_of")).agg(F.count("*").alias("size")), "sizes")
+    now = written(best(against.select(*key, F.col("d_turn").alias("at"), F.lit(1).cast("long").alias("hop"))), "moved")
+    while True:
         on = F.col("m.conv_id").eqNullSafe(F.col("n.conv_id")) & (F.col("m.turn") == F.col("n.d_turn")) & (F.col("m.idx") == F.col("n.d_idx"))
-        pushed = now.alias("m").join(needs.alias("n"), on).where((F.col("m.at") > F.col("n.turn")) | ((F.col("m.at") == F.col("n.turn")) & (F.col("m.hop") >= 0)))
-        pushed = pushed.select("n.conv_id", "n.turn", "n.idx", F.col("m.at").alias("at"), (F.col("m.hop") + 1).alias("hop"))
-        s = sizes.select(F.col("conv_id").alias("_conv"), "size")
-        after = written(best(now.unionByName(pushed)).join(s, F.col("conv_id").eqNullSafe(F.col("_conv"))).select("conv_id", "turn", "idx", "at", F.least("hop", F.col("size") + 1).alias("hop")), "moved")
-        same = after.exceptAll(now).limit(1).count() == 0
+        pushed = now.alias("m").join(needs.alias("n"), on).where(F.col("m.at") >= F.col("n.turn")).select("n.conv_id", "n.turn", "n.idx", F.col("m.at").alias("at"), (F.col("m.hop") + 1).alias("hop"))
+        capped = best(now.unionByName(pushed)).join(sizes, F.col("conv_id").eqNullSafe(F.col("_of"))).select(*key, "at", F.least("hop", F.col("size") + 1).alias("hop"))
+        after = written(capped, "moved")
+        same = not after.exceptAll(now).take(1)
         discard(now)
         now = after
         if same:
             break
-    m = now.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("idx").alias("_idx"), "at", "hop")
-    s = sizes.select(F.col("conv_id").alias("_of"), "size")
-    out = calls.join(m, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("turn") == F.col("_turn")) & (F.col("idx") == F.col("_idx")), "left")
-    out = out.join(s, F.col("conv_id").eqNullSafe(F.col("_of")), "left")
-    cyclic = F.coalesce(F.col("hop") > F.col("size"), F.lit(False))
-    return out.select(*calls.columns, F.when(cyclic, F.col("turn")).otherwise(F.coalesce("at", "turn")).alias("at"), F.when(cyclic, F.lit(0)).otherwise(F.coalesce("hop", F.lit(0))).cast("long").alias("hop"), cyclic.alias("cyclic"))
+    cyclic = F.col("hop") > F.col("size")
+    settled = now.join(sizes, F.col("conv_id").eqNullSafe(F.col("_of")))
+    return written(settled.select(*key, F.when(cyclic, F.col("turn")).otherwise(F.col("at")).alias("at"), F.when(cyclic, F.lit(0)).otherwise(F.col("hop")).cast("long").alias("hop"), cyclic.alias("cyclic")), "moves")
+
+
+def placed(rows: DataFrame, moved: DataFrame | None, turn: Column, idx: Column) -> DataFrame:
+    """``rows`` with at and hop of the call at (turn, idx): its own turn and 0 unless it has moved."""
+    if moved is None:
+        return rows.withColumns({"at": turn, "hop": F.lit(0).cast("long")})
+    m = moved.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("idx").alias("_idx"), F.col("at").alias("_at"), F.col("hop").alias("_hop"))
+    joined = rows.join(m, F.col("conv_id").eqNullSafe(F.col("_conv")) & (turn == F.col("_turn")) & (idx == F.col("_idx")), "left")
+    return joined.withColumns({"at": F.coalesce("_at", turn), "hop": F.coalesce("_hop", F.lit(0)).cast("long")}).drop("_conv", "_turn", "_idx", "_at", "_hop")
 
 
 def _call_json(schemas: Mapping[str, Mapping]):
@@ -169,18 +176,18 @@ def format_chats(others: DataFrame, calls: DataFrame, results: DataFrame, schema
     call; an orphan stands at its own turn under the role ``orphan``. Null roles and texts stay null. Repeated messages are kept; ties go by JSON. A conversation
     without rows does not appear; an empty input gives none.
     """
-    calls, results = link(calls, results)
-    calls = written(in_order(calls), "calls")
+    calls, results = (written(rows, name) for rows, name in zip(link(calls, results), ("calls", "results"), strict=True))
+    moved = moves(calls)
     json_of = F.pandas_udf(_call_json(schemas), "json string, valid boolean, wrong array<string>")
-    shown = calls.withColumn("j", json_of("call_id", "name", "arguments", "status"))
+    shown = placed(calls, moved, F.col("turn"), F.col("idx")).withColumn("j", json_of("call_id", "name", "arguments", "status"))
     message = F.pandas_udf(_message_json, "string")
     zero = F.lit(0).cast("long")
     rows = shown.select("conv_id", F.struct("at", "hop", "turn", F.col("idx").cast("long").alias("idx"), F.lit(0).alias("kind"), "j.json").alias("e"), F.lit(1).alias("call"), (F.col("status") == "linked").cast("int").alias("linked"), F.col("j.valid").cast("int").alias("valid"))
-    place = calls.where(F.col("status") == "linked").select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("idx").alias("_idx"), "at", "hop")
-    placed = results.join(place, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("call_turn") == F.col("_turn")) & (F.col("call_idx") == F.col("_idx")), "left")
-    role = F.when(F.col("_turn").isNull(), "orphan").otherwise("tool")
+    orphan = F.col("call_turn").isNull()
+    behind = placed(results, moved, F.coalesce("call_turn", "turn"), F.coalesce("call_idx", F.lit(-1)))
     none = [F.lit(0).alias(c) for c in ("call", "linked", "valid")]
-    rows = rows.unionByName(placed.select("conv_id", F.struct(F.coalesce("at", "turn").alias("at"), F.coalesce("hop", zero).alias("hop"), F.coalesce("_turn", "turn").alias("turn"), F.coalesce("_idx", F.lit(0)).cast("long").alias("idx"), F.lit(1).alias("kind"), message("call_id", role, "content").alias("json")).alias("e"), *none))
+    text = message("call_id", F.when(orphan, "orphan").otherwise("tool"), "content")
+    rows = rows.unionByName(behind.select("conv_id", F.struct("at", "hop", F.coalesce("call_turn", "turn").alias("turn"), F.coalesce("call_idx", F.lit(0)).cast("long").alias("idx"), F.lit(1).alias("kind"), text.alias("json")).alias("e"), *none))
     rows = rows.unionByName(others.select("conv_id", F.struct(F.col("turn").alias("at"), zero.alias("hop"), "turn", zero.alias("idx"), F.lit(-1).alias("kind"), message(F.lit(None).cast("string"), "role", "text").alias("json")).alias("e"), *none))
     part = F.floor(F.coalesce(F.col("e.at"), zero) / part_turns)
     parts = rows.groupBy("conv_id", part.alias("part")).agg(F.array_sort(F.collect_list("e")).alias("e"), *[F.sum(c).cast("long").alias(f"n_{d}") for c, d in (("call", "calls"), ("linked", "linked"), ("valid", "valid"))])
