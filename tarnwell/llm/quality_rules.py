@@ -8,8 +8,9 @@ The order changes how much is computed, never which rows are kept.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,8 +90,8 @@ def cascade_order(rules: Sequence[Rule], measured: dict[str, tuple[float, float]
     return sorted(rules, key=lambda r: (-measured[r.name][1] / max(measured[r.name][0], 1e-9), r.name))
 
 
-def quality_cascade(df: DataFrame, rules: Sequence[Rule], *, sample_rows: int = 2000, seed: int = 7) -> DataFrame:
-    """``df`` with kept (no rule rejects the row) and rejected_by (the first rule of the cascade that does, else null).
+def quality_cascade(df: DataFrame, rules: Sequence[Rule], *, features: Callable[[DataFrame], DataFrame] = lambda df: df, sample_rows: int = 2000, seed: int = 7) -> DataFrame:
+    """``features(df)``, which adds what rules look at, with kept (no rule rejects the row) and rejected_by (the first rule of the cascade that does, else null).
 
     The sample only orders the rules: about ``sample_rows`` rows, taken by a seeded draw over all rows. All rows are judged by all rules
     until one rejects them. An empty table keeps the given order. rejected_by follows the measured order, so it may name another of
@@ -98,20 +99,17 @@ def quality_cascade(df: DataFrame, rules: Sequence[Rule], *, sample_rows: int =
     """
     if len(rules) > 1:
         total = df.count()
-        sample = written(df.sample(min(1.0, sample_rows / max(total, 1)), seed), "rules-sample")
+        sample = written(features(df.sample(min(1.0, sample_rows / max(total, 1)), seed)), "rules-sample")
         rules = cascade_order(rules, measure(sample, rules))
     first = F.lit(None).cast("string")
     for rule in reversed(rules):
         first = F.when(rule.reject, F.lit(rule.name)).otherwise(first)
-    return df.withColumn("rejected_by", first).withColumn("kept", F.col("rejected_by").isNull())
+    return features(df).withColumn("rejected_by", first).withColumn("kept", F.col("rejected_by").isNull())
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    features = text_features(documents(spark, sf_dir).select("doc_id", "text"))
-    bad = F.lit(False)
-    for rule in base_rules():
-        bad = bad | F.coalesce(rule.reject, F.lit(False))
-    judged = quality_cascade(features.withColumn("base_failed", bad), [Rule("base", F.col("base_failed")), *corpus_rules()])
+    bad = reduce(Column.__or__, [rule.reject for rule in base_rules()])
+    judged = quality_cascade(documents(spark, sf_dir).select("doc_id", "text"), [Rule("base", F.col("base_failed")), *corpus_rules()], features=lambda df: text_features(df).withColumn("base_failed", bad))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
