@@ -51,7 +51,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_array(text: Column) -> Column:
     """Words of a text; none for null."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, " " * len(SPACE_CHARS))
+    spaced = F.coalesce(text, F.lit(""))
+    for c in SPACE_CHARS[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     parts = F.split(spaced, " ")
     # Only leading, trailing and double spaces leave empty parts.
     return F.when(F.contains(F.concat(F.lit(" "), spaced, F.lit(" ")), F.lit("  ")), F.filter(parts, lambda w: w != "")).otherwise(parts)

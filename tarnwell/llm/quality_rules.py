@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, documents, word_array, written
+from .common import documents, word_array, written
 
 SYMBOLS = "#*$%&|<>"
 
@@ -28,10 +28,6 @@ class Rule:
     reject: Column
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
-
-
 def text_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long) of every whole text.
 
@@ -40,12 +36,12 @@ def text_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     apart by a 64-bit hash of their words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumns({"_words": word_array(F.col(text_col)), "_lines": F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")})
+    df = df.withColumns({"_words": word_array(F.col(text_col)), "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     n = F.size("_words")
     grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i"))))
     df = df.withColumns({
-        "word_chars": _without(text, SPACE_CHARS).cast("long"),
-        "n_symbols": (F.length(text) - _without(text, SYMBOLS)).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_words": n.cast("long"),
@@ -67,7 +63,7 @@ def corpus_rules(text_col: str = "text") -> list[Rule]:
     text, n = F.col(text_col), F.greatest(F.col("n_words"), F.lit(1))
     return [
         Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        Rule("duplicate_lines", (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
         Rule("few_letters", 10 * F.length(F.regexp_replace(text, r"\P{L}+", "")) < 7 * F.col("word_chars")),
         Rule("ellipsis_lines", 10 * F.regexp_count(text, F.lit(r"(?m)(\.\.\.|…)[ \t]*$")) > 3 * F.col("n_lines")),
@@ -125,7 +121,7 @@ f AS (SELECT d.doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(rege
       FROM d LEFT JOIN n ON d.doc_id = n.doc_id),
 b AS (SELECT *, greatest(n_words, 1) AS n, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n OR word_chars > 15 * n
+       NOT (base_failed OR 10 * n_symbols > n OR n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n OR word_chars > 15 * n
             OR 10 * length(regexp_replace(text, '\P{L}+', '', 'g')) < 7 * word_chars
             OR 10 * len(regexp_extract_all(text, '(?m)(\.\.\.|…)[ \t]*$')) > 3 * n_lines OR regexp_matches(text, '(?i)lorem ipsum')) AS kept
 FROM b
