@@ -25,10 +25,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, discard, documents, new_folder, written
+from .common import discard, documents, new_folder, written
 
 MAGIC = b"TWHUF001"
 _HEAD = struct.Struct("<8sQIIQQQQ")
@@ -46,7 +48,7 @@ class Encoder:
 
     _CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
-    def __init__(self, path: str, held: int = 400_000):
+    def __init__(self, path: str, held: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -131,18 +133,30 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def slices(values: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """Consecutive slices of texts or byte strings of about ``limit`` bytes at most, so that few of them are Python objects at once."""
+    ends = np.cumsum(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(values):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield values.slice(at, to - at)
+        at = to
+
+
 def token_ids(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """doc (long), ids (binary) of every whole text with ``end_id`` at its end; a null text is empty."""
 
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = encoder(path)
         end = array(of.kind, [end_id]).tobytes()
         for texts in batches:
-            texts = ["" if t is None else t for t in texts]
-            yield pd.Series([ids + end for a, b in batches_by_size(texts, 2 << 20) for ids in of.encode(texts[a:b])], dtype=object)
+            parts = [pa.array([], type=pa.binary())]
+            for part in slices(texts, 1 << 20):
+                parts.append(pa.array([ids + end for ids in of.encode([t or "" for t in part.to_pylist()])], type=pa.binary()))
+            yield pa.concat_arrays(parts)
         of.forget()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.pandas_udf(encode, "binary")(F.col(text_col)).alias("ids"))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.arrow_udf(encode, "binary")(F.col(text_col)).alias("ids"))
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -290,14 +304,16 @@ def _count(width: str, vocabulary_size: int):
 
 
 def _packer(width: str, held):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lengths = np.frombuffer(held.value, dtype=np.uint8)
         _, codes = canonical_codes(lengths)
         for batch in batches:
-            rows = []
-            for a, b in batches_by_size(batch, 1 << 20):
-                rows += pack([np.frombuffer(ids, dtype=width) for ids in batch.iloc[a:b]], lengths, codes)
-            yield pd.DataFrame(rows, columns=["payload", "marks"])
+            rows = [[], []]
+            for part in slices(batch, 1 << 20):
+                for payload, marks in pack([np.frombuffer(ids, dtype=width) for ids in part.to_pylist()], lengths, codes):
+                    rows[0].append(payload)
+                    rows[1].append(marks)
+            yield pa.StructArray.from_arrays([pa.array(r, type=pa.binary()) for r in rows], ["payload", "marks"])
 
     return run
 
@@ -333,7 +349,7 @@ def _range_of(cuts: list[int]):
     return part
 
 
-def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = 8 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = 4 << 20) -> DataFrame:
     """Encode ``docs`` into shards in ``folder`` (a URI that the executors can write); returns one row per shard.
 
     Documents are in ascending order of id, null first; rows of the same id stand together, ordered by their ids' bytes. An empty
@@ -356,7 +372,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str =
     for p in sorted(totals):
         starts[p], at = at, at + totals[p]
     held = spark.sparkContext.broadcast(code_lengths(counts).tobytes())
-    packed = parted.withColumn("_p", F.pandas_udf(_packer(width, held), "payload binary, marks binary")(F.col("ids"))).select("part", F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("no_id"), "n_tokens", "_p.payload", "_p.marks")
+    packed = parted.withColumn("_p", F.arrow_udf(_packer(width, held), "payload binary, marks binary")(F.col("ids"))).select("part", F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("no_id"), "n_tokens", "_p.payload", "_p.marks")
     dealt = packed.repartitionById(max(totals, default=0) + 1, F.col("part").cast("int")).sortWithinPartitions(F.col("no_id").desc(), "doc", "n_tokens", "payload")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
