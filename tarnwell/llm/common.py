@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 #: A word is a run of characters other than ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -77,6 +84,47 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slices(values: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
+    """Consecutive slices of texts or byte strings of about ``limit`` bytes at most."""
+    ends = np.cumsum(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(values):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield values.slice(at, to - at)
+        at = to
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, and the next stage may need it."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def sliced(start: Callable[[], Callable[[list], pa.Array]], shape: str, limit: int = 1 << 20) -> Callable[..., Column]:
+    """An Arrow UDF of one column of texts or byte strings: ``start()`` gives, once a task, a function from a list of values to an array of results.
+
+    Only a slice of about ``limit`` bytes is held as Python objects at a time, however many rows a batch has.
+    """
+    kind = to_arrow_type(_parse_datatype_string(shape))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = start()
+        for values in batches:
+            parts = [one(part.to_pylist()).cast(kind) for part in slices(values, limit)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+        give_back()
+
+    return F.arrow_udf(run, shape)
+
+
+def structs(rows: list[tuple], shape: pa.DataType) -> pa.Array:
+    """Rows of values as an array of structs of the given type."""
+    columns = list(zip(*rows, strict=True)) or [[] for _ in shape]
+    return pa.StructArray.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, shape, strict=True)], fields=list(shape))
+
+
 def batches_by_size(series, limit: int = 16 << 20):
     """Slices (start, stop) of a series of texts, each of about ``limit`` characters at most."""
     start, held = 0, 0

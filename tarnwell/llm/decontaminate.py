@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: ASCII to lower case; what is no word character becomes a space. Bytes from 0x80 on belong to words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -103,6 +105,7 @@ def _scanner(held):
         automaton = _automaton(held.value)
         for texts, before in batches:
             yield pd.DataFrame([scan_text(automaton, t, b) for t, b in zip(texts, before, strict=True)], columns=["n_words", "n_hit", "_items", "spans", "_hits"])
+        give_back()
 
     return scan
 

@@ -19,11 +19,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import discard, documents, mix64, runs_of, spread, written
+from .common import discard, documents, give_back, mix64, runs_of, sliced, spread, structs, written
 from .components import components
 
 LEVELS = 3
@@ -92,27 +93,32 @@ def choose(found: np.ndarray, runs: int, threshold: float) -> list[np.ndarray]:
 
 
 def _signatures(width: int, runs: int, threshold: float):
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for text in texts:
-                found = shingles(text, width)
-                if len(found):
-                    rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), len(found), sketch(found).tobytes(), *choose(found, runs, threshold)))
-                else:
-                    rows.append((b"", 0, b"", *[np.zeros(0, dtype=np.int64)] * LEVELS))
-            yield pd.DataFrame(rows, columns=["node", "n", "sketch", *(f"l{k}" for k in range(LEVELS))])
+    shape = pa.struct([("node", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary()), *((f"l{k}", pa.list_(pa.int64())) for k in range(LEVELS))])
+
+    def sign(texts: list[str | None]) -> pa.Array:
+        rows = []
+        for text in texts:
+            found = shingles(text, width)
+            if len(found):
+                rows.append((_name(found), len(found), sketch(found).tobytes(), *choose(found, runs, threshold)))
+            else:
+                rows.append((b"", 0, b"", *[np.zeros(0, dtype=np.int64)] * LEVELS))
+        return structs(rows, shape)
+
+    return lambda: sign
+
+
+def _name(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else b""
 
-    return sign
 
+def _sets_of(width: int):
+    shape = pa.struct([("node", pa.binary()), ("set", pa.binary())])
 
-def _set_of(width: int):
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            found = [shingles(t, width) for t in texts]
-            yield pd.DataFrame({"node": [hashlib.blake2b(f.tobytes(), digest_size=16).digest() if len(f) else b"" for f in found], "set": [f.tobytes() for f in found]})
+    def sets(texts: list[str | None]) -> pa.Array:
+        return structs([(_name(found), found.tobytes()) for found in (shingles(t, width) for t in texts)], shape)
 
-    return sets
+    return lambda: sets
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -170,6 +176,7 @@ def _candidates(least: float):
                     cid = int.from_bytes(name, "little", signed=True) & ~3
                     rows += [(cid, x, cid | (2 + s if cross[a] else 0)) for x, s in own]
             yield pd.DataFrame(rows, columns=["cid", "node", "entry"]).astype({"cid": "int64", "entry": "int64"})
+        give_back()
 
     return find
 
@@ -233,6 +240,7 @@ def _verified(threshold: float):
                 links = counted @ copies[a:b]
                 rows += [(nodes[a + i], int(links[i]), nodes[a + label[i]]) for i in np.flatnonzero(linked.any(axis=1))]
             yield pd.DataFrame(rows, columns=["node", "links", "root"]).astype({"links": "int64"})
+        give_back()
 
     return verify
 
@@ -268,7 +276,7 @@ def jaccard_join(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
     """
     runs = runs_for(recall, threshold)
     shape = "node binary, n long, sketch binary, " + ", ".join(f"l{k} array<long>" for k in range(LEVELS))
-    signed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), F.pandas_udf(_signatures(width, runs, threshold), shape)(F.col(text_col)).alias("s"))
+    signed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), sliced(_signatures(width, runs, threshold), shape)(F.col(text_col)).alias("s"))
     rows = written(signed.select("_id", "text_hash", "s.*"), "signatures")
     whole = ["n", "sketch", *(f"l{k}" for k in range(LEVELS))]
     nodes = written(rows.where(F.col("n") > 0).groupBy("node").agg(F.min("_id").alias("first_id"), F.count("*").alias("copies"), F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in whole]), "nodes")
@@ -283,7 +291,7 @@ def jaccard_join(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
     alive = members.groupBy("node").agg(F.collect_set("entry").alias("entries")).join(nodes.select("node", "copies", "text_hash"), "node")
     alive = written(alive, "alive")
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_text")).join(spread(alive.select("text_hash").distinct()), "text_hash", "left_semi")
-    sets = texts.select(F.pandas_udf(_set_of(width), "node binary, set binary")(F.col("_text")).alias("s")).select("s.*")
+    sets = texts.select(sliced(_sets_of(width), "node binary, set binary")(F.col("_text")).alias("s")).select("s.*")
     sets = written(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
     grouped = members.join(alive.select("node", "entries", "copies"), "node").join(sets, "node").repartition("cid").sortWithinPartitions("cid", "node")
     links = written(grouped.mapInPandas(_verified(threshold), "node binary, links long, root binary"), "links")

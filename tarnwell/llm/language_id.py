@@ -13,10 +13,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, sliced, structs
 
 #: Families of closely related languages (ISO 639-1). A language that is in none is a family of its own.
 FAMILIES = {
@@ -162,13 +163,11 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = held.value
-        for texts in batches:
-            rows = [own.predict(features(t)) if has_letter(t) else (UNDETERMINED, 0.0) for t in texts]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+    def start():
+        own, shape = held.value, pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+        return lambda texts: structs([own.predict(features(t)) if has_letter(t) else (UNDETERMINED, 0.0) for t in texts], shape)
 
-    found = docs.withColumn("_found", F.pandas_udf(predict, "lang_pred string, score double")(F.col(text_col)))
+    found = docs.withColumn("_found", sliced(start, "lang_pred string, score double")(F.col(text_col)))
     return found.withColumns({c: F.col("_found")[c] for c in ("lang_pred", "score")}).drop("_found")
 
 

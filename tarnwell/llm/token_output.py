@@ -26,11 +26,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, new_folder, written
+from .common import discard, documents, give_back, new_folder, slices, written
 
 MAGIC = b"TWHUF001"
 _HEAD = struct.Struct("<8sQIIQQQQ")
@@ -133,16 +132,6 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def slices(values: pa.Array, limit: int) -> Iterator[pa.Array]:
-    """Consecutive slices of texts or byte strings of about ``limit`` bytes at most, so that few of them are Python objects at once."""
-    ends = np.cumsum(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(values):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
-        yield values.slice(at, to - at)
-        at = to
-
-
 def token_ids(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """doc (long), ids (binary) of every whole text with ``end_id`` at its end; a null text is empty."""
 
@@ -151,10 +140,12 @@ def token_ids(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id:
         end = array(of.kind, [end_id]).tobytes()
         for texts in batches:
             parts = [pa.array([], type=pa.binary())]
-            for part in slices(texts, 1 << 20):
+            for part in slices(texts):
                 parts.append(pa.array([ids + end for ids in of.encode([t or "" for t in part.to_pylist()])], type=pa.binary()))
             yield pa.concat_arrays(parts)
-        of.forget()
+        encoder.cache_clear()
+        del of
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.arrow_udf(encode, "binary")(F.col(text_col)).alias("ids"))
 
@@ -303,17 +294,21 @@ def _count(width: str, vocabulary_size: int):
     return count
 
 
-def _packer(width: str, held):
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _packer(width: str, held, cuts: list[int]):
+    """(part, payload, marks) of (doc, ids): the range of the id, and the packed ids."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         lengths = np.frombuffer(held.value, dtype=np.uint8)
         _, codes = canonical_codes(lengths)
-        for batch in batches:
-            rows = [[], []]
-            for part in slices(batch, 1 << 20):
-                for payload, marks in pack([np.frombuffer(ids, dtype=width) for ids in part.to_pylist()], lengths, codes):
-                    rows[0].append(payload)
-                    rows[1].append(marks)
-            yield pa.StructArray.from_arrays([pa.array(r, type=pa.binary()) for r in rows], ["payload", "marks"])
+        for docs, ids in batches:
+            payloads, marks = [], []
+            for part in slices(ids):
+                for payload, mark in pack([np.frombuffer(i, dtype=width) for i in part.to_pylist()], lengths, codes):
+                    payloads.append(payload)
+                    marks.append(mark)
+            parts = np.searchsorted(cuts, docs.to_numpy(zero_copy_only=False), side="left") if cuts else np.zeros(len(docs))
+            yield pa.StructArray.from_arrays([pa.array(parts.astype(np.int32)), pa.array(payloads, type=pa.binary()), pa.array(marks, type=pa.binary())], ["part", "payload", "marks"])
+        give_back()
 
     return run
 
@@ -330,21 +325,25 @@ def _writer(folder: str, starts: dict[int, int], held):
         if shard is None:
             return
         content = build_shard(rows, starts[shard], np.frombuffer(held.value, dtype=np.uint8))
+        n_docs, n_tokens = len(rows), sum(r[1] for r in rows)
         store, path = fs.FileSystem.from_uri(folder)
         name = f"{path}/shard-{shard:07d}.huff"
         # A task that runs twice writes the same bytes; the move makes one whole file of them.
         with store.open_output_stream(own := f"{path}/.{uuid.uuid4().hex}.part") as out:
             out.write(content)
         store.move(own, name)
-        yield pd.DataFrame({"shard": [shard], "path": [name], "n_docs": [len(rows)], "n_tokens": [sum(r[1] for r in rows)], "n_bytes": [len(content)]})
+        rows.clear()
+        give_back()
+        yield pd.DataFrame({"shard": [shard], "path": [name], "n_docs": [n_docs], "n_tokens": [n_tokens], "n_bytes": [len(content)]})
 
     return run
 
 
 def _range_of(cuts: list[int]):
-    def part(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def part(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for docs in batches:
-            yield pd.Series(np.searchsorted(cuts, docs.to_numpy(), side="left") if cuts else np.zeros(len(docs), dtype=np.int64))
+            parts = np.searchsorted(cuts, docs.to_numpy(zero_copy_only=False), side="left") if cuts else np.zeros(len(docs))
+            yield pa.array(parts.astype(np.int32))
 
     return part
 
@@ -366,14 +365,16 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str =
         counts[row["id"]] = row["n"]
     n = max(1, -(-int(counts.sum()) // shard_tokens))
     cuts = ids.agg(F.percentile_approx("doc", [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] if n > 1 else None
-    parted = ids.withColumn("part", F.pandas_udf(_range_of(sorted(set(cuts or []))), "long")(F.coalesce(F.col("doc"), F.lit(-(2**63)))))
-    totals = {r["part"]: r["n"] for r in parted.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+    cuts = sorted(set(cuts or []))
+    key = F.coalesce(F.col("doc"), F.lit(-(2**63)))
+    totals = {r["part"]: r["n"] for r in ids.select(F.arrow_udf(_range_of(cuts), "int")(key).alias("part"), "n_tokens").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     starts, at = {}, 0
     for p in sorted(totals):
         starts[p], at = at, at + totals[p]
     held = spark.sparkContext.broadcast(code_lengths(counts).tobytes())
-    packed = parted.withColumn("_p", F.arrow_udf(_packer(width, held), "payload binary, marks binary")(F.col("ids"))).select("part", F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("no_id"), "n_tokens", "_p.payload", "_p.marks")
-    dealt = packed.repartitionById(max(totals, default=0) + 1, F.col("part").cast("int")).sortWithinPartitions(F.col("no_id").desc(), "doc", "n_tokens", "payload")
+    packed = ids.withColumn("_p", F.arrow_udf(_packer(width, held, cuts), "part int, payload binary, marks binary")(key, F.col("ids")))
+    packed = packed.select("_p.part", F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("no_id"), "n_tokens", "_p.payload", "_p.marks")
+    dealt = packed.repartitionById(max(totals, default=0) + 1, F.col("part")).sortWithinPartitions(F.col("no_id").desc(), "doc", "n_tokens", "payload")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     shards = written(dealt.mapInPandas(_writer(folder, starts, held), "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "token-shards")
