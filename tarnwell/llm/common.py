@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import DataType
 
 #: A word is a run of characters other than ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -107,7 +107,7 @@ def sliced(start: Callable[[], Callable[[list], pa.Array]], shape: str, limit: i
 
     Only a slice of about ``limit`` bytes is held as Python objects at a time, however many rows a batch has.
     """
-    kind = to_arrow_type(_parse_datatype_string(shape))
+    kind = to_arrow_type(DataType.fromDDL(shape))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = start()
