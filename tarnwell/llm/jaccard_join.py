@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import discard, documents, give_back, mix64, runs_of, sliced, spread, structs, written
+from .common import discard, documents, give_back, mix64, runs_of, sliced, small_batches, spread, structs, written
 from .components import components
 
 LEVELS = 3
@@ -267,6 +267,7 @@ def _leaves(nodes: DataFrame, block: int, dense: float) -> DataFrame:
     return reduce(DataFrame.unionByName, [d.select("path", "n", "node") for d in done])
 
 
+@small_batches
 def jaccard_join(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 512, dense: float = 0.4) -> DataFrame:
     """``id_col``, class_id, n_links (long), node and text_hash of every row of ``docs``.
 

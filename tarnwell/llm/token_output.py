@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, give_back, new_folder, slices, written
+from .common import discard, documents, give_back, new_folder, slices, small_batches, written
 
 MAGIC = b"TWHUF001"
 _HEAD = struct.Struct("<8sQIIQQQQ")
@@ -47,7 +47,7 @@ class Encoder:
 
     _CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
-    def __init__(self, path: str, held: int = 200_000):
+    def __init__(self, path: str, held: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -348,6 +348,7 @@ def _range_of(cuts: list[int]):
     return part
 
 
+@small_batches
 def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = 4 << 20) -> DataFrame:
     """Encode ``docs`` into shards in ``folder`` (a URI that the executors can write); returns one row per shard.
 
