@@ -151,3 +151,32 @@ def test_passages(texts):
             assert min(len(x), len(y)) >= 50 and p.same >= 0.8 * max(len(x), len(y)) and len(set(x) & set(y)) >= 0.7 * len(set(x))
     none, _ = P.repeated_passages(texts([]))
     assert none.count() == 0
+
+
+def words_of(rng, n):
+    return np.array([rng.randrange(2**60) for _ in range(n)], dtype=np.uint64)
+
+
+def test_passages_beside_other_matches():
+    rng = random.Random(3)
+    new, join = (lambda n: words_of(rng, n)), (lambda *parts: np.concatenate(parts))
+    one, two, line, long_, tail = new(55), new(55), new(12), new(500), new(110)
+    find = lambda x, y: P.passages(x, y, *map(np.array, zip(*[(i, j) for i in range(len(x) - 5) for j in range(len(y) - 5) if (x[i : i + 6] == y[j : j + 6]).all()])), k=6, least=50, identity=0.8)
+    # Two exact passages with other words between them.
+    x, y = join(one, new(40), two), join(one, new(40), two)
+    assert find(x, y) == [(0, 55, 0, 55, 55), (95, 150, 95, 150, 55)]
+    # A passage with a short common line behind it.
+    x, y = join(new(20), one, new(30), line), join(new(9), one, new(30), line)
+    assert find(x, y) == [(20, 75, 9, 64, 55)]
+    # After a long passage, one with insertions 100 words later.
+    x, y = join(long_, new(100), tail[:20], tail[20:40], tail[40:]), join(long_, new(100), tail[:20], new(2), tail[20:40], new(2), tail[40:])
+    assert find(x, y) == [(0, 500, 0, 500, 500), (600, 710, 600, 714, 110)]
+
+
+def test_chaining_within_the_gap():
+    rng = random.Random(6)
+    for _ in range(60):
+        runs = np.array([(rng.randrange(300), rng.randrange(300), rng.randrange(3, 12)) for _ in range(rng.randrange(1, 40))])
+        first = P.chains(runs, 0.1, 60)[0]
+        score = sum(runs[i][2] for i in first) - 0.1 * sum((runs[j][0] - runs[i][0] - runs[i][2]) + (runs[j][1] - runs[i][1] - runs[i][2]) for i, j in zip(first, first[1:]))
+        assert abs(score - best_chain(runs.tolist(), 0.1, 60)) < 1e-9
