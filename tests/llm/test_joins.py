@@ -180,3 +180,30 @@ def test_chaining_within_the_gap():
         first = P.chains(runs, 0.1, 60)[0]
         score = sum(runs[i][2] for i in first) - 0.1 * sum((runs[j][0] - runs[i][0] - runs[i][2]) + (runs[j][1] - runs[i][1] - runs[i][2]) for i, j in zip(first, first[1:]))
         assert abs(score - best_chain(runs.tolist(), 0.1, 60)) < 1e-9
+
+
+def test_passages_of_several_holders(texts):
+    rng = random.Random(12)
+    put = lambda p: f"{text(rng, 60)} {p} {text(rng, 60)}"
+    rows = []
+    for _ in range(12):  # B and C share 60 words, of which others hold one half each
+        one, two = text(rng, 30), text(rng, 30)
+        rows += [put(one), put(two), put(f"{one} {two}"), put(f"{one} {two}")]
+    lines = [text(rng, 20) for _ in range(3)]
+    rows += [put(line) for line in lines for _ in range(20)]  # common lines of many holders, and a passage of all three
+    rows += [put(" ".join(lines)) for _ in range(2)]
+    twice = text(rng, 55)
+    rows += [put(f"{twice} {text(rng, 80)} {twice}"), put(twice)]  # a passage with two places in one text
+    rows = list(enumerate(rows))
+    found, links = P.repeated_passages(texts(rows))
+    found = {r.doc_id: r for r in found.collect()}
+    assert set(found) == {i for i in range(48) if i % 4 > 1} | {108, 109, 110, 111}
+    assert all(60 <= found[i].n_dup_words <= 64 for i in [*range(2, 48, 4), 108, 109]) and found[111].n_dup_words >= 55 and found[110].n_dup_words >= 110
+    assert links.count() == 14
+
+
+def test_repeated_words_have_bounded_matches():
+    x, y = np.zeros(3000, dtype=np.uint64), np.zeros(2000, dtype=np.uint64)
+    a, b = P.shared(x, y, 4)
+    assert 2000 - 3 <= len(a) < 60_000
+    assert sum(u - s for s, u, *_ in P.passages(x, y, a, b, k=4, least=50, identity=0.8)) >= 2000
