@@ -202,6 +202,32 @@ def test_passages_of_several_holders(texts):
     assert links.count() == 14
 
 
+def test_recall_by_edit_rate():
+    rng = random.Random(21)
+    new = lambda n: words_of(rng, n)
+    vary = lambda w, rate: np.array([rng.randrange(2**60) if rng.random() < rate else v for v in w.tolist()], dtype=np.uint64)
+
+    def meets(x, y):
+        """Two seeds in common, and a passage by all k-mers."""
+        return len(np.intersect1d(P.seeds(x, 4, 12), P.seeds(y, 4, 12))) > 1 and bool(P.passages(x, y, *P.shared(x, y, 4), k=4, least=50, identity=0.8))
+
+    for n, rate, wanted in [(55, 0.05, 0.99), (60, 0.05, 0.99), (60, 0.1, 0.99), (80, 0.15, 0.95), (100, 0.15, 0.98), (100, 0.19, 0.95)]:
+        met = total = 0
+        for _ in range(100):
+            base = new(n)
+            other = vary(base, rate)
+            same = np.flatnonzero(base == other)
+            # What brute force over all pairs of agreeing places finds.
+            if len(same) and P.best_parts(same, same, 50, 0.8):
+                total += 1
+                met += meets(np.concatenate((new(40), base, new(40))), np.concatenate((new(70), other, new(30))))
+        assert total > 30 and met >= wanted * total, (n, rate, met, total)
+    base = new(90)
+    sixth = base.copy()
+    sixth[5::6] = new(15)
+    assert meets(np.concatenate((new(40), base, new(40))), np.concatenate((new(70), sixth, new(30))))
+
+
 def test_repeated_words_have_bounded_matches():
     x, y = np.zeros(3000, dtype=np.uint64), np.zeros(2000, dtype=np.uint64)
     a, b = P.shared(x, y, 4)
