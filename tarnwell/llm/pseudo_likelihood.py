@@ -1,15 +1,17 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from the words on both sides.
 
-Tokens are lower-cased words of a vocabulary of the corpus's most frequent ones; all others are one token. The network sums position-scaled embeddings of the
+Tokens are lower-cased words. The corpus's most frequent ones have ids of their own; all others share ``GROUPS`` ids by their hash, and a word's probability is its
+group's times its share in the group, from the counts of all words of the corpus. The network sums position-scaled embeddings of the
 ``WINDOW`` tokens on either side, and predicts the masked token's id in two steps, its group of 64 and its place in the group, so that probabilities
 over all ids add up to one. The sum of the log-probabilities of all tokens of a text is its pseudo-log-likelihood.
 
-Training is federated: in each round every partition starts from the common weights, learns from every text it holds (every ``stride``-th
-token of it) and returns its weights, which are averaged in a tree of small groups.
+Training is federated: in each round every partition starts from the common weights, learns from every text it holds (in each round
+other places of it, in all rounds together every one) and returns its weights, which are averaged in a tree of small groups.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,8 +27,10 @@ WINDOW = 2
 DIM = 24
 CHUNKS = 16
 FAN_IN = 64
-#: Ids: 0 any other word, 1.. the vocabulary, and one past all ids for places outside the text.
+#: Ids: 1.. the most frequent words, then groups of all others up to SIZE, the last of which is 0; one past all ids stands for places outside the text.
 SIZE = SIDE * SIDE
+GROUPS = 1024
+TOP = SIZE - GROUPS
 _SHAPES = {"emb": (SIZE + 1, DIM), "pos": (2 * WINDOW, DIM), "bias": (DIM,), "group": (DIM, SIDE), "group_b": (SIDE,), "place": (DIM, SIDE), "place_b": (SIDE, SIDE)}
 _LENGTH = sum(int(np.prod(s)) for s in _SHAPES.values())
 
@@ -140,22 +144,51 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield _counted(held)
 
 
-def vocabulary(docs: DataFrame, text_col: str) -> tuple[dict[str, int], np.ndarray]:
-    """Ids of the most frequent words, ties by code point, and counts by id; all words of all texts are counted."""
+class Vocabulary(dict):
+    """Ids of the most frequent words. ``rare`` holds word and log_share (in its group) of all others, ``unseen`` the log_share of a word that the corpus lacks, by group."""
+
+    def __init__(self, ids: dict[str, int]):
+        super().__init__(ids)
+        self.rare: DataFrame | None = None
+        self.unseen = np.zeros(GROUPS)
+
+
+def vocabulary(docs: DataFrame, text_col: str) -> tuple[Vocabulary, np.ndarray]:
+    """Ids of the most frequent words, ties by code point, and counts by id; all words of all texts are counted.
+
+    In a group of N tokens and D words a word that occurs n times has the share (n + 1) / (N + D + 1), so that one part is left for words not seen. The
+    table of shares is not collected.
+    """
     counted = written(docs.select(F.col(text_col).alias("text")).mapInPandas(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    top = counted.orderBy(F.desc("n"), "word").limit(SIZE - 1).collect()
-    discard(counted)
+    top = counted.orderBy(F.desc("n"), "word").limit(TOP).collect()
+    known = Vocabulary({r["word"]: i + 1 for i, r in enumerate(top[: TOP - 1])})
     counts = np.zeros(SIZE)
-    counts[1 : len(top) + 1] = [r["n"] for r in top]
-    counts[0] = total - counts.sum()
-    return {r["word"]: i + 1 for i, r in enumerate(top)}, counts
+    counts[1 : len(known) + 1] = [r["n"] for r in top[: TOP - 1]]
+    if len(top) < TOP:
+        discard(counted)
+        return known, counts
+    least = top[TOP - 2]
+    others = counted.where((F.col("n") < least["n"]) | ((F.col("n") == least["n"]) & (F.col("word") > least["word"]))).withColumn("group", F.crc32(F.encode("word", "UTF-8")) % GROUPS)
+    totals = others.groupBy("group").agg(F.sum("n").alias("all"), F.count("*").alias("words"))
+    for r in totals.collect():
+        counts[_group_id(r["group"])] = r["all"]
+        known.unseen[r["group"]] = -np.log(r["all"] + r["words"] + 1)
+    known.rare = others.join(F.broadcast(totals), "group").select("word", F.log((F.col("n") + 1) / (F.col("all") + F.col("words") + 1)).alias("log_share"))
+    return known, counts
+
+
+def _group(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) % GROUPS
+
+
+def _group_id(group: int) -> int:
+    return (TOP + 1 + group) % SIZE
 
 
 def _ids(known: dict[str, int], text: str | None) -> np.ndarray:
     words = tokens(text)
     get = known.get
-    return np.fromiter((get(x, 0) for x in words), dtype=np.int64, count=len(words))
+    return np.fromiter((get(x) or _group_id(_group(x)) for x in words), dtype=np.int64, count=len(words))
 
 
 def _trainer(known, weights, *, turn: int, stride: int, batch_size: int):
@@ -169,7 +202,7 @@ def _trainer(known, weights, *, turn: int, stride: int, batch_size: int):
             part = int(batch["part"].iloc[0]) if len(batch) else part
             for text in batch["text"]:
                 ids = _ids(words, text)
-                pick = slice((turn * 3 + len(ids)) % stride if len(ids) > stride else 0, None, stride)
+                pick = slice(turn % stride, None, stride)
                 kept.append((contexts(ids)[pick], ids[pick]))
                 held += len(kept[-1][1])
                 if held >= 16 * batch_size:
@@ -218,15 +251,16 @@ def average(trained: DataFrame) -> np.ndarray | None:
 
 
 @small_batches
-def train(docs: DataFrame, *, text_col: str = "text", rounds: int = 2, stride: int = 8, batch_size: int = 2048) -> tuple[dict[str, int], np.ndarray]:
-    """Vocabulary and weights. All words are counted, and every text is learned from in each round: tokens grow with the corpus.
+def train(docs: DataFrame, *, text_col: str = "text", rounds: int = 2, stride: int = 2, batch_size: int = 2048) -> tuple[Vocabulary, np.ndarray]:
+    """Vocabulary and weights. All words are counted, and round r learns from the places r, r + ``stride``, ... of every text: as many rounds as
+    ``stride`` learn from every token.
 
     Weights depend on how the table lies in partitions, as sums of floating-point numbers do. Texts without words teach nothing.
     """
     spark: SparkSession = docs.sparkSession
     known, counts = vocabulary(docs, text_col)
     weights = initial(counts)
-    words = spark.sparkContext.broadcast(known)
+    words = spark.sparkContext.broadcast(dict(known))
     for turn in range(rounds):
         held = spark.sparkContext.broadcast(weights)
         rows = docs.select(F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
@@ -236,13 +270,39 @@ def train(docs: DataFrame, *, text_col: str = "text", rounds: int = 2, stride: i
     return known, weights
 
 
-def score(docs: DataFrame, known: dict[str, int], weights: np.ndarray, *, text_col: str = "text") -> DataFrame:
+def _rare_words(words):
+    """(key, word, n) of the words without an id of their own, per text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = words.value
+        for batch in batches:
+            for a, b in batches_by_size(batch["text"], 1 << 20):
+                held = [(key, *item) for key, text in zip(batch["key"].iloc[a:b], batch["text"].iloc[a:b], strict=True) for item in Counter(x for x in tokens(text) if x not in known).items()]
+                yield pd.DataFrame(held, columns=["key", "word", "n"]).astype({"key": "int64", "word": object, "n": "int64"})
+
+    return run
+
+
+@small_batches
+def rare_shares(docs: DataFrame, known: Vocabulary, words, *, text_col: str = "text") -> DataFrame:
+    """Per text (key, its hash) the sum of log_share over its words without an id of their own. Copies of a text are one."""
+    found = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).mapInPandas(_rare_words(words), "key long, word string, n long")
+    found = found.groupBy("key", "word").agg(F.max("n").alias("n"))
+    unseen = docs.sparkSession.createDataFrame([(g, float(v)) for g, v in enumerate(known.unseen)], "group long, unseen double")
+    share = found.withColumn("group", F.crc32(F.encode("word", "UTF-8")) % GROUPS).join(F.broadcast(unseen), "group")
+    if known.rare is not None:
+        share = share.join(known.rare, "word", "left").withColumn("unseen", F.coalesce("log_share", "unseen"))
+    return written(share.groupBy("key").agg(F.sum(F.col("n") * F.col("unseen")).alias("_rare")), "rare")
+
+
+def score(docs: DataFrame, known: Vocabulary, weights: np.ndarray, *, text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens (long), log_likelihood (sum over all tokens of the whole text) and mean_log_likelihood.
 
     A text without words (null, empty, white space) has sum 0 and a null mean. Columns of these names are replaced.
     """
     spark = docs.sparkSession
-    words, held = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(weights)
+    words, held = spark.sparkContext.broadcast(dict(known)), spark.sparkContext.broadcast(weights)
+    rare = rare_shares(docs, known, words, text_col=text_col).withColumnRenamed("key", "_key")
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         w = split(held.value)
@@ -260,8 +320,9 @@ def score(docs: DataFrame, known: dict[str, int], weights: np.ndarray, *, text_c
                     sums[a:b] += np.bincount(owner[own], weights=log_probabilities(w, around[own], flat[own]), minlength=b - a)
             yield pd.DataFrame({"n_tokens": sizes, "log_likelihood": sums})
 
-    found = docs.withColumn("_found", F.pandas_udf(run, "n_tokens long, log_likelihood double")(F.col(text_col)))
-    found = found.withColumns({c: F.col("_found")[c] for c in ("n_tokens", "log_likelihood")}).drop("_found")
+    found = docs.withColumn("_found", F.pandas_udf(run, "n_tokens long, log_likelihood double")(F.col(text_col))).withColumn("_key", F.xxhash64(text_col))
+    found = found.join(rare, "_key", "left")
+    found = found.withColumns({"n_tokens": F.col("_found.n_tokens"), "log_likelihood": F.col("_found.log_likelihood") + F.coalesce("_rare", F.lit(0.0))}).drop("_found", "_key", "_rare")
     return found.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_tokens"))
 
 

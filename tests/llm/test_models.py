@@ -101,6 +101,42 @@ def test_pseudo_likelihood(spark, texts):
     assert known == {} and L.score(texts([]), known, weights).count() == 0
 
 
+def test_every_place_is_learned_from():
+    import inspect
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    given = inspect.signature(L.train).parameters
+    rows = pd.DataFrame({"part": 0, "text": ["a b c d e f g", "a", "b c", None, "d " * 100]})
+    learned, held = 0, L.initial(np.ones(L.SIZE))
+    for turn in range(given["rounds"].default):
+        run = L._trainer(SimpleNamespace(value={"a": 1}), SimpleNamespace(value=held), turn=turn, stride=given["stride"].default, batch_size=64)
+        learned += sum(out["n"].iloc[0] for out in run(iter([rows])))
+    assert learned == 7 + 1 + 2 + 100
+
+
+def test_rare_words_have_shares(spark, texts):
+    common = [f"c{i}" for i in range(L.TOP)]
+    rows = [(i, " ".join(common[at : at + 300] * 3)) for i, at in enumerate(range(0, L.TOP, 300))]
+    rows += [(100, "rareone raretwo"), (101, "rareone raretwo rareone")] + [(102, "single"), (103, "single")]
+    known, counts = L.vocabulary(texts(rows), "text")
+    assert len(known) == L.TOP - 1 and counts.sum() == sum(len(t.split()) for _, t in rows)
+    shares = {r.word: r.log_share for r in known.rare.collect()}
+    assert {"rareone", "raretwo", "single"} < set(shares) and len(shares) == 4
+    left = np.exp(known.unseen)  # what is left for words not seen, and the shares, add up to one in each group
+    for word, share in shares.items():
+        left[L._group(word)] += np.exp(share)
+    assert np.allclose(left, 1)
+    weights = L.initial(counts)
+    docs = texts([(0, "rareone c1 rareone raretwo"), (1, "zzqx1 c1 zzqx1 zzqx2"), (2, None), (0, "rareone c1 rareone raretwo")])
+    found = {r.doc_id: r for r in L.score(docs, known, weights).collect()}
+    ids = L._ids(known, "rareone c1 rareone raretwo")
+    wanted = L.log_probabilities(L.split(weights), L.contexts(ids), ids).sum() + 2 * shares["rareone"] + shares["raretwo"]
+    assert len(set(ids)) == 3 and abs(found[0].log_likelihood - wanted) < 1e-3
+    assert found[0].log_likelihood > found[1].log_likelihood and (found[2].n_tokens, found[2].log_likelihood) == (0, 0)
+
+
 def test_averages_in_levels(spark):
     rows = [(c, p, float(p % 3 + 1), np.full(4, p, dtype="<f4").tobytes()) for p in range(150) for c in range(2)]
     mean = L.average(spark.createDataFrame(rows, "chunk int, part long, n double, weights binary"))
