@@ -17,12 +17,12 @@ from tarnwell.llm.language_id import UNDETERMINED, held_out, identify, train
 from tarnwell.llm.mixing import mix, repeated
 from tarnwell.llm.token_output import tokens_digest
 
-#: Below this probability a prediction is no more than a guess among all languages.
+#: Below this probability a prediction is no more than a guess among all languages. With two families of two languages no score is below 1/4.
 LEAST_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those whose language stays a guess."""
+    """Rejects documents without a letter; a guess only if so many languages are learned that its score can be below the bound."""
     found = identify(docs, train(docs, learn_from=~held_out()))
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
