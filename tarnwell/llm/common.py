@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
+from xxhash import xxh64_intdigest
 
 #: A word is a run of characters other than ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -39,10 +40,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: this cuts the lineage and survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it again: this cuts the lineage and survives lost executors.
+
+    Spark deletes the shuffle files of the write when it has ended, as nothing reads them any more.
+    """
+    spark, path, key = df.sparkSession, new_folder(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -53,6 +62,23 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (split at ASCII white space) of all texts, one after another, and where each text begins (and the last one ends).
+
+    Distinct words are hashed once a call. A null has no words.
+    """
+    split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+    coded = split.flatten().dictionary_encode()
+    bounds = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)))
+    known = coded.dictionary.cast(pa.binary()).to_pylist()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    if b"" in known:  # beside leading and trailing space
+        real = code != known.index(b"")
+        bounds = np.append(0, np.cumsum(real))[bounds]
+        code = code[real]
+    return np.fromiter(map(xxh64_intdigest, known), dtype=np.uint64, count=len(known))[code], bounds
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -95,6 +121,21 @@ def slices(values: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
         at = to
 
 
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator[tuple[pa.Array, ...]]:
+    """The columns of consecutive rows whose last column (texts) has about ``limit`` bytes, however the rows come in batches."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch.column(batch.num_columns - 1), limit):
+            rows = batch.slice(part.offset - batch.column(batch.num_columns - 1).offset, len(part))
+            held.append(rows)
+            size += pc.sum(pc.binary_length(part)).as_py() or 0
+            if size >= limit:
+                yield tuple(c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+                held, size = [], 0
+    if held:
+        yield tuple(c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+
+
 def small_batches(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """A decorator of operators on a first argument ``docs``: what they execute themselves hands texts to Python 1000 rows at a time, not 10,000."""
 
@@ -119,6 +160,20 @@ def give_back() -> None:
         trim(0)
 
 
+def chunked(start: Callable[[], Callable[[pa.Array], pa.Array]], shape: str, limit: int = 8 << 20) -> Callable[..., Column]:
+    """An Arrow UDF of one column of texts: ``start()`` gives, once a task, a function from an array of about ``limit`` bytes of them to an array of results."""
+    kind = to_arrow_type(DataType.fromDDL(shape))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = start()
+        for values in batches:
+            parts = [one(part).cast(kind) for part in slices(values, limit)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+        give_back()
+
+    return F.arrow_udf(run, shape)
+
+
 def sliced(start: Callable[[], Callable[[list], pa.Array]], shape: str, limit: int = 1 << 20) -> Callable[..., Column]:
     """An Arrow UDF of one column of texts or byte strings: ``start()`` gives, once a task, a function from a list of values to an array of results.
 

@@ -19,17 +19,17 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, give_back, new_folder, slices, small_batches, written
+from .common import chunks, discard, documents, give_back, new_folder, slices, small_batches, written
 
 MAGIC = b"TWHUF001"
 _HEAD = struct.Struct("<8sQIIQQQQ")
@@ -40,21 +40,21 @@ LONGEST = 16
 class Encoder:
     """Encodes whole texts with a tokenizer file of the tokenizers library.
 
-    Byte-level vocabularies never let a token pass the place before a lone space or line feed between two other characters, so
-    texts are cut there and pieces that were met before are not encoded again; at most ``held`` pieces are remembered.
-    Tokenizers of another kind encode each text as it is.
+    Byte-level vocabularies never let a token pass the place before a lone space or line feed between two other characters, so texts are cut there. Each
+    distinct piece of a chunk of texts is encoded once, many as one text, and told apart by the bytes of their tokens (a byte-level token has a
+    character for each byte). Tokenizers of another kind encode each text as it is.
     """
 
-    _CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
+    #: White space by Unicode or by Python, but for spaces and line feeds; next to it a text is not cut.
+    _SPACE = r"[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-    def __init__(self, path: str, held: int = 150_000):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.kind = "H" if self.size <= 1 << 16 else "I"
-        self.held, self.known, self.odd = held, {}, {}
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         pre = self.tokenizer.pre_tokenizer
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes_of = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=np.int64)
@@ -62,66 +62,92 @@ class Encoder:
             self.bytes_of[i] = len(token)
         self.cuts = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.tokenizer.normalizer is None and not re.search(r"[ \n]", "".join(added))
 
-    @staticmethod
-    def _bad(piece: str) -> bool:
-        return piece[-1:].isspace() or piece[:1] in (" ", "\n") and (len(piece) < 2 or piece[1].isspace())
-
-    def _learn(self, pieces: list[str], into: dict[str, bytes]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            into[piece] = array(self.kind, found.ids).tobytes()
-
-    def _learn_joined(self, pieces: list[str], into: dict[str, bytes]) -> None:
-        """As :meth:`_learn`, for pieces that start with a lone space or line feed: many are encoded as one text, which is cheaper, and told apart by the
-        bytes of their tokens (a byte-level token has a character for each byte)."""
-        groups = [pieces[i : i + 200] for i in range(0, len(pieces), 200)]
-        width = array(self.kind).itemsize
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = array(self.kind, found.ids)
-            ends = np.cumsum(self.bytes_of[np.frombuffer(ids, dtype=self.kind)])
-            wanted = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in group])
-            stops = np.searchsorted(ends, wanted)
-            if (ends[stops] != wanted).any():
-                raise ValueError("a token passes the end of a piece")
-            raw, start = ids.tobytes(), 0
-            for piece, stop in zip(group, ((stops + 1) * width).tolist(), strict=True):
-                into[piece] = raw[start:stop]
-                start = stop
-
-    def forget(self) -> None:
-        self.known.clear()
-        self.odd.clear()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned integers of 2 bytes, 4 for vocabularies over 65,536."""
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for i in range(0, len(texts), 64) for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after another, and how many each has. Every piece starts with a lone space or line feed and ends with neither."""
+        ids = self._each(["".join(pieces[i : i + 200]) for i in range(0, len(pieces), 200)])
+        ids = np.concatenate(ids) if ids else np.zeros(0, dtype=self.kind)
+        ends = np.cumsum(self.bytes_of[ids])
+        wanted = np.cumsum(pc.binary_length(pa.array(pieces, type=pa.string())).to_numpy(zero_copy_only=False).astype(np.int64))
+        stops = np.searchsorted(ends, wanted)
+        if (ends[stops] != wanted).any():
+            raise ValueError("a token passes the end of a piece")
+        return ids, np.diff(stops + 1, prepend=0)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (a null is an empty one), one after another, and how many each text has."""
+        texts = texts.cast(pa.string()).fill_null("")
         if not self.cuts:
-            whole: dict[str, bytes] = {}
-            self._learn(list(dict.fromkeys(texts)), whole)
-            return [whole[t] for t in texts]
-        known = self.known
-        if len(known) + len(self.odd) > self.held:
-            self.forget()
-        split = [t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for t in texts]
-        new = set().union(*split).difference(known)
-        bad = {p for p in new if p and self._bad(p)}
-        strange = {i for i, (t, s) in enumerate(zip(texts, split, strict=True)) if "\0" in t or (bad and not bad.isdisjoint(s))}
-        for i in strange:
-            split[i] = self._CUTS.split(texts[i])
-        if strange:
-            odd = set().union(*(split[i] for i in strange)).difference(self.odd)
-            self._learn(sorted(odd), self.odd)
-            new = set().union(*(s for i, s in enumerate(split) if i not in strange)).difference(known)
-        # A full stop or comma after a letter is always a token of its own.
-        ended = {p: p[:-1] for p in new if p[-1:] in (".", ",") and p[-2:-1].isalpha()}
-        bases = [p for p in new.difference(ended) | set(ended.values()) if p not in known]
-        self._learn([p for p in bases if p[:1] not in (" ", "\n")], known)
-        self._learn_joined([p for p in bases if p[:1] in (" ", "\n")], known)
-        if ended:
-            self._learn([p for p in (".", ",") if p not in known], known)
-            known.update({p: known[base] + known[p[-1]] for p, base in ended.items()})
-        return [b"".join(map((self.odd if i in strange else known).__getitem__, s)) for i, s in enumerate(split)]
-
-
-@lru_cache(maxsize=2)
+            found = self._each(texts.to_pylist())
+            return np.concatenate([np.zeros(0, dtype=self.kind), *found]), np.array([len(f) for f in found], dtype=np.int64)
+        mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not pc.any(pc.match_substring(texts, c)).as_py())
+        # Pieces between spaces: a line feed starts one, and the mark stands before the first of each text.
+        split = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(mark, texts, ""), "\n", " \n"), " ")
+        coded = split.flatten().dictionary_encode()
+        known, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        if not len(code):
+            return np.zeros(0, dtype=self.kind), np.zeros(0, dtype=np.int64)
+        bounds = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)))
+        first = np.zeros(len(code), dtype=bool)
+        first[bounds[:-1]] = True
+        flag = lambda pattern: pc.match_substring_regex(known, pattern).to_numpy(zero_copy_only=False)
+        # No cut before or behind white space: such neighbours are one piece.
+        late, early = flag(rf"^[\n{mark}]?$|{self._SPACE}$"), flag(rf"^\n?({self._SPACE}|$)")
+        unsafe = early[code]
+        unsafe[1:] |= late[code[:-1]]
+        starts = np.flatnonzero(first | ~unsafe)
+        lengths = np.diff(np.append(starts, len(code)))
+        plain = (lengths == 1) & ~first[starts] & ~late[code[starts]]
+        base, tail = self._bases(known)
+        lone = code[starts[plain]]
+        own = base.indices.to_numpy(zero_copy_only=False)[lone]
+        seen = np.zeros(len(base.dictionary), dtype=bool)
+        seen[own] = True
+        shown = base.dictionary.filter(pa.array(seen)).to_pylist()
+        ids, sizes = self._pieces([p if p[:1] == "\n" else f" {p}" for p in shown])
+        # Every other piece is encoded by itself.
+        others = np.flatnonzero(~plain)
+        stops = np.cumsum(lengths[others])
+        places = np.repeat(starts[others] - stops + lengths[others], lengths[others]) + np.arange(lengths[others].sum())
+        words = known.take(pa.array(code[places])).to_pylist()
+        joined = [self._text(words[e - n : e], mark) for e, n in zip(stops.tolist(), lengths[others].tolist(), strict=True)]
+        names = {t: i for i, t in enumerate(dict.fromkeys(joined))}
+        more = self._each(list(names))
+        dots = self._each([".", ","])
+        table = np.concatenate([ids, *more, *dots])
+        sizes = np.concatenate([sizes, [len(m) for m in more], [len(d) for d in dots]]).astype(np.int64)
+        # Symbols of each text in order: its pieces, and a full stop or comma that follows one.
+        piece, ended = np.empty(len(starts), dtype=np.int32), np.zeros(len(starts), dtype=np.int32)
+        piece[plain] = (np.cumsum(seen, dtype=np.int32) - 1)[own]
+        piece[others] = [len(shown) + names[t] for t in joined]
+        ended[plain] = tail[lone]
+        place = np.arange(len(starts)) + np.cumsum(ended > 0) - (ended > 0)
+        symbols = np.empty(len(starts) + int((ended > 0).sum()), dtype=np.int32)
+        symbols[place] = piece
+        symbols[place[ended > 0] + 1] = len(shown) + len(names) - 1 + ended[ended > 0]
+        offsets = np.append(0, np.cumsum(sizes)) * self.kind.itemsize
+        entries = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(table)])
+        out = entries.take(pa.array(symbols))
+        ends = np.frombuffer(out.buffers()[1], dtype=np.int64)[: len(symbols) + 1]
+        at = np.append(place[np.searchsorted(starts, bounds[:-1])], len(symbols))
+        return np.frombuffer(out.buffers()[2], dtype=self.kind)[: ends[-1] // self.kind.itemsize], np.diff(ends[at]) // self.kind.itemsize
+
+    @staticmethod
+    def _bases(known: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Pieces without a full stop (1) or comma (2) behind a letter, which is always a token of its own, and which of them each has."""
+        dot, comma = (pc.match_substring_regex(known, rf"\pL[{c}]$") for c in ".,")
+        base = pc.if_else(pc.or_(dot, comma), pc.utf8_slice_codeunits(known, 0, -1), known).dictionary_encode()
+        return base, dot.to_numpy(zero_copy_only=False) + 2 * comma.to_numpy(zero_copy_only=False)
+
+    @staticmethod
+    def _text(pieces: list[str], mark: str) -> str:
+        """The part of a text that stands for neighbouring pieces."""
+        return "".join(p[1:] if p[:1] == mark else p if p[:1] == "\n" else f" {p}" for p in pieces)
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -135,19 +161,20 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def token_ids(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """doc (long), ids (binary) of every whole text with ``end_id`` at its end; a null text is empty."""
 
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path)
-        end = array(of.kind, [end_id]).tobytes()
-        for texts in batches:
-            parts = [pa.array([], type=pa.binary())]
-            for part in slices(texts):
-                parts.append(pa.array([ids + end for ids in of.encode([t or "" for t in part.to_pylist()])], type=pa.binary()))
-            yield pa.concat_arrays(parts)
-        encoder.cache_clear()
-        del of
+        for docs, texts in chunks(batches):
+            ids, sizes = of.encode(texts)
+            # The end id goes behind each text.
+            ends = np.cumsum(sizes)
+            ids = np.insert(ids, ends, of.kind.type(end_id))
+            offsets = np.append(0, ends + np.arange(1, len(sizes) + 1)) * of.kind.itemsize
+            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)])
+            for part in slices(held, 8 << 20):
+                yield pa.record_batch({"doc": docs.slice(part.offset, len(part)), "ids": part.cast(pa.binary())})
         give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.arrow_udf(encode, "binary")(F.col(text_col)).alias("ids"))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(encode, "doc long, ids binary")
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -358,8 +385,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str =
     """
     spark = docs.sparkSession
     of = encoder(tokenizer)
-    width, size = ("<u2" if of.kind == "H" else "<u4"), max(of.size, end_id + 1)
-    per = int(width[-1])
+    width, per, size = of.kind.str, of.kind.itemsize, max(of.size, end_id + 1)
     ids = written(token_ids(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id).withColumn("n_tokens", (F.octet_length("ids") / per).cast("long")), "token-ids")
     counts = np.zeros(size, dtype=np.int64)
     for row in ids.select("ids").mapInPandas(_count(width, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():

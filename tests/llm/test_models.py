@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,10 +149,15 @@ TEXTS = ["", " ", "a  b", "\tx", "\t", "x \n y", "it's. it's, 's.", "a\0b c", "<
 
 
 def test_pieces_encode_as_whole_texts():
-    of = T.Encoder(T.vocabulary())
-    for part in (TEXTS, TEXTS[::-1]):
-        for given, ids in zip(part, of.encode(part)):
-            assert np.frombuffer(ids, dtype="<u2").tolist() == of.tokenizer.encode(given, add_special_tokens=False).ids, given[:40]
+    of, rng = T.Encoder(T.vocabulary()), np.random.default_rng(3)
+    odd = ["a", "b", " ", " ", "\n", "\t", ".", ",", "'s", "1", "é", "\x1c", "<|endoftext|>", "  ", "\r", "語", "\u00a0", "-", "\ue000"]
+    random_texts = ["".join(rng.choice(odd, rng.integers(0, 14))) for _ in range(4000)]
+    for part in (TEXTS, TEXTS[::-1], [None, "a", None], [], random_texts):
+        ids, sizes = of.encode(pa.array(part, type=pa.string()))
+        ends = np.cumsum(sizes)
+        assert len(sizes) == len(part) and len(ids) == sum(sizes)
+        for given, n, end in zip(part, sizes, ends):
+            assert ids[end - n : end].tolist() == of.tokenizer.encode(given or "", add_special_tokens=False).ids, given[:40]
 
 
 @pytest.mark.parametrize("longest", [4, 7, 16])
