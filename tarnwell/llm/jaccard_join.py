@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,15 +22,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from .common import discard, documents, give_back, mix64, runs_of, sliced, small_batches, spread, structs, written
+from .common import chunked, discard, documents, give_back, mix64, runs_of, small_batches, spread, structs, text_words, written
 from .components import components
 
 LEVELS = 3
 BINS = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[bytes, int] = {}
 
 
 def runs_for(recall: float, threshold: float, levels: int = LEVELS) -> int:
@@ -39,26 +37,21 @@ def runs_for(recall: float, threshold: float, levels: int = LEVELS) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - share))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of every word (split at ASCII white space)."""
-    words = text.encode("utf-8", "surrogatepass").split() if text else []
-    if len(_WORDS) > 1 << 18:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        _WORDS[w] = xxh64_intdigest(w)
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Of each text, the sorted distinct 64-bit hashes of all windows of ``width`` words; a shorter text of at least one word is one window."""
+    words, bounds = text_words(texts)
 
+    def windows(part: np.ndarray, wide: int) -> np.ndarray:
+        found = np.zeros(max(0, len(part) - wide + 1), dtype=np.uint64)
+        for k in range(wide):
+            found = found * _MULT + part[k : k + len(found)] + np.uint64(k + 1)
+        return mix64(found)
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of all windows of ``width`` words; a shorter text of at least one word is one window."""
-    words = word_hashes(text)
-    n = max(1, len(words) - width + 1)
-    if not len(words):
-        return words
-    found = np.zeros(n, dtype=np.uint64)
-    for k in range(min(width, len(words))):
-        found = found * _MULT + words[k : k + n] + np.uint64(k + 1)
-    return np.unique(mix64(found))
+    whole = windows(words, width)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        out.append(np.unique(whole[a : b - width + 1]) if b - a >= width else windows(words[a:b], b - a) if b > a else words[:0])
+    return out
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -69,45 +62,43 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.where(ends > at, np.maximum(values, 1), 0).astype("<u2")
 
 
-def _multipliers(runs: int) -> np.ndarray:
-    """An odd multiplier for each level and run."""
-    return mix64(np.arange(1, LEVELS * runs + 1, dtype=np.uint64) * _MULT) | np.uint64(1)
-
-
-def choose(found: np.ndarray, runs: int, threshold: float) -> list[np.ndarray]:
-    """Of each level, the chosen shingles of all runs, as run << 32 | 32 bits of the shingle. Deeper levels choose twice as many.
+def choose(found: np.ndarray, runs: int, threshold: float, level: int) -> np.ndarray:
+    """The shingles chosen at a level in all runs, as run << 32 | 32 bits of the shingle. Deeper levels choose twice as many as the first.
 
-    Shingles are hashes already, so a multiplication of its own gives each level of each run another order of them.
+    Shingles are hashes already, so a multiplication gives each level an order of its own. A run chooses those that fall into a range of it; the ranges of
+    different runs begin at equal distances and, but for small sets, are disjoint, which only helps runs to find what others miss.
     """
-    factors = _multipliers(runs)[:, None]
-    share = np.repeat([1.0] + [2.0] * (LEVELS - 1), runs) / (threshold * len(found))
-    limits = np.minimum(share * 2.0**64, 2.0**64 - 2048).astype(np.uint64)[:, None]
-    rows, low = [], []
-    for at in range(0, len(found), 1 << 15):
-        row, column = np.nonzero(found[None, at : at + (1 << 15)] * factors < limits)
-        rows.append(row)
-        low.append(found[at + column])
-    row, low = np.concatenate(rows), np.concatenate(low) & np.uint64(0xFFFFFFFF)
-    picks = ((row % runs).astype(np.uint64) << np.uint64(32) | low).astype(np.int64)
-    return [picks[row // runs == k] for k in range(LEVELS)]
+    place = found * (mix64(np.array([level + 1], dtype=np.uint64) * _MULT) | np.uint64(1))
+    step = (1 << 64) // runs
+    wide = min(int((2.0 if level else 1.0) / (threshold * max(1, len(found))) * 2.0**64), (1 << 64) - 1)
+    if wide <= step:
+        run = place // np.uint64(step)
+        at = np.flatnonzero((place - run * np.uint64(step) < np.uint64(wide)) & (run < np.uint64(runs)))
+        run = run[at]
+    else:
+        run, at = np.nonzero(place[None] - (np.arange(runs, dtype=np.uint64) * np.uint64(step))[:, None] < np.uint64(wide))
+    return (run.astype(np.uint64) << np.uint64(32) | found[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _signatures(width: int, runs: int, threshold: float):
-    shape = pa.struct([("node", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary()), *((f"l{k}", pa.list_(pa.int64())) for k in range(LEVELS))])
-
-    def sign(texts: list[str | None]) -> pa.Array:
-        rows = []
-        for text in texts:
-            found = shingles(text, width)
-            if len(found):
-                rows.append((_name(found), len(found), sketch(found).tobytes(), *choose(found, runs, threshold)))
-            else:
-                rows.append((b"", 0, b"", *[np.zeros(0, dtype=np.int64)] * LEVELS))
-        return structs(rows, shape)
+    shape = pa.struct([("node", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary()), ("l0", pa.list_(pa.int64()))])
+    none = (b"", 0, b"", np.zeros(0, dtype=np.int64))
+
+    def sign(texts: pa.Array) -> pa.Array:
+        return structs([(_name(found), len(found), sketch(found).tobytes(), choose(found, runs, threshold, 0)) if len(found) else none for found in shingle_sets(texts, width)], shape)
 
     return lambda: sign
 
 
+def _next_picks(width: int, runs: int, threshold: float):
+    shape = pa.struct([("node", pa.binary()), *((f"l{k}", pa.list_(pa.int64())) for k in range(1, LEVELS))])
+
+    def picks(texts: pa.Array) -> pa.Array:
+        return structs([(_name(found), *(choose(found, runs, threshold, k) for k in range(1, LEVELS))) for found in shingle_sets(texts, width)], shape)
+
+    return lambda: picks
+
+
 def _name(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else b""
 
@@ -115,35 +106,41 @@ def _name(found: np.ndarray) -> bytes:
 def _sets_of(width: int):
     shape = pa.struct([("node", pa.binary()), ("set", pa.binary())])
 
-    def sets(texts: list[str | None]) -> pa.Array:
-        return structs([(_name(found), found.tobytes()) for found in (shingles(t, width) for t in texts)], shape)
+    def sets(texts: pa.Array) -> pa.Array:
+        return structs([(_name(found), found.tobytes()) for found in shingle_sets(texts, width)], shape)
 
     return lambda: sets
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
-    """Least index reachable from every index of a symmetric boolean matrix."""
-    label, n = np.arange(len(linked)), len(linked)
-    linked = linked | np.eye(n, dtype=bool)
-    while True:
-        after = np.where(linked, label[None, :], n).min(axis=1)
-        if (after == label).all():
-            return label
-        label = after
-
-
-def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of two lists of sketches may be similar."""
-    out = np.empty((len(a), len(b)), dtype=bool)
-    for i in range(0, len(a), 64):
-        x = a[i : i + 64, None, :]
-        same = ((x == b[None]) & (x != 0)).sum(axis=2)
-        out[i : i + 64] = same >= least * ((x != 0) | (b[None] != 0)).sum(axis=2)
+    """Least index reachable from every index of a symmetric boolean matrix. Each row is read once."""
+    label = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        if label[i] < 0:
+            label[i], front = i, np.array([i])
+            while len(front):
+                reached = np.zeros(len(linked), dtype=bool)
+                for at in range(0, len(front), 256):
+                    reached |= linked[front[at : at + 256]].any(axis=0)
+                front = np.flatnonzero(reached & (label < 0))
+                label[front] = i
+    return label
+
+
+def _alike(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, threshold: float, least: float) -> np.ndarray:
+    """Which pairs of two lists of sketches, each in order of set size, may be similar: sizes within the threshold, and ``least`` of their bins agree."""
+    out = np.zeros((len(a), len(b)), dtype=bool)
+    for i in range(0, len(a), 32):
+        low, high = np.searchsorted(sizes_b, [threshold * sizes_a[i] - 1e-9, sizes_a[min(i + 32, len(a)) - 1] / threshold + 1e-9])
+        for j in range(int(low), int(high), 256):
+            x, y = a[i : i + 32, None, :], b[None, j : min(j + 256, int(high))]
+            same = np.count_nonzero((x == y) & (x != 0), axis=2)
+            out[i : i + 32, j : j + y.shape[1]] = same >= least * np.count_nonzero((x | y) != 0, axis=2)
     return out
 
 
-def _candidates(least: float):
-    """From (path, ti, tj, side, node, sketch) to (cid, node, entry): groups of nodes linked by their sketches.
+def _candidates(threshold: float, least: float):
+    """From (path, ti, tj, side, node, n, sketch) to (cid, node, entry): groups of nodes linked by their sketches.
 
     cid tells the group by its members, so that the same group of other buckets gets the same. Its last two bits: 0 all pairs, 2 and 3 the two
     sides of which only pairs across count.
@@ -151,20 +148,23 @@ def _candidates(least: float):
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, starts in runs_of(batches, ["path", "ti", "tj"]):
-            nodes, sides = batch["node"].to_list(), batch["side"].to_numpy()
+            nodes, sides, sizes = batch["node"].to_list(), batch["side"].to_numpy(), batch["n"].to_numpy()
             cross = (batch["ti"] != batch["tj"]).to_numpy()
             prints = np.frombuffer(b"".join(batch["sketch"]), dtype="<u2").reshape(-1, BINS)
             rows = []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if b - a < 2:
                     continue
+                order = a + np.argsort(sizes[a:b], kind="stable")
                 if cross[a]:
-                    left, right = a + np.flatnonzero(sides[a:b] == 0), a + np.flatnonzero(sides[a:b] == 1)
+                    left, right = order[sides[order] == 0], order[sides[order] == 1]
                     linked = np.zeros((b - a, b - a), dtype=bool)
-                    linked[np.ix_(left - a, right - a)] = _alike(prints[left], prints[right], least)
+                    linked[np.ix_(left - a, right - a)] = _alike(prints[left], prints[right], sizes[left], sizes[right], threshold, least)
                     linked |= linked.T
                 else:
-                    linked = _alike(prints[a:b], prints[a:b], least)
+                    linked = np.zeros((b - a, b - a), dtype=bool)
+                    linked[np.ix_(order - a, order - a)] = _alike(prints[order], prints[order], sizes[order], sizes[order], threshold, least)
+                    linked |= linked.T
                     np.fill_diagonal(linked, False)
                 alive = np.flatnonzero(linked.any(axis=1))
                 if not len(alive):
@@ -215,8 +215,10 @@ def _verified(threshold: float):
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 own = sets[a:b]
                 size = np.array([len(s) for s in own], dtype=np.float64)
-                both = overlaps(own)
-                linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+                both, linked = overlaps(own), np.empty((b - a, b - a), dtype=bool)
+                for i in range(0, b - a, 256):
+                    linked[i : i + 256] = both[i : i + 256] >= threshold * (size[i : i + 256, None] + size[None, :] - both[i : i + 256]) - 1e-9
+                del both
                 if entries[a] & 2:
                     linked &= (entries[a:b, None] & 1) != (entries[None, a:b] & 1)
                 np.fill_diagonal(linked, False)
@@ -245,13 +247,15 @@ def _verified(threshold: float):
     return verify
 
 
-def _leaves(nodes: DataFrame, block: int, dense: float) -> DataFrame:
-    """(path, n, node): buckets to compare by brute force."""
-    rows = nodes.select("node", F.explode("l0").alias("pick")).select("node", (F.col("pick").bitwiseAND(F.lit(-(1 << 32)))).alias("run"), F.xxhash64("pick").alias("path"))
-    done = []
+def _leaves(nodes: DataFrame, picks_of: Callable[[DataFrame], DataFrame], block: int, dense: float) -> DataFrame:
+    """(path, n, node): buckets to compare by brute force. ``picks_of`` gives the picks of deeper levels of the nodes in a table."""
+    run = F.col("pick").bitwiseAND(F.lit(-(1 << 32)))
+    rows = nodes.select("node", F.explode("l0").alias("pick")).select("node", run.alias("run"), F.xxhash64("pick").alias("path"))
+    done, picks, used = [], None, []
     for level in range(LEVELS):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
         here = written(rows.join(sizes, "path"), f"paths{level}")
+        used.append(here)
         if level == LEVELS - 1 or not here.where(F.col("n") > block).take(1):
             done.append(here)
             break
@@ -261,47 +265,68 @@ def _leaves(nodes: DataFrame, block: int, dense: float) -> DataFrame:
         bins = [F.substring("sketch", 2 * k + 1, 2) == F.substring("of", 2 * k + 1, 2) for k in range(0, BINS, 4)]
         mean = large.join(first, "path").groupBy("path").agg((F.sum(sum((b.cast("int") for b in bins), F.lit(0))) / (F.count("*") * len(bins))).alias("mean"))
         split = written(mean.where(F.col("mean") < dense).select("path"), "split")
+        used.append(split)
         done.append(here.join(split, "path", "left_anti"))
-        picks = nodes.select("node", F.explode(f"l{level + 1}").alias("pick")).withColumn("run", F.col("pick").bitwiseAND(F.lit(-(1 << 32))))
-        rows = here.join(split, "path").drop("n").join(picks, ["node", "run"]).select("node", "run", F.xxhash64("path", "pick").alias("path"))
-    return reduce(DataFrame.unionByName, [d.select("path", "n", "node") for d in done])
+        members = here.join(split, "path", "left_semi")
+        if picks is None:
+            picks = written(picks_of(members.select("node").distinct()), "picks")
+            used.append(picks)
+        # A member goes on with its own picks of the same run only; they are unfolded after the join.
+        own = members.join(picks.select("node", F.col(f"l{level + 1}").alias("_own")), "node")
+        own = own.select("node", "run", "path", F.explode(F.filter("_own", lambda p: p.bitwiseAND(F.lit(-(1 << 32))) == F.col("run"))).alias("pick"))
+        rows = own.select("node", "run", F.xxhash64("path", "pick").alias("path"))
+    leaves = written(reduce(DataFrame.unionByName, [d.select("path", "n", "node") for d in done]), "leaves")
+    for table in used:
+        discard(table)
+    return leaves
 
 
 @small_batches
-def jaccard_join(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 512, dense: float = 0.4) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 1024, dense: float = 0.4) -> DataFrame:
     """``id_col``, class_id, n_links (long), node and text_hash of every row of ``docs``.
 
     class_id is the least id of the connected group of similar documents (its own for a document without partner; null if all
     ids of the group are null); n_links the number of other rows whose shingle sets reach the threshold, copies counted singly. Texts
-    without words (null, empty, white space) are similar to nothing. Repeated rows are copies of each other.
+    without words (null, empty, white space) are similar to nothing; very long texts are compared whole. Repeated rows are copies of each other. Other
+    columns are not looked at, whatever their names.
     """
     runs = runs_for(recall, threshold)
-    shape = "node binary, n long, sketch binary, " + ", ".join(f"l{k} array<long>" for k in range(LEVELS))
-    signed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), sliced(_signatures(width, runs, threshold), shape)(F.col(text_col)).alias("s"))
-    rows = written(signed.select("_id", "text_hash", "s.*"), "signatures")
-    whole = ["n", "sketch", *(f"l{k}" for k in range(LEVELS))]
-    nodes = written(rows.where(F.col("n") > 0).groupBy("node").agg(F.min("_id").alias("first_id"), F.count("*").alias("copies"), F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in whole]), "nodes")
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_text"))
+    signed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), chunked(_signatures(width, runs, threshold), "node binary, n long, sketch binary, l0 array<long>")(F.col(text_col)).alias("s"))
+    signed = written(signed.select("_id", "text_hash", "s.*"), "signatures")
+    nodes = written(signed.where(F.col("n") > 0).groupBy("node").agg(F.min("_id").alias("first_id"), F.count("*").alias("copies"), F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", "sketch", "l0")]), "nodes")
+    rows = written(signed.select("_id", "text_hash", "node"), "rows")
+    discard(signed)
+
+    def picks_of(some: DataFrame) -> DataFrame:
+        wanted = nodes.join(some, "node", "left_semi").select("text_hash")
+        found = texts.join(spread(wanted), "text_hash", "left_semi").select(chunked(_next_picks(width, runs, threshold), "node binary, " + ", ".join(f"l{k} array<long>" for k in range(1, LEVELS)))(F.col("_text")).alias("s"))
+        return found.select("s.*").dropDuplicates(["node"])
+
+    leaves = _leaves(nodes, picks_of, block, dense)
     blocks = F.ceil(F.col("n") / block).cast("int")
-    leaves = _leaves(nodes.drop("n"), block, dense).withColumns({"k": blocks, "b": F.pmod(F.xxhash64("node", "path"), blocks).cast("int")})
-    tiles = leaves.select("path", "node", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    placed = leaves.withColumns({"k": blocks, "b": F.pmod(F.xxhash64("node", "path"), blocks).cast("int")})
+    tiles = placed.select("path", "node", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
     tiles = tiles.select("path", "node", F.least("b", "j").alias("ti"), F.greatest("b", "j").alias("tj"), (F.col("b") > F.col("j")).cast("int").alias("side"))
     keys = ["path", "ti", "tj"]
-    sorted_ = tiles.distinct().join(nodes.select("node", "sketch"), "node").repartition(*keys).sortWithinPartitions(*keys, "node")
-    found = sorted_.mapInPandas(_candidates(threshold * 0.65), "cid long, node binary, entry long").distinct()
+    sorted_ = tiles.distinct().join(nodes.select("node", "n", "sketch"), "node").repartition(*keys).sortWithinPartitions(*keys, "node")
+    found = sorted_.mapInPandas(_candidates(threshold, threshold * 0.65), "cid long, node binary, entry long").distinct()
     members = written(found, "members")
+    discard(leaves)
     alive = members.groupBy("node").agg(F.collect_set("entry").alias("entries")).join(nodes.select("node", "copies", "text_hash"), "node")
     alive = written(alive, "alive")
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_text")).join(spread(alive.select("text_hash").distinct()), "text_hash", "left_semi")
-    sets = texts.select(sliced(_sets_of(width), "node binary, set binary")(F.col("_text")).alias("s")).select("s.*")
+    sets = texts.join(spread(alive.select("text_hash").distinct()), "text_hash", "left_semi").select(chunked(_sets_of(width), "node binary, set binary")(F.col("_text")).alias("s")).select("s.*")
     sets = written(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
     grouped = members.join(alive.select("node", "entries", "copies"), "node").join(sets, "node").repartition("cid").sortWithinPartitions("cid", "node")
     links = written(grouped.mapInPandas(_verified(threshold), "node binary, links long, root binary"), "links")
-    for table in (sets, members):
+    for table in (sets, members, alive):
         discard(table)
     roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     classes = nodes.select("node", "first_id", "copies").join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = written(classes, "classes")
+    for table in (nodes, links):
+        discard(table)
     least = classes.where(F.col("links").isNotNull()).groupBy("root").agg(F.min("first_id").alias("least"))
     # Only nodes of several rows or with links are joined back; any other row is its own class.
     known = classes.where((F.col("copies") > 1) | F.col("links").isNotNull()).join(least, "root", "left")
