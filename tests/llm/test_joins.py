@@ -85,7 +85,7 @@ def test_runs_follow_recall():
     a = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
     runs, met = 200, 0
     b = np.unique(np.concatenate((a[: int(len(a) * 8 / 9)], rng.integers(0, 2**63, len(a) // 9, dtype=np.uint64))))
-    x, y = J.choose(a, runs, 0.8), J.choose(b, runs, 0.8)
+    x, y = ([J.choose(s, runs, 0.8, k) for k in range(J.LEVELS)] for s in (a, b))
     for run in range(runs):
         own = [[{int(v) for v in p[k] if int(v) >> 32 == run} for k in range(J.LEVELS)] for p in (x, y)]
         met += all(own[0][k] & own[1][k] for k in range(J.LEVELS))
@@ -209,7 +209,7 @@ def test_recall_by_edit_rate():
 
     def meets(x, y):
         """Two seeds in common, and a passage by all k-mers."""
-        return len(np.intersect1d(P.seeds(x, 4, 12), P.seeds(y, 4, 12))) > 1 and bool(P.passages(x, y, *P.shared(x, y, 4), k=4, least=50, identity=0.8))
+        return len(np.intersect1d(P.seeds(x, 4, 24), P.seeds(y, 4, 24))) > 1 and bool(P.passages(x, y, *P.shared(x, y, 4), k=4, least=50, identity=0.8))
 
     for n, rate, wanted in [(55, 0.05, 0.99), (60, 0.05, 0.99), (60, 0.1, 0.99), (80, 0.15, 0.95), (100, 0.15, 0.98), (100, 0.19, 0.95)]:
         met = total = 0
