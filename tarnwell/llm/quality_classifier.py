@@ -1,8 +1,11 @@
 """Quality classifier by co-training on two views of a document: its text, and its page metadata.
 
-Each view has a linear machine. In every round both score a pool of unlabelled documents and each hands those it is surest of to the
-other as pseudo-labels. At the end each view's margin is calibrated on labelled rows that neither has learned from, a logistic
-combination of both is fitted there, and all documents are scored.
+Each view has a linear machine, first fitted on a bounded sample of labelled rows. In every round both machines look at all documents, and each hands those
+it is surest of to the other as pseudo-labels: how many is a share of the corpus, and the bound of their margins comes from a histogram over all of it. The
+other machine then takes gradient steps over all that it was handed and the labelled rows. At the end each view's margin is calibrated on labelled rows
+that neither has learned from, a logistic combination of both is fitted there, and all documents are scored.
+
+Features and weights are rounded to integers, and sums of integers do not depend on their order: a model is the same however the table lies in partitions.
 """
 
 from __future__ import annotations
@@ -10,31 +13,38 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import discard, documents, free_name, small_batches, written
 from .language_id import fit_svm
 
-TEXT_DIM, STATS, META_DIM = 2048, 12, 256
+TEXT_DIM, STATS, META_DIM = 1024, 12, 256
+#: Features of the text are whole numbers up to 255; this is one of each.
+_SCALE = np.concatenate((np.full(TEXT_DIM, 1 / 1020), np.full(STATS, 1 / 255)))
+#: Weights and slacks are multiples of these in sums over the corpus.
+_WEIGHT, _SLACK = 2.0**-20, 2.0**-10
+#: Bins of a margin's histogram.
+_BIN = 1 / 64
 
 
 def text_view(text: str | None) -> np.ndarray:
-    """Hashed byte n-grams of the whole text (length one) and shares of what junk has much of; null is an empty text."""
+    """Hashed byte n-grams of the whole text and shares of what junk has much of, as bytes; null is an empty text."""
     text = text or ""
     raw = text.encode("utf-8", "replace")
-    out = np.zeros(TEXT_DIM + STATS, dtype=np.float32)
+    out = np.zeros(TEXT_DIM + STATS)
     if not raw:
-        return out
+        return out.astype(np.uint8)
     a = np.frombuffer(raw, dtype=np.uint8)
     low = np.where((a >= 65) & (a <= 90), a + 32, a).astype(np.uint32)
     two = low[:-1] * np.uint32(256) + low[1:]
     three = two[:-1] * np.uint32(256) + low[2:]
-    counts = np.bincount((two * np.uint32(0x9E3779B1)) >> np.uint32(21), minlength=TEXT_DIM) + np.bincount((three * np.uint32(0x85EBCA6B)) >> np.uint32(21), minlength=TEXT_DIM)
-    grams = np.sqrt(counts.astype(np.float32))
+    counts = np.bincount((two * np.uint32(0x9E3779B1)) >> np.uint32(22), minlength=TEXT_DIM) + np.bincount((three * np.uint32(0x85EBCA6B)) >> np.uint32(22), minlength=TEXT_DIM)
+    grams = np.sqrt(counts)
     out[:TEXT_DIM] = grams / max(float(np.linalg.norm(grams)), 1e-9)
     words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
     n = max(1, len(words))
@@ -45,17 +55,28 @@ def text_view(text: str | None) -> np.ndarray:
         sum(x == y for x, y in zip(words, words[1:])) / n, 1 - len(set(lines)) / max(1, len(lines)), sum(len(w) == 1 and not w.isalnum() for w in words) / n,
         min(1.0, sum(map(len, words)) / n / 20), sum(w[-1] in ".!?" for w in words) / n, min(1.0, len(lines) / n),
     )
-    return out
+    return np.clip(np.rint(out / _SCALE), 0, 255).astype(np.uint8)
 
 
 def meta_view(values: Sequence[object]) -> np.ndarray:
-    """Hashed categories of all metadata; numbers fall into bins of their logarithm. A null is a category of its own."""
-    out = np.zeros(META_DIM, dtype=np.float32)
+    """Hashed categories of all metadata, 0 or 1; numbers fall into bins of their logarithm. A null is a category of its own."""
+    out = np.zeros(META_DIM, dtype=np.uint8)
     for i, v in enumerate(values):
         if isinstance(v, (int, float, np.number)) and not isinstance(v, bool):
             v = None if v != v else f"2^{int(np.log2(abs(v) + 1))}"
         out[zlib.crc32(f"{i}:{v}".encode()) % META_DIM] = 1
-    return out / np.sqrt(max(1, len(values)))
+    return out
+
+
+def _scaled(view: int, x: np.ndarray) -> np.ndarray:
+    """Features as the machines see them."""
+    return x * (0.5 if view else _SCALE)
+
+
+def margins(view: int, x: np.ndarray, machine: tuple[np.ndarray, float]) -> np.ndarray:
+    """Exact margins of rows of features: both these and the rounded weights are whole numbers."""
+    whole = np.rint(_scaled(view, machine[0].astype(np.float64)) / _WEIGHT)
+    return (x.astype(np.float64) @ whole) * _WEIGHT + machine[1]
 
 
 @dataclass
@@ -68,7 +89,7 @@ class Model:
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities by the text, by the metadata, and by both."""
-        logits = [a * (x @ w + b) + c for x, (w, b), (a, c) in zip((text, meta), (self.text, self.meta), self.calibration, strict=True)]
+        logits = [a * margins(view, x, machine) + c for view, (x, machine, (a, c)) in enumerate(zip((text, meta), (self.text, self.meta), self.calibration, strict=True))]
         u, v, o = self.combined
         return _sigmoid(logits[0]), _sigmoid(logits[1]), _sigmoid(u * logits[0] + v * logits[1] + o)
 
@@ -89,76 +110,186 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], *, rounds: int = 4, give: int = 150, sure: float = 0.95) -> Model:
-    """Fit on labelled rows (``y`` +1 or -1) and an unlabelled pool. A third of the labelled rows is kept for the calibration.
+def _views(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Features of rows whose last columns are the text and then the metadata; what stands before is kept."""
+    for batch in batches:
+        at = batch.columns.get_loc("_text")
+        kept = {c: batch[c] for c in batch.columns[:at]}
+        yield pd.DataFrame(kept | {"x": [text_view(t).tobytes() for t in batch["_text"]], "z": [meta_view(v).tobytes() for v in batch[batch.columns[at + 1 :]].itertuples(index=False)]})
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack([np.frombuffer(v, dtype=np.uint8) for v in column])
+
+
+def _histogram(machines):
+    """How many rows have a margin in each bin, of both views."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                bins = [np.unique(np.floor(margins(i, _matrix(batch[c]), machines[i]) / _BIN).astype(np.int64), return_counts=True) for i, c in enumerate("xz")]
+                yield pd.concat([pd.DataFrame({"view": i, "bin": b, "n": n}) for i, (b, n) in enumerate(bins)])
+
+    return run
+
+
+def _chosen(machines, bounds):
+    """Rows that a view is sure of, with by_text and by_meta: 1, -1 or 0 for not sure."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                found = [margins(i, _matrix(batch[c]), machines[i]) for i, c in enumerate("xz")]
+                batch["by_text"], batch["by_meta"] = ((m >= high).astype(np.int32) - (m < low).astype(np.int32) for m, (low, high) in zip(found, bounds, strict=True))
+                yield batch[(batch["by_text"] != 0) | (batch["by_meta"] != 0)]
+
+    return run
 
-    In each round a view gives at most ``give`` documents of each class that it holds with probability ``sure`` or more to the other view.
-    """
-    aside = np.arange(len(y)) % 3 == 2
-    if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
-        aside = np.zeros(len(y), dtype=bool)
-    check = aside if aside.any() else ~aside
-    known = [(v[~aside], y[~aside]) for v in views]
-    left = [np.ones(len(pool[0]), dtype=bool) for _ in views]
-    machines = [fit_svm(x, t.astype(np.float32)) for x, t in known]
-    for _ in range(rounds if len(pool[0]) else 0):
-        grown = list(known)
-        for i in (0, 1):
-            other, (w, b, slope) = 1 - i, machines[i]
-            p = _sigmoid(slope * (pool[i] @ w + b))
-            for label, p_of in ((1.0, p), (-1.0, 1 - p)):
-                best = np.argsort(-np.where(left[other], p_of, -1), kind="stable")[:give]
-                best = best[(p_of[best] >= sure) & left[other][best]]
-                left[other][best] = False
-                x, t = grown[other]
-                grown[other] = (np.vstack((x, pool[other][best])), np.append(t, np.full(len(best), label)))
-        if all(len(a[1]) == len(b[1]) for a, b in zip(grown, known, strict=True)):
-            break
-        known = grown
-        machines = [fit_svm(x, t.astype(np.float32)) for x, t in known]
-    margins = [v[check] @ w + b for v, (w, b, _) in zip(views, machines, strict=True)]
-    fits = [_logistic(m[:, None], y[check]) for m in margins]
-    logits = np.column_stack([a * m + c for m, (a, c) in zip(margins, fits, strict=True)])
-    u, v, o = _logistic(logits, y[check])
-    return Model(*[(w, b) for w, b, _ in machines], tuple((float(a), float(c)) for a, c in fits), (float(u), float(v), float(o)))
 
+def _slopes(machines):
+    """Sums of slack times features over pseudo-labelled rows: view, label, dim (the last one for the offset), value (whole number)."""
 
-def _extract(meta_cols: Sequence[str], text_col: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            yield pd.DataFrame({
-                "label": batch["_label"], "draw": batch["_draw"], "text": [text_view(t).astype("<f2").tobytes() for t in batch[text_col]],
-                "meta": [meta_view(v).astype("<f2").tobytes() for v in batch[list(meta_cols)].itertuples(index=False)],
-            })
+            for view, (column, given) in enumerate((("x", "by_meta"), ("z", "by_text"))):
+                for label in (1, -1):
+                    own = batch[batch[given] == label]
+                    if len(own):
+                        x = _matrix(own[column])
+                        slack = np.rint(np.maximum(0, 1 - label * margins(view, x, machines[view])) / _SLACK)
+                        now = np.append(slack @ x.astype(np.float64), slack.sum()).astype(np.int64)
+                        total[view, label] = total.get((view, label), 0) + now
+        for (view, label), value in total.items():
+            yield pd.DataFrame({"view": view, "label": label, "dim": np.arange(len(value)), "value": value})
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", meta_cols: Sequence[str] = ("source", "lang", "n_chars"), labelled_rows: int = 3000, pool_rows: int = 3000) -> Model | None:
-    """Fit on at most ``labelled_rows`` labelled documents (half of each class, if there are so many) and ``pool_rows`` unlabelled ones.
+def sure_bounds(bins: dict[int, int], shares: tuple[float, float], doubt: tuple[float, float]) -> tuple[float, float]:
+    """Margins (low, high): rows below low are surely bad, rows from high on surely good: each a share of all rows, up to the end of the bin that fills it, and beyond its ``doubt``."""
+    total, order = sum(bins.values()), sorted(bins)
+    low, high, held = doubt[0], doubt[1], 0
+    for b in order:
+        held += bins[b]
+        if held >= shares[0] * total:
+            low = min(low, (b + 1) * _BIN)
+            break
+    held = 0
+    for b in reversed(order):
+        held += bins[b]
+        if held >= shares[1] * total:
+            high = max(high, b * _BIN)
+            break
+    return low, high
+
+
+def cotrain(pool: DataFrame, x: np.ndarray, z: np.ndarray, y: np.ndarray, *, rounds: int = 3, steps: int = 10, give: float = 0.15, sure: float = 0.9, c: float = 10.0) -> Model:
+    """Fit on labelled rows (features x, z; ``y`` +1 or -1) and all rows of ``pool`` (x, z binary).
 
-    Rows are drawn by the hash of their id. Labels other than 0 and 1 are none; of several labels of one id the largest stands.
-    Without labels of both classes there is no model.
+    A third of each class of the labelled rows is kept for the calibration (a class of fewer than three rows is calibrated on what was learned from). In round r of
+    ``rounds`` a view hands over the surest ``give * r`` of each class's part of the pool that it holds with probability ``sure`` or more.
     """
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
-    draw = F.pmod(F.xxhash64(F.lit("co"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.select(id_col, text_col, *meta_cols).join(known, id_col, "left").withColumn("_label", F.coalesce("_label", F.lit(-1))).withColumn("_draw", draw)
-    counts = {r["_label"]: r["n"] for r in docs.select(id_col).join(known, id_col, "left").groupBy(F.coalesce("_label", F.lit(-1)).alias("_label")).agg(F.count("*").alias("n")).collect()}
-    if not (counts.get(0) and counts.get(1)):
+    nth = np.zeros(len(y), dtype=np.int64)
+    for label in (1, -1):
+        nth[y == label] = np.arange((y == label).sum())
+    aside = nth % 3 == 2
+    learn = ~aside
+    check = aside if len(set(y[aside])) == 2 else np.ones(len(y), dtype=bool)
+    own = [(x[learn], y[learn]), (z[learn], y[learn])]
+    machines = [fit_svm(_scaled(i, v).astype(np.float32), t.astype(np.float32), c=c)[:2] for i, (v, t) in enumerate(own)]
+    good = float((y > 0).mean())
+    for turn in range(1, rounds + 1):
+        found: list[dict[int, int]] = [{}, {}]
+        for r in pool.mapInPandas(_histogram(machines), "view int, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
+            found[r["view"]][r["bin"]] = r["n"]
+        if not found[0]:
+            break
+        bounds = []
+        for i, (v, t) in enumerate(own):
+            slope, offset = _logistic(margins(i, v, machines[i])[:, None], t)
+            edge = np.log(sure / (1 - sure))
+            doubt = sorted(((-edge - offset) / slope, (edge - offset) / slope)) if slope > 1e-6 else (-np.inf, np.inf)
+            bounds.append(sure_bounds(found[i], (give * turn * (1 - good), give * turn * good), tuple(doubt)))
+        chosen = written(pool.mapInPandas(_chosen(machines, bounds), "x binary, z binary, by_text int, by_meta int"), "chosen")
+        sizes = {(r["by_text"], r["by_meta"]): r["n"] for r in chosen.groupBy("by_text", "by_meta").agg(F.count("*").alias("n")).collect()}
+        handed = [{label: sum(n for k, n in sizes.items() if k[1 - view] == label) for label in (1, -1)} for view in (0, 1)]
+        if not sizes:
+            break
+        now, before, t = machines, machines, 1.0
+        for _ in range(steps):
+            after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            ahead = [(w + (t - 1) / after * (w - v), b + (t - 1) / after * (b - u)) for (w, b), (v, u) in zip(now, before, strict=True)]
+            sums = chosen.mapInPandas(_slopes(ahead), "view int, label int, dim int, value long").groupBy("view", "label", "dim").agg(F.sum("value").alias("value")).collect()
+            before, now, t = now, _step(ahead, own, handed, sums, c), after
+        machines = now
+        discard(chosen)
+    margin = [margins(i, v[check], machines[i]) for i, v in enumerate((x, z))]
+    fits = [_logistic(m[:, None], y[check]) for m in margin]
+    logits = np.column_stack([a * m + b for m, (a, b) in zip(margin, fits, strict=True)])
+    u, v, o = _logistic(logits, y[check])
+    return Model(*machines, tuple((float(a), float(b)) for a, b in fits), (float(u), float(v), float(o)))
+
+
+def _step(machines, own, handed, sums, c: float) -> list[tuple[np.ndarray, float]]:
+    """One step down the squared hinge loss of labelled rows and of those handed over, which weigh half as much; classes weigh alike."""
+    out = []
+    for view, ((w, b), (x, y)) in enumerate(zip(machines, own, strict=True)):
+        slope = np.zeros(len(w) + 1)
+        for label in (1, -1):
+            rows = x[y == label]
+            slack = np.maximum(0, 1 - label * margins(view, rows, (w, b)))
+            slope += label / 2 / max(1, len(rows)) * np.append(_scaled(view, slack @ rows.astype(np.float64)), slack.sum())
+            value = np.zeros(len(w) + 1)
+            for r in sums:
+                if r["view"] == view and r["label"] == label:
+                    value[r["dim"]] = r["value"] * _SLACK
+            slope += label / 4 / max(1, handed[view][label]) * np.append(_scaled(view, value[:-1]), value[-1])
+        rate = 1 / (1 + 8 * c)
+        out.append((w - rate * (w - 2 * c * slope[:-1]), b + rate * 2 * c * float(slope[-1])))
+    return out
+
+
+def _draw(id_col: str, *more: str) -> Column:
+    return F.xxhash64(F.lit("co"), F.col(id_col), *map(F.col, more))
+
+
+@small_batches
+def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", meta_cols: Sequence[str] = ("source", "lang", "n_chars"), labelled_rows: int = 3000, rounds: int = 3, give: float = 0.15, sure: float = 0.9) -> Model | None:
+    """Fit on at most ``labelled_rows`` labelled documents (half of each class at most) and, by pseudo-labels, on all documents.
+
+    Labelled ids are drawn by their hash before texts are looked at, and rows of an id by that of id and text, so that no text is shuffled. Labels other
+    than 0 and 1 are none; of several labels of one id the largest stands; a null id has none. Repeated rows, nulls, empty and very long texts take part like any other.
+    Without labels of both classes, or without a document of each, there is no model.
+    """
+    half = labelled_rows // 2
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    known = written(known.withColumn("_draw", _draw("_id")), "labels")
+    # Labels may be of ids that the table lacks: twice as many ids as rows are wanted.
+    ids = reduce(DataFrame.unionByName, [known.where(F.col("_label") == k).orderBy("_draw", "_id").limit(2 * half) for k in (0, 1)])
+    rows = docs.join(F.broadcast(written(ids.drop("_draw"), "drawn")), F.col(id_col) == F.col("_id")).select("_label", _draw(id_col, text_col).alias("_draw"), F.col(text_col).alias("_text"), *meta_cols)
+    rows = written(rows.mapInPandas(_views, "_label int, _draw long, x binary, z binary"), "labelled")
+    found = [r for k in (0, 1) for r in rows.where(F.col("_label") == k).orderBy("_draw", "x", "z").limit(half).collect()]
+    for table in (known, rows):
+        discard(table)
+    found.sort(key=lambda r: (r["_draw"], r["x"], r["z"]))
+    y = np.array([1.0 if r["_label"] == 1 else -1.0 for r in found])
+    if len(set(y)) < 2:
         return None
-    wanted = {0: labelled_rows // 2, 1: labelled_rows // 2, -1: pool_rows}
-    share = F.create_map(*[v for label, n in counts.items() for v in (F.lit(label), F.lit(min(1.0, 1.1 * wanted[label] / n)))])
-    found = rows.where(F.col("_draw") < share[F.col("_label")]).mapInPandas(_extract(meta_cols, text_col), "label int, draw double, text binary, meta binary").collect()
-    found.sort(key=lambda r: (r["draw"], r["text"], r["meta"]))
-    by = {label: [r for r in found if r["label"] == label][:n] for label, n in wanted.items()}
-    matrix = lambda some, c: np.stack([np.frombuffer(r[c], dtype="<f2").astype(np.float32) for r in some]) if some else np.zeros((0, 1), dtype=np.float32)
-    own = sorted(by[0] + by[1], key=lambda r: r["draw"])
-    y = np.array([1.0 if r["label"] == 1 else -1.0 for r in own])
-    return cotrain((matrix(own, "text"), matrix(own, "meta")), y, (matrix(by[-1], "text"), matrix(by[-1], "meta")))
+    x, z = (np.stack([np.frombuffer(r[k], dtype=np.uint8) for r in found]) for k in "xz")
+    pool = written(docs.select(F.col(text_col).alias("_text"), *meta_cols).mapInPandas(_views, "x binary, z binary"), "views")
+    model = cotrain(pool, x, z, y, rounds=rounds, give=give, sure=sure)
+    discard(pool)
+    return model
 
 
+@small_batches
 def classify(docs: DataFrame, model: Model | None, *, text_col: str = "text", meta_cols: Sequence[str] = ("source", "lang", "n_chars"), least: float = 0.5) -> DataFrame:
-    """``docs`` with p_text, p_meta, score (0 to 1; 0.5 without a model) and kept (score of ``least`` or more). Columns of these names are replaced."""
+    """``docs`` with p_text, p_meta, score (0 to 1; 0.5 without a model) and kept (score of ``least`` or more).
+
+    Nulls, empty and very long texts and repeated rows are scored like any other, from the whole text. Columns of these names are replaced, but may be among ``meta_cols``.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
@@ -175,8 +306,9 @@ def classify(docs: DataFrame, model: Model | None, *, text_col: str = "text", me
                     out.append(np.column_stack(own.scores(x, z)))
             yield pd.DataFrame(np.vstack(out) if out else np.zeros((0, 3)), columns=["p_text", "p_meta", "score"])
 
-    found = docs.withColumn("_found", F.pandas_udf(score, "p_text double, p_meta double, score double")(F.col(text_col), F.struct(*meta_cols)))
-    found = found.withColumns({c: F.col("_found")[c] for c in ("p_text", "p_meta", "score")}).drop("_found")
+    name = free_name(docs, "found")
+    found = docs.withColumn(name, F.pandas_udf(score, "p_text double, p_meta double, score double")(F.col(text_col), F.struct(*meta_cols)))
+    found = found.withColumns({c: F.col(name)[c] for c in ("p_text", "p_meta", "score")}).drop(name)
     return found.withColumn("kept", F.col("score") >= least)
 
 
