@@ -54,95 +54,145 @@ def test_quality_edge_cases(spark, texts):
     assert Q.classify(texts([]), model).count() == 0
 
 
-def test_co_training_uses_the_pool():
-    rng = np.random.default_rng(0)
-    y = np.array([1.0, -1.0] * 10)
-    make = lambda labels: (np.outer(labels, np.ones(5)) + rng.normal(0, 1.2, (len(labels), 5))).astype(np.float32)
-    hidden = rng.choice([1.0, -1.0], 400)
-    test = rng.choice([1.0, -1.0], 500)
-    model = Q.cotrain((make(y), make(y)), y, (make(hidden), make(hidden)), sure=0.8)
-    a, b, c = model.scores(make(test), make(test))
-    assert np.mean((c > 0.5) == (test > 0)) >= max(np.mean((a > 0.5) == (test > 0)), np.mean((b > 0.5) == (test > 0))) - 0.02 > 0.85
+def two_kinds(n, seed=0):
+    """Documents of two kinds that differ in a few of their words and in their source, most of the time."""
+    rng = np.random.default_rng(seed)
+    words = [["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(300)] for _ in range(3)]
+    rows = []
+    for i in range(n):
+        kind = i % 2
+        own = [str(rng.choice(words[kind if rng.random() < 0.35 else 2])) for _ in range(60)]
+        rows.append((i, " ".join(own), None, f"s{kind if rng.random() < 0.9 else 1 - kind}"))
+    return rows
+
+
+def test_co_training_uses_all_documents(spark, texts):
+    docs = texts(two_kinds(800))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    share = {}
+    for rounds in (0, 3):
+        model = Q.train(docs, labels, rounds=rounds, give=0.3, sure=0.75)
+        share[rounds] = np.mean([(r.p_text > 0.5) == (r.doc_id % 2 == 1) for r in Q.classify(docs, model).collect() if r.doc_id >= 40])
+    assert share[3] > share[0] + 0.01 and share[3] > 0.8, share
+    again = Q.train(docs.repartition(7), labels, rounds=3, give=0.3, sure=0.75)
+    assert (again.text[0] == model.text[0]).all() and (again.meta[0] == model.meta[0]).all() and again.combined == model.combined
+
+
+def test_bounds_of_what_is_sure():
+    rng = np.random.default_rng(4)
+    margin = rng.normal(0, 1, 5000)
+    bins, n = np.unique(np.floor(margin / Q._BIN).astype(int), return_counts=True)
+    low, high = Q.sure_bounds(dict(zip(bins.tolist(), n.tolist())), (0.1, 0.2), (-np.inf, np.inf))
+    assert (low, high) == (-np.inf, np.inf)  # nothing is beyond such doubt
+    low, high = Q.sure_bounds(dict(zip(bins.tolist(), n.tolist())), (0.1, 0.2), (0.0, 0.0))
+    assert 0.1 <= np.mean(margin < low) < 0.11 and 0.2 <= np.mean(margin >= high) < 0.21
+
+
+def small_net(seed=1, size=50):
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(0, 50, size).astype(float)
+    return L.Net.start(counts), counts, rng
 
 
 def test_probabilities_add_up():
-    rng = np.random.default_rng(1)
-    weights = L.initial(rng.integers(0, 50, L.SIZE).astype(float))
-    around = rng.integers(0, L.SIZE + 1, (3, 2 * L.WINDOW))
-    total = np.zeros(3)
-    for word in range(L.SIZE):
-        total += np.exp(L.log_probabilities(L.split(weights), around, np.full(3, word)))
-    assert np.allclose(total, 1, atol=1e-3)
-
-
-def test_gradient():
-    rng = np.random.default_rng(2)
-    learner = L.Learner(L.initial(np.ones(L.SIZE)).astype(np.float32), rate=1.0)
-    around, ids = rng.integers(0, L.SIZE, (40, 2 * L.WINDOW)), rng.integers(0, L.SIZE, 40)
-    loss = lambda: -L.log_probabilities(learner.w, around, ids).mean()
-    learner.rate = 0.05
-    before = loss()
-    for _ in range(30):
-        learner.step(around, ids)
-    assert loss() < before - 1
+    net, counts, rng = small_net()
+    table = net.table(counts)
+    around = rng.integers(0, net.size + 1, (7, 2 * L.WINDOW))
+    total = sum(net.probabilities(table, around, np.full(7, w)).astype(float) for w in range(net.size))
+    assert np.allclose(total, 1, atol=1e-4) and np.allclose(table.sum(axis=0), 1, atol=1e-4)
+
+
+def test_gradient_equals_differences():
+    net, counts, rng = small_net()
+    for w in net.weights():
+        w[...] = rng.normal(0, 0.5, w.shape)
+    net.emb[net.size] = 0
+    net = L.Net(net.size, *[w.astype(np.float64) for w in net.weights()], net.counts)
+    table = net.table(counts).astype(np.float64)
+    around, ids, weight = rng.integers(0, net.size + 1, (40, 2 * L.WINDOW)), rng.integers(0, net.size, 40), rng.integers(1, 4, 40).astype(float)
+    learner = L.Learner(net, table, 0.1)
+    ((rows, emb), *rest), share = learner.gradients(around, ids, weight)
+    loss = lambda: -(np.log(learner.net.probabilities(table, around, ids)) * weight).sum() / weight.sum()
+    whole = np.zeros_like(net.emb)
+    whole[rows] = emb
+    for w, g in zip(learner.net.weights(), [whole, *rest]):
+        for at in [tuple(int(rng.integers(0, n)) for n in w.shape) for _ in range(6)]:
+            if w is learner.net.emb and at[0] == net.size:
+                continue
+            kept, step = w[at], 1e-5
+            w[at] = kept + step
+            up = loss()
+            w[at] = kept - step
+            down = loss()
+            w[at] = kept
+            assert abs((up - down) / 2 / step - g[at]) < 1e-5 + 1e-3 * abs(g[at])
+    assert np.allclose(share.sum(axis=1), 1)
+
+
+def test_contexts_stay_in_their_text():
+    around = L.contexts(np.arange(6), np.array([0, 2, 2, 6]), 99)
+    assert around.tolist() == [[99, 99, 1, 99], [99, 0, 99, 99], [99, 99, 3, 4], [99, 2, 4, 5], [2, 3, 5, 99], [3, 4, 99, 99]]
 
 
 def test_pseudo_likelihood(spark, texts):
-    rows = [(i, "the dog saw the cat and the cat saw the dog " * 5) for i in range(60)] + [(60, None), (61, ""), (62, "unseen"), (63, "cat the the and dog saw dog cat " * 5), (64, "the dog " * 40_000), (62, "unseen")]
-    known, weights = L.train(texts(rows), rounds=2, stride=1, batch_size=64)
-    assert known["the"] == 1
-    found = L.score(texts(rows), known, weights).collect()
+    rows = [(i, "the dog saw the cat and the cat saw the dog " * 5 + f"x{i}") for i in range(60)] + [(60, None), (61, ""), (62, "unseen"), (63, "cat the the and dog saw dog cat " * 5), (64, "the dog " * 40_000), (62, "unseen"), (65, " \n")]
+    model = L.train(texts(rows), bucket_tokens=500)
+    assert abs(model.net.counts.sum() - sum(len((t or "").split()) for _, t in rows)) < 1  # every token of every text has fallen to some distribution
+    found = L.score(texts(rows), model).collect()
     by = {r.doc_id: r for r in found}
-    ids = L._ids(known, rows[0][1])
-    assert abs(by[0].log_likelihood - L.log_probabilities(L.split(weights), L.contexts(ids), ids).sum()) < 1e-2
-    assert by[0].mean_log_likelihood > by[63].mean_log_likelihood + 0.2
-    assert (by[60].n_tokens, by[60].log_likelihood, by[60].mean_log_likelihood, by[61].n_tokens, by[62].n_tokens) == (0, 0.0, None, 0, 1)
-    assert len(found) == len(rows)
-    known, weights = L.train(texts([]))
-    assert known == {} and L.score(texts([]), known, weights).count() == 0
-
-
-def test_every_place_is_learned_from():
-    import inspect
-    from types import SimpleNamespace
-
-    import pandas as pd
-
-    given = inspect.signature(L.train).parameters
-    rows = pd.DataFrame({"part": 0, "text": ["a b c d e f g", "a", "b c", None, "d " * 100]})
-    learned, held = 0, L.initial(np.ones(L.SIZE))
-    for turn in range(given["rounds"].default):
-        run = L._trainer(SimpleNamespace(value={"a": 1}), SimpleNamespace(value=held), turn=turn, stride=given["stride"].default, batch_size=64)
-        learned += sum(out["n"].iloc[0] for out in run(iter([rows])))
-    assert learned == 7 + 1 + 2 + 100
+    assert len(found) == len(rows) and by[0].mean_log_likelihood > by[62].mean_log_likelihood
+    assert [(by[i].n_tokens, by[i].log_likelihood, by[i].mean_log_likelihood) for i in (60, 61, 65)] == [(0, 0.0, None)] * 3 and by[62].n_tokens == 1 and by[64].n_tokens == 80_000
+    words, bounds = L.token_hashes(pa.array([rows[0][1]]))
+    ids, _ = L.ids_of(words, model.known, model.ids, model.groups)
+    wanted = np.log(model.net.probabilities(model.table, L.contexts(ids, bounds, model.size), ids).astype(float)).sum()
+    assert abs(by[0].log_likelihood - wanted) < 1e-3
+    empty = L.train(texts([]))
+    assert L.score(texts([]), empty).count() == 0 and {r.log_likelihood for r in L.score(texts([(1, None)]), empty).collect()} == {0.0}
 
 
 def test_rare_words_have_shares(spark, texts):
-    common = [f"c{i}" for i in range(L.TOP)]
-    rows = [(i, " ".join(common[at : at + 300] * 3)) for i, at in enumerate(range(0, L.TOP, 300))]
-    rows += [(100, "rareone raretwo"), (101, "rareone raretwo rareone")] + [(102, "single"), (103, "single")]
-    known, counts = L.vocabulary(texts(rows), "text")
-    assert len(known) == L.TOP - 1 and counts.sum() == sum(len(t.split()) for _, t in rows)
-    shares = {r.word: r.log_share for r in known.rare.collect()}
-    assert {"rareone", "raretwo", "single"} < set(shares) and len(shares) == 4
-    left = np.exp(known.unseen)  # what is left for words not seen, and the shares, add up to one in each group
+    rows = [(i, f"common words stand here {'rareone' if i % 3 == 0 else 'raretwo'} only{i}") for i in range(30)] + [(30, "rareone raretwo"), (31, None)]
+    model = L.vocabulary(texts(rows), "text", words=4, groups=8)
+    assert len(model.known) == 4 and model.all_counts.sum() == sum(len((t or "").split()) for _, t in rows)
+    shares = {np.uint64(r.word % 2**64): r.log_share for r in model.rare.collect()}
+    left = np.exp(model.unseen)  # what is left for words not seen, and the shares, add up to one in each group
     for word, share in shares.items():
-        left[L._group(word)] += np.exp(share)
-    assert np.allclose(left, 1)
-    weights = L.initial(counts)
-    docs = texts([(0, "rareone c1 rareone raretwo"), (1, "zzqx1 c1 zzqx1 zzqx2"), (2, None), (0, "rareone c1 rareone raretwo")])
-    found = {r.doc_id: r for r in L.score(docs, known, weights).collect()}
-    ids = L._ids(known, "rareone c1 rareone raretwo")
-    wanted = L.log_probabilities(L.split(weights), L.contexts(ids), ids).sum() + 2 * shares["rareone"] + shares["raretwo"]
-    assert len(set(ids)) == 3 and abs(found[0].log_likelihood - wanted) < 1e-3
-    assert found[0].log_likelihood > found[1].log_likelihood and (found[2].n_tokens, found[2].log_likelihood) == (0, 0)
+        left[int(word % np.uint64(8))] += np.exp(share)
+    assert len(shares) == 32 and np.allclose(left[model.unseen < 0], 1)
+    model = L.train(texts(rows), model=model)
+    docs = texts([(0, "rareone common rareone raretwo"), (1, "zzqx1 common zzqx1 zzqx2"), (0, "rareone common rareone raretwo")])
+    found = {r.doc_id: r for r in L.score(docs, model).collect()}
+    words, bounds = L.token_hashes(pa.array(["rareone common rareone raretwo"]))
+    ids, odd = L.ids_of(words, model.known, model.ids, 8)
+    wanted = np.log(model.net.probabilities(model.table, L.contexts(ids, bounds, model.size), ids).astype(float)).sum() + sum(shares[w] for w in words[odd])
+    assert odd.sum() == 3 and abs(found[0].log_likelihood - wanted) < 1e-4 and found[0].log_likelihood > found[1].log_likelihood
+
+
+def test_context_beats_word_frequencies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(4)) == 0
+    means = []
+    for parts in (1, 16):
+        table = docs.where(~held).repartition(parts)
+        model = L.train(table, bucket_tokens=100_000, scout_tokens=100_000)
+        tokens = L.token_table(docs.where(held), model)
+        found = L.score(docs.where(held), model, tokens=tokens).agg(F.sum("log_likelihood").alias("s"), F.sum("n_tokens").alias("n")).first()
+        means.append(found.s / found.n)
+    # Word frequencies alone: the same groups and shares, without the network.
+    share = np.log((model.all_counts + 1) / (model.all_counts.sum() + model.size))
+    alone = L.Model(model.known, model.ids, model.groups, model.all_counts, model.rare, model.unseen)
+    alone.net = L.Net.start(model.all_counts)
+    alone.table = np.repeat(np.exp(share)[:, None], L.MIXTURE, axis=1).astype(np.float32)
+    found = L.score(docs.where(held), alone, tokens=tokens).agg(F.sum("log_likelihood").alias("s"), F.sum("n_tokens").alias("n")).first()
+    assert abs(means[0] - means[1]) < 1e-9, means  # however the table lies
+    assert means[0] > found.s / found.n + 0.3, (means, found.s / found.n)
 
 
 def test_averages_in_levels(spark):
     rows = [(c, p, float(p % 3 + 1), np.full(4, p, dtype="<f4").tobytes()) for p in range(150) for c in range(2)]
-    mean = L.average(spark.createDataFrame(rows, "chunk int, part long, n double, weights binary"))
+    mean, n = L.average(spark.createDataFrame(rows, "chunk int, part long, n double, weights binary"))
     wanted = sum(p * (p % 3 + 1) for p in range(150)) / sum(p % 3 + 1 for p in range(150))
-    assert len(mean) == 8 and np.allclose(mean, wanted, rtol=1e-4)
+    assert len(mean) == 8 and np.allclose(mean, wanted, rtol=1e-4) and n == sum(p % 3 + 1 for p in range(150))
 
 
 TEXTS = ["", " ", "a  b", "\tx", "\t", "x \n y", "it's. it's, 's.", "a\0b c", "<|endoftext|> a <|endoftext|>.", "word\n", "word\n\nx  ", "é à ü, ñ. 12,3 4.", "a .b ,c", "\x1c a", "Wort,\nWort. Wort", "日本 語。 x", "x" * 5000, "a b " * 9000]
