@@ -209,7 +209,7 @@ def test_recall_by_edit_rate():
 
     def meets(x, y):
         """Two seeds in common, and a passage by all k-mers."""
-        return len(np.intersect1d(P.seeds(x, 4, 24), P.seeds(y, 4, 24))) > 1 and bool(P.passages(x, y, *P.shared(x, y, 4), k=4, least=50, identity=0.8))
+        return len(np.intersect1d(P.seeds(x, 4, 24)[0], P.seeds(y, 4, 24)[0])) > 1 and bool(P.passages(x, y, *P.shared(x, y, 4), k=4, least=50, identity=0.8))
 
     for n, rate, wanted in [(55, 0.05, 0.99), (60, 0.05, 0.99), (60, 0.1, 0.99), (80, 0.15, 0.95), (100, 0.15, 0.98), (100, 0.19, 0.95)]:
         met = total = 0
