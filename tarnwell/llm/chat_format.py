@@ -8,6 +8,8 @@ that otherwise keeps the order of turns; their arguments are validated against s
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -20,8 +22,20 @@ _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool
 CALLS = "conv_id, turn long, idx int, call_id string, name string, arguments string, after array<string>"
 
 
+#: JSON nested deeper is taken for none.
+DEEPEST = 100
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no spaces, UTF-8; a half of a surrogate pair, which UTF-8 lacks, stays an escape."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _plain(text: str) -> str:
+    """Text that UTF-8 can hold: halves of surrogate pairs are replaced."""
+    return _LONE.sub("\ufffd", text)
 
 
 def violations(value: object, schema: Mapping, at: str = "$") -> list[str]:
@@ -49,20 +63,46 @@ def violations(value: object, schema: Mapping, at: str = "$") -> list[str]:
     return found
 
 
+def _no_number(name: str) -> object:
+    raise ValueError(f"{name} is no JSON")
+
+
+def _depth(value: object) -> int:
+    deep, level = 0, [value]
+    while level:
+        deep += 1
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+    return deep
+
+
 def _parsed(text: str | None) -> object:
+    """The value of a JSON text; null for what is no JSON, NaN and infinities included, or nested deeper than ``DEEPEST``."""
     try:
-        return json.loads(text) if text else None
-    except ValueError:
+        value = json.loads(text, parse_constant=_no_number) if text else None
+        return value if _depth(value) <= DEEPEST and _numbers(value) < math.inf else None
+    except (ValueError, RecursionError):
         return None
 
 
+def _numbers(value: object) -> float:
+    """The largest absolute value of a float; infinite for a number beyond its range."""
+    most, level = 0.0, [value]
+    while level:
+        most = max([most, *(abs(v) for v in level if isinstance(v, float))])
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+    return most
+
+
 def extract_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that messages (conv_id, turn, role, text) carry.
 
     An assistant's text ``{"tool_calls": [{"id", "name", "arguments", "after"}]}`` holds calls, a tool's text
-    ``{"tool_call_id", "content"}`` a result. Other texts, and entries of another shape, hold none.
+    ``{"tool_call_id", "content"}`` a result. Other texts (null, empty, no JSON), and entries of another shape, hold none; very long texts are parsed whole.
     """
 
+    def text_of(value: dict, key: str) -> str | None:
+        return _plain(found) if isinstance(found := value.get(key), str) else None
+
     def calls(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = []
@@ -70,13 +110,13 @@ def extract_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
                 value = _parsed(text) if text and "tool_calls" in text else None
                 listed = value.get("tool_calls") if isinstance(value, dict) else None
                 rows = [c for c in listed if isinstance(c, dict)] if isinstance(listed, list) else []
-                out.append([{"call_id": c.get("id") if isinstance(c.get("id"), str) else None, "name": c.get("name") if isinstance(c.get("name"), str) else None, "arguments": canonical(c.get("arguments")), "after": [x for x in c.get("after") or [] if isinstance(x, str)] if isinstance(c.get("after"), list) else []} for c in rows])
+                out.append([{"call_id": text_of(c, "id"), "name": text_of(c, "name"), "arguments": canonical(c.get("arguments")), "after": [_plain(x) for x in c["after"] if isinstance(x, str)] if isinstance(c.get("after"), list) else []} for c in rows])
             yield pd.Series(out)
 
     def results(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             values = [v if isinstance(v := _parsed(t), dict) else {} for t in texts]
-            yield pd.DataFrame({"call_id": [v.get("tool_call_id") if isinstance(v.get("tool_call_id"), str) else None for v in values], "content": [c if isinstance(c := v.get("content"), str) or c is None else canonical(c) for v in values]})
+            yield pd.DataFrame({"call_id": [text_of(v, "tool_call_id") for v in values], "content": [_plain(c) if isinstance(c := v.get("content"), str) else c if c is None else canonical(c) for v in values]})
 
     shape = "array<struct<call_id:string,name:string,arguments:string,after:array<string>>>"
     found = messages.where(F.col("role") == "assistant").select("conv_id", "turn", F.posexplode(F.pandas_udf(calls, shape)(F.col("text"))).alias("idx", "c"))
@@ -102,13 +142,36 @@ def link(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked, answered
 
 
-def moves(calls: DataFrame) -> DataFrame | None:
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """What :func:`moves` gives, of one conversation's dependencies (turn, idx, d_turn, d_idx, size)."""
+    needs = list(zip(rows["turn"].tolist(), rows["idx"].tolist(), rows["d_turn"].tolist(), rows["d_idx"].tolist(), strict=True))
+    most, behind, now = int(rows["size"].iloc[0]) + 1, {}, {}
+    for turn, idx, *on in needs:
+        behind.setdefault(tuple(on), []).append((turn, idx))
+        if tuple(on) >= (turn, idx):
+            now[turn, idx] = max(now.get((turn, idx), (on[0], 1)), (on[0], 1))
+    todo = list(now)
+    while todo:
+        call = todo.pop()
+        at, hop = now[call]
+        for other in behind.get(call, ()):
+            new = (at, min(hop + 1, most))
+            if at >= other[0] and new > now.get(other, (-math.inf, 0)):
+                now[other] = new
+                todo.append(other)
+    out = [(turn, idx, turn if hop == most else at, 0 if hop == most else hop, hop == most) for (turn, idx), (at, hop) in now.items()]
+    found = pd.DataFrame(out, columns=["turn", "idx", "at", "hop", "cyclic"])
+    found.insert(0, "conv_id", pd.Series([rows["conv_id"].iloc[0]] * len(found), dtype=rows["conv_id"].dtype))
+    return found
+
+
+def moves(calls: DataFrame, *, at_once: int = 2000) -> DataFrame | None:
     """Calls that cannot stand at their own turn: conv_id, turn, idx, at, hop (long) and cyclic; None if there are none.
 
     With (turn, 0) for all others, calls sorted by (at, hop, turn, idx) each follow those in ``after``. A call moves if it depends on one that stands later: it then
-    stands right behind that one. Dependencies in the order of turns need no work; each round is one join over those that run against it. A
-    call that moves back more often than its conversation has calls waits for itself: it is cyclic and stays at its own turn. Unknown identifiers are no
-    dependencies.
+    stands right behind that one. Dependencies in the order of turns need no work. A call that moves back more often than its conversation has calls waits for itself, or for one that
+    does: it is cyclic and stays at its own turn. Unknown identifiers are no dependencies. Conversations of at most ``at_once`` calls and dependencies are settled one by one; longer
+    ones are never gathered: there each round is one join.
     """
     key = ["conv_id", "turn", "idx"]
     known = calls.where(F.col("status").isin("linked", "no_result")).select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_id"), F.col("turn").alias("d_turn"), F.col("idx").alias("d_idx"))
@@ -118,11 +181,23 @@ def moves(calls: DataFrame) -> DataFrame | None:
     against = needs.where(F.struct("d_turn", "d_idx") >= F.struct("turn", "idx"))
     if not against.take(1):
         return None
-
+    sizes = calls.groupBy(F.col("conv_id").alias("_of")).agg(F.count("*").alias("size")).join(needs.groupBy(F.col("conv_id").alias("_also")).agg(F.count("*").alias("n_needs")), F.col("_of").eqNullSafe(F.col("_also")))
+    sizes = written(sizes.join(against.select(F.col("conv_id").alias("_moved")).distinct(), F.col("_of").eqNullSafe(F.col("_moved")), "left_semi").select("_of", "size", "n_needs"), "sizes")
+    few = (F.col("size") <= at_once) & (F.col("n_needs") <= at_once)
+    own = needs.join(sizes.where(few), F.col("conv_id").eqNullSafe(F.col("_of")))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in needs.schema if f.name in key)
+    settled = own.select(*needs.columns, "size").groupBy("conv_id").applyInPandas(_settle, f"{shape}, at long, hop long, cyclic boolean")
+    large = sizes.where(~few)
+    if large.take(1):
+        settled = settled.unionByName(_by_rounds(needs.join(large, F.col("conv_id").eqNullSafe(F.col("_of")), "left_semi"), large.select("_of", "size"), key))
+    return written(settled, "moves")
+
+
+def _by_rounds(needs: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
     def best(df: DataFrame) -> DataFrame:
         return df.groupBy(*key).agg(F.max(F.struct("at", "hop")).alias("m")).select(*key, "m.at", "m.hop")
 
-    sizes = written(calls.groupBy(F.col("conv_id").alias("_of")).agg(F.count("*").alias("size")), "sizes")
+    against = needs.where(F.struct("d_turn", "d_idx") >= F.struct("turn", "idx"))
     now = written(best(against.select(*key, F.col("d_turn").alias("at"), F.lit(1).cast("long").alias("hop"))), "moved")
     while True:
         on = F.col("m.conv_id").eqNullSafe(F.col("n.conv_id")) & (F.col("m.turn") == F.col("n.d_turn")) & (F.col("m.idx") == F.col("n.d_idx"))
@@ -136,7 +211,7 @@ def moves(calls: DataFrame) -> DataFrame | None:
             break
     cyclic = F.col("hop") > F.col("size")
     settled = now.join(sizes, F.col("conv_id").eqNullSafe(F.col("_of")))
-    return written(settled.select(*key, F.when(cyclic, F.col("turn")).otherwise(F.col("at")).alias("at"), F.when(cyclic, F.lit(0)).otherwise(F.col("hop")).cast("long").alias("hop"), cyclic.alias("cyclic")), "moves")
+    return settled.select(*key, F.when(cyclic, F.col("turn")).otherwise(F.col("at")).alias("at"), F.when(cyclic, F.lit(0)).otherwise(F.col("hop")).cast("long").alias("hop"), cyclic.alias("cyclic"))
 
 
 def placed(rows: DataFrame, moved: DataFrame | None, turn: Column, idx: Column) -> DataFrame:
@@ -173,8 +248,8 @@ def format_chats(others: DataFrame, calls: DataFrame, results: DataFrame, schema
     """One row per conversation and part: conv_id, part, n_messages, n_calls, n_linked, n_valid (long) and chat (canonical JSON).
 
     ``others`` (conv_id, turn, role, text) are messages that are neither call nor result. A linked result stands right behind its
-    call; an orphan stands at its own turn under the role ``orphan``. Null roles and texts stay null. Repeated messages are kept; ties go by JSON. A conversation
-    without rows does not appear; an empty input gives none.
+    call; an orphan stands at its own turn under the role ``orphan``. Null roles and texts stay null, a null turn counts as 0. Repeated messages are kept; ties go by JSON; very long
+    texts stay whole; further columns are left out. A conversation without rows does not appear; an empty input gives none. ``turn`` is a long, ``idx`` an int.
     """
     calls, results = (written(rows, name) for rows, name in zip(link(calls, results), ("calls", "results"), strict=True))
     moved = moves(calls)
@@ -199,31 +274,39 @@ REPLY = {"reply": {"type": "object", "required": ["prompt", "turn"], "additional
 
 
 def op5_chat_format(spark, sf_dir: str) -> DataFrame:
-    """The table has no tool messages, so each user's turn is read as a call of a ``reply`` tool that waits for the call before it,
-    and the assistant's turn that follows as its result."""
+    """The table has no tool messages, so each user's turn is read as a call of a ``reply`` tool, and the assistant's turn that follows as its result.
+
+    A call waits for the call before it, as a rule. By conversation and place, every sixth one waits for the next one instead, which waits for none, and so has to move; every sixth one waits for
+    the next one, which waits for it: a cycle.
+    """
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
-    turn = F.col("turn")
-    calls = table.where(F.col("role") == "user").select("conv_id", "turn", F.lit(0).alias("idx"), name(turn).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), F.array(name(turn - 2)).alias("after"))
-    results = table.where(F.col("role") == "assistant").select("conv_id", "turn", name(turn - 1).alias("call_id"), F.col("text").alias("content"))
-    others = table.where(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)))
+    turn = F.col("turn").cast("long")
+    kind = F.pmod(F.col("conv_id") + F.floor(turn / 2), F.lit(6))
+    after = F.when(kind.isin(1, 4), F.array(name(turn + 2))).when(kind == 2, F.array().cast("array<string>")).otherwise(F.array(name(turn - 2)))
+    calls = table.where(F.col("role") == "user").select("conv_id", turn.alias("turn"), F.lit(0).alias("idx"), name(turn).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn"))).alias("arguments"), after.alias("after"))
+    results = table.where(F.col("role") == "assistant").select("conv_id", turn.alias("turn"), name(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    others = table.where(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))).withColumn("turn", turn)
     return format_chats(others, calls, results, REPLY)
 
 
 OP5_SQL = r"""
-WITH c AS (SELECT u.conv_id, u.turn, r.turn IS NOT NULL AS linked, u.text IS NOT NULL AND u.text <> '' AS valid, u.text
+WITH c AS (SELECT u.conv_id, u.turn, r.turn IS NOT NULL AS linked, u.text IS NOT NULL AND u.text <> '' AS valid, u.text,
+                  CASE WHEN (u.conv_id + u.turn // 2) % 6 = 1 AND n.turn IS NOT NULL THEN 1 ELSE 0 END AS moved
            FROM conversations u LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant') r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1
+                LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user') n ON n.conv_id = u.conv_id AND n.turn = u.turn + 2
            WHERE u.role = 'user'),
-e AS (SELECT conv_id, turn AS pos, 0 AS kind, 1 AS call, CAST(linked AS INT) AS linked, CAST(valid AS INT) AS valid,
+m AS (SELECT DISTINCT conv_id, turn, moved FROM c),
+e AS (SELECT conv_id, turn + 2 * moved AS pos, moved AS hop, turn, 0 AS kind, 1 AS call, CAST(linked AS INT) AS linked, CAST(valid AS INT) AS valid,
              '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || to_json(text) || ',' END || '"turn":' || turn || '},"id":"' || conv_id || ':' || turn || '","name":"reply","role":"call","status":"'
              || CASE WHEN linked THEN 'linked' ELSE 'no_result' END || '","valid":' || valid || '}' AS j FROM c
       UNION ALL
-      SELECT a.conv_id, CASE WHEN u.turn IS NULL THEN a.turn ELSE u.turn END, 1, 0, 0, 0,
-             '{"content":' || coalesce(to_json(a.text), 'null') || ',"id":"' || a.conv_id || ':' || (a.turn - 1) || '","role":"' || CASE WHEN u.turn IS NULL THEN 'orphan' ELSE 'tool' END || '"}'
-      FROM conversations a LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user') u ON a.conv_id = u.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant'
+      SELECT a.conv_id, CASE WHEN m.turn IS NULL THEN a.turn ELSE m.turn + 2 * m.moved END, coalesce(m.moved, 0), CASE WHEN m.turn IS NULL THEN a.turn ELSE m.turn END, 1, 0, 0, 0,
+             '{"content":' || coalesce(to_json(a.text), 'null') || ',"id":"' || a.conv_id || ':' || (a.turn - 1) || '","role":"' || CASE WHEN m.turn IS NULL THEN 'orphan' ELSE 'tool' END || '"}'
+      FROM conversations a LEFT JOIN m ON a.conv_id = m.conv_id AND m.turn = a.turn - 1 WHERE a.role = 'assistant'
       UNION ALL
-      SELECT conv_id, turn, -1, 0, 0, 0, '{"content":' || coalesce(to_json(text), 'null') || ',"role":' || coalesce(to_json(role), 'null') || '}' FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant'))
+      SELECT conv_id, turn, 0, turn, -1, 0, 0, 0, '{"content":' || coalesce(to_json(text), 'null') || ',"role":' || coalesce(to_json(role), 'null') || '}' FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant'))
 SELECT conv_id, CAST(pos // 64 AS BIGINT) AS part, count(*) AS n_messages, CAST(sum(call) AS BIGINT) AS n_calls, CAST(sum(linked) AS BIGINT) AS n_linked, CAST(sum(valid) AS BIGINT) AS n_valid,
-       '{"conv_id":' || conv_id || ',"messages":[' || string_agg(j, ',' ORDER BY pos, kind, j) || '],"part":' || (pos // 64) || '}' AS chat
+       '{"conv_id":' || conv_id || ',"messages":[' || string_agg(j, ',' ORDER BY pos, hop, turn, kind, j) || '],"part":' || (pos // 64) || '}' AS chat
 FROM e GROUP BY conv_id, pos // 64
 """

@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 
 import numpy as np
@@ -26,10 +26,12 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only a session without that setting, as in tests, gets a local temporary folder.
+    Only a local session without that setting, as in tests, gets a temporary folder; a cluster has to name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tarnwell-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -91,6 +93,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def packed(df: DataFrame, without: Iterable[str] = ()) -> Column:
+    """All columns of ``df`` but some as one struct: operators carry a user's row in it, so that no name of theirs meets one of his."""
+    away = {c.lower() for c in without}
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in away] or [F.lit(0).alias("_")])
+
+
 def word_array(text: Column) -> Column:
     """Words of a text; none for null."""
     spaced = F.coalesce(text, F.lit(""))

@@ -4,16 +4,15 @@ Texts are normalised (A-Z lower-cased; words are runs of digits, a-z and non-ASC
 Each benchmark item is cut into windows of ``width`` consecutive words; a shorter item is one window. Every word of
 a document inside an occurrence of a window is hit, and the spans of hit words are mapped back to the original text.
 
-The windows of all items reach the executors in blocks of ``block_bytes`` characters at most. One block holds any usual benchmark
-(it is then one automaton and one scan); a larger benchmark takes one more automaton and one more scan a block, so that neither the driver
-nor a task holds more than a block at once.
+The windows of all items reach the executors in blocks of ``block_bytes`` characters at most; an automaton takes some 45 times as many bytes. One block holds any
+usual benchmark (it is then one automaton and one scan); a larger benchmark takes one more automaton and one more scan a block, one block after another.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, packed, written
 
 #: ASCII to lower case; what is no word character becomes a space. Bytes from 0x80 on belong to words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -91,15 +90,22 @@ def scan_text(automaton, text: str | None, before: bytes | None = None) -> tuple
     return len(words), int(hits.sum()), sorted(items), spans, hits.tobytes()
 
 
-def _blocks(found: DataFrame, block_bytes: int) -> Iterator[tuple[tuple[str, str], ...]]:
-    """Windows in blocks that fit the bound; which block a window is in depends on its hash alone."""
+def _blocks(found: DataFrame, block_bytes: int) -> Iterator:
+    """The number of blocks, then each block's windows; which block a window is in depends on its hash alone."""
     total = found.agg(F.sum(F.length("window") + F.length("item"))).first()[0] or 0
     n = -(-total * 5 // (block_bytes * 4)) if total > block_bytes else 1
+    yield n
     for i in range(n):
         part = found if n == 1 else found.where(F.pmod(F.xxhash64("window"), F.lit(n)) == i)
         yield tuple(sorted((r["window"], r["item"]) for r in part.collect()))
 
 
+def _either(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Words hit in any of several blocks."""
+    for each in batches:
+        yield pd.Series([reduce(np.bitwise_or, [np.frombuffer(h, dtype=np.uint8) for h in hits]).tobytes() for hits in each])
+
+
 def _scanner(held):
     def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         automaton = _automaton(held.value)
@@ -110,21 +116,33 @@ def _scanner(held):
     return scan
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = 64 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items (long), items (array of ids as strings, sorted), items_sha256 (of the ids joined by commas),
     spans (start and stop in characters of the original text) and contaminated.
 
-    Null and empty texts have no words and are never contaminated; items without words or id match nothing. Repeated rows
+    Null and empty texts have no words and are never contaminated; very long ones are scanned whole; an empty table or benchmark gives no hit. Items without words or id match nothing. Repeated rows
     are scanned each for itself. Columns of ``docs`` with one of these names are replaced.
     """
-    spark = docs.sparkSession
-    out = docs.withColumns({"_items": F.array().cast("array<string>"), "_hits": F.lit(None).cast("binary")})
-    for rows in _blocks(benchmark_windows(items, item_col, item_text_col, width), block_bytes):
-        found = F.pandas_udf(_scanner(spark.sparkContext.broadcast(rows)), _RESULT)(F.col(text_col), F.col("_hits"))
-        out = out.withColumn("_found", found)
-        out = out.withColumns({c: F.col("_found")[c] for c in ("n_words", "n_hit", "spans", "_hits")} | {"_items": F.concat("_items", F.col("_found")["_items"])}).drop("_found")
+    spark, names = docs.sparkSession, ("n_words", "n_hit", "n_items", "items", "items_sha256", "spans", "contaminated")
+    blocks = _blocks(benchmark_windows(items, item_col, item_text_col, width), block_bytes)
+    out = docs.select(packed(docs, names).alias("_row"), F.col(text_col).alias("_text"))
+    of = lambda rows, before: F.pandas_udf(_scanner(spark.sparkContext.broadcast(rows)), _RESULT)(F.col("_text"), before)
+    if (n := next(blocks)) == 1:
+        out = out.withColumn("_found", of(next(blocks), F.lit(None).cast("binary"))).withColumn("_items", F.col("_found")["_items"])
+    else:
+        # Each block's hits are written before the next block's automaton is made; texts without hits leave nothing.
+        hit = []
+        for rows in blocks:
+            found = docs.select(F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text")).withColumn("_found", of(rows, F.lit(None).cast("binary")))
+            hit.append(written(found.where(F.col("_found.n_hit") > 0).select("_key", "_found._items", "_found._hits").dropDuplicates(["_key"]), "hits"))
+        own = reduce(DataFrame.unionByName, hit).groupBy("_key").agg(F.flatten(F.collect_list("_items")).alias("_items"), F.collect_list("_hits").alias("_each"))
+        own = written(own.withColumn("_before", F.pandas_udf(_either, "binary")("_each")).drop("_each"), "hits")
+        out = out.withColumn("_key", F.xxhash64("_text")).join(own, "_key", "left").withColumn("_found", of((), F.col("_before")))
+        out = out.withColumn("_items", F.coalesce("_items", F.array().cast("array<string>")))
     ids = F.array_sort(F.array_distinct("_items"))
-    return out.withColumns({"items": ids, "n_items": F.size(ids).cast("long"), "items_sha256": F.sha2(F.array_join(ids, ","), 256), "contaminated": F.col("n_hit") > 0}).drop("_items", "_hits")
+    out = out.select("_row", "_found", ids.alias("_ids"))
+    made = {"n_words": F.col("_found")["n_words"], "n_hit": F.col("_found")["n_hit"], "n_items": F.size("_ids").cast("long"), "items": F.col("_ids"), "items_sha256": F.sha2(F.array_join("_ids", ","), 256), "spans": F.col("_found")["spans"], "contaminated": F.col("_found")["n_hit"] > 0}
+    return out.select("_row.*", *[c.alias(k) for k, c in made.items()])
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, sliced, structs
+from .common import documents, free_name, sliced, structs
 
 #: Families of closely related languages (ISO 639-1). A language that is in none is a family of its own.
 FAMILIES = {
@@ -124,27 +124,31 @@ def fit(x: np.ndarray, langs: list[str], families: Mapping[str, tuple[str, ...]]
     return model
 
 
-def train(docs: DataFrame, *, learn_from: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, rows_at_most: int = 6000) -> Model:
-    """Fit on a bounded sample: at most ``per_language`` labelled rows of each language and ``rows_at_most`` in all.
+def train(docs: DataFrame, *, learn_from: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, rows_at_most: int = 6000, most_languages: int = 1000) -> Model:
+    """Fit on a bounded sample: at most ``per_language`` labelled rows of each language and ``rows_at_most`` in all, but up to 20 of each language.
 
-    Labels are counted over all rows; a draw by the hash of the id then thins every language to its bound, so no language is gathered whole.
-    Rows with null label or without letters teach nothing. Without any labelled row every text is undetermined.
+    Labels are counted over all rows; a draw by the hash of id and text then thins every language to its bound, so no language is gathered whole. Repeated rows
+    are one. Rows with null label or without letters teach nothing; of more than ``most_languages`` labels the rarest are not learned. Without any labelled row
+    every text is undetermined.
     """
     labelled = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[lang_col]: r["n"] for r in labelled.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(rows_at_most // 20).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return Model()
     each = min(per_language, max(20, rows_at_most // len(counts)))
     share = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(min(1.0, 1.2 * each / n)))])
-    draw = F.pmod(F.xxhash64(F.lit("train"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit("train"), F.col(id_col), F.col(text_col)), F.lit(1 << 40)) / float(1 << 40)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, float]] = set()
         for batch in batches:
-            known = batch[[has_letter(t) for t in batch["text"]]]
+            new = [key not in seen and not seen.add(key) for key in zip(batch["lang"], batch["draw"], strict=True)]
+            known = batch[new]
+            known = known[[has_letter(t) for t in known["text"]]]
             yield pd.DataFrame({"lang": known["lang"], "draw": known["draw"], "x": [features(t).astype("<f2").tobytes() for t in known["text"]]})
 
     drawn = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).where(F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    rows = drawn.mapInPandas(extract, "lang string, draw double, x binary").collect()
+    rows = drawn.mapInPandas(extract, "lang string, draw double, x binary").dropDuplicates(["lang", "draw"]).collect()
     rows.sort(key=lambda r: (r["draw"], r["lang"], r["x"]))
     kept, taken = [], dict.fromkeys(counts, 0)
     for row in rows:
@@ -159,7 +163,7 @@ def train(docs: DataFrame, *, learn_from: Column, text_col: str = "text", lang_c
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred (a learned language; ``und`` for null or letterless texts) and score (0 to 1; 0 for ``und``).
 
-    Only the whole text is looked at. Columns of these two names are replaced.
+    Only the whole text is looked at, however long; repeated rows get equal results, an empty table none. Columns of these two names are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -167,8 +171,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
         own, shape = held.value, pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
         return lambda texts: structs([own.predict(features(t)) if has_letter(t) else (UNDETERMINED, 0.0) for t in texts], shape)
 
-    found = docs.withColumn("_found", sliced(start, "lang_pred string, score double")(F.col(text_col)))
-    return found.withColumns({c: F.col("_found")[c] for c in ("lang_pred", "score")}).drop("_found")
+    name = free_name(docs, "found")
+    found = docs.withColumn(name, sliced(start, "lang_pred string, score double")(F.col(text_col)))
+    return found.withColumns({c: F.col(name)[c] for c in ("lang_pred", "score")}).drop(name)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, spread, word_array, word_count, written
+from .common import documents, free_name, packed, spread, word_array, word_count, written
 
 #: Hexadecimal digits of the draw that one level of the search for a source's boundary looks at.
 _DIGITS, _LEVELS = 2, 2
@@ -50,14 +50,14 @@ def mix(docs: DataFrame, *, size: Column, weights: Sequence[float] = (5, 2, 1),
     """``docs`` with size, source_size (long), target (double), epochs (whole repetitions), extra (words of one more, partial or
     whole repetition) and taken (long: epochs * size + extra). Columns of these names are replaced.
 
-    A null source is a source of its own. Documents of size 0 take nothing. Repeated rows are drawn each for itself; ties of the draw go by id.
+    A null source is a source of its own. Documents of size 0 (null and empty texts) take nothing; a very long text may be taken in part. An empty table gives none. Repeated rows are drawn each for itself; ties of the draw go by id.
     The draw is a digest of seed and id, so reruns agree. A hot source is never gathered: its boundary is found by sums over digest prefixes,
     and only documents that share the boundary's prefix (one of 65,536) are put in order.
     """
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "epochs", "extra", "taken")]
     draw = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = docs.withColumns({"_size": F.coalesce(size, F.lit(0)).cast("long"), "_draw": draw}).select(*names, F.col("_size").alias("size"), "_draw")
-    base = written(sized.select(F.col(source_col).alias("_source"), "size", F.substring("_draw", 1, _LEVELS * _DIGITS).alias("_draw")), "mix")
+    sized = docs.select(packed(docs.select(*names)).alias("_row"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), draw.alias("_draw"), F.col(source_col).alias("_source"), F.col(id_col).alias("_id"))
+    base = written(sized.select("_source", "size", F.substring("_draw", 1, _LEVELS * _DIGITS).alias("_draw")), "mix")
     sources = base.groupBy("_source").agg(F.sum("size").alias("source_size"))
     sources = written(cyclic_weights(sources, "_source", weights), "mix-sources")
     budget = share * (sources.agg(F.sum("source_size")).first()[0] or 0)
@@ -76,23 +76,24 @@ def mix(docs: DataFrame, *, size: Column, weights: Sequence[float] = (5, 2, 1),
         edge = written(at.select(F.col("_of").alias("_source"), (F.col("_left") - F.col("_before")).alias("_left"), F.col("_step").alias("_prefix")), "mix-edge")
     cuts = plan.drop("_left").join(edge.select(F.col("_source").alias("_edge"), F.col("_left").alias("_rest"), "_prefix"), F.col("_source").eqNullSafe(F.col("_edge")), "left")
     cuts = cuts.select(F.col("_source").alias("_of"), "source_size", "target", "epochs", "_rest", "_prefix")
-    joined = sized.join(spread(cuts), F.col(source_col).eqNullSafe(F.col("_of")), "left").drop("_of")
+    joined = sized.join(spread(cuts), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
     prefix = F.substring("_draw", 1, _LEVELS * _DIGITS)
     # A source without boundary (nothing left, or no words) takes no more.
     away = joined.where(F.col("_prefix").isNull() | (prefix != F.col("_prefix")))
     away = away.withColumn("extra", F.when(prefix < F.col("_prefix"), F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy(source_col).orderBy("_draw", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_source").orderBy("_draw", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     on = joined.where(prefix == F.col("_prefix"))
     on = on.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
     out = away.unionByName(on).withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
-    return out.select(*names, "size", "source_size", "target", "epochs", F.col("extra").cast("long").alias("extra"), "taken")
+    return out.select("_row.*", "size", "source_size", "target", "epochs", F.col("extra").cast("long").alias("extra"), "taken")
 
 
 def repeated(mixed: DataFrame, columns: Sequence[str], *, text_col: str = "text") -> DataFrame:
     """The mix itself: each row of :func:`mix` as often as it is taken. A repetition in part holds the first ``extra`` words, one space between."""
     times = F.col("epochs") + (F.col("extra") > 0).cast("long")
-    rows = mixed.where((times > 0) & (F.col("taken") > 0)).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    part = (F.col("_turn") > F.col("epochs")) & (F.col("extra") < F.col("size"))
+    turn = free_name(mixed, "turn")
+    rows = mixed.where((times > 0) & (F.col("taken") > 0)).withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    part = (F.col(turn) > F.col("epochs")) & (F.col("extra") < F.col("size"))
     text = F.when(part, F.array_join(F.slice(word_array(F.col(text_col)), 1, F.col("extra").cast("int")), " ")).otherwise(F.col(text_col))
     return rows.withColumn(text_col, text).select(*columns)
 

@@ -155,3 +155,43 @@ def test_long_conversations_come_in_parts(spark):
     calls, results = C.extract_calls(others)
     parts = C.format_chats(others, calls, results, {}).orderBy("part").collect()
     assert [(r.part, r.n_messages) for r in parts] == [(0, 64), (1, 64), (2, 22)]
+
+
+def test_calls_of_odd_json(spark):
+    deep = '{"tool_calls":[{"id":"d","name":"f","arguments":' + "[" * 5000 + "]" * 5000 + "}]}"
+    rows = [
+        (1, 0, "assistant", deep), (1, 1, "assistant", '{"tool_calls":[{"id":"cut","name":"f","arguments":{"a":"\\ud83d"}}]}'), (1, 2, "assistant", '{"tool_calls":[{"id":"n","name":"f","arguments":{"a":NaN}}]}'),
+        (1, 3, "assistant", '{"tool_calls":[{"id":"big","name":"f","arguments":1e999}]}'), (1, 4, "tool", '{"tool_call_id":"cut","content":"\\ud83d!"}'), (1, 5, "assistant", None), (1, 6, "assistant", ""), (1, 7, "assistant", '{"tool_calls":[' + ",".join('{"id":"x%d","name":"f","arguments":{}}' % i for i in range(3000)) + "]}"),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    calls, results = C.extract_calls(messages)
+    found = {r.call_id: r.arguments for r in calls.collect()}
+    assert len(found) == 3001 and found["cut"] == '{"a":"\\ud83d"}' and json.loads(found["cut"])
+    assert [(r.call_id, r.content) for r in results.collect()] == [("cut", "\ufffd!")]
+
+
+def test_order_of_calls_against_turns(spark):
+    """Chains against the turns, cycles, and a conversation without id: at once and by rounds alike."""
+    rng = random.Random(2)
+    rows = [(1, t, 0, f"a{t}", [f"a{t + 1}"] if t < 9 else []) for t in range(10)]  # each waits for the next one
+    rows += [(2, t, 0, f"b{t}", [f"b{(t + 1) % 30}"]) for t in range(30)]  # one cycle
+    rows += [(None, t, 0, f"c{t}", [f"c{rng.randrange(t + 1, 40)}"] if t < 39 and rng.random() < 0.5 else [f"c{rng.randrange(0, t)}"] if t and rng.random() < 0.3 else []) for t in range(40)]
+    calls = spark.createDataFrame([(*r, "linked") for r in rows], "conv_id long, turn long, idx int, call_id string, after array<string>, status string")
+    key = lambda r: (r.conv_id is None, r.conv_id or 0, r.turn, r.idx)
+    at_once, by_rounds = (sorted(C.moves(calls, at_once=n).collect(), key=key) for n in (2000, 0))
+    assert at_once == by_rounds
+    assert [(r.turn, r.at, r.hop) for r in at_once if r.conv_id == 1] == [(t, 9, 9 - t) for t in range(9)]
+    assert all(r.cyclic and r.at == r.turn for r in at_once if r.conv_id == 2) and sum(r.conv_id == 2 for r in at_once) == 30
+    placed = {(r.conv_id, r.turn): (r.at, r.hop, r.turn) for r in C.placed(calls, C.moves(calls), F.col("turn"), F.col("idx")).collect()}
+    cyclic = {(r.conv_id, r.turn) for r in at_once if r.cyclic}
+    for conv, turn, _, _, after in rows:
+        for need in after:
+            if (conv, turn) not in cyclic and (conv, int(need[1:])) not in cyclic:
+                assert placed[conv, int(need[1:])] < placed[conv, turn]
+
+
+def test_measured_costs(spark):
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('some words of text ', id), 200)").alias("text"))
+    rules = [Q.Rule("cheap", F.col("doc_id") < 30), Q.Rule("dear", F.length(F.regexp_replace("text", r"(?i)[aeiou]+x?", "")) < 0)]
+    measured = Q.measure(rows, rules)
+    assert abs(measured["cheap"][1] - 0.1) < 1e-9 and measured["dear"][1] == 0 and measured["dear"][0] > 3 * measured["cheap"][0]

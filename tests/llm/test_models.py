@@ -277,8 +277,14 @@ def test_pipeline_stages(spark, texts):
     whole = seen[3][1].select("text").collect()
     last = seen[4][1].collect()
     assert len(last) == len(whole) and sum(r.n_tokens for r in last) == sum(len(T.encoder(T.vocabulary()).tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in whole)
-    odd = texts([(1, None), (2, ""), (3, "12"), (None, "some words"), (4, "some words"), (4, "some words")], extra=False)
+    odd = texts([(1, None), (2, ""), (3, "12"), (None, "some words"), (4, "some words"), (4, "some words"), (5, "x y z " * 60_000)])
     out = odd
     for _, stage in C.STAGES[:-1]:
         out = stage(spark, out, SF)
-    assert out.columns == odd.columns
+        assert out.columns == odd.columns
+        for r in out.collect():  # a user's columns stay what they are
+            assert (r.n_words, r.score, r.size, r.kept, r.spans, r.text_hash, r._row, r.row) == (7, "a", "b", "c", "d", "e", "f", "n")
+    empty = texts([])
+    for _, stage in C.STAGES[:-1]:
+        empty = stage(spark, empty, SF)
+        assert empty.count() == 0
