@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import new_folder, spread, word_count
+from tarnwell.llm.common import free_name, new_folder, packed, spread, word_count
 from tarnwell.llm.decontaminate import decontaminate
 from tarnwell.llm.jaccard_join import jaccard_join
 from tarnwell.llm.language_id import UNDETERMINED, held_out, identify, train
@@ -21,34 +21,45 @@ from tarnwell.llm.token_output import tokens_digest
 LEAST_SCORE = 0.2
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row as one struct, so that columns of an operator and of a user never meet, whatever their names."""
+    return docs.select(packed(docs).alias("row"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter; a guess only if so many languages are learned that its score can be below the bound."""
-    found = identify(docs, train(docs, learn_from=~held_out()))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = identify(whole_rows(docs), train(docs, learn_from=~held_out()), text_col="row.text")
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id in each group. Documents without id are copies of no one; repeated rows stay once."""
-    joined = jaccard_join(docs)
-    away = joined.where(F.col("doc_id") != F.col("class_id")).select("doc_id", "text_hash").distinct()
-    marked = docs.withColumn("text_hash", F.xxhash64("text"))
-    kept = marked.join(spread(away), ["doc_id", "text_hash"], "left_anti")
-    twice = joined.where((F.col("doc_id") == F.col("class_id")) & (F.col("n_links") > 0)).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    joined = jaccard_join(docs.select("doc_id", "text"))
+    name, digest = free_name(docs, "id"), free_name(docs, "hash")
+    own = lambda some: some.select(F.col("doc_id").alias(name), F.col("text_hash").alias(digest))
+    away = own(joined.where(F.col("doc_id") != F.col("class_id"))).distinct()
+    marked = docs.withColumns({name: F.col("doc_id"), digest: F.xxhash64("text")})
+    kept = marked.join(spread(away), [name, digest], "left_anti")
+    twice = own(joined.where((F.col("doc_id") == F.col("class_id")) & (F.col("n_links") > 0))).groupBy(name, digest).agg(F.count("*").alias("n")).where(F.col("n") > 1)
     if twice.take(1):
         again = spread(twice.drop("n"))
-        once = kept.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
-        kept = kept.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(once)
+        once = kept.join(again, [name, digest], "left_semi").dropDuplicates([name, digest])
+        kept = kept.join(again, [name, digest], "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a window of a benchmark item."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(~F.col("contaminated")).select(*docs.columns)
+    found = decontaminate(whole_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text_col="row.text")
+    return found.where(~F.col("contaminated")).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and samples documents so that sources reach their target weights; n_chars follows a text that is taken in part."""
-    return repeated(mix(docs, size=word_count(F.col("text"))), docs.columns).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = whole_rows(docs).withColumn("text", F.col("row.text"))
+    mixed = repeated(mix(rows, size=word_count(F.col("text")), id_col="row.doc_id", source_col="row.source"), ["row", "text"])
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return mixed.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
