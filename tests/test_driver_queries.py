@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tarnwell.plans import driver
+from tarnwell.plans import driver, inventory  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
