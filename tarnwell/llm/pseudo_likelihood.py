@@ -200,6 +200,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def most_frequent(counted: DataFrame, words: int) -> list:
+    """The first ``words`` rows of (word, n) by n, ties by word. A histogram tells which rows can be among them, so that no more come to the driver, however many tasks there are."""
+    steps = F.floor(F.log2("n") * 16)
+    sizes = sorted(((r["step"], r["size"]) for r in counted.groupBy(steps.alias("step")).agg(F.count("*").alias("size")).collect()), reverse=True)
+    held, last = 0, None
+    for step, size in sizes:
+        if held + size >= words:
+            last = (step, size, words - held)
+            break
+        held += size
+    if last is None:
+        found = counted.collect()
+    else:
+        step, size, need = last
+        found = counted.where(steps > step).collect()
+        share = 1.0 if step >= 64 else min(1.0, 1.5 * need / size + 1e-6)
+        while True:  # a step below 16 is one number; its words come by their hash
+            rest = counted.where((steps == step) & (F.col("word") <= int(-(2**63) + share * (2**64 - 1)))).collect() if share < 1 else counted.where(steps == step).collect()
+            if len(rest) >= need:
+                break
+            share = min(1.0, 2 * share)
+        found += rest
+    return sorted(found, key=lambda r: (-r["n"], r["word"]))[:words]
+
+
 def vocabulary(docs: DataFrame, text_col: str, words: int, groups: int) -> Model:
     """Ids of the most frequent words, ties by hash, and counts by id; all words of all texts are counted.
 
@@ -207,7 +232,7 @@ def vocabulary(docs: DataFrame, text_col: str, words: int, groups: int) -> Model
     table of shares is not collected.
     """
     counted = written(docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = counted.orderBy(F.desc("n"), "word").limit(words).collect()
+    top = most_frequent(counted, words)
     hashes = np.array([r["word"] for r in top], dtype=np.int64).astype(np.uint64)
     order = np.argsort(hashes)
     model = Model(hashes[order], order, groups, np.zeros(len(top) + groups), None, np.zeros(groups))

@@ -168,6 +168,16 @@ def test_rare_words_have_shares(spark, texts):
     assert odd.sum() == 3 and abs(found[0].log_likelihood - wanted) < 1e-4 and found[0].log_likelihood > found[1].log_likelihood
 
 
+def test_most_frequent_words(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(w), int(n)) for w, n in zip(rng.integers(-(2**63), 2**63 - 1, 3000), rng.zipf(1.5, 3000).clip(1, 10**6))]
+    counted = spark.createDataFrame(rows, "word long, n long")
+    ranked = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for words in (1, 10, 500, 1500, 2999, 3000, 5000):
+        assert [(r.word, r.n) for r in L.most_frequent(counted, words)] == ranked[:words], words
+    assert L.most_frequent(counted.where("false"), 5) == []
+
+
 def test_context_beats_word_frequencies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     held = F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(4)) == 0
