@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import derive as D
+from ..operators import incremental as I
+from ..operators import modules as M
 from ..session import table
 from .driver import query
 from .estate import NAMED, named_query
@@ -303,3 +305,196 @@ def _register(name: str) -> None:
 
 for _name in NAMED:
     _register(_name)
+
+
+# The module graph: parts are files of four repositories, neighbouring lines of an order import each other.
+
+_PATH = (
+    "CASE WHEN p_partkey < 80 THEN 'src/pkg' || p_partkey % 20 || '/__init__.py' WHEN p_partkey % 10 = 3 THEN 'web/c' || p_partkey % 20 || '/m' || p_partkey || '/index.ts' "
+    "WHEN p_partkey % 10 = 7 THEN 'web/c' || p_partkey % 20 || '/view' || p_partkey || '.tsx' ELSE 'src/pkg' || p_partkey % 20 || '/mod' || p_partkey || '.py' END"
+)
+_NAME = "CASE WHEN p_partkey < 80 THEN 'pkg' || p_partkey % 20 WHEN p_partkey % 10 = 3 THEN 'web/c' || p_partkey % 20 || '/m' || p_partkey || '/index' WHEN p_partkey % 10 = 7 THEN 'web/c' || p_partkey % 20 || '/view' || p_partkey ELSE 'pkg' || p_partkey % 20 || '.mod' || p_partkey END"
+_SCRIPT = "p_partkey >= 80 AND p_partkey % 10 IN (3, 7)"
+FILES_SQL = f"""
+files AS (SELECT p_partkey, p_partkey % 4 AS bundle_id, {_PATH} AS path, {_NAME} AS module, p_partkey < 80 AS is_package, {_SCRIPT} AS script FROM part),
+modules AS (SELECT bundle_id, min(path) AS path, module, bool_or(is_package) AS is_package FROM files GROUP BY bundle_id, module),
+near AS (SELECT DISTINCT a, b, kind FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b, l_linenumber % 3 AS kind FROM lineitem) WHERE b IS NOT NULL AND a <> b),
+imports AS (SELECT DISTINCT x.bundle_id, x.module AS importer, CASE WHEN kind = 1 THEN 1 ELSE 0 END AS level,
+                   CASE WHEN kind = 0 THEN 'pkg' || b % 20 || '.mod' || b WHEN kind = 1 THEN 'mod' || b ELSE 'pkg' || b % 20 END AS target, CASE WHEN kind = 2 THEN 'mod' || b END AS name,
+                   CASE WHEN kind = 0 THEN 'pkg' || b % 20 || '.mod' || b WHEN kind = 1 THEN 'pkg' || a % 20 || '.mod' || b ELSE 'pkg' || b % 20 END AS absolute FROM near JOIN files x ON x.p_partkey = a WHERE NOT x.script),
+bound AS (SELECT i.*, coalesce(s.module, o.module) AS bound FROM imports i LEFT JOIN modules s ON s.bundle_id = i.bundle_id AND s.module = i.absolute || '.' || i.name LEFT JOIN modules o ON o.bundle_id = i.bundle_id AND o.module = i.absolute),
+edges AS (SELECT DISTINCT i.bundle_id, importer AS src, m.module AS dst FROM imports i JOIN modules m ON m.bundle_id = i.bundle_id AND m.module <> i.importer
+          AND (m.module = i.absolute OR contains(i.absolute, '.') AND starts_with(i.absolute, m.module || '.') AND contains(m.module, '.') OR contains(m.module, '.') AND regexp_replace(m.module, '\\.[^.]+$', '') = i.absolute))
+"""
+
+
+def source_tree(spark, sf_dir):
+    """files (bundle_id, path), imports and script imports of the parts."""
+    parts = table(spark, sf_dir, "part")
+    files = spark.sql(f"SELECT p_partkey, p_partkey % 4 AS bundle_id, {_PATH} AS path, {_NAME} AS module, {_SCRIPT} AS script FROM {{p}}", p=parts)
+    near = spark.sql(
+        "SELECT DISTINCT a, b, kind FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b, l_linenumber % 3 AS kind FROM {l}) WHERE b IS NOT NULL AND a <> b",
+        l=table(spark, sf_dir, "lineitem"),
+    )
+    own = near.join(files, F.col("a") == F.col("p_partkey"))
+    imports = own.where("NOT script").selectExpr(
+        "bundle_id", "module AS importer", "CASE WHEN kind = 1 THEN 1 ELSE 0 END AS level", "CASE WHEN kind = 0 THEN 'pkg' || b % 20 || '.mod' || b WHEN kind = 1 THEN 'mod' || b ELSE 'pkg' || b % 20 END AS target", "CASE WHEN kind = 2 THEN 'mod' || b END AS name"
+    ).distinct()
+    scripts = own.where("script").selectExpr("bundle_id", "path", "CASE WHEN kind = 0 THEN '../../c' || b % 20 || '/view' || b WHEN kind = 1 THEN '@web/c' || b % 20 || '/m' || b ELSE 'ui-kit/c' || b % 20 || '/view' || b || '.tsx' END AS spec").distinct()
+    return files.select("bundle_id", "path"), imports, scripts
+
+
+@query(f"WITH {FILES_SQL} SELECT * FROM modules")
+def module_names(spark, sf_dir):
+    return M.module_names(source_tree(spark, sf_dir)[0])
+
+
+@query(f"WITH {FILES_SQL} SELECT bundle_id, importer, level, target, name, absolute, bound AS module, CASE WHEN bound IS NULL THEN regexp_extract(absolute, '^[^.]+') END AS package FROM bound")
+def bound_imports(spark, sf_dir):
+    files, imports, _ = source_tree(spark, sf_dir)
+    return M.bound_imports(imports, M.module_names(files))
+
+
+@query(f"WITH {FILES_SQL} SELECT * FROM edges")
+def dependency_edges(spark, sf_dir):
+    files, imports, _ = source_tree(spark, sf_dir)
+    modules = M.module_names(files)
+    return M.dependency_edges(M.bound_imports(imports, modules), modules)
+
+
+@query(
+    f"""WITH RECURSIVE {FILES_SQL}, changed AS (SELECT bundle_id, module FROM modules WHERE module = 'pkg3' OR module LIKE '%.mod%5'),
+seen AS (SELECT bundle_id, module FROM changed UNION SELECT e.bundle_id, e.src FROM seen s JOIN edges e ON e.bundle_id = s.bundle_id AND e.dst = s.module)
+SELECT * FROM seen UNION SELECT i.bundle_id, i.importer FROM imports i JOIN changed c ON c.bundle_id = i.bundle_id AND c.module = 'pkg3' WHERE i.absolute = 'pkg3' OR starts_with(i.absolute, 'pkg3.')"""
+)
+def widened_affected(spark, sf_dir):
+    files, imports, _ = source_tree(spark, sf_dir)
+    modules = M.module_names(files)
+    bound = M.bound_imports(imports, modules)
+    changed = modules.where("module = 'pkg3' OR module LIKE '%.mod%5'").select("bundle_id", "module")
+    return M.affected_modules(changed, M.dependency_edges(bound, modules), bound, modules.where("module = 'pkg3'"))
+
+
+@query(
+    f"""WITH {FILES_SQL}, s AS (SELECT DISTINCT x.bundle_id, x.path, kind, b % 20 AS c, b,
+    CASE WHEN kind = 0 THEN '../../c' || b % 20 || '/view' || b WHEN kind = 1 THEN '@web/c' || b % 20 || '/m' || b ELSE 'ui-kit/c' || b % 20 || '/view' || b || '.tsx' END AS spec FROM near JOIN files x ON x.p_partkey = a WHERE x.script),
+t AS (SELECT *, CASE WHEN kind = 0 THEN CASE WHEN path LIKE '%/index.ts' THEN 'web/c' ELSE 'c' END || c || '/view' || b WHEN kind = 1 THEN 'web/c' || c || '/m' || b || '/index' ELSE 'web/c' || c || '/view' || b END AS meant FROM s)
+SELECT t.bundle_id, t.path, t.spec, coalesce(m.module, t.spec) AS module FROM t LEFT JOIN modules m ON m.bundle_id = t.bundle_id AND m.module = t.meant"""
+)
+def script_imports(spark, sf_dir):
+    files, _, scripts = source_tree(spark, sf_dir)
+    bundles = files.select("bundle_id").distinct()
+    return M.script_imports(scripts, M.module_names(files), bundles.selectExpr("bundle_id", "'@web' AS prefix", "'web' AS folder"), bundles.selectExpr("bundle_id", "'ui-kit' AS prefix", "'./web' AS folder"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT p_partkey % 4 AS bundle_id, p_partkey AS k, p_partkey - 4 AS t FROM part WHERE p_partkey % 20 IN (4, 8, 12, 16) OR p_partkey % 40 = 0 AND p_partkey > 0),
+w AS (SELECT p_partkey % 4 AS bundle_id, p_partkey AS k, p_partkey AS here, 0 AS n FROM part UNION ALL SELECT w.bundle_id, w.k, e.t, n + 1 FROM w JOIN e ON e.k = w.here WHERE n < 4)
+SELECT bundle_id, 'm' || k AS module, 'X' || k % 3 AS name, 'm' || arg_max(here, n) AS canonical_module, 'X' || k % 3 AS canonical_name FROM w GROUP BY bundle_id, k"""
+)
+def canonical_names(spark, sf_dir):
+    """Names followed through chains of re-exports, four steps at most."""
+    parts = table(spark, sf_dir, "part")
+    names = parts.selectExpr("p_partkey % 4 AS bundle_id", "'m' || p_partkey AS module", "'X' || p_partkey % 3 AS name")
+    chained = parts.where("p_partkey % 20 IN (4, 8, 12, 16) OR p_partkey % 40 = 0 AND p_partkey > 0")
+    exports = chained.selectExpr("p_partkey % 4 AS bundle_id", "'m' || p_partkey AS module", "explode(array('X0', 'X1', 'X2')) AS name", "'m' || (p_partkey - 4) AS to_module").withColumn("to_name", F.col("name"))
+    return M.canonical_names(names, exports)
+
+
+@query(
+    f"""WITH {FILES_SQL}, ev AS (SELECT f.bundle_id, l_orderkey AS fact_id, l_linenumber AS pos, f.path FROM lineitem JOIN files f ON f.p_partkey = l_partkey)
+SELECT e.bundle_id, e.fact_id, first(m.module ORDER BY e.pos, m.module) AS module FROM (SELECT bundle_id, fact_id, path, min(pos) AS pos FROM ev GROUP BY ALL) e JOIN modules m ON m.bundle_id = e.bundle_id AND m.path = e.path GROUP BY e.bundle_id, e.fact_id"""
+)
+def evidence_modules(spark, sf_dir):
+    files = source_tree(spark, sf_dir)[0]
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    paths = spark.sql(f"SELECT p_partkey, p_partkey % 4 AS bundle_id, {_PATH} AS path FROM {{p}}", p=table(spark, sf_dir, "part"))
+    evidence = lines.join(paths, F.col("l_partkey") == F.col("p_partkey")).select("bundle_id", F.col("l_orderkey").alias("fact_id"), F.col("l_linenumber").alias("pos"), "path")
+    return M.modules_of_evidence(evidence, M.module_names(files))
+
+
+@query(
+    """WITH r AS (SELECT s_nationkey AS bundle_id, 'supplier ' || right(s_name, 9) AS f, 'SUPPLIER_' || lpad(CAST(s_suppkey + 1 AS VARCHAR), 9, '0') AS t FROM supplier)
+SELECT DISTINCT a.s_nationkey AS bundle_id, a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND b.s_suppkey = a.s_suppkey + 1"""
+)
+def named_routes(spark, sf_dir):
+    """Suppliers of a nation route to the next one of the same nation, by names that are written in other ways."""
+    suppliers = table(spark, sf_dir, "supplier")
+    agents = suppliers.selectExpr("s_nationkey AS bundle_id", "s_suppkey AS agent_id", "s_name AS name")
+    routes = suppliers.selectExpr("s_nationkey AS bundle_id", "'supplier ' || right(s_name, 9) AS from_name", "'SUPPLIER_' || lpad(CAST(s_suppkey + 1 AS STRING), 9, '0') AS to_name")
+    return M.routes_by_name(routes, agents, F.regexp_replace(F.lower("name"), "[^a-z0-9]+", ""))
+
+
+# Incremental scans: customers are repositories, their orders are what changed.
+
+_GLOBAL = "CASE o_orderkey % 97 WHEN 0 THEN 'web/package.json' WHEN 1 THEN 'deps/requirements-dev.txt' ELSE 'src/f' || o_orderkey || '.py' END"
+_CURRENT = (
+    "c_custkey AS bundle_id, c_custkey % 13 <> 0 AS base_available, CASE WHEN c_custkey % 17 = 0 THEN '2' ELSE '1' END AS scanner_version, '7' AS analysis_version, CASE WHEN c_custkey % 19 = 0 THEN 'b' ELSE 'a' END AS rulepacks, "
+    "'d' || c_custkey AS deps_hash, CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE 't' END AS tsconfig_hash, 'o' AS org_pack_hash, CASE WHEN c_custkey % 29 = 0 THEN ',src' ELSE ',' END AS source_roots"
+)
+_MANIFEST = "c_custkey AS bundle_id, 'c' || c_custkey % 3 AS last_commit, '1' AS scanner_version, '7' AS analysis_version, 'a' AS rulepacks, 'd' || c_custkey AS deps_hash, 't' AS tsconfig_hash, 'o' AS org_pack_hash, ',' AS source_roots"
+
+
+def _manifests(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    return spark.sql(f"SELECT {_MANIFEST} FROM {{c}} WHERE c_custkey % 11 <> 0", c=customers), spark.sql(f"SELECT {_CURRENT}, 'c' || c_custkey % 2 AS head_commit, c_custkey % 5 <> 0 AS record_present FROM {{c}}", c=customers)
+
+
+@query(f"SELECT o_orderkey, {_GLOBAL} AS path, o_orderkey % 97 < 2 AS global FROM orders")
+def global_signals(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_GLOBAL} AS path")
+    return rows.withColumn("global", I.is_global_signal(F.col("path")))
+
+
+@query(
+    f"""WITH c AS (SELECT {_CURRENT} FROM customer), f AS (SELECT o_custkey, count(*) AS n, bool_or(o_orderkey % 97 < 2) AS g FROM orders GROUP BY o_custkey),
+r AS (SELECT c.*, n, CASE WHEN bundle_id % 11 = 0 THEN 'no prior scan for this bundle' WHEN NOT base_available THEN 'base commit unavailable for diff' WHEN scanner_version <> '1' THEN 'scanner version changed' WHEN rulepacks <> 'a' THEN 'rulepack versions changed'
+             WHEN tsconfig_hash IS NULL THEN 'tsconfig changed' WHEN source_roots <> ',' THEN 'source-root layout changed' WHEN g THEN 'diff touches a global resolution input' END AS reason FROM c LEFT JOIN f ON o_custkey = bundle_id)
+SELECT bundle_id, CASE WHEN reason IS NULL THEN 'incremental' ELSE 'full' END AS mode, coalesce(reason, coalesce(n, 0) || ' file(s) changed') AS reason FROM r"""
+)
+def scan_decisions(spark, sf_dir):
+    manifests, current = _manifests(spark, sf_dir)
+    changed = table(spark, sf_dir, "orders").selectExpr("o_custkey AS bundle_id", f"{_GLOBAL} AS path")
+    return I.decisions(manifests, current, changed)
+
+
+@query("SELECT c_custkey AS bundle_id, 'c' || c_custkey % 2 AS head_commit, c_custkey % 11 <> 0 AND c_custkey % 3 = c_custkey % 2 AND c_custkey % 5 <> 0 AND c_custkey % 17 <> 0 AND c_custkey % 19 <> 0 AS skip FROM customer")
+def scan_skips(spark, sf_dir):
+    return I.skipped(*_manifests(spark, sf_dir))
+
+
+@query(
+    f"""SELECT * FROM (SELECT {_MANIFEST} FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 4 <> 0)
+UNION ALL SELECT * FROM (SELECT c_custkey AS bundle_id, 'new' AS last_commit, '2' AS scanner_version, '7' AS analysis_version, 'a' AS rulepacks, 'd' AS deps_hash, 't' AS tsconfig_hash, 'o' AS org_pack_hash, ',' AS source_roots FROM customer WHERE c_custkey % 4 = 0)"""
+)
+def manifest_upsert(spark, sf_dir):
+    new = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").selectExpr("c_custkey AS bundle_id", "'new' AS last_commit", "'2' AS scanner_version", "'7' AS analysis_version", "'a' AS rulepacks", "'d' AS deps_hash", "'t' AS tsconfig_hash", "'o' AS org_pack_hash", "',' AS source_roots")
+    return I.updated_manifests(_manifests(spark, sf_dir)[0], new)
+
+
+@query(
+    """WITH f AS (SELECT c_nationkey AS bundle_id, sha256('f' || c_custkey || chr(0) || sha256(c_name)) AS h FROM customer),
+h AS (SELECT bundle_id, count(*) AS n, """ + ", ".join(f"CAST(sum(CAST(('0x' || h[{a + 1} : {a + 15}])::BIGINT AS HUGEINT)) AS VARCHAR) AS s{a}" for a in (0, 15, 30, 45)) + """ FROM f GROUP BY bundle_id)
+SELECT bundle_id, sha256(n || '|' || s0 || '|' || s15 || '|' || s30 || '|' || s45) AS files_hash FROM h"""
+)
+def bundle_hashes(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("bundle_id"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("path"), F.sha2("c_name", 256).alias("content_hash"))
+    return I.files_hash(rows)
+
+
+@query(
+    """WITH v AS (SELECT o_orderkey AS fact_id, o_custkey % 25 AS bundle_id, unnest([1, 2, 3]) AS pos, unnest(['K' || o_orderkey % 9, 'K' || o_orderkey % 5, 'Z' || o_orderkey % 4]) AS key FROM orders),
+d AS (SELECT DISTINCT bundle_id, fact_id, key, min(pos) OVER (PARTITION BY bundle_id, fact_id, key) AS pos FROM v WHERE key NOT IN ('K7', 'Z1', 'Z2', 'Z3')),
+r AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, fact_id ORDER BY pos) AS n FROM d)
+SELECT bundle_id, fact_id, string_agg(key || '=v' || right(key, 1), ',' ORDER BY pos) AS chips FROM r WHERE n <= 2 GROUP BY bundle_id, fact_id"""
+)
+def environment_chips(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    values = orders.selectExpr("o_custkey % 25 AS bundle_id", "o_orderkey AS fact_id", "'https://env:K' || o_orderkey % 9 || '/env:K' || o_orderkey % 5 || '/env:Z' || o_orderkey % 4 AS value")
+    defaults = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS bundle_id", "explode(array('K0', 'K1', 'K2', 'K3', 'K4', 'K5', 'K6', 'K8', 'Z0')) AS key").withColumn("value", F.concat(F.lit("v"), F.right("key", F.lit(1))))
+    return I.used_defaults(defaults, values).withColumn("chips", F.array_join("chips", ","))
+
+
+@query("SELECT o_custkey % 25 AS bundle_id, o_orderpriority AS reason, count(*) AS n FROM orders GROUP BY ALL")
+def health_counters(spark, sf_dir):
+    return I.health(table(spark, sf_dir, "orders").selectExpr("o_custkey % 25 AS bundle_id", "o_orderpriority AS reason"))
