@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import SECRET_PATTERNS, first_kind, package_name, path_language, path_location, redact
+from ..functions.scalars import PROVIDER_HOSTS, PROVIDER_WILDCARDS, package_name, path_language, path_location, redact
 from ..operators.relational import top_per_key
 
 SKIPPED = r"(^|/)(\.git|node_modules|__pycache__|venv)(/|$)"
@@ -14,16 +19,31 @@ SOURCE_EXTENSIONS = ("py", "ts", "tsx", "js", "jsx", "mjs", "cjs")
 #: A larger file is listed, but its text is empty.
 MAX_BYTES = 1_000_000
 
-# Packages that mark the use of language models.
+# Packages that mark the use of language models, as manifests name them.
 AI_PACKAGES = (
     "openai", "anthropic", "langchain", "langgraph", "crewai", "llama-index", "llama_index", "litellm", "google-genai", "google-generativeai", "mistralai", "cohere", "groq", "together", "boto3",
     "semantic-kernel", "semantic_kernel", "autogen", "autogen-agentchat", "autogen-ext", "pydantic-ai", "pydantic_ai", "mcp",
 )
+# The same as Python code imports them (patterns), and as JavaScript does.
+AI_MODULES = ("openai", "anthropic", r"langchain\w*", "langgraph", "crewai", "llama_index", "litellm", r"google\.genai", r"google\.generativeai", "mistralai", "cohere", "groq", "together", "boto3", "semantic_kernel", r"autogen\w*", "pydantic_ai", "mcp")
+AI_SCRIPTS = ("openai", "ai", "langchain", "llamaindex", r"@openai/[\w-]+", "@anthropic-ai/sdk", r"@langchain/[\w-]+", r"@ai-sdk/[\w-]+", "@azure/openai", r"@google/gen[\w-]+", "@mistralai/mistralai", "@aws-sdk/client-bedrock-runtime", "@modelcontextprotocol/sdk")
+# Npm packages, exact and by prefix.
+NPM_PACKAGES = (
+    "openai", "ai", "langchain", "llamaindex", "cohere-ai", "groq-sdk", "together-ai", "@openai/agents", "@openai/agents-core", "@anthropic-ai/sdk", "@azure/openai", "@azure-rest/ai-inference", "@google/generative-ai",
+    "@google/genai", "@mistralai/mistralai", "@aws-sdk/client-bedrock-runtime", "@modelcontextprotocol/sdk", "crewai-ts",
+)
+NPM_PREFIXES = ("@langchain/", "@ai-sdk/", "@openai/")
+# Manifests, prompt files, paths of chat calls, signs of HTTP clients.
+MANIFESTS = ("pyproject.toml", "poetry.lock", "Pipfile", "setup.py", "setup.cfg")
+PROMPT_FILES = (".mcp.json", "mcp.json", "SKILL.md")
 CHAT_PATHS = ("/chat/completions", "/v1/messages", ":generateContent", "/converse")
+HTTP_SIGNS = ("requests.", "httpx.", "aiohttp.", "urllib", "fetch(", "axios", "got.", ".post(")
+TEXT_FILES = r"\.(py|md|txt|json|yaml|yml|toml|cfg|ts|tsx|js|jsx|mjs|cjs)$"
+SIGNALS = ("manifest_ai_package", "manifest_ai_package_js", "prompt_artefact", "sdk_import", "org_wrapper_import", "llm_host", "chat_path_fragment", "model_near_messages")
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root``: path (relative), text (UTF-8, invalid bytes replaced), n_bytes, ext, language, location.
+    """Files below ``root``: path (relative), text (UTF-8, invalid bytes replaced; empty over ``MAX_BYTES``), content_hash (of all bytes), n_bytes, ext, language, location.
 
     Spark lists no empty files and none whose name starts with a dot.
     """
@@ -31,7 +51,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     prefix = "/" + root.removeprefix("file:").strip("/") + "/"
     relative = F.replace(F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/"), F.lit(prefix), F.lit(""))
     text = F.when(F.col("length") <= MAX_BYTES, F.make_valid_utf8(F.col("content").cast("string"))).otherwise("")
-    rows = files.select(relative.alias("path"), text.alias("text"), F.col("length").alias("n_bytes"))
+    rows = files.select(relative.alias("path"), text.alias("text"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("n_bytes"))
     rows = rows.where(~F.col("path").rlike(SKIPPED))
     return rows.withColumns({"ext": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)), "language": path_language(F.col("path")), "location": path_location(F.col("path"))})
 
@@ -45,39 +65,168 @@ def census(files: DataFrame) -> DataFrame:
     return files.groupBy("ext").agg(F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes"))
 
 
-def triage(files: DataFrame, most: int = 10) -> DataFrame:
-    """(signal, path): the first files of each sign of model use, at most ``most`` a sign. None means that a scan can stop."""
-    names = "|".join(AI_PACKAGES)
-    imported = F.col("text").rlike(rf"(?m)^\s*(?:from|import)\s+(?:{names.replace('-', '_')})\b")
-    declared = F.col("path").rlike(r"(^|/)(pyproject\.toml|poetry\.lock|Pipfile|setup\.py|setup\.cfg|requirements[^/]*\.txt)$") & F.col("text").rlike(rf"(?<![A-Za-z0-9_-])(?:{names})(?![A-Za-z0-9_-])")
-    chat = F.lit(False)
-    for fragment in CHAT_PATHS:
-        chat = chat | F.col("text").contains(fragment)
-    near = F.col("text").rlike(r"(?s)['\"]?model['\"]?.{0,300}['\"](?:messages|prompt|input)['\"]|['\"](?:messages|prompt|input)['\"].{0,300}['\"]model['\"]") & F.col("text").rlike(r"requests\.|httpx\.|aiohttp\.|urllib|fetch\(|axios|got\.|\.post\(")
-    signs = {"manifest": declared, "sdk_import": imported & F.col("ext").isin("py"), "endpoint": chat, "payload": near, "artefact": F.col("path").rlike(r"(^|/)(\.?mcp\.json|SKILL\.md)$"), "secret": first_kind(F.col("text"), SECRET_PATTERNS).isNotNull()}
-    hits = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in signs.items()]))
-    return top_per_key(files.select("path", F.explode(hits).alias("signal")), ["signal"], [F.col("path")], most).select("signal", "path")
+def _base(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*)$", 1)
+
+
+def _first(text: Column, needles: Sequence[str]) -> Column:
+    return F.coalesce(*[F.when(F.contains(text, F.lit(n)), F.lit(n)) for n in needles])
+
+
+def signals(files: DataFrame, gateways: Sequence[str] = (), wrappers: Sequence[str] = ()) -> DataFrame:
+    """(signal, path, token): every sign of model use in every file. ``gateways`` are the organisation's hosts, ``wrappers`` its packages around models."""
+    path, text = F.col("path"), F.col("text")
+    base = _base(path)
+    manifest = base.isin(*MANIFESTS) | (base.startswith("requirements") & base.endswith(".txt"))
+    named = F.array(*[F.when(text.rlike(rf"(?<![A-Za-z0-9_-]){re.escape(p)}(?![A-Za-z0-9])"), p) for p in AI_PACKAGES])
+    parsed = F.from_json(text, "struct<dependencies:map<string,string>,devDependencies:map<string,string>>")
+    keys = F.array_union(*[F.coalesce(F.map_keys(parsed[c]), F.array().cast("array<string>")) for c in ("dependencies", "devDependencies")])
+    npm = F.filter(keys, lambda k: k.isin(*NPM_PACKAGES) | reduce(Column.__or__, [k.startswith(p) for p in NPM_PREFIXES]))
+    prompt = base.isin(*PROMPT_FILES) | base.endswith(".prompt") | (base.startswith("system") & base.endswith(".md")) | F.contains(F.concat(F.lit("/"), path), F.lit("/prompts/"))
+    readable, python, script = path.rlike(TEXT_FILES), path.endswith(".py"), path.rlike(r"\.(ts|tsx|js|jsx|mjs|cjs)$")
+    imported = F.when(python, F.regexp_extract(text, rf"(?m)^\s*(?:from|import)\s+({'|'.join(AI_MODULES)})\b", 1)).when(script, F.regexp_extract(text, rf"(?:from|require\(\s*)\s*['\"]({'|'.join(AI_SCRIPTS)})['\"]", 1))
+    wrapped = F.array(*[F.when(python & text.rlike(rf"(?m)^\s*(?:from|import)\s+{re.escape(w)}\b"), w) for w in wrappers])
+    needles = (*PROVIDER_HOSTS, *(w.replace("*.", ".").replace(".*", ".") for w in PROVIDER_WILDCARDS), *gateways)
+    near = text.rlike(r"(?s)['\"]model['\"].{0,300}['\"](messages|prompt|input)['\"]|['\"](messages|prompt|input)['\"].{0,300}['\"]model['\"]") & _first(text, HTTP_SIGNS).isNotNull()
+    found = {
+        "manifest_ai_package": F.when(manifest, named), "manifest_ai_package_js": F.when(base == "package.json", npm), "prompt_artefact": F.array(F.when(prompt, "")), "sdk_import": F.when(readable, F.array(F.nullif(imported, F.lit("")))),
+        "org_wrapper_import": wrapped if wrappers else None, "llm_host": F.when(readable, F.array(_first(text, needles))), "chat_path_fragment": F.when(readable, F.array(_first(text, CHAT_PATHS))),
+        "model_near_messages": F.when(readable & near, F.array(F.lit(""))),
+    }
+    none = F.array().cast("array<string>")
+
+    def of(signal: str, tokens: Column) -> Column:
+        return F.transform(F.coalesce(F.array_compact(tokens), none), lambda t: F.struct(F.lit(signal).alias("signal"), t.alias("token")))
+
+    rows = F.flatten(F.array(*[of(signal, tokens) for signal, tokens in found.items() if tokens is not None]))
+    return files.select("path", F.explode(rows).alias("s")).select("s.signal", "path", "s.token")
+
+
+def triage(files: DataFrame, most: int = 10, gateways: Sequence[str] = (), wrappers: Sequence[str] = ()) -> DataFrame:
+    """(signal, evidence): of each sign of model use the first ``most`` pieces of evidence, ``path`` or ``path:token``. None means that a scan can stop."""
+    rows = signals(files, gateways, wrappers).distinct()
+    first = top_per_key(rows, ["signal"], [F.col("path"), F.col("token")], most)
+    return first.select("signal", F.when(F.col("token") == "", F.col("path")).otherwise(F.concat_ws(":", "path", "token")).alias("evidence"))
 
 
 def declared_versions(files: DataFrame) -> DataFrame:
-    """(package, version, path) of ``name==version`` lines of requirement files; the last line of a package wins."""
-    wanted = files.where(F.col("path").rlike(r"(^|/)requirements[^/]*\.txt$"))
-    lines = wanted.select("path", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    found = lines.select("path", "at", package_name(F.regexp_extract("line", r"^\s*([A-Za-z0-9._-]+)\s*==\s*([^\s;#]+)", 1)).alias("package"), F.regexp_extract("line", r"^\s*([A-Za-z0-9._-]+)\s*==\s*([^\s;#]+)", 2).alias("version"))
-    return found.where(F.col("package") != "").groupBy("package").agg(F.max(F.struct("path", "at", "version")).alias("m")).select("package", "m.version", "m.path")
+    """(package, version, path): ``name==version`` lines of requirement files at the root, then poetry.lock, then uv.lock; the last one of a package wins."""
+    base, root = _base(F.col("path")), ~F.contains(F.col("path"), F.lit("/"))
+    wanted = files.where(root & base.startswith("requirements") & base.endswith(".txt"))
+    pattern = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*==\s*([^\s;#]+)"
+    lines = wanted.select("path", F.posexplode(F.split("text", "\n")).alias("at", "line")).select(F.lit(0).alias("rank"), "path", "at", F.regexp_extract("line", pattern, 1).alias("name"), F.regexp_extract("line", pattern, 2).alias("version"))
+    block = r'(?m)^\[\[package\]\]\s*\nname = "([^"]+)"\s*\nversion = "([^"]+)"'
+    locks = files.where(F.col("path").isin("poetry.lock", "uv.lock"))
+    each = F.arrays_zip(F.regexp_extract_all("text", F.lit(block), F.lit(1)).alias("name"), F.regexp_extract_all("text", F.lit(block), F.lit(2)).alias("version"))
+    locked = locks.select("path", F.posexplode(each).alias("at", "p")).select(F.when(F.col("path") == "poetry.lock", 1).otherwise(2).alias("rank"), "path", "at", "p.name", "p.version")
+    found = lines.where(F.col("name") != "").unionByName(locked).withColumn("package", package_name(F.col("name")))
+    return found.groupBy("package").agg(F.max(F.struct("rank", "path", "at", "version")).alias("m")).select("package", "m.version", "m.path")
+
+
+def npm_versions(files: DataFrame) -> DataFrame:
+    """(package, version) of package-lock.json at the root, and of pnpm-lock.yaml for packages that it lacks."""
+    lock = files.where("path = 'package-lock.json'").select(F.explode(F.from_json("text", "struct<packages:map<string,struct<version:string>>>")["packages"]).alias("key", "meta"))
+    first = lock.where(F.col("key").startswith("node_modules/") & F.col("meta.version").isNotNull()).select(F.lit(0).alias("rank"), F.substring("key", 14, 1 << 20).alias("package"), F.col("meta.version").alias("version"), F.lit(0).alias("at"))
+    line = r"^\s*['\"]?/?((?:@[^/@\s]+/)?[^@/\s'\"]+)[@/](\d[^:()'\"\s]*)(?:\([^)]*\))*['\"]?:\s*$"
+    pnpm = files.where("path = 'pnpm-lock.yaml'").select(F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    second = pnpm.select(F.lit(1).alias("rank"), F.regexp_extract("line", line, 1).alias("package"), F.regexp_extract("line", line, 2).alias("version"), "at").where(F.col("package") != "")
+    return first.unionByName(second).groupBy("package").agg(F.min(F.struct("rank", "at", "version"))["version"].alias("version"))
+
+
+def script_aliases(files: DataFrame) -> DataFrame:
+    """(prefix, folder) of the path aliases of all tsconfig.json files (comments are allowed); the first target of each counts."""
+    shape = "struct<compilerOptions:struct<baseUrl:string,paths:map<string,array<string>>>>"
+    rows = files.where(_base(F.col("path")) == "tsconfig.json").select(F.regexp_replace("path", r"/?[^/]+$", "").alias("at"), F.from_json("text", shape, {"allowComments": "true"})["compilerOptions"].alias("o"))
+    each = rows.select("at", F.col("o.baseUrl").alias("base"), F.explode("o.paths").alias("alias", "targets")).where(F.size("targets") > 0)
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"[*]+$", ""), r"/+$", "")
+    step = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^[./]+", "")
+    folder = F.array_join(F.filter(F.array(F.col("at"), step(F.col("base")), step(F.get("targets", 0))), lambda p: p != ""), "/")
+    return each.select(bare(F.col("alias")).alias("prefix"), bare(folder).alias("folder"))
+
+
+def workspaces(files: DataFrame) -> DataFrame:
+    """(prefix, folder): names of the packages that lie below the root, and where."""
+    inner = files.where((_base(F.col("path")) == "package.json") & F.contains(F.col("path"), F.lit("/")) & ~F.col("path").rlike(SKIPPED))
+    return inner.select(F.from_json("text", "struct<name:string>")["name"].alias("prefix"), F.regexp_replace("path", r"/[^/]+$", "").alias("folder")).where(F.col("prefix").isNotNull())
+
+
+def yaml_environment(text: str) -> list[tuple[str, str]]:
+    """Keys and values of ``environment:`` maps and lists, and of ``env:`` lists of name and value, by indentation."""
+    found, block, name = [], None, None
+    for line in text.splitlines():
+        body = line.strip()
+        if not body or body.startswith("#"):
+            continue
+        indent = len(line) - len(line.lstrip())
+        if block and (indent < block[1] or (indent == block[1] and not body.startswith("-"))):
+            block = name = None
+        if m := re.fullmatch(r"(?:-\s+)?(environment|env):", body):
+            block = (m[1], indent)
+            continue
+        if block is None:
+            continue
+        if block[0] == "environment":
+            m = re.fullmatch(r"-\s+['\"]?([^=\s'\"]+)\s*=(.*?)['\"]?", body) or re.fullmatch(r"['\"]?([A-Za-z_][\w.-]*)['\"]?:\s+(.+)", body)
+            if m:
+                found.append((m[1], m[2].strip().strip("'\"")))
+        elif m := re.fullmatch(r"-?\s*name:\s*['\"]?([^'\"\s]+)['\"]?", body):
+            name = m[1]
+        elif (m := re.fullmatch(r"-?\s*value:\s*(.+)", body)) and name:
+            found.append((name, m[1].strip().strip("'\"")))
+            name = None
+    return found
+
+
+def environment_defaults(files: DataFrame, most_files: int = 200, most_bytes: int = 256 << 10) -> DataFrame:
+    """(key, value, path, form) of dotenv files, compose files and manifests, the first ``most_files`` of at most ``most_bytes`` by path; secrets are redacted.
+
+    form is example for files that are called so, else pinned.
+    """
+    base = F.lower(_base(F.col("path")))
+    dotenv = base.rlike(r"^(.*\.)?env(\..*)?$|env\.example$|\.env\.sample$")
+    yaml = base.rlike(r"\.ya?ml$") & (base.startswith("docker-compose") | F.col("path").rlike(r"(^|/)(infra|k8s|kubernetes|deploy|manifests)/"))
+    wanted = files.where((dotenv | yaml) & (F.col("n_bytes") <= most_bytes) & ~F.col("path").rlike(SKIPPED)).withColumn("_yaml", yaml)
+    wanted = wanted.orderBy("path").limit(most_files)
+    line = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=(.*)$"
+    lines = wanted.where("NOT _yaml").select("path", F.explode(F.split("text", "\n")).alias("line"))
+    raw = F.trim(F.regexp_extract("line", line, 2))
+    quoted = F.regexp_extract(raw, r"""^(['"])(.*)\1$""", 2)
+    value = F.when(raw.rlike(r"""^(['"]).*\1$"""), quoted).otherwise(F.trim(F.regexp_replace(raw, r" #.*$", "")))
+    plain = lines.select(F.regexp_extract("line", line, 1).alias("key"), value.alias("value"), "path")
+
+    def walk(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"key": k, "value": v} for k, v in yaml_environment(t)])
+
+    nested = wanted.where("_yaml").select("path", F.explode(F.pandas_udf(walk, "array<struct<key:string,value:string>>")("text")).alias("e")).select("e.key", "e.value", "path")
+    rows = plain.unionByName(nested).where("key <> '' AND value <> ''")
+    form = F.when(F.lower(_base(F.col("path"))).rlike("example|sample"), "example").otherwise("pinned")
+    return rows.select("key", redact(F.col("value")).alias("value"), "path", form.alias("form")).distinct()
+
+
+def matched_configs(files: DataFrame, rules: Mapping[str, str]) -> DataFrame:
+    """(rule, path): files whose path matches a rule's pattern (``*`` within a folder, ``**`` across folders)."""
+    step = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    patterns = {rule: "^" + "".join(step.get(part, re.escape(part)) for part in re.split(r"(\*\*/|\*\*|\*|\?)", glob)) + "$" for rule, glob in rules.items()}
+    hits = F.array_compact(F.array(*[F.when(F.col("path").rlike(p), F.lit(rule)) for rule, p in patterns.items()]))
+    return files.select(F.explode(hits).alias("rule"), "path")
+
+
+def declared_agents(files: DataFrame) -> DataFrame:
+    """(name, prompts): folders ``prompts/agents/<name>`` that hold system, task or prompt files, and these files in order."""
+    pattern = r"(?:^|/)prompts/agents/([^/]+)/(?i:system|task|prompt)[^/]*\.(?i:md|txt|prompt)$"
+    named = files.select(F.regexp_extract("path", pattern, 1).alias("name"), "path").where(F.col("name") != "")
+    return named.groupBy("name").agg(F.array_sort(F.collect_set("path")).alias("prompts"))
 
 
-def environment_defaults(files: DataFrame) -> DataFrame:
-    """(key, value, path) of dotenv files; quotes are stripped and secrets redacted."""
-    wanted = files.where(F.col("path").rlike(r"(^|/)[^/]*\.env([.][^/]*)?$"))
-    lines = wanted.select("path", F.explode(F.split("text", "\n")).alias("line"))
-    key, value = F.regexp_extract("line", r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=", 1), F.trim(F.regexp_extract("line", r"=(.*)$", 1))
-    bare = F.regexp_replace(value, r"""^(['"])(.*)\1$""", "$2")
-    return lines.select(key.alias("key"), redact(bare).alias("value"), "path").where(F.col("key") != "").distinct()
+def front_matter(text: Column) -> Column:
+    """Scalar keys of YAML front matter as a map; null without any."""
+    block = F.regexp_extract(text, r"(?s)^---\r?\n(.*?)\r?\n---", 1)
+    pairs = F.filter(F.transform(F.split(block, r"\r?\n"), lambda x: F.struct(F.regexp_extract(x, r"^([A-Za-z_][\w-]*):", 1).alias("key"), F.regexp_replace(F.trim(F.regexp_extract(x, r"^[^:]+:(.*)$", 1)), r"""^(['"])(.*)\1$""", "$2").alias("value"))), lambda p: p["key"] != "")
+    return F.when(block != "", F.map_from_entries(pairs))
 
 
 def changed_paths(base: DataFrame, head: DataFrame) -> DataFrame:
-    """Paths that were added, removed or whose text differs between two trees."""
-    a, b = (t.select("path", F.sha2("text", 256).alias(c)) for t, c in ((base, "a"), (head, "b")))
+    """Paths that were added, removed or whose bytes differ between two trees (path, content_hash; by their text without one)."""
+    a, b = (t.select("path", (F.col("content_hash") if "content_hash" in t.columns else F.sha2("text", 256)).alias(c)) for t, c in ((base, "a"), (head, "b")))
     both = a.join(b, "path", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
     return both.select("path", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("change"))

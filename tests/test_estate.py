@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwell.plans import estate
-from tarnwell.sources import records, trees
+from tarnwell.sources import outputs, records, trees
 from tarnwell.streaming import feeds
 
 
@@ -59,23 +60,89 @@ def test_rebuild_and_upsert(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "b" / "systems")).where("scanned_at = 'later'").count() == 1
 
 
-def test_trees(spark, tmp_path):
-    files = {
-        "requirements.txt": "OpenAI==1.2.3\nrequests==2.0 # x\nopenai==1.3\n", "src/app.py": "import openai\nkey = 'x'\n", "src/.hidden/a.py": "x", "node_modules/x.js": "import openai", "web/a.d.ts": "x", "web/a.ts": "fetch('/v1/messages')",
-        "config/app.env": "export LLM_MODEL='m-1'\n# no\nKEY=sk-" + "a" * 30 + "\n", "tests/test_a.py": "pass",
+FILES = {
+    "requirements.txt": "OpenAI==1.2.3\nrequests==2.0 # x\nopenai==1.3\nlangchain-community==0.2\n", "src/app.py": "import openai\nkey = 'x'\n", "src/.hidden/a.py": "x", "node_modules/x.js": "import openai", "web/a.d.ts": "x",
+    "web/a.ts": "fetch('/v1/messages')", "web/b.ts": "import x from '@openai/agents'\n", "config/app.env": "export LLM_MODEL='m-1' \n# no\nNAME=a b # c\nKEY=sk-" + "a" * 30 + "\n", "tests/test_a.py": "pass",
+    "src/lc.py": "from langchain_openai import ChatOpenAI\n", "src/gg.py": "  import google.genai as g\n", "src/none.py": "import openaix\n", "src/post.py": "requests.post(u, json={'model': 'm', 'messages': []})", "src/far.py": "requests.post\n'model'" + " " * 400 + "'messages'",
+    "src/host.py": "u = 'https://api.openai.com/v1/chat/completions'", "src/wrap.py": "import corp_llm.client\n", "src/gate.py": "x = 'llm.corp.example'", "package.json": json.dumps({"name": "root", "dependencies": {"ai": "1", "left-pad": "1"}, "devDependencies": {"@langchain/core": "2"}}),
+    "packages/ui/package.json": json.dumps({"name": "@org/ui"}), "prompts/agents/billing-bot/system.md": "---\nname: 'billing'\nmodel: m-1\n---\nYou bill.", "prompts/agents/empty/readme.md": "x", "skills/SKILL.md": "x",
+    "poetry.lock": '[[package]]\nname = "Requests"\nversion = "2.9"\n\n[[package]]\nname = "x.y"\nversion = "1"\n', "package-lock.json": json.dumps({"packages": {"": {}, "node_modules/ai": {"version": "1.1"}, "node_modules/a/node_modules/b": {"version": "3"}}}),
+    "pnpm-lock.yaml": "packages:\n  '@scope/p@1.2.3':\n  /ai@9.9.9:\n  q@0.1.0(react@1):\n", "tsconfig.json": '{ // paths\n "compilerOptions": {"baseUrl": "./web", "paths": {"@app/*": ["./lib/*"], "none": []}}}',
+    "docker-compose.yml": "services:\n  a:\n    environment:\n      MODEL: m-2\n      TOKEN: ghp_" + "b" * 24 + "\n    ports: [1]\n  b:\n    environment:\n      - HOST=h:1\n      - EMPTY\n", "k8s/d.yaml": "env:\n  - name: TEMP\n    value: \"0.1\"\n  - name: FROM\n    valueFrom: x\nother: 1\n", "deploy.yaml": "env:\n  - name: NOT\n    value: a\n",
+}
+
+
+@pytest.fixture(scope="module")
+def tree(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("tree")
+    for name, text in FILES.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    return trees.read_tree(spark, str(root)).cache()
+
+
+def test_trees(tree):
+    assert {r.path for r in tree.collect()} == set(FILES) - {"node_modules/x.js", "src/.hidden/a.py"}
+    assert {r.path for r in trees.analysable(tree.where("path LIKE 'web/%' OR path LIKE 'tests/%'")).collect()} == {"web/a.ts", "web/b.ts", "tests/test_a.py"}
+    assert {(r.ext, r.n_files) for r in trees.census(tree).collect()} >= {("ts", 3)}
+
+
+def test_triage(tree, spark):
+    found = {(r.signal, r.evidence) for r in trees.triage(tree, gateways=["llm.corp.example"], wrappers=["corp_llm"]).collect()}
+    assert found == {
+        ("manifest_ai_package", "requirements.txt:langchain"), ("manifest_ai_package_js", "package.json:ai"), ("manifest_ai_package_js", "package.json:@langchain/core"),
+        ("prompt_artefact", "prompts/agents/billing-bot/system.md"), ("prompt_artefact", "prompts/agents/empty/readme.md"), ("prompt_artefact", "skills/SKILL.md"), ("sdk_import", "src/app.py:openai"), ("sdk_import", "src/lc.py:langchain_openai"),
+        ("sdk_import", "src/gg.py:google.genai"), ("sdk_import", "web/b.ts:@openai/agents"), ("org_wrapper_import", "src/wrap.py:corp_llm"), ("llm_host", "src/host.py:api.openai.com"), ("llm_host", "src/gate.py:llm.corp.example"),
+        ("chat_path_fragment", "src/host.py:/chat/completions"), ("chat_path_fragment", "web/a.ts:/v1/messages"), ("model_near_messages", "src/post.py"),
+        ("manifest_ai_package", "requirements.txt:openai"),
     }
-    for name, text in files.items():
-        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text(text)
-    tree = trees.read_tree(spark, str(tmp_path)).cache()
-    assert {r.path for r in tree.collect()} == set(files) - {"node_modules/x.js", "src/.hidden/a.py"}
-    assert {r.path for r in trees.analysable(tree).collect()} == {"src/app.py", "web/a.ts", "tests/test_a.py"}
-    assert {(r.signal, r.path) for r in trees.triage(tree).collect()} == {("manifest", "requirements.txt"), ("sdk_import", "src/app.py"), ("endpoint", "web/a.ts"), ("secret", "config/app.env")}
-    assert {(r.package, r.version) for r in trees.declared_versions(tree).collect()} == {("openai", "1.3"), ("requests", "2.0")}
-    assert {(r.key, r.value) for r in trees.environment_defaults(tree).collect()} == {("LLM_MODEL", "m-1"), ("KEY", "<redacted:openai_key>")}
-    assert {(r.ext, r.n_files) for r in trees.census(tree).collect()} >= {("py", 2), ("ts", 2)}
+    many = spark.createDataFrame([(f"p{i:02d}.py", "import openai\n", "py") for i in range(30)], "path string, text string, ext string")
+    assert [r.evidence for r in trees.triage(many).orderBy("evidence").collect()] == [f"p{i:02d}.py:openai" for i in range(10)]
+    assert trees.triage(many.where("false")).count() == 0
+
+
+def test_versions_and_environment(tree):
+    assert {(r.package, r.version) for r in trees.declared_versions(tree).collect()} == {("openai", "1.3"), ("requests", "2.9"), ("langchain_community", "0.2"), ("x_y", "1")}
+    assert {(r.package, r.version) for r in trees.npm_versions(tree).collect()} == {("ai", "1.1"), ("a/node_modules/b", "3"), ("@scope/p", "1.2.3"), ("q", "0.1.0")}
+    assert [tuple(r) for r in trees.script_aliases(tree).collect()] == [("@app", "web/lib")] and [tuple(r) for r in trees.workspaces(tree).collect()] == [("@org/ui", "packages/ui")]
+    found = {(r.key, r.value, r.form) for r in trees.environment_defaults(tree).collect()}
+    assert found == {("LLM_MODEL", "m-1", "pinned"), ("NAME", "a b", "pinned"), ("KEY", "<redacted:openai_key>", "pinned"), ("MODEL", "m-2", "pinned"), ("TOKEN", "<redacted:github_token>", "pinned"), ("HOST", "h:1", "pinned"), ("TEMP", "0.1", "pinned")}
+
+
+def test_configs_and_rosters(tree):
+    assert {(r["rule"], r.path) for r in trees.matched_configs(tree, {"packages": "**/package.json", "top": "*.lock", "skill": "skills/*.md"}).collect()} == {("packages", "package.json"), ("packages", "packages/ui/package.json"), ("top", "poetry.lock"), ("skill", "skills/SKILL.md")}
+    assert [(r.name, r.prompts) for r in trees.declared_agents(tree).collect()] == [("billing-bot", ["prompts/agents/billing-bot/system.md"])]
+    matter = tree.where("path LIKE '%system.md'").select(trees.front_matter(F.col("text")).alias("m")).first().m
+    assert matter == {"name": "billing", "model": "m-1"} and tree.where("path = 'tests/test_a.py'").select(trees.front_matter(F.col("text")).alias("m")).first().m is None
+
+
+def test_changed_paths(tree, spark, tmp_path):
     changed = trees.changed_paths(tree, tree.where("path <> 'config/app.env'"))
     assert [tuple(r) for r in changed.collect()] == [("config/app.env", "removed")]
+    for name, end in (("a", "1"), ("b", "2")):  # beyond the size that is read as text
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "big.py").write_text("x" * 1_200_000 + end)
+    a, b = (trees.read_tree(spark, str(tmp_path / n)) for n in "ab")
+    assert [tuple(r) for r in trees.changed_paths(a, b).collect()] == [("big.py", "changed")] and trees.changed_paths(a, a).count() == 0
+
+
+def test_outputs(spark, tmp_path):
+    facts = spark.createDataFrame([("b", 2, None), ("a", 1, ["y", "x"]), ("b", 2, None)], "name string, id int, marks array<string>")
+    assert [r.line for r in outputs.fact_lines(facts).collect()] == ['{"id":1,"marks":["y","x"],"name":"a"}', '{"id":2,"marks":null,"name":"b"}']
+    row = F.struct(F.lit(1).alias("b"), F.struct(F.lit("é").alias("z"), F.lit(None).cast("string").alias("y")).alias("a"))
+    assert spark.range(1).select(outputs.canonical_line(row).alias("l"), outputs.canonical_json(row).alias("j")).first() == ('{"a":{"y":null,"z":"é"},"b":1}', '{\n  "a": {\n    "y": null,\n    "z": "é"\n  },\n  "b": 1\n}\n')
+    outputs.write_artifacts(str(tmp_path / "out"), facts, facts.limit(1), facts.where("false"))
+    shapes = {n: facts.schema for n in ("facts", "findings", "marks")}
+    back = outputs.read_artifacts(spark, str(tmp_path / "out"), shapes)
+    assert sorted(map(str, back["facts"].collect())) == sorted(map(str, facts.distinct().collect())) and back["marks"].count() == 0
+    (tmp_path / "out" / "findings" / "part-bad.txt").write_text("{broken")
+    assert outputs.read_artifacts(spark, str(tmp_path / "out"), shapes) is None and outputs.read_artifacts(spark, str(tmp_path / "none"), shapes) is None
+    scans = spark.createDataFrame([("x", "abcdef0123", 1), ("y", "abcdef0123", 2)], "bundle_id string, commit string, v int")
+    outputs.store_scans(scans, str(tmp_path / "store"), F.col("commit"))
+    outputs.store_scans(scans.where("bundle_id = 'x'").withColumn("v", F.lit(3)), str(tmp_path / "store"), F.col("commit"))
+    assert [outputs.stored_scan(spark, str(tmp_path / "store"), b, "abcdef01").first().v for b in "xy"] == [3, 2]
+    nodes, edges = spark.createDataFrame([("g", "n2"), ("g", "n1")], "bundle_id string, id string"), spark.createDataFrame([("g", "n1", "n2")], "bundle_id string, src string, dst string")
+    assert [r.line for r in outputs.graph_lines(nodes, edges).collect()] == ['{"id":"n1"}', '{"id":"n2"}', '{"dst":"n2","src":"n1"}']
 
 
 def test_repo_list(spark, tmp_path):
