@@ -228,6 +228,17 @@ def test_recall_by_edit_rate():
     assert meets(np.concatenate((new(40), base, new(40))), np.concatenate((new(70), sixth, new(30))))
 
 
+def test_common_words_bound_what_can_agree():
+    rng = random.Random(9)
+    for _ in range(200):
+        x, y = ([rng.randrange(6) for _ in range(rng.randrange(0, 30))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        assert P.common_words(x, y) == [row[-1] for row in best]
+
+
 def test_repeated_words_have_bounded_matches():
     x, y = np.zeros(3000, dtype=np.uint64), np.zeros(2000, dtype=np.uint64)
     a, b = P.shared(x, y, 4)
