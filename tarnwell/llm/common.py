@@ -137,7 +137,7 @@ def slices(values: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
         at = to
 
 
-def chunks(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator[tuple[pa.Array, ...]]:
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[tuple[pa.Array, ...]]:
     """The columns of consecutive rows whose last column (texts) has about ``limit`` bytes, however the rows come in batches."""
     held, size = [], 0
     for batch in batches:
@@ -171,12 +171,13 @@ def small_batches(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 def give_back() -> None:
     """Return freed memory to the system: workers live on after a task, and the next stage may need it."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
-def chunked(start: Callable[[], Callable[[pa.Array], pa.Array]], shape: str, limit: int = 8 << 20) -> Callable[..., Column]:
+def chunked(start: Callable[[], Callable[[pa.Array], pa.Array]], shape: str, limit: int = 4 << 20) -> Callable[..., Column]:
     """An Arrow UDF of one column of texts: ``start()`` gives, once a task, a function from an array of about ``limit`` bytes of them to an array of results."""
     kind = to_arrow_type(DataType.fromDDL(shape))
 

@@ -85,11 +85,12 @@ class Encoder:
         mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not pc.any(pc.match_substring(texts, c)).as_py())
         # Pieces between spaces: a line feed starts one, and the mark stands before the first of each text.
         split = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(mark, texts, ""), "\n", " \n"), " ")
+        bounds = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)))
         coded = split.flatten().dictionary_encode()
+        del split
         known, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         if not len(code):
             return np.zeros(0, dtype=self.kind), np.zeros(0, dtype=np.int64)
-        bounds = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)))
         first = np.zeros(len(code), dtype=bool)
         first[bounds[:-1]] = True
         flag = lambda pattern: pc.match_substring_regex(known, pattern).to_numpy(zero_copy_only=False)
@@ -97,8 +98,8 @@ class Encoder:
         late, early = flag(rf"^[\n{mark}]?$|{self._SPACE}$"), flag(rf"^\n?({self._SPACE}|$)")
         unsafe = early[code]
         unsafe[1:] |= late[code[:-1]]
-        starts = np.flatnonzero(first | ~unsafe)
-        lengths = np.diff(np.append(starts, len(code)))
+        starts = np.flatnonzero(first | ~unsafe).astype(np.int32)
+        lengths = np.diff(np.append(starts, np.int32(len(code))))
         plain = (lengths == 1) & ~first[starts] & ~late[code[starts]]
         base, tail = self._bases(known)
         lone = code[starts[plain]]
@@ -123,15 +124,16 @@ class Encoder:
         piece[plain] = (np.cumsum(seen, dtype=np.int32) - 1)[own]
         piece[others] = [len(shown) + names[t] for t in joined]
         ended[plain] = tail[lone]
-        place = np.arange(len(starts)) + np.cumsum(ended > 0) - (ended > 0)
+        place = np.arange(len(starts), dtype=np.int32) + np.cumsum(ended > 0, dtype=np.int32) - (ended > 0)
         symbols = np.empty(len(starts) + int((ended > 0).sum()), dtype=np.int32)
         symbols[place] = piece
         symbols[place[ended > 0] + 1] = len(shown) + len(names) - 1 + ended[ended > 0]
         offsets = np.append(0, np.cumsum(sizes)) * self.kind.itemsize
         entries = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(table)])
+        at = np.append(place[np.searchsorted(starts, bounds[:-1])], len(symbols))
+        del piece, ended, place, starts, lengths, plain, unsafe, first, coded, code, lone, own
         out = entries.take(pa.array(symbols))
         ends = np.frombuffer(out.buffers()[1], dtype=np.int64)[: len(symbols) + 1]
-        at = np.append(place[np.searchsorted(starts, bounds[:-1])], len(symbols))
         return np.frombuffer(out.buffers()[2], dtype=self.kind)[: ends[-1] // self.kind.itemsize], np.diff(ends[at]) // self.kind.itemsize
 
     @staticmethod
