@@ -74,3 +74,35 @@ def counts_of(predicted: DataFrame, actual: DataFrame, key: Sequence[str], by: S
     both = predicted.select(*key).distinct().withColumn("_p", F.lit(True)).join(actual.select(*key).distinct().withColumn("_a", F.lit(True)), list(key), "full_outer")
     p, a = F.col("_p").isNotNull(), F.col("_a").isNotNull()
     return both.groupBy(*by).agg(F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & a).alias("fn"))
+
+
+def entities_at(entities: DataFrame, systems: DataFrame, commit: str, key: Sequence[str]) -> DataFrame:
+    """Distinct entities of the scans whose system was at a commit."""
+    scans = systems.where(F.col("commit") == commit).select("bundle_id", "scan_id").distinct()
+    return entities.join(scans, ["bundle_id", "scan_id"], "left_semi").select(*key).distinct()
+
+
+def commit_diff(tables: Mapping[str, tuple[DataFrame, str]], systems: DataFrame, base: str, head: str) -> DataFrame:
+    """(kind, bundle_id, id, change): entities of several tables (by the name of their id column) added or removed between two commits."""
+    out = None
+    for kind, (rows, name) in tables.items():
+        ids = [entities_at(rows, systems, commit, ["bundle_id", name]).withColumnRenamed(name, "id").withColumn("id", F.col("id").cast("string")) for commit in (base, head)]
+        found = set_diff(*ids).select(F.lit(kind).alias("kind"), "bundle_id", "id", "change")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def over_budget(files: DataFrame, key: str, lines: str, most_files: int, most_lines: int) -> DataFrame:
+    """Keys whose files, or lines in them, are more than a scan takes: key, files, lines and the limits."""
+    sums = files.groupBy(key).agg(F.count("*").alias("files"), F.sum(lines).cast("long").alias("lines"))
+    return sums.where((F.col("files") > most_files) | (F.col("lines") > most_lines)).withColumns({"most_files": F.lit(most_files), "most_lines": F.lit(most_lines)})
+
+
+def slices(lines: DataFrame, spans: DataFrame, key: str, *, context: int = 40, header: int = 80, imports: str = r"^(import|from) ") -> DataFrame:
+    """(key, start, part, line, text): of each span (key, start, stop) the import lines at the head of its file and the lines around it.
+
+    ``lines`` are (key, line, text), counted from 1. Lines stay rows: a slice is as long as its span.
+    """
+    head = lines.where((F.col("line") <= header) & F.col("text").rlike(imports)).join(spans.select(key, "start").distinct(), key).select(key, "start", F.lit("imports").alias("part"), "line", "text")
+    wide = spans.select(key, "start", F.explode(F.sequence(F.greatest(F.col("start") - context, F.lit(1)), F.col("stop") + context)).alias("line")).distinct()
+    return head.unionByName(lines.join(wide, [key, "line"]).select(key, "start", F.lit("window").alias("part"), "line", "text"))

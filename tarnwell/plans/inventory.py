@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import displays as S
 from ..operators import derive as D
 from ..operators import incremental as I
+from ..operators import ledger as L
 from ..operators import modules as M
+from ..operators import relational as R
 from ..session import table
 from .driver import query
 from .estate import NAMED, named_query
@@ -498,3 +501,95 @@ def environment_chips(spark, sf_dir):
 @query("SELECT o_custkey % 25 AS bundle_id, o_orderpriority AS reason, count(*) AS n FROM orders GROUP BY ALL")
 def health_counters(spark, sf_dir):
     return I.health(table(spark, sf_dir, "orders").selectExpr("o_custkey % 25 AS bundle_id", "o_orderpriority AS reason"))
+
+
+# Displays, budgets, slices and commits.
+
+_CHAIN = "CASE o_orderkey % 5 WHEN 0 THEN 'embeddings.create' WHEN 1 THEN 'audio.transcriptions.create' WHEN 2 THEN 'audio.speech.create' WHEN 3 THEN NULL ELSE 'chat.completions.create' END"
+_URL = "CASE WHEN o_orderkey % 11 = 0 THEN 'https://h/v1/embeddings' END"
+
+
+@query(
+    f"SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 5 = 0 THEN 'embedding' WHEN o_orderkey % 5 = 1 THEN 'stt' WHEN o_orderkey % 5 = 2 THEN 'tts' ELSE 'chat' END AS task FROM orders"
+)
+def call_tasks(spark, sf_dir):
+    rows = spark.sql(f"SELECT o_orderkey, {_URL} AS url, {_CHAIN} AS chain FROM {{o}}", o=table(spark, sf_dir, "orders"))
+    return rows.select("o_orderkey", S.task_of(F.col("url"), F.col("chain")).alias("task"))
+
+
+_MODEL = """CASE p_partkey % 9 WHEN 0 THEN '"m-' || p_size || '"' WHEN 1 THEN 'null' WHEN 2 THEN '{"union":["m-' || p_size || '",{"symbolic":"env:MODEL"},""]}' WHEN 3 THEN '{"union":["b","a",{"unresolved":"x"}]}'
+WHEN 4 THEN '{"symbolic":"wrapper_default:lib.make' || p_size || '"}' WHEN 5 THEN '{"unresolved":"depth"}' WHEN 6 THEN '{"instance":"lib.models.Big@f.py:3"}' WHEN 7 THEN '{"union":[{"symbolic":"env:B"},{"symbolic":"env:A"}]}' ELSE '{"symbolic":"external:azure:deployment:d' || p_size || '"}' END"""
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'm-' || p_size WHEN 1 THEN 'not determined' WHEN 2 THEN 'm-' || p_size WHEN 3 THEN 'a | b' WHEN 4 THEN 'via make' || p_size || ' (wrapper)' WHEN 5 THEN 'not determined' WHEN 6 THEN 'Big'
+ WHEN 7 THEN 'set via env A, B' ELSE 'azure deployment d' || p_size END AS display,
+ CASE p_partkey % 9 WHEN 1 THEN 'no value' WHEN 2 THEN 'code default;env-configurable: MODEL' WHEN 3 THEN '+unknown' WHEN 4 THEN 'model chosen by calling code' WHEN 5 THEN 'depth' WHEN 6 THEN 'model class (lib.models.Big)' ELSE '' END AS qualifiers FROM part"""
+)
+def model_displays(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.parse_json(F.expr(_MODEL)).alias("v")).withColumn("m", S.canonical_model(F.col("v")))
+    return rows.select("p_partkey", "m.display", F.array_join("m.qualifiers", ";").alias("qualifiers"))
+
+
+@query(
+    f"WITH {FACTS_SQL}, {_TYPE} SELECT bundle_id, CASE WHEN components = '' THEN system_type ELSE system_type || ' (' || replace(components, ',', ', ') || ')' END AS shown FROM system_type"
+)
+def system_type_texts(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    return D.system_type(f["agents"], f["usages"], f["state"]).select("bundle_id", S.system_type_text(F.col("system_type"), F.col("components")).alias("shown"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'api' || p_size || '.example' END AS host FROM part")
+def template_hosts(spark, sf_dir):
+    url = "CASE p_size % 3 WHEN 0 THEN 'https://u@API' || p_size || '.example:8443/v1/{id}' WHEN 1 THEN 'https://api{n}.example/v1' ELSE 'https://api' || p_size || '.exam{x}' END"
+    return table(spark, sf_dir, "part").select("p_partkey", S.template_host(F.expr(url)).alias("host"))
+
+
+@query("SELECT o_custkey, count(*) AS files, CAST(sum(o_orderkey % 1000) AS BIGINT) AS lines, 12 AS most_files, 6000 AS most_lines FROM orders GROUP BY o_custkey HAVING count(*) > 12 OR sum(o_orderkey % 1000) > 6000")
+def size_budget(spark, sf_dir):
+    files = table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey % 1000 AS loc")
+    return R.over_budget(files, "o_custkey", "loc", 12, 6000)
+
+
+@query(
+    """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, line AS start FROM l WHERE regexp_matches(text, 'https?://')),
+w AS (SELECT DISTINCT s.doc_id, s.start, l.line, l.text FROM s JOIN l ON l.doc_id = s.doc_id AND l.line BETWEEN s.start - 3 AND s.start + 3)
+SELECT doc_id, CAST(start AS INT) AS start, 'window' AS part, CAST(line AS INT) AS line, sha256(text) AS text_sha256 FROM w
+UNION ALL SELECT s.doc_id, CAST(s.start AS INT), 'imports', CAST(l.line AS INT), sha256(l.text) FROM s JOIN l ON l.doc_id = s.doc_id AND l.line <= 80 AND regexp_matches(l.text, '^(The|Der|Le|El) ')"""
+)
+def evidence_slices(spark, sf_dir):
+    """Lines around every address in a text, and the lines of its head that start with an article."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("line"), "text")
+    spans = lines.where(F.col("text").rlike("https?://")).select("doc_id", F.col("line").alias("start"), F.col("line").alias("stop"))
+    found = R.slices(lines, spans, "doc_id", context=3, imports="^(The|Der|Le|El) ")
+    return found.select("doc_id", "start", "part", "line", F.sha2("text", 256).alias("text_sha256"))
+
+
+_COMMITS = "SELECT c_nationkey AS bundle_id, c_custkey AS scan_id, 'c' || c_custkey % 2 AS commit FROM customer WHERE c_custkey % 5 = 0"
+
+
+@query(
+    f"""WITH systems AS ({_COMMITS}), e AS (SELECT 'order' AS kind, c_nationkey AS bundle_id, o_custkey AS scan_id, CAST(o_orderkey % 50 AS VARCHAR) AS id FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'priority', c_nationkey, o_custkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
+b AS (SELECT DISTINCT kind, e.bundle_id, id FROM e JOIN systems s ON s.bundle_id = e.bundle_id AND s.scan_id = e.scan_id WHERE commit = 'c0'),
+h AS (SELECT DISTINCT kind, e.bundle_id, id FROM e JOIN systems s ON s.bundle_id = e.bundle_id AND s.scan_id = e.scan_id WHERE commit = 'c1')
+SELECT *, 'added' AS change FROM (SELECT * FROM h EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM h)"""
+)
+def commit_diff(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    systems = spark.sql(_COMMITS.replace("customer", "{c}"), c=customers)
+    rows = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("bundle_id"), F.col("o_custkey").alias("scan_id"), (F.col("o_orderkey") % 50).alias("order_id"), "o_orderpriority")
+    return R.commit_diff({"order": (rows, "order_id"), "priority": (rows, "o_orderpriority")}, systems, "c0", "c1")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT o_orderpriority AS bundle, o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS INT) AS seq FROM orders),
+c AS (SELECT bundle, seq, sha256(seq || '|' || o_orderkey || '|' || repeat('0', 64)) AS h FROM e WHERE seq = 1 UNION ALL SELECT e.bundle, e.seq, sha256(e.seq || '|' || e.o_orderkey || '|' || c.h) FROM c JOIN e ON e.bundle = c.bundle AND e.seq = c.seq + 1)
+SELECT bundle, count(*) AS entries, true AS ok, CAST(NULL AS INT) AS first_bad_seq, arg_max(h, seq) AS tip_hash FROM c GROUP BY bundle"""
+)
+def long_chains(spark, sf_dir):
+    """Chains of thousands of entries: each tip covers all of them."""
+    entries = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("bundle"), "o_orderkey")
+    return L.verify(L.hash_chain(entries, "bundle", ["o_orderkey"], ["o_orderkey"]), "bundle", ["o_orderkey"])
