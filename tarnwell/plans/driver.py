@@ -55,14 +55,16 @@ def secret_scan(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.first_kind(F.col("text"), SECRETS).alias("kind")).where(F.col("kind").isNotNull())
 
 
-@query(
-    f"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{SECRETS[4][1]}', '<redacted:email>', 'g'), '{SECRETS[5][1]}', '<redacted:ipv4>', 'g')) AS redacted_sha256"
-    f" FROM documents WHERE regexp_matches(text, '{SECRETS[4][1]}') OR regexp_matches(text, '{SECRETS[5][1]}')"
-)
+_REDACTED = "text"
+for _kind, _pattern in SECRETS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '<redacted:{_kind}>', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({_REDACTED}) AS redacted_sha256 FROM documents WHERE {_kinds(SECRETS)} IS NOT NULL")
 def secret_redaction(spark, sf_dir):
-    own = (SECRETS[4], SECRETS[5])
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(own[0][1]) | F.col("text").rlike(own[1][1]))
-    return docs.select("doc_id", F.sha2(S.redact(F.col("text"), own), 256).alias("redacted_sha256"))
+    """All seven kinds, in texts that hold any of them."""
+    docs = table(spark, sf_dir, "documents").where(S.first_kind(F.col("text"), SECRETS).isNotNull())
+    return docs.select("doc_id", F.sha2(S.redact(F.col("text"), SECRETS), 256).alias("redacted_sha256"))
 
 
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1))"

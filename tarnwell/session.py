@@ -21,9 +21,11 @@ def local_session(threads: int = 8, partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a session without one, as in tests, gets a local temporary folder."""
+    """The folder that driver and executors share; a local session without one, as in tests, gets a temporary folder, a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tarnwell-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
