@@ -323,20 +323,37 @@ def _count(width: str, vocabulary_size: int):
     return count
 
 
-def _packer(width: str, held, cuts: list[int]):
-    """(part, payload, marks) of (doc, ids): the range of the id, and the packed ids."""
+class Ranges:
+    """Shards of ids: the ranges between ``cuts``, and of a range of one id alone ``pieces`` shards by the hash of what is in it."""
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def __init__(self, cuts: list[int], pieces: dict[int, int]):
+        self.cuts = np.array(cuts, dtype=np.int64)
+        self.pieces = np.array([pieces.get(p, 1) for p in range(len(cuts) + 1)], dtype=np.int64)
+        self.first = np.cumsum(self.pieces) - self.pieces
+
+    def shard(self, docs: pa.Array, hashes: pa.Array) -> np.ndarray:
+        part = np.searchsorted(self.cuts, docs.to_numpy(zero_copy_only=False), side="left")
+        place = ((hashes.to_numpy(zero_copy_only=False) >> 33) + (1 << 30)) * self.pieces[part] >> 31
+        return (self.first[part] + place).astype(np.int32)
+
+    @property
+    def n(self) -> int:
+        return int(self.pieces.sum())
+
+
+def _packer(width: str, held, ranges: Ranges):
+    """(part, payload, marks) of (doc, ids, hash of ids): the shard, and the packed ids."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         lengths = np.frombuffer(held.value, dtype=np.uint8)
         _, codes = canonical_codes(lengths)
-        for docs, ids in batches:
+        for docs, ids, hashes in batches:
             payloads, marks = [], []
             for part in slices(ids):
                 for payload, mark in pack([np.frombuffer(i, dtype=width) for i in part.to_pylist()], lengths, codes):
                     payloads.append(payload)
                     marks.append(mark)
-            parts = np.searchsorted(cuts, docs.to_numpy(zero_copy_only=False), side="left") if cuts else np.zeros(len(docs))
-            yield pa.StructArray.from_arrays([pa.array(parts.astype(np.int32)), pa.array(payloads, type=pa.binary()), pa.array(marks, type=pa.binary())], ["part", "payload", "marks"])
+            yield pa.StructArray.from_arrays([pa.array(ranges.shard(docs, hashes)), pa.array(payloads, type=pa.binary()), pa.array(marks, type=pa.binary())], ["part", "payload", "marks"])
         give_back()
 
     return run
@@ -368,11 +385,10 @@ def _writer(folder: str, starts: dict[int, int], held):
     return run
 
 
-def _range_of(cuts: list[int]):
-    def part(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for docs in batches:
-            parts = np.searchsorted(cuts, docs.to_numpy(zero_copy_only=False), side="left") if cuts else np.zeros(len(docs))
-            yield pa.array(parts.astype(np.int32))
+def _shard_of(ranges: Ranges):
+    def part(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for docs, hashes in batches:
+            yield pa.array(ranges.shard(docs, hashes))
 
     return part
 
@@ -382,8 +398,8 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str =
     """Encode ``docs`` into shards in ``folder`` (a URI that the executors can write); returns one row per shard.
 
     Documents are in ascending order of id, null first; rows of the same id stand together, ordered by their ids' bytes. An empty
-    table writes no shard. Shards hold about ``shard_tokens`` tokens each (more if one id has more). To the driver
-    come the counts of the vocabulary and one total a shard.
+    table writes no shard. Shards hold about ``shard_tokens`` tokens each; an id (or null) with many more has several shards of its own, by the hash of what its rows hold. Very long texts
+    are encoded whole. To the driver come the counts of the vocabulary and one total a shard.
     """
     spark = docs.sparkSession
     of = encoder(tokenizer)
@@ -394,14 +410,23 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str =
         counts[row["id"]] = row["n"]
     n = max(1, -(-int(counts.sum()) // shard_tokens))
     cuts = ids.agg(F.percentile_approx("doc", [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] if n > 1 else None
+    key, digest = F.coalesce(F.col("doc"), F.lit(-(2**63))), F.xxhash64("ids")
+
+    def totals_of(ranges: Ranges) -> dict[int, int]:
+        return {r["part"]: r["n"] for r in ids.select(F.arrow_udf(_shard_of(ranges), "int")(key, digest).alias("part"), "n_tokens").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+
     cuts = sorted(set(cuts or []))
-    key = F.coalesce(F.col("doc"), F.lit(-(2**63)))
-    totals = {r["part"]: r["n"] for r in ids.select(F.arrow_udf(_range_of(cuts), "int")(key).alias("part"), "n_tokens").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+    totals = totals_of(ranges := Ranges(cuts, {}))
+    if max(totals.values(), default=0) > 4 * shard_tokens:
+        hot = {r["id"]: -(-r["n"] // shard_tokens) for r in ids.groupBy(key.alias("id")).agg(F.sum("n_tokens").alias("n")).where(F.col("n") > 2 * shard_tokens).collect()}
+        if hot:
+            cuts = sorted({*cuts, *hot, *(h - 1 for h in hot if h > -(2**63))})
+            totals = totals_of(ranges := Ranges(cuts, {cuts.index(h): k for h, k in hot.items()}))
     starts, at = {}, 0
     for p in sorted(totals):
         starts[p], at = at, at + totals[p]
     held = spark.sparkContext.broadcast(code_lengths(counts).tobytes())
-    packed = ids.withColumn("_p", F.arrow_udf(_packer(width, held, cuts), "part int, payload binary, marks binary")(key, F.col("ids")))
+    packed = ids.withColumn("_p", F.arrow_udf(_packer(width, held, ranges), "part int, payload binary, marks binary")(key, F.col("ids"), digest))
     packed = packed.select("_p.part", F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("no_id"), "n_tokens", "_p.payload", "_p.marks")
     dealt = packed.repartitionById(max(totals, default=0) + 1, F.col("part")).sortWithinPartitions(F.col("no_id").desc(), "doc", "n_tokens", "payload")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

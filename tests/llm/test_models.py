@@ -268,6 +268,18 @@ def test_round_trip(spark, texts, tmp_path):
     assert T.read_tokens(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_hot_id_has_several_shards(spark, texts, tmp_path):
+    rows = [(None, f"row {i} without id") for i in range(300)] + [(7, f"row {i} of seven") for i in range(300)] + [(i, f"one {i}") for i in range(20)]
+    T.write_tokens(texts(rows), f"file://{tmp_path}/out", tokenizer=T.vocabulary(), shard_tokens=200)
+    found = sorted(T.read_tokens(spark, f"file://{tmp_path}/out").collect(), key=lambda r: r.start)
+    assert len(list((tmp_path / "out").glob("*.huff"))) > 12
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in found] == sorted((d is not None, d or 0) for d, _ in rows)
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)]).tolist()[:-1]
+    of = T.encoder(T.vocabulary()).tokenizer
+    crc = lambda t: zlib.crc32(np.array([*of.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes())
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.ids_crc32) for r in found)) == sorted((d is None, d or 0, crc(t)) for d, t in rows)
+
+
 def test_pipeline_stages(spark, texts):
     import corpus_pipeline as C
 
