@@ -84,7 +84,7 @@ def water_level(sizes, weights, budget, epochs):
 def test_mixing(spark, texts):
     rng = random.Random(3)
     rows = [(i, " ".join("w" * rng.randint(1, 60))) for i in range(300)]
-    rows = [(i, t, None, rng.choice(["b", "a", None, "é", "hot", "hot", "hot"])) for i, t in rows] + [(300, None, None, "a"), (301, "", None, "empty"), (None, "one two", None, "a"), (5, "again", None, "hot"), (5, "again", None, "hot")]
+    rows = [(i, t, None, rng.choice(["b", "a", None, "é", "hot", "hot", "hot"])) for i, t in rows] + [(300, None, None, "a"), (302, "long " * 50_000, None, "b"), (301, "", None, "empty"), (None, "one two", None, "a"), (5, "again", None, "hot"), (5, "again", None, "hot")]
     docs = texts(rows)
     mixed = M.mix(docs, size=word_count(F.col("text")))
     found = mixed.collect()

@@ -77,6 +77,10 @@ def test_join_edge_cases(texts):
     found = J.jaccard_join(texts([(4, t), (4, t), (None, t), (None, None), (7, "other words stand here now")])).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.class_id, r.n_links) for r in found if r.class_id is not None) == [(False, 4, 4, 2), (False, 4, 4, 2), (False, 7, 7, 0), (True, 0, 4, 2)]
     assert J.jaccard_join(texts([])).count() == 0
+    rng = random.Random(7)
+    long_ = text(rng, 60_000)
+    found = J.jaccard_join(texts([(1, long_), (2, edited(rng, long_, 0.01)), (3, edited(rng, long_, 0.2)), (4, "x " * 90_000)])).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in found) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
 
 
 def test_runs_follow_recall():
