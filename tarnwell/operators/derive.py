@@ -211,3 +211,30 @@ def budgeted(candidates: DataFrame, most: int) -> DataFrame:
     order = Window.partitionBy("bundle_id", "cached").orderBy("kind", "evidence")
     place = F.row_number().over(order)
     return candidates.withColumn("status", F.when(F.col("cached"), "cached").when(place <= most, "called").otherwise("over_budget"))
+
+
+def assembled(derived: Mapping[str, DataFrame], signals: DataFrame) -> DataFrame:
+    """(path, value): one record of JSON per bundle, its agents, tools, servers, calls and findings nested in order, with the three-way verdict.
+
+    ``signals`` (bundle_id) are bundles with signs of model use: without agents and calls these give ai_signals_only, all others no_ai. A record is one value by its nature; the flat tables are there for what has
+    no bound.
+    """
+
+    def nested(name: str, order: Column, **columns: Column) -> DataFrame:
+        row = F.struct(order.alias("_o"), F.struct(*[c.alias(k) for k, c in columns.items()]).alias("r"))
+        return derived[name].groupBy("bundle_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias(name))
+
+    text = lambda c: F.col(c).cast("string")
+    agents = nested("agents", F.col("agent_id"), agent_id=text("agent_id"), location=F.col("location"), language=F.col("language"), model=F.struct(F.col("endpoint")), detection=F.struct(F.col("method")))
+    tools = nested("tools", F.col("tool_id"), tool_id=text("tool_id"), location=F.col("location"), side_effects=F.col("side_effects"), external_target=F.col("external_target"), is_sensitive=F.struct(F.col("is_sensitive").alias("value")))
+    servers = nested("servers", F.col("server_id"), server_id=text("server_id"), transport=F.col("transport"), server=F.col("server"), approval_policy=F.col("approval_policy"), attached_agent_count=F.col("attached_agent_count"))
+    calls = nested("usages", F.col("usage_id"), task=F.col("task"), endpoint=F.col("endpoint"), in_agent=F.col("in_agent").cast("string"), evidence=F.col("evidence"))
+    found = nested("findings", F.struct("kind", "subject_ref", "evidence"), kind=F.col("kind"), severity=F.col("severity"), subject_ref=F.col("subject_ref"), detail=F.col("detail"))
+    value = lambda c: F.struct(F.col(c).alias("value"))
+    block = F.struct(value("agent_count").alias("agent_count"), value("tool_count").alias("tool_count"), value("autonomy_profile").alias("autonomy_profile"), F.struct(F.struct(*FLAGS).alias("value")).alias("capability_flags"), *[value(c).alias(c) for c in ("has_unapproved_endpoint", "has_dynamic_prompts", "has_unresolved_models")])
+    systems = derived["systems"].select("bundle_id", block.alias("derived"))
+    ids = reduce(DataFrame.unionByName, [t.select("bundle_id") for t in (agents, calls, signals)]).distinct()
+    rows = reduce(lambda a, b: a.join(b, "bundle_id", "left"), [systems, agents, tools, servers.withColumnRenamed("servers", "mcp_servers"), calls.withColumnRenamed("usages", "model_usages"), found], ids)
+    verdict = F.when(F.col("agents").isNotNull() | F.col("model_usages").isNotNull(), "ai_detected").otherwise("ai_signals_only")
+    parts = ["derived", "agents", "tools", "mcp_servers", "model_usages", "findings"]
+    return rows.select(text("bundle_id").alias("path"), F.to_json(F.struct(text("bundle_id").alias("bundle_id"), text("bundle_id").alias("name"), verdict.alias("ai_verdict"), *parts)).alias("value"))

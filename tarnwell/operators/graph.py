@@ -92,3 +92,9 @@ def roles(agents: DataFrame, edges_: DataFrame) -> DataFrame:
     into = edges_.where(F.col("type") == "handoff").select(F.col("dst").alias("node"), F.lit(True).alias("_target")).distinct()
     found = agents.join(out, "node", "left").join(into, "node", "left")
     return found.select("node", F.when(F.col("_hands"), "supervisor").when(F.col("_routes"), "router").when(F.col("_target"), "worker").otherwise("solo").alias("role"))
+
+
+def merged_sets(facts: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(id, field, value): the distinct values that the duplicates of a fact bring, of single-valued and of array columns. Values stay rows."""
+    rows = [facts.select(F.col(key).alias("id"), F.lit(c).alias("field"), (F.explode(c) if facts.schema[c].dataType.typeName() == "array" else F.col(c)).alias("value")).withColumn("value", F.col("value").cast("string")) for c in columns]
+    return reduce(DataFrame.unionByName, rows).where(F.col("value").isNotNull()).distinct()

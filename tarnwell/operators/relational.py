@@ -106,3 +106,16 @@ def slices(lines: DataFrame, spans: DataFrame, key: str, *, context: int = 40, h
     head = lines.where((F.col("line") <= header) & F.col("text").rlike(imports)).join(spans.select(key, "start").distinct(), key).select(key, "start", F.lit("imports").alias("part"), "line", "text")
     wide = spans.select(key, "start", F.explode(F.sequence(F.greatest(F.col("start") - context, F.lit(1)), F.col("stop") + context)).alias("line")).distinct()
     return head.unionByName(lines.join(wide, [key, "line"]).select(key, "start", F.lit("window").alias("part"), "line", "text"))
+
+
+def governed(existing: DataFrame, new: DataFrame, audit: DataFrame, key: str, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """An audited upsert: the table with the set fields of ``new`` in place of the old ones, and the audit entries to append (key, seq, field, old_value, new_value).
+
+    seq goes on from the key's last entry in ``audit``. A null in ``new`` leaves a value as it is.
+    """
+    entries = changes(existing, new, key, fields)
+    last = audit.groupBy(key).agg(F.max("seq").alias("_last"))
+    numbered = entries.join(last, key, "left").withColumn("seq", (F.col("seq") + F.coalesce("_last", F.lit(0))).cast("int")).drop("_last")
+    both = new.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields]).join(existing, key, "full_outer")
+    kept = [c for c in existing.columns if c != key]
+    return both.select(key, *[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in kept]), numbered

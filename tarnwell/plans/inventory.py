@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import displays as S
 from ..operators import derive as D
+from ..operators import graph as G
 from ..operators import incremental as I
 from ..operators import ledger as L
 from ..operators import modules as M
@@ -593,3 +594,62 @@ def long_chains(spark, sf_dir):
     """Chains of thousands of entries: each tip covers all of them."""
     entries = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("bundle"), "o_orderkey")
     return L.verify(L.hash_chain(entries, "bundle", ["o_orderkey"], ["o_orderkey"]), "bundle", ["o_orderkey"])
+
+
+# Records assembled from the derived facts and flattened again; an audited upsert; sets of merged facts.
+
+
+def _flattened(spark, sf_dir):
+    from ..sources.records import from_json
+    from .estate import flatten, parsed_once
+
+    signals = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("bundle_id"))
+    return flatten(parsed_once(from_json(D.assembled(derived(spark, sf_dir), signals))))
+
+
+@query(
+    f"""WITH {FACTS_SQL}, {_SYSTEM_FLAGS}, {_TYPE}, {SYSTEMS_SQL} SELECT CAST(n_nationkey AS VARCHAR) AS bundle_id, CASE WHEN a.bundle_id IS NULL AND u.bundle_id IS NULL THEN 'ai_signals_only' ELSE 'ai_detected' END AS ai_verdict,
+ s.agent_count, s.tool_count, s.autonomy_profile, {", ".join(f"coalesce({f}, false) AS {f}" for f in D.FLAGS)}, has_unapproved_endpoint, has_dynamic_prompts, has_unresolved_models
+FROM nation LEFT JOIN systems s ON s.bundle_id = n_nationkey LEFT JOIN (SELECT DISTINCT bundle_id FROM agents) a ON a.bundle_id = n_nationkey LEFT JOIN (SELECT DISTINCT bundle_id FROM usages) u ON u.bundle_id = n_nationkey"""
+)
+def assembled_systems(spark, sf_dir):
+    return _flattened(spark, sf_dir)["systems"].select("bundle_id", "ai_verdict", "agent_count", "tool_count", "autonomy_profile", *D.FLAGS, "has_unapproved_endpoint", "has_dynamic_prompts", "has_unresolved_models")
+
+
+@query(f"WITH {FACTS_SQL}, {FINDINGS_SQL} SELECT CAST(bundle_id AS VARCHAR) AS bundle_id, kind, severity, subject_ref, detail FROM findings")
+def assembled_findings(spark, sf_dir):
+    return _flattened(spark, sf_dir)["findings"].select("bundle_id", "kind", "severity", "subject_ref", "detail")
+
+
+@query(
+    """WITH old AS (SELECT c_custkey AS k, c_mktsegment AS tier, 'draft' AS status FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'HIGH' END AS tier, CASE WHEN c_custkey % 2 = 0 THEN 'approved' ELSE 'draft' END AS status FROM customer WHERE c_custkey % 5 < 2),
+c AS (SELECT n.k, f.i, f.field, f.o AS old_value, f.v AS new_value FROM new n LEFT JOIN old ON old.k = n.k, LATERAL (VALUES (0, 'tier', old.tier, n.tier), (1, 'status', old.status, n.status)) AS f(i, field, o, v) WHERE f.v IS NOT NULL AND f.v IS DISTINCT FROM f.o)
+SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY i) + CASE WHEN k % 7 = 0 THEN 3 ELSE 0 END AS INT) AS seq, field, old_value, new_value FROM c"""
+)
+def audited_changes(spark, sf_dir):
+    """Audit entries of an upsert that go on from each customer's last one."""
+    return _governed(spark, sf_dir)[1]
+
+
+@query(
+    """WITH old AS (SELECT c_custkey AS k, c_mktsegment AS tier, 'draft' AS status FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'HIGH' END AS tier, CASE WHEN c_custkey % 2 = 0 THEN 'approved' ELSE 'draft' END AS status FROM customer WHERE c_custkey % 5 < 2)
+SELECT coalesce(n.k, o.k) AS k, coalesce(n.tier, o.tier) AS tier, coalesce(n.status, o.status) AS status FROM new n FULL JOIN old o ON n.k = o.k"""
+)
+def audited_upsert(spark, sf_dir):
+    return _governed(spark, sf_dir)[0]
+
+
+def _governed(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    old = customers.where("c_custkey % 3 <> 0").selectExpr("c_custkey AS k", "c_mktsegment AS tier", "'draft' AS status")
+    new = customers.where("c_custkey % 5 < 2").selectExpr("c_custkey AS k", "CASE WHEN c_custkey % 4 = 0 THEN 'HIGH' END AS tier", "CASE WHEN c_custkey % 2 = 0 THEN 'approved' ELSE 'draft' END AS status")
+    audit = customers.where("c_custkey % 7 = 0").selectExpr("c_custkey AS k", "explode(array(1, 2, 3)) AS seq")
+    return R.governed(old, new, audit, "k", ["tier", "status"])
+
+
+@query(
+    """SELECT DISTINCT o_custkey AS id, 'method' AS field, o_orderpriority AS value FROM orders UNION SELECT DISTINCT o_custkey, 'files', unnest(['f' || o_orderkey % 4, 'g' || o_orderkey % 3]) FROM orders"""
+)
+def merged_fact_sets(spark, sf_dir):
+    facts_ = table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderpriority AS method", "array('f' || o_orderkey % 4, 'g' || o_orderkey % 3) AS files")
+    return G.merged_sets(facts_, "o_custkey", ["method", "files"])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.plans import estate
-from tarnwell.sources import outputs, records, trees
+from tarnwell.sources import outputs, records, settings, trees
 from tarnwell.streaming import feeds
 
 
@@ -162,3 +162,12 @@ def test_streams(spark, tmp_path):
     query = feeds.event_rates(events).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM rates").first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "org.yaml").write_text("# ours\ngateway_hosts:\n  - llm.corp.example\n  - 'b.example' # old\nknown_wrapper_packages:\n  - fqname: corp_llm.client\n    note: x\nsensitive_hosts: []\n")
+    pack = settings.read_org_pack(spark, str(tmp_path / "org.yaml"))
+    assert settings.members(pack, "gateway_hosts") == ["b.example", "llm.corp.example"] and settings.members(pack, "known_wrapper_packages") == ["corp_llm.client"] and settings.members(pack, "sensitive_hosts") == []
+    with pytest.raises(ValueError):
+        settings.members(pack, "gateway_hosts", most=1)
+    assert settings.Settings.from_environment({"TARNWELL_HOPS": "7"}).hops == 7 and settings.Settings.from_environment({}).most_files == 100_000
