@@ -165,7 +165,7 @@ def token_ids(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path)
-        for docs, texts in chunks(batches):
+        for docs, texts in chunks(batches, 4 << 20):
             ids, sizes = of.encode(texts)
             # The end id goes behind each text.
             ends = np.cumsum(sizes)
