@@ -268,7 +268,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_
     known = written(known.withColumn("_draw", _draw("_id")), "labels")
     # Labels may be of ids that the table lacks: twice as many ids as rows are wanted.
     ids = reduce(DataFrame.unionByName, [known.where(F.col("_label") == k).orderBy("_draw", "_id").limit(2 * half) for k in (0, 1)])
-    rows = docs.join(F.broadcast(written(ids.drop("_draw"), "drawn")), F.col(id_col) == F.col("_id")).select("_label", _draw(id_col, text_col).alias("_draw"), F.col(text_col).alias("_text"), *meta_cols)
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *meta_cols)
+    rows = own.join(F.broadcast(written(ids.drop("_draw"), "drawn")), "_id").select("_label", _draw("_id", "_text").alias("_draw"), "_text", *meta_cols)
     rows = written(rows.mapInPandas(_views, "_label int, _draw long, x binary, z binary"), "labelled")
     found = [r for k in (0, 1) for r in rows.where(F.col("_label") == k).orderBy("_draw", "x", "z").limit(half).collect()]
     for table in (known, rows):

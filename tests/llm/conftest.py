@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns that a table may carry along, with names that operators use themselves.
-CLASHING = {"n_words": "long", "score": "string", "size": "string", "kept": "string", "spans": "string", "text_hash": "string", "_row": "string", "_text": "string", "_draw": "string", "_source": "string", "_items": "string", "_hits": "string", "_found": "string", "_key": "string", "row": "string"}
+CLASHING = {"n_words": "long", "score": "string", "size": "string", "kept": "string", "spans": "string", "text_hash": "string", "_row": "string", "_text": "string", "_draw": "string", "_source": "string", "_items": "string", "_hits": "string", "_found": "string", "_key": "string", "row": "string", "_id": "string", "_label": "string", "x": "string"}
 
 
 @pytest.fixture
@@ -13,7 +13,7 @@ def texts(spark):
         full = [(*r, *(None,) * (5 - len(r))) for r in rows]
         if extra:
             shape += "".join(f", {c} {t}" for c, t in CLASHING.items())
-            full = [(*r, 7, *"abcdefghijklmn"[: len(CLASHING) - 1]) for r in full]
+            full = [(*r, 7, *"abcdefghijklmnopq"[: len(CLASHING) - 1]) for r in full]
         return spark.createDataFrame(full, shape)
 
     return make
