@@ -248,3 +248,17 @@ def test_repeated_words_have_bounded_matches():
     a, b = P.shared(x, y, 4)
     assert 2000 - 3 <= len(a) < 60_000
     assert sum(u - s for s, u, *_ in P.passages(x, y, a, b, k=4, least=50, identity=0.8)) >= 2000
+
+
+def test_reach_equals_trying_all_lengths():
+    rng = random.Random(11)
+    seen = set()
+    for _ in range(400):
+        size = rng.choice([2, 4, 8, 30])
+        lists = [[rng.randrange(size) for _ in range(rng.randrange(0, 25))] for _ in range(4)]
+        inner, least = rng.randrange(1, 12), rng.randrange(5, 30)
+        before, after = P.common_words(*lists[:2]), P.common_words(*lists[2:])
+        wanted = any(u + v + inner >= least and a + b + inner >= 0.8 * (u + v + inner) - 1e-9 for u, a in enumerate(before) for v, b in enumerate(after))
+        assert P.may_reach(tuple(lists[:2]), inner, tuple(lists[2:]), least, 0.8) == wanted
+        seen.add(wanted)
+    assert seen == {True, False}
