@@ -246,3 +246,14 @@ def runs_of(batches, keys: list[str]):
         rest = batch.iloc[changes[-1] :].reset_index(drop=True)
     if rest is not None and len(rest):
         yield rest, np.append(np.flatnonzero((rest[keys] != rest[keys].shift()).any(axis=1).to_numpy()), len(rest))
+
+
+#: CRC-32 of half a byte, as published with the polynomial.
+_NIBBLES = [0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C, 0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C]
+
+
+def sql_crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8, by halves of bytes, the lower one first."""
+    half = lambda c, x: f"xor({c} >> 4, CAST({_NIBBLES} AS BIGINT[])[(xor({c}, {x}) & 15) + 1])"
+    digits = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda y: CAST('0x' || y AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {digits}), lambda c, x: {half(half('c', 'x'), '(x >> 4)')}))"

@@ -28,9 +28,14 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _RESULT = "n_words long, n_hit long, _items array<string>, spans array<struct<start:int,stop:int>>, _hits binary"
 
 
+def split_normal(text: bytes | None) -> list[bytes]:
+    """Normalised words of a text in UTF-8; none for null."""
+    return text.translate(_TABLE).split() if text else []
+
+
 def normal_words(text: str | None) -> list[bytes]:
     """Normalised words as UTF-8; none for null."""
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
+    return split_normal(text.encode("utf-8", "surrogatepass") if text else None)
 
 
 def windows(text: str | None, width: int) -> list[str]:
@@ -151,11 +156,11 @@ def op8_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SQL_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP8_SQL = rf"""
-WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 iw AS (SELECT DISTINCT item, least(10, len(w)) AS k, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS win
        FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM i WHERE len(w) > 0)),
 ks AS (SELECT DISTINCT k FROM iw),
