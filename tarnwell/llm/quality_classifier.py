@@ -265,8 +265,9 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_
     """
     half = labelled_rows // 2
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    # Labels of ids that the table lacks teach nothing and must not fill the draw.
+    known = known.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
     known = written(known.withColumn("_draw", _draw("_id")), "labels")
-    # Labels may be of ids that the table lacks: twice as many ids as rows are wanted.
     ids = reduce(DataFrame.unionByName, [known.where(F.col("_label") == k).orderBy("_draw", "_id").limit(2 * half) for k in (0, 1)])
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *meta_cols)
     rows = own.join(F.broadcast(written(ids.drop("_draw"), "drawn")), "_id").select("_label", _draw("_id", "_text").alias("_draw"), "_text", *meta_cols)

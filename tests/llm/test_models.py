@@ -299,14 +299,46 @@ def test_pipeline_stages(spark, texts):
     whole = seen[3][1].select("text").collect()
     last = seen[4][1].collect()
     assert len(last) == len(whole) and sum(r.n_tokens for r in last) == sum(len(T.encoder(T.vocabulary()).tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in whole)
-    odd = texts([(1, None), (2, ""), (3, "12"), (None, "some words"), (4, "some words"), (4, "some words"), (5, "x y z " * 60_000)])
-    out = odd
+
+
+ODD_ROWS = [(1, None), (2, ""), (3, "12"), (None, "some words"), (4, "some words"), (4, "some words"), (5, "x y z " * 60_000)]
+
+
+def test_pipeline_stages_compose_unwritten(spark, texts):
+    """Stages over the unwritten output of those before them, on rows whose columns clash with the operators', and with labels to learn languages from."""
+    import corpus_pipeline as C
+
+    languages = [(100 + i, f"plain english words about thing {i} and some more", "en") for i in range(30)] + [(200 + i, f"einige deutsche wörter über ding {i} und noch mehr", "de") for i in range(30)]
+    out = odd = texts([*((*r, "en") for r in ODD_ROWS), *languages])
+    sizes = []
     for _, stage in C.STAGES[:-1]:
         out = stage(spark, out, SF)
         assert out.columns == odd.columns
-        for r in out.collect():  # a user's columns stay what they are
+        rows = out.collect()
+        sizes.append(len(rows))
+        for r in rows:  # a user's columns stay what they are
             assert (r.n_words, r.score, r.size, r.kept, r.spans, r.text_hash, r._row, r.row) == (7, "a", "b", "c", "d", "e", "f", "n")
+        assert {r.doc_id for r in rows} >= {4, 5}
+    assert sizes[0] == 64 and sizes[1] < 64 and min(sizes) > 40  # null, empty and letterless texts go; copies and near copies are one
+
+
+def test_pipeline_without_labels_or_rows(spark, texts):
+    """Nothing to learn languages from is no reason to lose documents; empty tables stay empty."""
+    import corpus_pipeline as C
+
+    odd = texts(ODD_ROWS)
+    kept = C.language_id(spark, odd, SF)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((d or 0, t or "") for d, t in ODD_ROWS)
     empty = texts([])
     for _, stage in C.STAGES[:-1]:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def test_labels_of_absent_ids_do_not_cost_the_model(spark, texts):
+    rows = [(i, ("good clear sentence about rivers and hills " if i % 2 else "buy now click win $$$ ### ") * (3 + i % 4), "en", "web", 100) for i in range(200)]
+    labels = spark.range(0, 200).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality").union(spark.range(10_000, 210_000).selectExpr("id", "cast(id % 2 AS int)"))
+    model = Q.train(texts(rows), labels, labelled_rows=100)
+    assert model is not None
+    found = {r.doc_id: r.kept for r in Q.classify(texts(rows), model).select("doc_id", "kept").collect()}
+    assert np.mean([found[i] == bool(i % 2) for i in range(200)]) > 0.95
