@@ -27,8 +27,15 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter; a guess only if so many languages are learned that its score can be below the bound."""
-    found = identify(whole_rows(docs), train(docs, learn_from=~held_out()), text_col="row.text")
+    """Rejects documents without a letter; a guess only if so many languages are learned that its score can be below the bound.
+
+    Without any labelled row to learn from all documents stay. Null, empty and letterless texts go, very long ones are read whole, repeated rows and ties are
+    judged alike, an empty table stays empty.
+    """
+    model = train(docs, learn_from=~held_out())
+    if not model.families:
+        return docs  # nothing to tell languages by is no reason to lose a corpus
+    found = identify(whole_rows(docs), model, text_col="row.text")
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
