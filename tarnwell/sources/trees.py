@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import PROVIDER_HOSTS, PROVIDER_WILDCARDS, package_name, path_language, path_location, redact
+from ..functions.scalars import PROVIDER_HOSTS, PROVIDER_WILDCARDS, SECRET_PATTERNS, package_name, path_language, path_location
 from ..operators.relational import top_per_key
+from . import tree_source, yaml_text
+from .tree_source import MAX_BYTES  # noqa: F401
 
 SKIPPED = r"(^|/)(\.git|node_modules|__pycache__|venv)(/|$)"
 HIDDEN = r"(^|/)\.[^/]+/"
+# Folders whose YAML files deploy a tree, and folders that declare nothing.
+MANIFEST_FOLDERS = ("infra", "k8s", "kubernetes", "deploy", "manifests")
+UNDECLARED_FOLDERS = (".git", "node_modules", ".venv", "venv", "dist", "build")
 SOURCE_EXTENSIONS = ("py", "ts", "tsx", "js", "jsx", "mjs", "cjs")
-#: A larger file is listed, but its text is empty.
-MAX_BYTES = 1_000_000
 
 # Packages that mark the use of language models, as manifests name them.
 AI_PACKAGES = (
@@ -42,17 +45,14 @@ TEXT_FILES = r"\.(py|md|txt|json|yaml|yml|toml|cfg|ts|tsx|js|jsx|mjs|cjs)$"
 SIGNALS = ("manifest_ai_package", "manifest_ai_package_js", "prompt_artefact", "sdk_import", "org_wrapper_import", "llm_host", "chat_path_fragment", "model_near_messages")
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root``: path (relative), text (UTF-8, invalid bytes replaced; empty over ``MAX_BYTES``), content_hash (of all bytes), n_bytes, ext, language, location.
+def read_tree(spark: SparkSession, root: str, *, trees: bool = False, archives: bool = False, pieces: int = 64) -> DataFrame:
+    """Files below ``root``: tree, path (relative), text (UTF-8, invalid bytes replaced; empty over ``MAX_BYTES``), content_hash (of all bytes), n_bytes, ext, language, location.
 
-    Spark lists no empty files and none whose name starts with a dot.
+    Files whose name begins with a dot and empty ones are listed. ``root`` may be a tar or zip archive. With ``trees`` every folder and archive right below it is a tree; with
+    ``archives`` those within a tree are opened. At least ``pieces`` tasks read, if there are so many folders.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = "/" + root.removeprefix("file:").strip("/") + "/"
-    relative = F.replace(F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/"), F.lit(prefix), F.lit(""))
-    text = F.when(F.col("length") <= MAX_BYTES, F.make_valid_utf8(F.col("content").cast("string"))).otherwise("")
-    rows = files.select(relative.alias("path"), text.alias("text"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("n_bytes"))
-    rows = rows.where(~F.col("path").rlike(SKIPPED))
+    tree_source.register(spark)
+    rows = spark.read.format("tree").options(path=root, trees=str(trees).lower(), archives=str(archives).lower(), pieces=str(pieces)).load()
     return rows.withColumns({"ext": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)), "language": path_language(F.col("path")), "location": path_location(F.col("path"))})
 
 
@@ -73,6 +73,14 @@ def _first(text: Column, needles: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(F.contains(text, F.lit(n)), F.lit(n)) for n in needles])
 
 
+def _near(name: str, others: Sequence[str], reach: int) -> str:
+    """A pattern: ``name`` in quotes, and one of the others, in quotes and whole, within ``reach`` characters before or behind the place where it begins."""
+    quoted = lambda w: f"['\"]{w}['\"]"
+    behind = "|".join(f".{{0,{reach - len(w) - 2}}}{quoted(w)}" for w in others)
+    before = "|".join(f"{quoted(w)}.{{0,{reach - len(w) - 2}}}" for w in others)
+    return f"(?s)(?={quoted(name)})(?:{behind})|(?:{before})(?={quoted(name)})"
+
+
 def signals(files: DataFrame, gateways: Sequence[str] = (), wrappers: Sequence[str] = ()) -> DataFrame:
     """(signal, path, token): every sign of model use in every file. ``gateways`` are the organisation's hosts, ``wrappers`` its packages around models."""
     path, text = F.col("path"), F.col("text")
@@ -87,7 +95,7 @@ def signals(files: DataFrame, gateways: Sequence[str] = (), wrappers: Sequence[s
     imported = F.when(python, F.regexp_extract(text, rf"(?m)^\s*(?:from|import)\s+({'|'.join(AI_MODULES)})\b", 1)).when(script, F.regexp_extract(text, rf"(?:from|require\(\s*)\s*['\"]({'|'.join(AI_SCRIPTS)})['\"]", 1))
     wrapped = F.array(*[F.when(python & text.rlike(rf"(?m)^\s*(?:from|import)\s+{re.escape(w)}\b"), w) for w in wrappers])
     needles = (*PROVIDER_HOSTS, *(w.replace("*.", ".").replace(".*", ".") for w in PROVIDER_WILDCARDS), *gateways)
-    near = text.rlike(r"(?s)['\"]model['\"].{0,300}['\"](messages|prompt|input)['\"]|['\"](messages|prompt|input)['\"].{0,300}['\"]model['\"]") & _first(text, HTTP_SIGNS).isNotNull()
+    near = text.rlike(_near("model", ("messages", "prompt", "input"), 300)) & _first(text, HTTP_SIGNS).isNotNull()
     found = {
         "manifest_ai_package": F.when(manifest, named), "manifest_ai_package_js": F.when(base == "package.json", npm), "prompt_artefact": F.array(F.when(prompt, "")), "sdk_import": F.when(readable, F.array(F.nullif(imported, F.lit("")))),
         "org_wrapper_import": wrapped if wrappers else None, "llm_host": F.when(readable, F.array(_first(text, needles))), "chat_path_fragment": F.when(readable, F.array(_first(text, CHAT_PATHS))),
@@ -150,57 +158,33 @@ def workspaces(files: DataFrame) -> DataFrame:
     return inner.select(F.from_json("text", "struct<name:string>")["name"].alias("prefix"), F.regexp_replace("path", r"/[^/]+$", "").alias("folder")).where(F.col("prefix").isNotNull())
 
 
-def yaml_environment(text: str) -> list[tuple[str, str]]:
-    """Keys and values of ``environment:`` maps and lists, and of ``env:`` lists of name and value, by indentation."""
-    found, block, name = [], None, None
-    for line in text.splitlines():
-        body = line.strip()
-        if not body or body.startswith("#"):
-            continue
-        indent = len(line) - len(line.lstrip())
-        if block and (indent < block[1] or (indent == block[1] and not body.startswith("-"))):
-            block = name = None
-        if m := re.fullmatch(r"(?:-\s+)?(environment|env):", body):
-            block = (m[1], indent)
-            continue
-        if block is None:
-            continue
-        if block[0] == "environment":
-            m = re.fullmatch(r"-\s+['\"]?([^=\s'\"]+)\s*=(.*?)['\"]?", body) or re.fullmatch(r"['\"]?([A-Za-z_][\w.-]*)['\"]?:\s+(.+)", body)
-            if m:
-                found.append((m[1], m[2].strip().strip("'\"")))
-        elif m := re.fullmatch(r"-?\s*name:\s*['\"]?([^'\"\s]+)['\"]?", body):
-            name = m[1]
-        elif (m := re.fullmatch(r"-?\s*value:\s*(.+)", body)) and name:
-            found.append((name, m[1].strip().strip("'\"")))
-            name = None
-    return found
-
-
-def environment_defaults(files: DataFrame, most_files: int = 200, most_bytes: int = 256 << 10) -> DataFrame:
-    """(key, value, path, form) of dotenv files, compose files and manifests, the first ``most_files`` of at most ``most_bytes`` by path; secrets are redacted.
-
-    form is example for files that are called so, else pinned.
+def environment_defaults(files: DataFrame, most_files: int = 200, most_bytes: int = 256 << 10, by: Sequence[str] = ("tree",)) -> DataFrame:
+    """(by.., key, value, path, form) of dotenv files, compose files and deployment manifests: of each tree (``by``) the first ``most_files`` by path that have at most ``most_bytes``.
+
+    A value with a secret in it is ``[redacted]``; form is example for files that are called so, else pinned. A YAML file that does not parse declares nothing.
     """
-    base = F.lower(_base(F.col("path")))
-    dotenv = base.rlike(r"^(.*\.)?env(\..*)?$|env\.example$|\.env\.sample$")
-    yaml = base.rlike(r"\.ya?ml$") & (base.startswith("docker-compose") | F.col("path").rlike(r"(^|/)(infra|k8s|kubernetes|deploy|manifests)/"))
-    wanted = files.where((dotenv | yaml) & (F.col("n_bytes") <= most_bytes) & ~F.col("path").rlike(SKIPPED)).withColumn("_yaml", yaml)
-    wanted = wanted.orderBy("path").limit(most_files)
-    line = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=(.*)$"
-    lines = wanted.where("NOT _yaml").select("path", F.explode(F.split("text", "\n")).alias("line"))
-    raw = F.trim(F.regexp_extract("line", line, 2))
-    quoted = F.regexp_extract(raw, r"""^(['"])(.*)\1$""", 2)
-    value = F.when(raw.rlike(r"""^(['"]).*\1$"""), quoted).otherwise(F.trim(F.regexp_replace(raw, r" #.*$", "")))
-    plain = lines.select(F.regexp_extract("line", line, 1).alias("key"), value.alias("value"), "path")
-
-    def walk(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"key": k, "value": v} for k, v in yaml_environment(t)])
-
-    nested = wanted.where("_yaml").select("path", F.explode(F.pandas_udf(walk, "array<struct<key:string,value:string>>")("text")).alias("e")).select("e.key", "e.value", "path")
-    rows = plain.unionByName(nested).where("key <> '' AND value <> ''")
+    base, folders = F.lower(_base(F.col("path"))), F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    within = lambda names: F.arrays_overlap(folders, F.array(*map(F.lit, names)))
+    dotenv = (base == ".env") | base.startswith(".env.") | base.endswith("env.example") | base.endswith(".env.sample")
+    yaml = base.rlike(r"\.ya?ml$")
+    wanted = files.where((dotenv | (yaml & (base.startswith("docker-compose") | within(MANIFEST_FOLDERS)))) & ~F.coalesce(within(UNDECLARED_FOLDERS), F.lit(False)))
+    wanted = top_per_key(wanted, by, [F.split("path", "/")], most_files, "_place").where(F.col("n_bytes") <= most_bytes)
+    line = r"^(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*)$"
+    lines = wanted.where(~yaml).select(*by, "path", F.explode(F.split("text", r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]")).alias("line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    raw = F.regexp_extract("line", line, 2)
+    value = F.when(raw.rlike(r"""^(['"]).*\1$""") & (F.length(raw) > 1), F.regexp_extract(raw, r"""^(['"])(.*)\1$""", 2)).otherwise(F.regexp_replace(raw, r" #.*$", ""))
+    plain = lines.select(*by, F.regexp_extract("line", line, 1).alias("key"), value.alias("value"), "path")
+
+    def walk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pair = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+        for texts in batches:
+            yield pa.array([[{"key": k, "value": v} for k, v in yaml_text.environment(t or "")] for t in texts.to_pylist()], type=pair)
+
+    nested = wanted.where(yaml).select(*by, "path", F.explode(F.arrow_udf(walk, "array<struct<key:string,value:string>>")("text")).alias("e")).select(*by, "e.key", "e.value", "path")
+    rows = plain.unionByName(nested).withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).where("key <> '' AND value <> ''")
+    secret = reduce(Column.__or__, [F.col("value").rlike(pattern) for _, pattern in SECRET_PATTERNS])
     form = F.when(F.lower(_base(F.col("path"))).rlike("example|sample"), "example").otherwise("pinned")
-    return rows.select("key", redact(F.col("value")).alias("value"), "path", form.alias("form")).distinct()
+    return rows.select(*by, "key", F.when(secret, "[redacted]").otherwise(F.col("value")).alias("value"), "path", form.alias("form")).distinct()
 
 
 def matched_configs(files: DataFrame, rules: Mapping[str, str]) -> DataFrame:
