@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.relational import upsert
 from ..session import stored
+from ..sources.store import Store
 
 FLAGS = ("moves_money", "executes_code", "mutates_identities", "sends_external", "reads_sensitive")
 KEYS = {
@@ -104,6 +105,12 @@ def upserted(spark: SparkSession, folder: str, records: DataFrame, target: str)
         upsert(old, rows.dropDuplicates(list(KEYS[name])), KEYS[name]).write.mode("overwrite").parquet(f"{target}/{name}")
 
 
+def upsert_records(store: Store, records: DataFrame) -> int:
+    """Replace in place, in one version of the store, all rows of the records' scans in all eight tables. Returns the version."""
+    records = parsed_once(records)
+    return store.upsert(flatten(records), records.select("bundle_id", "scan_id").distinct(), ["bundle_id", "scan_id"], KEYS)
+
+
 NAMED: dict[str, str] = {
     "agents_move_money": "SELECT bundle_id, agent_id, model_value, model_endpoint FROM {agents} WHERE moves_money ORDER BY bundle_id, agent_id",
     "models_by_provider_class": "SELECT provider_class, model_value, endpoint, count(*) AS uses FROM {models} GROUP BY ALL ORDER BY provider_class, model_value, endpoint",

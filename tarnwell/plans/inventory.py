@@ -6,6 +6,8 @@ order is a call outside or inside an agent.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import displays as S
@@ -15,7 +17,8 @@ from ..operators import incremental as I
 from ..operators import ledger as L
 from ..operators import modules as M
 from ..operators import relational as R
-from ..session import table
+from ..session import shared_folder, table
+from ..sources.store import Store
 from .driver import query
 from .estate import NAMED, named_query
 
@@ -653,3 +656,23 @@ def _governed(spark, sf_dir):
 def merged_fact_sets(spark, sf_dir):
     facts_ = table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderpriority AS method", "array('f' || o_orderkey % 4, 'g' || o_orderkey % 3) AS files")
     return G.merged_sets(facts_, "o_custkey", ["method", "files"])
+
+
+# The state store: two scans of every bundle, the second of the same commit for some
+
+
+@query(
+    """SELECT o_custkey AS bundle_id, 'c1' AS scan_id, o_orderkey AS entity, o_orderpriority AS value FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+UNION ALL SELECT o_custkey, 'c1', o_orderkey, 'rescanned' FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus <> 'F'
+UNION ALL SELECT o_custkey, 'c2', o_orderkey, 'later' FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'MACHINERY'"""
+)
+def store_upserts(spark, sf_dir):
+    """Entities in a versioned store: all bundles once, then one segment's again under the same scan (fewer entities replace them) with another's under a new scan."""
+    scope = ["bundle_id", "scan_id"]
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "left")
+    kept = Store(spark, f"{shared_folder(spark)}/tarnwell/store-{uuid.uuid4().hex}", buckets=16)
+    first = orders.selectExpr("o_custkey AS bundle_id", "'c1' AS scan_id", "o_orderkey AS entity", "o_orderpriority AS value")
+    kept.upsert({"entities": first}, first.select(*scope), scope, {"entities": [*scope, "entity"]})
+    again = orders.where("c_mktsegment IN ('BUILDING', 'MACHINERY')").selectExpr("o_custkey AS bundle_id", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'c1' ELSE 'c2' END AS scan_id", "o_orderkey AS entity", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'rescanned' ELSE 'later' END AS value", "o_orderstatus")
+    kept.upsert({"entities": again.where("scan_id = 'c2' OR o_orderstatus <> 'F'").drop("o_orderstatus")}, again.select(*scope), scope, {"entities": [*scope, "entity"]})
+    return kept.table("entities").select("bundle_id", "scan_id", "entity", "value")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.plans import estate
-from tarnwell.sources import outputs, records, settings, trees
+from tarnwell.sources import outputs, records, settings, store, trees
 from tarnwell.streaming import feeds
 
 
@@ -60,9 +60,31 @@ def test_rebuild_and_upsert(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "b" / "systems")).where("scanned_at = 'later'").count() == 1
 
 
+def test_records_upserted_in_place(spark, tmp_path):
+    """A scan of the same commit replaces its rows in all eight tables in one version; one of another commit adds to them."""
+
+    def read(*some):
+        rows = records.from_json(spark.createDataFrame([(str(i), json.dumps(r)) for i, r in enumerate(some)], "path string, value string"))
+        return rows.withColumn("scan_id", F.variant_get("record", "$.scanned_commit", "string"))
+
+    kept = store.Store(spark, str(tmp_path), buckets=4)
+    estate.upsert_records(kept, read(*RECORDS))
+    before = {name: kept.table(name).count() for name in estate.KEYS}
+    assert before == {"systems": 3, "agents": 2, "agent_tools": 2, "tools": 2, "models": 1, "findings": 2, "mcp_servers": 0, "model_usages": 1}
+    fewer = dict(RECORDS[0], agents=[AGENT], findings=[])
+    assert [estate.upsert_records(kept, read(fewer)), estate.upsert_records(kept, read(fewer))] == [2, 3]
+    after = {name: kept.table(name).count() for name in estate.KEYS}
+    assert after == before | {"agents": 1, "findings": 0}
+    later = dict(fewer, scanned_commit="c2", inventory_provenance={"scanned_at": "2026-02-01T00:00:00Z"})
+    estate.upsert_records(kept, read(later))
+    assert kept.table("systems").count() == 4 and kept.table("agents").count() == 2 and kept.table("agents", 1).count() == 2
+    found = {name: [tuple(r) for r in estate.named_query(spark, {n: kept.table(n) for n in estate.KEYS}, name).collect()] for name in ("agents_move_money", "high_findings")}
+    assert len(found["agents_move_money"]) == 2 and found["high_findings"] == []
+
+
 FILES = {
     "requirements.txt": "OpenAI==1.2.3\nrequests==2.0 # x\nopenai==1.3\nlangchain-community==0.2\n", "src/app.py": "import openai\nkey = 'x'\n", "src/.hidden/a.py": "x", "node_modules/x.js": "import openai", "web/a.d.ts": "x",
-    "web/a.ts": "fetch('/v1/messages')", "web/b.ts": "import x from '@openai/agents'\n", "config/app.env": "export LLM_MODEL='m-1' \n# no\nNAME=a b # c\nKEY=sk-" + "a" * 30 + "\n", "tests/test_a.py": "pass",
+    "web/a.ts": "fetch('/v1/messages')", "web/b.ts": "import x from '@openai/agents'\n", "config/.env": "export LLM_MODEL='m-1' \n# no\nNAME=a b # c\nKEY=sk-" + "a" * 30 + "\n", "tests/test_a.py": "pass",
     "src/lc.py": "from langchain_openai import ChatOpenAI\n", "src/gg.py": "  import google.genai as g\n", "src/none.py": "import openaix\n", "src/post.py": "requests.post(u, json={'model': 'm', 'messages': []})", "src/far.py": "requests.post\n'model'" + " " * 400 + "'messages'",
     "src/host.py": "u = 'https://api.openai.com/v1/chat/completions'", "src/wrap.py": "import corp_llm.client\n", "src/gate.py": "x = 'llm.corp.example'", "package.json": json.dumps({"name": "root", "dependencies": {"ai": "1", "left-pad": "1"}, "devDependencies": {"@langchain/core": "2"}}),
     "packages/ui/package.json": json.dumps({"name": "@org/ui"}), "prompts/agents/billing-bot/system.md": "---\nname: 'billing'\nmodel: m-1\n---\nYou bill.", "prompts/agents/empty/readme.md": "x", "skills/SKILL.md": "x",
@@ -82,7 +104,7 @@ def tree(spark, tmp_path_factory):
 
 
 def test_trees(tree):
-    assert {r.path for r in tree.collect()} == set(FILES) - {"node_modules/x.js", "src/.hidden/a.py"}
+    assert {r.path for r in tree.collect()} == set(FILES) - {"node_modules/x.js"}
     assert {r.path for r in trees.analysable(tree.where("path LIKE 'web/%' OR path LIKE 'tests/%'")).collect()} == {"web/a.ts", "web/b.ts", "tests/test_a.py"}
     assert {(r.ext, r.n_files) for r in trees.census(tree).collect()} >= {("ts", 3)}
 
@@ -106,7 +128,7 @@ def test_versions_and_environment(tree):
     assert {(r.package, r.version) for r in trees.npm_versions(tree).collect()} == {("ai", "1.1"), ("a/node_modules/b", "3"), ("@scope/p", "1.2.3"), ("q", "0.1.0")}
     assert [tuple(r) for r in trees.script_aliases(tree).collect()] == [("@app", "web/lib")] and [tuple(r) for r in trees.workspaces(tree).collect()] == [("@org/ui", "packages/ui")]
     found = {(r.key, r.value, r.form) for r in trees.environment_defaults(tree).collect()}
-    assert found == {("LLM_MODEL", "m-1", "pinned"), ("NAME", "a b", "pinned"), ("KEY", "<redacted:openai_key>", "pinned"), ("MODEL", "m-2", "pinned"), ("TOKEN", "<redacted:github_token>", "pinned"), ("HOST", "h:1", "pinned"), ("TEMP", "0.1", "pinned")}
+    assert found == {("LLM_MODEL", "m-1", "pinned"), ("NAME", "a b", "pinned"), ("KEY", "[redacted]", "pinned"), ("MODEL", "m-2", "pinned"), ("TOKEN", "[redacted]", "pinned"), ("HOST", "h:1", "pinned"), ("TEMP", "0.1", "pinned")}
 
 
 def test_configs_and_rosters(tree):
@@ -117,8 +139,8 @@ def test_configs_and_rosters(tree):
 
 
 def test_changed_paths(tree, spark, tmp_path):
-    changed = trees.changed_paths(tree, tree.where("path <> 'config/app.env'"))
-    assert [tuple(r) for r in changed.collect()] == [("config/app.env", "removed")]
+    changed = trees.changed_paths(tree, tree.where("path <> 'config/.env'"))
+    assert [tuple(r) for r in changed.collect()] == [("config/.env", "removed")]
     for name, end in (("a", "1"), ("b", "2")):  # beyond the size that is read as text
         (tmp_path / name).mkdir()
         (tmp_path / name / "big.py").write_text("x" * 1_200_000 + end)
