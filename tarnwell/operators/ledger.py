@@ -17,7 +17,8 @@ from pyspark.sql.types import StructType
 GENESIS = "0" * 64
 
 
-def _fields(fields: Sequence[str]) -> Column:
+def field_text(fields: Sequence[str]) -> Column:
+    """The fields of an entry as its hash covers them."""
     return F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("None")) for f in fields])
 
 
@@ -57,7 +58,7 @@ def hash_chain(entries: DataFrame, bundle: str, order: Sequence[str], fields: Se
     the chain starts from the genesis hash again after so many entries.
     """
     seq = F.row_number().over(Window.partitionBy(bundle).orderBy(*order))
-    rows = entries.withColumn("seq", seq).withColumn("_text", _fields(fields))
+    rows = entries.withColumn("seq", seq).withColumn("_text", field_text(fields))
     return _chained(rows.withColumn("_start", _start(F.col("seq"), F.col("seq"), F.lit(GENESIS), segment)), bundle)
 
 
@@ -71,7 +72,7 @@ def verify(ledger: DataFrame, bundle: str, fields: Sequence[str], segment: int |
     fresh = F.col("_place") == 1 if segment is None else (F.col("_place") - 1) % segment == 0
     rows = ledger.withColumns({"_place": place, "_before": F.lag("entry_hash").over(order)})
     rows = rows.withColumn("_expected", F.when(fresh, F.lit(GENESIS)).otherwise(F.col("_before")))
-    good = (F.col("seq") == F.col("_place")) & (F.col("prev_hash") == F.col("_expected")) & (F.col("entry_hash") == entry_hash(F.col("seq"), _fields(fields), F.col("prev_hash")))
+    good = (F.col("seq") == F.col("_place")) & (F.col("prev_hash") == F.col("_expected")) & (F.col("entry_hash") == entry_hash(F.col("seq"), field_text(fields), F.col("prev_hash")))
     rows = rows.withColumn("_bad", ~F.coalesce(good, F.lit(False)))
     first = F.min(F.when(F.col("_bad"), F.struct("_place", "seq", F.coalesce("_before", F.lit(GENESIS)).alias("tip"))))
     last = F.max(F.struct("_place", "entry_hash"))
@@ -84,6 +85,6 @@ def append(ledger: DataFrame, entries: DataFrame, bundle: str, order: Sequence[s
     tips = ledger.groupBy(bundle).agg(F.max(F.struct("seq", "entry_hash")).alias("_tip")).select(F.col(bundle).alias("_of"), F.col("_tip.seq").alias("_last"), F.col("_tip.entry_hash").alias("_hash"))
     numbered = entries.join(tips, F.col(bundle).eqNullSafe(F.col("_of")), "left").drop("_of")
     place = F.row_number().over(Window.partitionBy(bundle).orderBy(*order))
-    rows = numbered.withColumn("_place", place).withColumn("seq", (F.coalesce("_last", F.lit(0)) + F.col("_place")).cast("int")).withColumn("_text", _fields(fields))
+    rows = numbered.withColumn("_place", place).withColumn("seq", (F.coalesce("_last", F.lit(0)) + F.col("_place")).cast("int")).withColumn("_text", field_text(fields))
     rows = rows.withColumn("_start", _start(F.col("_place"), F.col("seq"), F.coalesce("_hash", F.lit(GENESIS)), segment))
     return _chained(rows.drop("_place", "_last", "_hash"), bundle)
