@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -29,11 +29,44 @@ def merge_facts(facts: DataFrame, key: str, evidence: Column, confidence: Column
     return merged, proofs.select("id", "evidence")
 
 
-def edges(parts: Sequence[DataFrame], nodes: DataFrame) -> DataFrame:
-    """Union of edges (family, type, src, dst) whose ends are both nodes (id), each once with the number of times it was seen."""
-    found = reduce(DataFrame.unionByName, parts).groupBy("family", "type", "src", "dst").agg(F.count("*").alias("seen"))
+EDGE = ("family", "type", "src", "dst")
+
+
+def edges(parts: Sequence[DataFrame], nodes: DataFrame, dropped: Observation | None = None) -> DataFrame:
+    """Union of edges (family, type, src, dst) whose ends are both nodes (id), each once with the number of times it was seen.
+
+    ``dropped`` observes, in the pass that makes the edges, how many rows were seen and how many went for want of their source, their target or both: seen, no_src, no_dst, no_ends.
+    """
+    rows = reduce(DataFrame.unionByName, [p.select(*EDGE) for p in parts]).groupBy(*EDGE).agg(F.count("*").alias("seen"))
+    return _between(rows, nodes, F.col("seen"), dropped)
+
+
+def _between(rows: DataFrame, nodes: DataFrame, weight: Column, dropped: Observation | None) -> DataFrame:
     ids = nodes.select("id").distinct()
-    return found.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    for end in ("src", "dst"):
+        rows = rows.join(ids.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    src, dst = F.col("_src").isNull(), F.col("_dst").isNull()
+    if dropped is not None:
+        of = lambda kept, name: F.sum(F.when(kept, weight).otherwise(0)).alias(name)
+        rows = rows.observe(dropped, of(F.lit(True), "seen"), of(src & ~dst, "no_src"), of(~src & dst, "no_dst"), of(src & dst, "no_ends"))
+    return rows.where(~src & ~dst).drop("_src", "_dst")
+
+
+def evidenced_edges(parts: Sequence[DataFrame], nodes: DataFrame, dropped: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges (family, type, src, dst, attrs: an array of structs of key and value) of parts that also have evidence (an array of strings), and their evidence as rows (the same columns and evidence), each once.
+
+    Equal edges are one, whatever their evidence. ``dropped`` as for :func:`edges`, counted in rows of the parts.
+    """
+    rows = reduce(DataFrame.unionByName, [p.select(*EDGE, "attrs", "evidence") for p in parts])
+    kept = _between(rows, nodes, F.lit(1), dropped)
+    proofs = kept.select(*EDGE, "attrs", F.explode_outer("evidence").alias("evidence")).groupBy(*EDGE, "attrs", "evidence").agg(F.lit(True).alias("_"))
+    return proofs.select(*EDGE, "attrs").distinct(), proofs.where(F.col("evidence").isNotNull()).drop("_")
+
+
+def observed_reasons(events: DataFrame, reason: str, reasons: Sequence[str], counts: Observation) -> DataFrame:
+    """``events`` unchanged; while anything reads them, ``counts`` gathers how often each of the reasons came up, and all others as other."""
+    known = F.col(reason).isin(*reasons)
+    return events.observe(counts, *[F.count_if(F.col(reason) == r).alias(r) for r in reasons], F.count_if(~F.coalesce(known, F.lit(False))).alias("other"))
 
 
 def neighbours(edges_: DataFrame, *, family: str | None = None, type_: str | None = None, direction: str = "out") -> DataFrame:
@@ -75,6 +108,88 @@ def closure(edges_: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
+def strong_components(edges_: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component): the strongly connected components of ``edges_`` (src, dst) and ``nodes`` (node), each named by its greatest node.
+
+    Rounds of trimming and colouring: nodes without a way in or out are components by themselves; in what is left the greatest node that reaches a node is its colour, and those that reach
+    a colour's own node against the edges, within the colour, are its component. No component and no pair of its nodes is ever gathered.
+    """
+    ways = stored(edges_.select("src", "dst").where("src <> dst").distinct(), "ways")
+    every = ways.select(F.col("src").alias("node")).unionByName(ways.select(F.col("dst").alias("node")))
+    left = stored((every if nodes is None else every.unionByName(nodes.select("node"))).distinct(), "left")
+    done = []
+    while left.take(1):
+        both = ways.select(F.col("src").alias("node")).distinct().join(ways.select(F.col("dst").alias("node")).distinct(), "node")
+        inner = stored(both, "inner")
+        done.append(stored(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")), "components"))
+        trimmed = left.count() > (n := inner.count())
+        left = inner
+        ways = stored(_within(ways, left), "ways")
+        if not n:
+            break
+        if trimmed:
+            continue
+        colour = left.select("node", F.col("node").alias("colour"))
+        while True:  # the greatest colour spreads along the edges
+            spread = ways.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_more"))
+            after = stored(colour.join(spread, "node", "left").select("node", F.greatest("colour", "_more").alias("colour"), (F.col("_more") > F.col("colour")).alias("_new")), "colour")
+            colour = after.select("node", "colour")
+            if not after.where("_new").take(1):
+                break
+        inside = ways.join(colour.withColumnsRenamed({"node": "src", "colour": "_a"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "_b"}), "dst").where("_a = _b").select("src", "dst")
+        own = reached(colour.where("node = colour").select("node"), inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found = stored(own.select("node").join(colour, "node").select("node", F.col("colour").alias("component")), "components")
+        done.append(found)
+        left = stored(left.join(found, "node", "left_anti"), "left")
+        ways = stored(_within(ways, left), "ways")
+    return reduce(DataFrame.unionByName, done) if done else left.select("node", F.col("node").alias("component"))
+
+
+def _within(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    return ways.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
+def reached_items(edges_: DataFrame, items: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What roots (root) reach over ``edges_`` (src, dst), themselves included, of ``items`` (node, item): sets (root, word, bits) and the items' places (item, word, bit).
+
+    A set is rows of 64 items each, bit ``bit`` of row ``word``. Cycles are one node each: sets belong to the strongly connected components, follow the condensed graph from its ends upwards, by
+    bitwise or, and are joined to the roots last, so neither pairs of nodes nor pairs of node and item are made on the way.
+    """
+    nodes = roots.select(F.col("root").alias("node")).unionByName(items.select("node"))
+    part = stored(strong_components(edges_, nodes), "strong")
+    of = lambda end: part.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    up = stored(edges_.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct(), "condensed")
+    at = F.monotonically_increasing_id()
+    places = stored(items.select("item").distinct().select("item", at.alias("_at")).select("item", F.shiftright("_at", 6).alias("word"), F.col("_at").bitwiseAND(F.lit(63)).cast("int").alias("bit")), "places")
+    own = items.join(places, "item").join(part, "node").groupBy(F.col("component").alias("node"), "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    waiting, sets = stored(part.select(F.col("component").alias("node")).distinct(), "waiting"), []
+    own = stored(own, "sets")
+    while waiting.take(1):
+        # Nodes all of whose ways lead to settled ones are next.
+        held = up.join(waiting.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        ready = stored(waiting.join(held, "node", "left_anti"), "ready")
+        below = [up.join(ready.withColumnRenamed("node", "src"), "src", "left_semi").join(s.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "word", "bits") for s in sets]
+        mine = own.join(ready, "node", "left_semi").select("node", "word", "bits")
+        sets.append(stored(reduce(DataFrame.unionByName, below, mine).groupBy("node", "word").agg(F.expr("bit_or(bits)").alias("bits")), "sets"))
+        if len(sets) > 8:
+            sets = [stored(reduce(DataFrame.unionByName, sets), "sets")]
+        waiting = stored(waiting.join(ready, "node", "left_anti"), "waiting")
+    every = reduce(DataFrame.unionByName, sets) if sets else own
+    found = roots.select("root").distinct().join(part.withColumnRenamed("node", "root"), "root").join(every.withColumnRenamed("node", "component"), "component").select("root", "word", "bits")
+    return found, places
+
+
+def item_counts(sets: DataFrame) -> DataFrame:
+    """(root, n): how many items each root's set has; roots without any are left out."""
+    return sets.groupBy("root").agg(F.sum(F.bit_count("bits")).cast("long").alias("n"))
+
+
+def listed_items(sets: DataFrame, places: DataFrame) -> DataFrame:
+    """(root, item): sets written out."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", F.col("bits"), b) == 1)
+    return sets.select("root", "word", F.explode(bits).alias("bit")).join(places, ["word", "bit"]).select("root", "item")
+
+
 def liveness(nodes: DataFrame, entrypoints: DataFrame, edges_: DataFrame) -> DataFrame:
     """``nodes`` (node) with liveness: invoked, reachable or defined."""
     live = reached(entrypoints, edges_)

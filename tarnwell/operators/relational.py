@@ -52,11 +52,6 @@ def top_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: i
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def contained(points: DataFrame, spans: DataFrame, key: Sequence[str], at: str, start: str, stop: str) -> DataFrame:
-    """Points joined to the spans of their key that hold them, ends included."""
-    return points.join(spans, list(key)).where(F.col(at).between(F.col(start), F.col(stop)))
-
-
 def changes(before: DataFrame, after: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """One row per key and field whose value in ``after`` is set and differs: key, field, old_value, new_value (strings), seq within the key.
 

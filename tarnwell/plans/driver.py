@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..operators import graph as G
 from ..operators import ledger as L
 from ..operators import relational as R
+from ..operators.intervals import contained
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -441,7 +442,7 @@ def span_containment(spark, sf_dir):
     """Errors inside a user's span of purchases or signups; a user has two spans at most."""
     events = table(spark, sf_dir, "events")
     spans = events.where(F.col("event_type").isin("purchase", "signup")).groupBy("user_id", F.col("event_type").alias("span")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return R.contained(events.where(F.col("event_type") == "error").select("event_id", "user_id", "ts"), spans, ["user_id"], "ts", "a", "b").select("event_id", "span")
+    return contained(events.where(F.col("event_type") == "error").select("event_id", "user_id", "ts"), spans, ["user_id"], "ts", "a", "b").select("event_id", "span")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.unresolved') IS NOT NULL AS is_unresolved FROM events")

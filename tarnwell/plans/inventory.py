@@ -405,7 +405,20 @@ def canonical_names(spark, sf_dir):
     names = parts.selectExpr("p_partkey % 4 AS bundle_id", "'m' || p_partkey AS module", "'X' || p_partkey % 3 AS name")
     chained = parts.where("p_partkey % 20 IN (4, 8, 12, 16) OR p_partkey % 40 = 0 AND p_partkey > 0")
     exports = chained.selectExpr("p_partkey % 4 AS bundle_id", "'m' || p_partkey AS module", "explode(array('X0', 'X1', 'X2')) AS name", "'m' || (p_partkey - 4) AS to_module").withColumn("to_name", F.col("name"))
-    return M.canonical_names(names, exports)
+    return M.canonical_names(names, exports, most=4).drop("cyclic")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT p_partkey AS k, CASE p_partkey WHEN 4 THEN 12 ELSE p_partkey - 4 END AS t FROM part WHERE p_partkey >= 4), r AS (SELECT k, t FROM e UNION SELECT r.k, e.t FROM r JOIN e ON e.k = r.t),
+c AS (SELECT k FROM r WHERE k = t), i AS (SELECT r.k, min('m' || t) AS least FROM r JOIN c ON c.k = r.t GROUP BY r.k), f AS (SELECT r.k, min(t) AS t FROM r LEFT JOIN e ON e.k = r.t WHERE e.k IS NULL GROUP BY r.k)
+SELECT p_partkey % 4 AS bundle_id, 'm' || p_partkey AS module, coalesce(least, 'm' || coalesce(f.t, p_partkey)) AS canonical_module, least IS NOT NULL AS cyclic FROM part LEFT JOIN f ON f.k = p_partkey LEFT JOIN i ON i.k = p_partkey"""
+)
+def canonical_chains(spark, sf_dir):
+    """Re-exports in chains as long as a quarter of all parts, some of which run into a cycle of three."""
+    parts = table(spark, sf_dir, "part")
+    names = parts.selectExpr("p_partkey % 4 AS bundle_id", "'m' || p_partkey AS module", "'X' AS name")
+    exports = parts.where("p_partkey >= 4").selectExpr("p_partkey % 4 AS bundle_id", "'m' || p_partkey AS module", "'X' AS name", "'m' || CASE p_partkey WHEN 4 THEN 12 ELSE p_partkey - 4 END AS to_module", "'X' AS to_name")
+    return M.canonical_names(names, exports).select("bundle_id", "module", "canonical_module", "cyclic")
 
 
 @query(
