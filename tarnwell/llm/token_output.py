@@ -160,19 +160,19 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def token_ids(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: int) -> DataFrame:
-    """doc (long), ids (binary) of every whole text with ``end_id`` at its end; a null text is empty."""
+def token_ids(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: int, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """doc (long), ids (binary) of every whole text with ``end_id`` at its end; a null text is empty. A task holds texts of about ``chunk_bytes`` at a time."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path)
-        for docs, texts in chunks(batches):
+        for docs, texts in chunks(batches, chunk_bytes):
             ids, sizes = of.encode(texts)
             # The end id goes behind each text.
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, of.kind.type(end_id))
             offsets = np.append(0, ends + np.arange(1, len(sizes) + 1)) * of.kind.itemsize
             held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)])
-            for part in slices(held, 8 << 20):
+            for part in slices(held, chunk_bytes):
                 yield pa.record_batch({"doc": docs.slice(part.offset, len(part)), "ids": part.cast(pa.binary())})
         give_back()
 
@@ -394,7 +394,7 @@ def _shard_of(ranges: Ranges):
 
 
 @small_batches
-def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = 4 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = 4 << 20, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Encode ``docs`` into shards in ``folder`` (a URI that the executors can write); returns one row per shard.
 
     Documents are in ascending order of id, null first; rows of the same id stand together, ordered by their ids' bytes. An empty
@@ -404,7 +404,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str =
     spark = docs.sparkSession
     of = encoder(tokenizer)
     width, per, size = of.kind.str, of.kind.itemsize, max(of.size, end_id + 1)
-    ids = written(token_ids(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id).withColumn("n_tokens", (F.octet_length("ids") / per).cast("long")), "token-ids")
+    ids = written(token_ids(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, chunk_bytes=chunk_bytes).withColumn("n_tokens", (F.octet_length("ids") / per).cast("long")), "token-ids")
     counts = np.zeros(size, dtype=np.int64)
     for row in ids.select("ids").mapInPandas(_count(width, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
@@ -450,9 +450,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("content").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokens_digest(docs: DataFrame) -> DataFrame:
+def tokens_digest(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     folder = new_folder(docs.sparkSession, "tokens")
-    write_tokens(docs, folder, tokenizer=vocabulary())
+    write_tokens(docs, folder, tokenizer=vocabulary(), chunk_bytes=chunk_bytes)
     return read_tokens(docs.sparkSession, folder)
 
 
