@@ -410,7 +410,7 @@ def canonical_names(spark, sf_dir):
 
 @query(
     """WITH RECURSIVE e AS (SELECT p_partkey AS k, CASE p_partkey WHEN 4 THEN 12 ELSE p_partkey - 4 END AS t FROM part WHERE p_partkey >= 4), r AS (SELECT k, t FROM e UNION SELECT r.k, e.t FROM r JOIN e ON e.k = r.t),
-c AS (SELECT k FROM r WHERE k = t), i AS (SELECT r.k, min('m' || t) AS least FROM r JOIN c ON c.k = r.t GROUP BY r.k), f AS (SELECT r.k, min(t) AS t FROM r LEFT JOIN e ON e.k = r.t WHERE e.k IS NULL GROUP BY r.k)
+c AS (SELECT k FROM r WHERE k = t), i AS (SELECT r.k, min('m' || r.t) AS least FROM r JOIN c ON c.k = r.t GROUP BY r.k), f AS (SELECT r.k, min(r.t) AS t FROM r LEFT JOIN e ON e.k = r.t WHERE e.k IS NULL GROUP BY r.k)
 SELECT p_partkey % 4 AS bundle_id, 'm' || p_partkey AS module, coalesce(least, 'm' || coalesce(f.t, p_partkey)) AS canonical_module, least IS NOT NULL AS cyclic FROM part LEFT JOIN f ON f.k = p_partkey LEFT JOIN i ON i.k = p_partkey"""
 )
 def canonical_chains(spark, sf_dir):
