@@ -262,3 +262,76 @@ def test_reach_equals_trying_all_lengths():
         assert P.may_reach(tuple(lists[:2]), inner, tuple(lists[2:]), least, 0.8) == wanted
         seen.add(wanted)
     assert seen == {True, False}
+
+
+# Repeated passages: recall on planted pairs, with an aligner that shares nothing with the operator
+
+
+def local_alignment(x, y, least=50, identity=0.8):
+    """Whether two lists of words hold a passage, by the plain table of common subsequences of every stretch of ``least`` words of x against y."""
+    for i in range(len(x) - least + 1):
+        part = x[i : i + least]
+        for j in range(len(y) - least + 1):
+            other = y[j : j + least]
+            if sum(a == b for a, b in zip(part, other)) >= identity * least:
+                return True
+    return False
+
+
+def planted(kind, change, others, n, seed=5):
+    """Pairs of documents that share a passage of 60 words, some of them changed, among documents of the same words or stock phrases."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(5000)]
+    stock = [[rng.choice(vocab) for _ in range(6)] for _ in range(150)]
+
+    def words(k):
+        out = []
+        while len(out) < k:
+            out += rng.choice(stock) if kind == "stock" else [rng.choice(vocab)]
+        return out[:k]
+
+    rows, pairs = [], []
+    for _ in range(n):
+        passage = words(60)
+        copy = [rng.choice(vocab) if rng.random() < change else w for w in passage]
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), words(40) + passage + words(40)), (len(rows) + 1, words(30) + copy + words(55))]
+    rows += [(len(rows) + i, words(rng.randrange(80, 160))) for i in range(others)]
+    return rows, pairs
+
+
+@pytest.mark.parametrize(("kind", "change", "others"), [("own", 0.1, 0), ("stock", 0.05, 0), ("stock", 0.1, 1500)])
+def test_planted_passages_are_found(spark, kind, change, others):
+    rows, pairs = planted(kind, change, others, 60)
+    true = [p for p in pairs if local_alignment(rows[p[0]][1], rows[p[1]][1])]
+    found, links = P.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    met = {tuple(sorted((r.left_id, r.right_id))) for r in links.collect()}
+    assert len(true) > 50 and sum(p in met for p in true) >= 0.95 * len(true)
+    assert {d for p in true if p in met for d in p} <= {r.doc_id for r in found.collect()}
+
+
+def test_third_places_of_a_seed_count(spark):
+    """A passage behind two stretches that hold its seeds already, on one side only."""
+    rng = random.Random(3)
+    passage = [f"p{rng.randrange(9000)}" for _ in range(55)]
+    pieces = lambda: [w for i in rng.sample(range(0, 50, 5), 10) for w in [*passage[i : i + 5], f"x{rng.randrange(9000)}"]]
+    rows = [(1, pieces() + pieces() + passage), (2, passage + ["end"] * 3)]
+    found, _ = P.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_are_the_best_of_all(seed):
+    """Scores of chains against trying all predecessors."""
+    rng = random.Random(seed)
+    runs = np.array(sorted({(rng.randrange(400), rng.randrange(400), rng.randrange(4, 20)) for _ in range(60)}))
+    cost, gap = 0.1, 60
+    best = {}
+    for i in sorted(range(len(runs)), key=lambda i: runs[i][0]):
+        a, b, n = map(int, runs[i])
+        before = [best[j] - cost * (a - x - k + b - y - k) for j, (x, y, k) in enumerate(runs.tolist()) if j in best and x + k <= a and y + k <= b and a - x - k <= gap and b - y - k <= gap]
+        best[i] = n + max([0, *before])
+    top = P.chains(runs, cost, gap)[0]
+    score = sum(int(runs[i][2]) for i in top) - cost * sum(int(runs[j][0] - runs[i][0] - runs[i][2] + runs[j][1] - runs[i][1] - runs[i][2]) for i, j in zip(top, top[1:]))
+    assert abs(score - max(best.values())) < 1e-9
+    assert all(runs[i][0] + runs[i][2] <= runs[j][0] and runs[i][1] + runs[i][2] <= runs[j][1] for i, j in zip(top, top[1:]))
