@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -129,48 +129,69 @@ def link(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Of several calls of one identifier the first stands, of several results the first; the others are kept and marked.
     """
-    both = calls.withColumns({"_kind": F.lit(0)}).unionByName(results.withColumns({"_kind": F.lit(1)}), allowMissingColumns=True)
-    same = Window.partitionBy("conv_id", "call_id")
-    both = both.withColumns({
-        "_call": F.min(F.when(F.col("_kind") == 0, F.struct("turn", "idx"))).over(same),
-        "_result": F.min(F.when(F.col("_kind") == 1, F.col("turn"))).over(same),
-    })
-    status = F.when(F.col("call_id").isNull(), "no_id").when((F.col("_call.turn") != F.col("turn")) | (F.col("_call.idx") != F.col("idx")), "duplicate_id").when(F.col("_result").isNull(), "no_result").otherwise("linked")
-    marked = both.where(F.col("_kind") == 0).select(*calls.columns, status.alias("status"))
-    tied = F.col("call_id").isNotNull() & (F.col("_result") == F.col("turn"))
-    answered = both.where(F.col("_kind") == 1).select(*results.columns, F.when(tied, F.col("_call.turn")).alias("call_turn"), F.when(tied, F.col("_call.idx")).alias("call_idx"))
+    named = lambda df: df.where(F.col("call_id").isNotNull())
+    key = [F.col("conv_id").alias("_conv"), F.col("call_id").alias("_id")]
+    # Both sides are one row an identifier before they meet, so no identifier is hot in the join; calls and results without one pass it by.
+    first = named(calls).groupBy(*key).agg(F.min(F.struct("turn", "idx")).alias("_call"))
+    answer = named(results).groupBy(F.col("conv_id").alias("_of"), F.col("call_id").alias("_to")).agg(F.min("turn").alias("_result"))
+    met = first.join(answer.hint("shuffle_hash"), F.col("_conv").eqNullSafe(F.col("_of")) & (F.col("_id") == F.col("_to")), "left").select("_conv", "_id", "_call", "_result")
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("call_id") == F.col("_id"))
+    status = F.when((F.col("_call.turn") != F.col("turn")) | (F.col("_call.idx") != F.col("idx")), "duplicate_id").when(F.col("_result").isNull(), "no_result").otherwise("linked")
+    marked = named(calls).join(met.hint("shuffle_hash"), same).select(*calls.columns, status.alias("status"))
+    marked = marked.unionByName(calls.where(F.col("call_id").isNull()).withColumn("status", F.lit("no_id")))
+    tied = F.col("_result") == F.col("turn")
+    answered = results.join(met.hint("shuffle_hash"), same, "left").select(*results.columns, F.when(tied, F.col("_call.turn")).alias("call_turn"), F.when(tied, F.col("_call.idx")).alias("call_idx"))
     return marked, answered
 
 
 def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """What :func:`moves` gives, of one conversation's dependencies (turn, idx, d_turn, d_idx, size)."""
-    needs = list(zip(rows["turn"].tolist(), rows["idx"].tolist(), rows["d_turn"].tolist(), rows["d_idx"].tolist(), strict=True))
-    most, behind, now = int(rows["size"].iloc[0]) + 1, {}, {}
-    for turn, idx, *on in needs:
-        behind.setdefault(tuple(on), []).append((turn, idx))
-        if tuple(on) >= (turn, idx):
-            now[turn, idx] = max(now.get((turn, idx), (on[0], 1)), (on[0], 1))
-    todo = list(now)
+    """What :func:`moves` gives, of one conversation's dependencies (turn, idx, d_turn, d_idx, size), in time that grows with their number.
+
+    The latest turn that a call has to wait for spreads from dependencies against the order of turns to all that wait for those calls, the latest first; then the calls that wait for one turn are
+    taken in topological order, and those that it does not reach are cyclic.
+    """
+    behind, wait, origins = {}, {}, {}
+    for turn, idx, *on in zip(rows["turn"].tolist(), rows["idx"].tolist(), rows["d_turn"].tolist(), rows["d_idx"].tolist(), strict=True):
+        call, on = (turn, idx), tuple(on)
+        behind.setdefault(on, []).append(call)
+        if on >= call:
+            origins.setdefault(on[0], set()).add(call)
+    for at in sorted(origins, reverse=True):
+        todo = [c for c in origins[at] if c not in wait]
+        wait.update(dict.fromkeys(todo, at))
+        while todo:
+            for other in behind.get(todo.pop(), ()):
+                if other not in wait and at >= other[0]:
+                    wait[other] = at
+                    todo.append(other)
+    after = {c: [o for o in behind.get(c, ()) if wait.get(o) == at] for c, at in wait.items()}
+    open_ = dict.fromkeys(wait, 0)
+    for others in after.values():
+        for o in others:
+            open_[o] += 1
+    hop = {c: 1 if c in origins.get(at, ()) else 0 for c, at in wait.items()}
+    todo = [c for c, n in open_.items() if not n]
+    settled = set(todo)
     while todo:
         call = todo.pop()
-        at, hop = now[call]
-        for other in behind.get(call, ()):
-            new = (at, min(hop + 1, most))
-            if at >= other[0] and new > now.get(other, (-math.inf, 0)):
-                now[other] = new
+        for other in after[call]:
+            hop[other] = max(hop[other], hop[call] + 1)
+            open_[other] -= 1
+            if not open_[other]:
+                settled.add(other)
                 todo.append(other)
-    out = [(turn, idx, turn if hop == most else at, 0 if hop == most else hop, hop == most) for (turn, idx), (at, hop) in now.items()]
+    out = [(*c, at, hop[c], False) if c in settled else (*c, c[0], 0, True) for c, at in wait.items()]
     found = pd.DataFrame(out, columns=["turn", "idx", "at", "hop", "cyclic"])
     found.insert(0, "conv_id", pd.Series([rows["conv_id"].iloc[0]] * len(found), dtype=rows["conv_id"].dtype))
     return found
 
 
-def moves(calls: DataFrame, *, at_once: int = 2000) -> DataFrame | None:
+def moves(calls: DataFrame, *, at_once: int = 200_000) -> DataFrame | None:
     """Calls that cannot stand at their own turn: conv_id, turn, idx, at, hop (long) and cyclic; None if there are none.
 
     With (turn, 0) for all others, calls sorted by (at, hop, turn, idx) each follow those in ``after``. A call moves if it depends on one that stands later: it then
     stands right behind that one. Dependencies in the order of turns need no work. A call that moves back more often than its conversation has calls waits for itself, or for one that
-    does: it is cyclic and stays at its own turn. Unknown identifiers are no dependencies. Conversations of at most ``at_once`` calls and dependencies are settled one by one; longer
+    does: it is cyclic and stays at its own turn. Unknown identifiers are no dependencies. Conversations of at most ``at_once`` calls and dependencies (some 10 MB of a task) are settled one by one; longer
     ones are never gathered: there each round is one join.
     """
     key = ["conv_id", "turn", "idx"]

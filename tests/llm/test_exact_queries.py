@@ -30,10 +30,11 @@ def sql():
 
 @pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) & set(QUERIES)))
 def test_query_equals_sql(spark, sql, name):
-    found, wanted = QUERIES[name](spark, SF).toPandas(), sql.sql(ORACLE_SQL[name]).df()
-    assert sorted(found.columns) == sorted(wanted.columns)
-    plain = lambda f: sorted((tuple(getattr(v, "item", lambda v=v: v)() for v in r) for r in f[sorted(f.columns)].itertuples(index=False)), key=str)
-    assert plain(found) == plain(wanted)
+    found, wanted = QUERIES[name](spark, SF), sql.sql(ORACLE_SQL[name])
+    columns = sorted(found.columns)
+    assert columns == sorted(wanted.columns)
+    plain = lambda names, rows: sorted((tuple(r[names.index(c)] for c in columns) for r in rows), key=str)
+    assert plain(found.columns, found.collect()) == plain(wanted.columns, wanted.fetchall())
 
 
 ODD = [None, "", "   \n\t", "a", "\n\n", "x " * 60, "a b c " * 30, " a b \x1c c", "ein Wort\n" * 5, "# % & | < > $ *", "é" * 10, "w" * 100_000, " ".join(str(i) for i in range(200_00))]
@@ -195,3 +196,18 @@ def test_measured_costs(spark):
     rules = [Q.Rule("cheap", F.col("doc_id") < 30), Q.Rule("dear", F.length(F.regexp_replace("text", r"(?i)[aeiou]+x?", "")) < 0)]
     measured = Q.measure(rows, rules)
     assert abs(measured["cheap"][1] - 0.1) < 1e-9 and measured["dear"][1] == 0 and measured["dear"][0] > 3 * measured["cheap"][0]
+
+
+def test_long_cycles_are_settled_at_once():
+    """5000 calls in a ring, with a tail that waits for it, and a chain of as many against the turns."""
+    import pandas as pd
+
+    from tarnwell.llm.chat_format import _settle
+
+    n = 5000
+    ring = [(i, 0, (i + 1) % n, 0) for i in range(n)] + [(n, 0, 3, 0)]
+    found = _settle(pd.DataFrame([("c", *r, n) for r in ring], columns=["conv_id", "turn", "idx", "d_turn", "d_idx", "size"]))
+    assert len(found) == n and found["cyclic"].all() and (found["hop"] == 0).all()
+    chain = [(i, 0, i + 1, 0) for i in range(n)]
+    found = _settle(pd.DataFrame([("c", *r, n) for r in chain], columns=["conv_id", "turn", "idx", "d_turn", "d_idx", "size"])).sort_values("turn")
+    assert not found["cyclic"].any() and (found["at"] == n).all() and found["hop"].tolist() == list(range(n, 0, -1))
