@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import redact
+
 
 def upsert(existing: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of ``new``, and those of ``existing`` whose key is not among them. Keys match as equal, never on null."""
@@ -96,8 +98,9 @@ def over_budget(files: DataFrame, key: str, lines: str, most_files: int, most_li
 def slices(lines: DataFrame, spans: DataFrame, key: str, *, context: int = 40, header: int = 80, imports: str = r"^(import|from) ") -> DataFrame:
     """(key, start, part, line, text): of each span (key, start, stop) the import lines at the head of its file and the lines around it.
 
-    ``lines`` are (key, line, text), counted from 1. Lines stay rows: a slice is as long as its span.
+    ``lines`` are (key, line, text), counted from 1; secrets in them are redacted. Lines stay rows: a slice is as long as its span.
     """
+    lines = lines.select(key, "line", redact(F.col("text")).alias("text"))
     head = lines.where((F.col("line") <= header) & F.col("text").rlike(imports)).join(spans.select(key, "start").distinct(), key).select(key, "start", F.lit("imports").alias("part"), "line", "text")
     wide = spans.select(key, "start", F.explode(F.sequence(F.greatest(F.col("start") - context, F.lit(1)), F.col("stop") + context)).alias("line")).distinct()
     return head.unionByName(lines.join(wide, [key, "line"]).select(key, "start", F.lit("window").alias("part"), "line", "text"))

@@ -300,16 +300,16 @@ _LEDGER = f"""
 WITH RECURSIVE e AS (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS seq, o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority AS f FROM orders),
 c AS (SELECT o_custkey, o_orderkey, seq, '{L.GENESIS}' AS prev_hash, sha256(seq || '|' || f || '|{L.GENESIS}') AS entry_hash FROM e WHERE seq = 1
   UNION ALL SELECT e.o_custkey, e.o_orderkey, e.seq, c.entry_hash, sha256(e.seq || '|' || e.f || '|' || c.entry_hash) FROM c JOIN e ON e.o_custkey = c.o_custkey AND e.seq = c.seq + 1)"""
-_LEDGER_FIELDS = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+LEDGER_FIELDS = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
 
 
-def _ledger(spark, sf_dir):
-    return L.hash_chain(table(spark, sf_dir, "orders").select("o_custkey", *_LEDGER_FIELDS), "o_custkey", ["o_orderkey"], _LEDGER_FIELDS)
+def chained_orders(spark, sf_dir):
+    return L.hash_chain(table(spark, sf_dir, "orders").select("o_custkey", *LEDGER_FIELDS), "o_custkey", ["o_orderkey"], LEDGER_FIELDS)
 
 
 @query(_LEDGER + " SELECT * FROM c")
 def hash_chain(spark, sf_dir):
-    return _ledger(spark, sf_dir).select("o_custkey", "o_orderkey", "seq", "prev_hash", "entry_hash")
+    return chained_orders(spark, sf_dir).select("o_custkey", "o_orderkey", "seq", "prev_hash", "entry_hash")
 
 
 @query(_LEDGER + """, b AS (SELECT c.o_custkey, min(c.seq) AS bad FROM c JOIN orders o USING (o_orderkey) WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW' GROUP BY c.o_custkey)
@@ -319,7 +319,7 @@ FROM c LEFT JOIN b ON c.o_custkey = b.o_custkey GROUP BY c.o_custkey""")
 def verify_chain(spark, sf_dir):
     """The ledger with some entries edited after they were chained."""
     edited = F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW"), "F").otherwise(F.col("o_orderstatus"))
-    return L.verify(_ledger(spark, sf_dir).withColumn("o_orderstatus", edited), "o_custkey", _LEDGER_FIELDS)
+    return L.verify(chained_orders(spark, sf_dir).withColumn("o_orderstatus", edited), "o_custkey", LEDGER_FIELDS)
 
 
 @query("""

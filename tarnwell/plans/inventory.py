@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 from ..functions import displays as S
 from ..operators import derive as D
+from ..operators import digests as X
 from ..operators import graph as G
 from ..operators import incremental as I
+from ..operators import intervals as V
 from ..operators import ledger as L
 from ..operators import modules as M
 from ..operators import relational as R
-from ..session import shared_folder, table
+from ..session import shared_folder, stored, table
 from ..sources.store import Store
-from .driver import query
+from ..streaming import ledger_stream as T
+from ..streaming.rescan import Rescan
+from .driver import LEDGER_FIELDS, ORACLE_SQL, chained_orders, query
 from .estate import NAMED, named_query
 
 GATEWAYS, PAYMENT, SENSITIVE = ("llm.corp.example",), ("pay.example",), ("hr.example",)
@@ -235,7 +239,8 @@ def system_evidence(spark, sf_dir):
 @query(
     f"""WITH {FACTS_SQL}, edges AS (SELECT bundle_id, agent_id, 'tool' AS part, CAST(tool_id AS VARCHAR) AS item FROM agent_tools UNION SELECT bundle_id, agent_id, 'server', server_id FROM agent_servers
 UNION SELECT bundle_id, agent_id, 'model', endpoint FROM agents WHERE endpoint IS NOT NULL UNION SELECT bundle_id, agent_id, 'policy', 'approval' FROM agents WHERE agent_id % 9 = 0
-UNION SELECT bundle_id, agent_id, 'state', 'vectorstore' FROM agents WHERE agent_id % 40 = 9)
+UNION SELECT bundle_id, agent_id, 'state', 'vectorstore' FROM agents WHERE agent_id % 40 = 9 UNION SELECT bundle_id, agent_id, 'prompt', 'prompts/p' || agent_id || '.md:1' FROM agents WHERE agent_id % 2 = 0
+UNION SELECT a.bundle_id, a.agent_id, 'transfer', CAST(b.agent_id AS VARCHAR) FROM agents a JOIN agents b ON b.bundle_id = a.bundle_id AND b.agent_id <> a.agent_id AND b.agent_id = a.agent_id // 6 * 3)
 SELECT bundle_id, agent_id, part, string_agg(item, ',' ORDER BY item) AS items FROM edges GROUP BY ALL"""
 )
 def agent_bill(spark, sf_dir):
@@ -243,6 +248,10 @@ def agent_bill(spark, sf_dir):
     of = lambda rows, part, item: rows.select("bundle_id", "agent_id", F.lit(part).alias("part"), item.cast("string").alias("item"))
     edges = of(f["agent_tools"], "tool", F.col("tool_id")).unionByName(of(f["agent_servers"], "server", F.col("server_id"))).unionByName(of(f["agents"].where("endpoint IS NOT NULL"), "model", F.col("endpoint")))
     edges = edges.unionByName(of(f["policies"], "policy", F.col("kind"))).unionByName(of(f["state"], "state", F.col("kind")))
+    edges = edges.unionByName(f["agents"].select("bundle_id", "agent_id", F.lit("prompt").alias("part"), F.explode("prompt_evidence").alias("item")))
+    to = f["agents"].select("bundle_id", F.col("agent_id").alias("_to"))
+    handed = f["agents"].select("bundle_id", "agent_id", (F.floor(F.col("agent_id") / 6) * 3).alias("_to")).where("_to <> agent_id").join(to, ["bundle_id", "_to"])
+    edges = edges.unionByName(of(handed, "transfer", F.col("_to")))
     return D.bill_of_materials(edges).withColumn("items", F.array_join("items", ","))
 
 
@@ -569,8 +578,10 @@ def size_budget(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, line AS start FROM l WHERE regexp_matches(text, 'https?://')),
+    """WITH o AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, line AS start FROM o WHERE regexp_matches(text, 'https?://')),
+l AS (SELECT doc_id, line, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{20,}', '<redacted:openai_key>', 'g'), 'AKIA[0-9A-Z]{16}', '<redacted:aws_access_key>', 'g'), 'ghp_[A-Za-z0-9]{20,}', '<redacted:github_token>', 'g'),
+ '-----BEGIN [A-Z ]*PRIVATE KEY-----', '<redacted:pem_private_key>', 'g') AS text FROM o),
 w AS (SELECT DISTINCT s.doc_id, s.start, l.line, l.text FROM s JOIN l ON l.doc_id = s.doc_id AND l.line BETWEEN s.start - 3 AND s.start + 3)
 SELECT doc_id, CAST(start AS INT) AS start, 'window' AS part, CAST(line AS INT) AS line, sha256(text) AS text_sha256 FROM w
 UNION ALL SELECT s.doc_id, CAST(s.start AS INT), 'imports', CAST(l.line AS INT), sha256(l.text) FROM s JOIN l ON l.doc_id = s.doc_id AND l.line <= 80 AND regexp_matches(l.text, '^(The|Der|Le|El) ')"""
@@ -689,3 +700,85 @@ def store_upserts(spark, sf_dir):
     again = orders.where("c_mktsegment IN ('BUILDING', 'MACHINERY')").selectExpr("o_custkey AS bundle_id", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'c1' ELSE 'c2' END AS scan_id", "o_orderkey AS entity", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'rescanned' ELSE 'later' END AS value", "o_orderstatus")
     kept.upsert({"entities": again.where("scan_id = 'c2' OR o_orderstatus <> 'F'").drop("o_orderstatus")}, again.select(*scope), scope, {"entities": [*scope, "entity"]})
     return kept.table("entities").select("bundle_id", "scan_id", "entity", "value")
+
+
+# Streams and rescans
+
+
+@query(ORACLE_SQL["verify_chain"])
+def streamed_chain(spark, sf_dir):
+    """The edited ledger as a stream in three runs of one query, each of which goes on from the checkpoint of the one before."""
+    edited = F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW"), "F").otherwise(F.col("o_orderstatus"))
+    ledger = stored(chained_orders(spark, sf_dir).withColumn("o_orderstatus", edited), "ledger")
+    folder, key = f"{shared_folder(spark)}/tarnwell/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, T.PROVIDER)
+    try:
+        for low, high in ((1, 5), (6, 10), (11, 1 << 30)):
+            ledger.where(F.col("seq").between(low, high)).write.mode("append").parquet(f"{folder}/in")
+            results = T.checked_chains(spark.readStream.schema(ledger.schema).parquet(f"{folder}/in"), "o_custkey", LEDGER_FIELDS)
+            each = lambda batch, _: batch.write.mode("append").parquet(f"{folder}/out")
+            results.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    last = T.latest(spark.read.parquet(f"{folder}/out"), "o_custkey")
+    return last.select("o_custkey", "entries", "ok", F.col("first_bad_seq").cast("int").alias("first_bad_seq"), "tip_hash")
+
+
+@query(
+    """WITH v AS (SELECT c_custkey AS k, 2 * (c_custkey // 4) + c_custkey % 2 AS p, CASE WHEN c_acctbal < 0 THEN 'overdrawn' ELSE c_mktsegment END AS v FROM customer)
+SELECT 'b' || (a.k % 2) AS bundle_id, 'c' || a.k AS module, a.v || coalesce('<' || b.v, '') AS value FROM v a LEFT JOIN v b ON b.k = a.p AND a.p <> a.k"""
+)
+def rescanned_facts(spark, sf_dir):
+    """Customers as modules that import the one of half their number: facts after all files, and then those of overdrawn customers, changed."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "2 * (c_custkey div 4) + c_custkey % 2 AS p", "c_acctbal", "c_mktsegment")
+    text = lambda value: F.concat(F.when(F.col("p") != F.col("k"), F.concat(F.lit("from c"), F.col("p").cast("string"), F.lit(" import x\n"))).otherwise(""), F.lit("v = '"), value, F.lit("'\n"))
+    files = lambda rows, value, at: rows.select(F.concat(F.lit("b"), F.col("k") % 2).alias("bundle_id"), F.concat(F.lit("c"), F.col("k"), F.lit(".py")).alias("path"), text(value).alias("text"), F.lit(at).cast("long").alias("at"))
+
+    def scan(tree, edges, targets):
+        own = tree.select("bundle_id", "module", F.regexp_extract("text", r"(?m)^v = '(.*)'$", 1).alias("v"))
+        over = edges.select("bundle_id", F.col("src").alias("module"), "dst").join(own.select("bundle_id", F.col("module").alias("dst"), F.col("v").alias("_v")), ["bundle_id", "dst"])
+        return targets.join(own, ["bundle_id", "module"]).join(over, ["bundle_id", "module"], "left").select("bundle_id", "module", F.concat("v", F.coalesce(F.concat(F.lit("<"), "_v"), F.lit(""))).alias("value"))
+
+    kept = Store(spark, f"{shared_folder(spark)}/tarnwell/rescan-{uuid.uuid4().hex}", buckets=4)
+    rescan = Rescan(kept, scan)
+    rescan.apply(files(c, F.col("c_mktsegment"), 0), 0)
+    rescan.apply(files(c.where("c_acctbal < 0"), F.lit("overdrawn"), 1), 1)
+    return kept.table("facts").select("bundle_id", "module", "value")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_totalprice > 300000 OR o_orderstatus = 'P' AND o_orderpriority = '5-LOW'
+UNION ALL SELECT -c_custkey, 'added' FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey > 0"""
+)
+def digest_changes(spark, sf_dir):
+    """Orders against a later state of them: the rows of the ranges in which their digest trees differ."""
+    orders = table(spark, sf_dir, "orders")
+    low = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW")
+    more = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' AND c_custkey > 0").select((-F.col("c_custkey")).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"))
+    later = orders.where("o_totalprice <= 300000").withColumn("o_orderstatus", F.when(low, "F").otherwise(F.col("o_orderstatus"))).unionByName(more, allowMissingColumns=True)
+    ranges = X.differing_ranges(X.digest_tree(orders, ["o_orderkey"]), X.digest_tree(later, ["o_orderkey"]))
+    return X.row_changes(orders, later, ["o_orderkey"], ranges)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT c_custkey AS src, CASE WHEN c_custkey = 1 THEN 3 ELSE c_custkey // 2 END AS dst FROM customer WHERE c_custkey > 0), r AS (SELECT src AS root, src AS node FROM e UNION SELECT r.root, e.dst FROM r JOIN e ON r.node = e.src)
+SELECT root, count(DISTINCT o_orderpriority || o_orderstatus) AS n FROM r JOIN orders ON o_custkey = node GROUP BY root"""
+)
+def reachable_tools(spark, sf_dir):
+    """How many kinds of orders a customer and all whom it hands off to have, as sets of bits over the condensed graph; customers 1 and 3 are a cycle."""
+    c = table(spark, sf_dir, "customer").where("c_custkey > 0").selectExpr("c_custkey AS src", "CASE WHEN c_custkey = 1 THEN 3 ELSE c_custkey div 2 END AS dst")
+    items = table(spark, sf_dir, "orders").selectExpr("o_custkey AS node", "o_orderpriority || o_orderstatus AS item").distinct()
+    sets, _ = G.reached_items(c, items, c.select(F.col("src").alias("root")))
+    return G.item_counts(sets)
+
+
+@query(
+    """WITH s AS (SELECT user_id, epoch_us(ts) AS a, epoch_us(ts) + 3600000000 AS z FROM events WHERE event_type = 'signup'), p AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click')
+SELECT event_id FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = p.user_id AND p.t BETWEEN s.a AND s.z)"""
+)
+def unconsumed_spans(spark, sf_dir):
+    """Clicks, as spans of one microsecond, that no hour after a signup of their user consumes."""
+    events = table(spark, sf_dir, "events")
+    of = lambda kind, length: events.where(F.col("event_type") == kind).select("event_id", "user_id", V.whole_number(events, "ts").alias("a"), (V.whole_number(events, "ts") + length).alias("z"))
+    return V.subtracted(of("click", 0), of("signup", 3_600_000_000), ["user_id"], "a", "z").select("event_id")
