@@ -56,6 +56,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself if it only picks columns and rows of stored tables, else written: for operators that read it several times.
+
+    What comes before is then not computed again, nor inlined into the columns of each of the operator's joins.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    cheap = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "Relation", "LogicalRDD", "LocalRelation"}
+    names, nodes = set(), [plan]
+    while nodes:
+        node = nodes.pop()
+        names.add(node.nodeName().split(" ")[0])
+        below = node.children()
+        nodes += [below.apply(i) for i in range(below.length())]
+    python = plan.containsPattern(df.sparkSession._jvm.org.apache.spark.sql.catalyst.trees.TreePattern.PYTHON_UDF())
+    return df if names <= cheap and not python else written(df, name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that nothing reads any more."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, free_name, packed, spread, word_array, word_count, written
+from .common import documents, free_name, packed, settled, spread, word_array, word_count, written
 
 #: Hexadecimal digits of the draw that one level of the search for a source's boundary looks at.
 _DIGITS, _LEVELS = 2, 2
@@ -56,9 +56,9 @@ def mix(docs: DataFrame, *, size: Column, weights: Sequence[float] = (5, 2, 1),
     """
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "epochs", "extra", "taken")]
     draw = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    # Rows are written once: what comes before is neither computed twice nor inlined into the columns of each of the joins below.
-    sized = written(docs.select(packed(docs.select(*names)).alias("_row"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), draw.alias("_draw"), F.col(source_col).alias("_source"), F.col(id_col).alias("_id")), "mix")
-    base = sized.select("_source", "size", F.substring("_draw", 1, _LEVELS * _DIGITS).alias("_draw"))
+    docs = settled(docs, "mix-rows")
+    sized = docs.select(packed(docs.select(*names)).alias("_row"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), draw.alias("_draw"), F.col(source_col).alias("_source"), F.col(id_col).alias("_id"))
+    base = written(sized.select("_source", "size", F.substring("_draw", 1, _LEVELS * _DIGITS).alias("_draw")), "mix")
     sources = base.groupBy("_source").agg(F.sum("size").alias("source_size"))
     sources = written(cyclic_weights(sources, "_source", weights), "mix-sources")
     budget = share * (sources.agg(F.sum("source_size")).first()[0] or 0)
@@ -100,7 +100,7 @@ def repeated(mixed: DataFrame, columns: Sequence[str], *, text_col: str = "text"
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    sizes = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sizes = written(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     return mix(sizes, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
