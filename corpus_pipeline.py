@@ -70,8 +70,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
-    return tokens_digest(docs)
+    """Token shards of the mix, read back: doc_id, start, n_tokens, ids_crc32. Chunks are small, as the stages before have filled the executors' memory."""
+    return tokens_digest(docs, chunk_bytes=4 << 20)
 
 
 STAGES = [("language_id", language_id), ("jaccard_join", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]
