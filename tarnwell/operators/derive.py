@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import evidence_path, host_of, is_private_host, is_test_path, provider_class, provider_of, severity
+from ..functions.scalars import evidence_path, host_of, is_private_host, is_test_path, package_name, provider_class, provider_of, severity
 
 FLAGS = ("moves_money", "executes_code", "mutates_identities", "sends_external", "reads_sensitive")
 PRIVILEGES = ("executes_code", "moves_money", "mutates_identities")
@@ -238,3 +238,24 @@ def assembled(derived: Mapping[str, DataFrame], signals: DataFrame) -> DataFrame
     verdict = F.when(F.col("agents").isNotNull() | F.col("model_usages").isNotNull(), "ai_detected").otherwise("ai_signals_only")
     parts = ["derived", "agents", "tools", "mcp_servers", "model_usages", "findings"]
     return rows.select(text("bundle_id").alias("path"), F.to_json(F.struct(text("bundle_id").alias("bundle_id"), text("bundle_id").alias("name"), verdict.alias("ai_verdict"), *parts)).alias("value"))
+
+
+def ai_bill(signals: DataFrame, versions: DataFrame, imported: DataFrame, wrappers: DataFrame, npm: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., package, version, source, used, ecosystem, n_evidence): what a tree declares of packages around models, and the organisation's wrappers that it imports without declaring them.
+
+    ``signals`` are (by.., signal, path, token), ``versions`` and ``npm`` (by.., package, version) of Python and of scripts, ``imported`` (by.., root) the outermost names that code imports, ``wrappers`` (fqname). Python
+    names are compared in their normal form, those of scripts as they are; a package's spelling and source are those of its first path. Evidence is counted, as a package may be declared in any number of files.
+    """
+    of = lambda signal: signals.where((F.col("signal") == signal) & (F.col("token") != "")).select(*by, "path", "token").distinct()
+    first = [F.min(F.struct("path", "token")).alias("f"), F.count_distinct("path").alias("n_evidence")]
+    python = of("manifest_ai_package").groupBy(*by, package_name(F.col("token")).alias("_key")).agg(*first).select(*by, "_key", F.col("f.token").alias("package"), F.col("f.path").alias("source"), "n_evidence")
+    roots = imported.select(*by, package_name(F.col("root")).alias("_key")).distinct()
+    outer = F.regexp_extract("fqname", r"^([^.]+)", 1)
+    known = wrappers.select(package_name(outer).alias("_key"), outer.alias("package")).where("_key <> ''").groupBy("_key").agg(F.min("package").alias("package"))
+    bare = roots.join(known, "_key").join(python.select(*by, "_key"), [*by, "_key"], "left_anti").select(*by, "_key", "package", F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("n_evidence"))
+    pinned = versions.select(*by, package_name(F.col("package")).alias("_key"), "version").groupBy(*by, "_key").agg(F.min("version").alias("version"))
+    rows = python.unionByName(bare).join(roots.withColumn("_used", F.lit(True)), [*by, "_key"], "left").join(pinned, [*by, "_key"], "left")
+    script = of("manifest_ai_package_js").groupBy(*by, F.col("token").alias("package")).agg(*first).select(*by, "package", F.col("f.path").alias("source"), "n_evidence")
+    script = script.join(imported.select(*by, F.col("root").alias("package"), F.lit(True).alias("_used")).distinct(), [*by, "package"], "left").join(npm.select(*by, "package", "version"), [*by, "package"], "left")
+    done = lambda rows, ecosystem: rows.select(*by, "package", "version", "source", F.coalesce("_used", F.lit(False)).alias("used"), F.lit(ecosystem).alias("ecosystem"), "n_evidence")
+    return done(rows, "pypi").unionByName(done(script, "npm"))

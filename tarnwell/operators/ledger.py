@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .digests import digest_tree, root
+
 GENESIS = "0" * 64
 
 
@@ -88,3 +90,9 @@ def append(ledger: DataFrame, entries: DataFrame, bundle: str, order: Sequence[s
     rows = numbered.withColumn("_place", place).withColumn("seq", (F.coalesce("_last", F.lit(0)) + F.col("_place")).cast("int")).withColumn("_text", field_text(fields))
     rows = rows.withColumn("_start", _start(F.col("_place"), F.col("seq"), F.coalesce("_hash", F.lit(GENESIS)), segment))
     return _chained(rows.drop("_place", "_last", "_hash"), bundle)
+
+
+def ledger_tip(ledger: DataFrame, bundle: str) -> str:
+    """One digest of the last entries of all chains, whatever their order and partitions: kept elsewhere, it tells a ledger from one that has lost its newest rows."""
+    tips = ledger.groupBy(bundle).agg(F.max_by("entry_hash", "seq").alias("tip"), F.max("seq").alias("seq"))
+    return root(digest_tree(tips, [bundle]))

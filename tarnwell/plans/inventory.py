@@ -78,7 +78,7 @@ def facts(spark, sf_dir):
 
 
 def derived(spark, sf_dir):
-    return D.derive(facts(spark, sf_dir), gateways=GATEWAYS, payment=PAYMENT, sensitive=SENSITIVE)
+    return D.derive({name: stored(rows, f"facts-{name}") for name, rows in facts(spark, sf_dir).items()}, gateways=GATEWAYS, payment=PAYMENT, sensitive=SENSITIVE)
 
 
 _HOST = "lower(regexp_extract(endpoint, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1))"

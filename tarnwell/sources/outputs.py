@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import commit_tag
+from ..session import stored
 
 
 def canonical_line(row: Column) -> Column:
@@ -111,8 +112,7 @@ def read_artifacts(spark: SparkSession, folder: str, shapes: dict[str, StructTyp
     try:
         for name, shape in shapes.items():
             rows = spark.read.schema(shape).option("mode", "FAILFAST").json(f"{folder}/{name}")
-            rows.write.format("noop").mode("overwrite").save()  # every line has to parse
-            out[name] = rows
+            out[name] = stored(rows, f"artifact-{name}")  # every line is parsed, once
     except (PySparkException, Py4JError):
         return None
     return out

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import yaml_text
+
 LISTS = ("gateway_hosts", "payment_hosts", "sensitive_hosts", "known_wrapper_packages")
 
 
@@ -29,17 +32,20 @@ class Settings:
 
 
 def read_org_pack(spark: SparkSession, path: str) -> DataFrame:
-    """(list, value) of an organisation's YAML file of lists: ``name:`` and below it ``- value`` or ``- fqname: value``, a line each."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-    head = F.regexp_extract("line", r"^([A-Za-z_]\w*):\s*(?:#.*)?$", 1)
-    named = lines.withColumn("list", F.last(F.nullif(head, F.lit("")), ignorenulls=True).over(Window.orderBy("at")))
-    value = F.regexp_extract("line", r"""^\s*-\s+(?:[A-Za-z_]\w*:\s+)?['"]?([^'"#\s]+)['"]?""", 1)
-    return named.select("list", value.alias("value")).where((F.col("value") != "") & F.col("list").isNotNull()).distinct()
+    """(pack, list, value) of an organisation's YAML files, each a pack by itself: of lists of values, or of maps of one value (``- fqname: value``). A file that is no YAML has no lists."""
+    shape = pa.list_(pa.struct([("list", pa.string()), ("value", pa.string())]))
+
+    def lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([[{"list": k, "value": v} for k, v in yaml_text.listed(t or "")] for t in texts.to_pylist()], type=shape)
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("pack"), "value")
+    return files.select("pack", F.explode(F.arrow_udf(lists, "array<struct<list:string,value:string>>")("value")).alias("e")).select("pack", "e.list", "e.value").distinct()
 
 
 def members(pack: DataFrame, name: str, most: int = 10_000) -> list[str]:
     """The values of one list, in order; a pack with more than ``most`` is refused, as they become literals of a plan."""
-    rows = [r["value"] for r in pack.where(F.col("list") == name).orderBy("value").limit(most + 1).collect()]
+    rows = [r["value"] for r in pack.where(F.col("list") == name).select("value").distinct().orderBy("value").limit(most + 1).collect()]
     if len(rows) > most:
         raise ValueError(f"{name} has more than {most} values")
     return rows

@@ -416,3 +416,19 @@ def environment(text: str) -> list[tuple[str, str]]:
             seen.add(id(node))
             waiting += reversed(node)
     return found
+
+
+def listed(text: str) -> list[tuple[str, str]]:
+    """Names and values of the lists of a YAML map: texts, and of maps their ``fqname`` or else their first entry; none of a text that is no YAML."""
+    try:
+        found = documents(text)
+    except (YamlError, TypeError, RecursionError):
+        return []
+    out = []
+    for node in found:
+        for name, values in node.items() if isinstance(node, dict) else ():
+            for v in values if isinstance(values, list) else ():
+                v = v.get("fqname", next(iter(v.values()))) if isinstance(v, dict) and v else v
+                if isinstance(name, str) and isinstance(v, str) and v:
+                    out.append((name, v))
+    return out

@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwell.operators import derive as D
+from tarnwell.operators import ledger as L
 from tarnwell.plans import estate
 from tarnwell.sources import outputs, records, settings, store, trees
 from tarnwell.streaming import feeds
@@ -193,3 +195,21 @@ def test_settings(spark, tmp_path):
     with pytest.raises(ValueError):
         settings.members(pack, "gateway_hosts", most=1)
     assert settings.Settings.from_environment({"TARNWELL_HOPS": "7"}).hops == 7 and settings.Settings.from_environment({}).most_files == 100_000
+
+
+def test_bill_of_packages(tree, spark):
+    """Declared packages with their versions and whether they are imported; wrappers that are imported but not declared."""
+    found = trees.signals(tree)
+    imported = spark.createDataFrame([("openai",), ("corp_llm",), ("ai",), ("other",)], "root string")
+    wrappers = spark.createDataFrame([("corp_llm.client",), ("openai.Client",), ("unused_wrapper",)], "fqname string")
+    rows = D.ai_bill(found, trees.declared_versions(tree), imported, wrappers, trees.npm_versions(tree))
+    assert sorted(map(tuple, rows.collect())) == [
+        ("@langchain/core", None, "package.json", False, "npm", 1), ("ai", "1.1", "package.json", True, "npm", 1), ("corp_llm", None, None, True, "pypi", 0),
+        ("langchain", None, "requirements.txt", False, "pypi", 1), ("openai", "1.3", "requirements.txt", True, "pypi", 1),
+    ]
+
+
+def test_tip_over_all_bundles(spark):
+    rows = L.hash_chain(spark.range(40).selectExpr("id % 5 AS bundle", "id", "concat('v', id) AS v"), "bundle", ["id"], ["v"])
+    tip = L.ledger_tip(rows, "bundle")
+    assert tip == L.ledger_tip(rows.orderBy("v").repartition(7), "bundle") != L.ledger_tip(rows.where("NOT (bundle = 3 AND seq = 8)"), "bundle")
