@@ -207,7 +207,9 @@ def moves(calls: DataFrame, *, at_once: int = 200_000) -> DataFrame | None:
     few = (F.col("size") <= at_once) & (F.col("n_needs") <= at_once)
     own = needs.join(sizes.where(few), F.col("conv_id").eqNullSafe(F.col("_of")))
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in needs.schema if f.name in key)
-    settled = own.select(*needs.columns, "size").groupBy("conv_id").applyInPandas(_settle, f"{shape}, at long, hop long, cyclic boolean")
+    # Many small conversations are little data but much work: they keep their partitions.
+    dealt = own.select(*needs.columns, "size").repartition(int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id")
+    settled = dealt.groupBy("conv_id").applyInPandas(_settle, f"{shape}, at long, hop long, cyclic boolean")
     large = sizes.where(~few)
     if large.take(1):
         settled = settled.unionByName(_by_rounds(needs.join(large, F.col("conv_id").eqNullSafe(F.col("_of")), "left_semi"), large.select("_of", "size"), key))
