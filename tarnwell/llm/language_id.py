@@ -163,7 +163,7 @@ def train(docs: DataFrame, *, learn_from: Column, text_col: str = "text", lang_c
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred (a learned language; ``und`` for null or letterless texts) and score (0 to 1; 0 for ``und``).
 
-    Only the whole text is looked at, however long; repeated rows get equal results, an empty table none. Columns of these two names are replaced.
+    Only the whole text is looked at, however long; repeated rows get equal results, an empty table none; equal votes go by the sum of probabilities, then to the first language in order. Columns of these two names are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -33,7 +33,7 @@ def text_features(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     A null text counts as an empty one: all features are 0. Columns of these names are replaced.
     n_lines counts lines that hold a word. n_repeat_words counts words in 3-word windows found twice or more; windows are told
-    apart by a 64-bit hash of their words.
+    apart by a 64-bit hash of their words. Very long texts are looked at whole, repeated rows each for itself.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
     df = df.select(packed(df, made).alias("_row"), F.col(text_col).alias("_text"))
@@ -110,7 +110,7 @@ def quality_cascade(df: DataFrame, rules: Sequence[Rule], *, features: Callable[
 
     The sample only orders the rules: about ``sample_rows`` rows, taken by a seeded draw over all rows. All rows are judged by all rules
     until one rejects them. An empty table keeps the given order. rejected_by follows the measured order, so it may name another of
-    several failing rules in another run; kept does not change.
+    several failing rules in another run; kept does not change. Very long texts and repeated rows are judged like any other, a rule that gives null does not reject.
     """
     if len(rules) > 1:
         total = df.count()
