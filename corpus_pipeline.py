@@ -40,7 +40,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id in each group. Documents without id are copies of no one; repeated rows stay once."""
+    """Keeps the document of the least id in each group. Documents without id are copies of no one; repeated rows stay once. Null and empty texts are near no other, very long ones are compared whole, an empty table stays empty."""
     joined = jaccard_join(docs.select("doc_id", "text"))
     name, digest = free_name(docs, "id"), free_name(docs, "hash")
     own = lambda some: some.select(F.col("doc_id").alias(name), F.col("text_hash").alias(digest))
@@ -56,13 +56,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a window of a benchmark item."""
+    """Rejects documents that hold a window of a benchmark item. Null and empty texts hold none, very long ones are scanned whole, repeated rows are judged alike, an empty table stays empty."""
     found = decontaminate(whole_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text_col="row.text")
     return found.where(~F.col("contaminated")).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and samples documents so that sources reach their target weights; n_chars follows a text that is taken in part."""
+    """Repeats and samples documents so that sources reach their target weights; n_chars follows a text that is taken in part. Null and empty texts take nothing and go, very long ones may be taken in part, repeated rows are drawn each for itself, an empty table stays empty."""
     rows = whole_rows(docs).withColumn("text", F.col("row.text"))
     mixed = repeated(mix(rows, size=word_count(F.col("text")), id_col="row.doc_id", source_col="row.source"), ["row", "text"])
     changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
