@@ -151,3 +151,17 @@ def test_times_are_places(spark):
     assert V.contained(points, spans, ["key"], "at", "start", "stop").count() == 1 and V.contained(points, spans, ["key"], "day", "a", "z").count() == 0
     with pytest.raises(TypeError):
         V.contained(points.withColumn("at", F.lit(1.5)), spans, ["key"], "at", "start", "stop")
+
+
+def test_intervals_never_go_through_the_driver(spark):
+    """Files that look small unfold to many rows: neither side of an interval join is broadcast, and a long span costs no more than its pieces."""
+    n = 50_000
+    spans = spark.range(n).selectExpr("CAST(id % 50 AS STRING) AS key", "id AS s", "id * 10 AS start", "id * 10 AS stop")
+    long_ones = spark.range(50).selectExpr("CAST(id AS STRING) AS key", "-1 - id AS s", "-5L AS start", "5000000L AS stop")
+    taken = spark.range(n).selectExpr("CAST(id % 50 AS STRING) AS key", "id * 10 - 4 AS start", "id * 10 + (id % 3) - 3 AS stop")
+    left = V.subtracted(spans.unionByName(long_ones), taken, ["key"], "start", "stop")
+    points = spark.range(n).selectExpr("CAST(id % 50 AS STRING) AS key", "id * 10 AS at")
+    for rows in (left, V.contained(points, taken, ["key"], "at", "start", "stop")):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert (left.where("s >= 0").count(), left.where("s < 0").count()) == (n, n + 50)
+    assert V.subtracted(spark.createDataFrame([(None, 1, 0, 9), ("a", 2, 0, 9)], "key string, s int, start long, stop long"), spark.createDataFrame([(None, 0, 5), ("a", 9, 9)], "key string, start long, stop long"), ["key"], "start", "stop").orderBy("s").collect() == [(None, 1, 0, 9), ("a", 2, 0, 8)]
