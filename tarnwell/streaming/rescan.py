@@ -79,12 +79,12 @@ class Rescan:
         decided = decided.join(gone, "bundle_id", "left").select("bundle_id", F.when(lost, "full").otherwise(F.col("mode")).alias("mode"), F.when(lost, "source file deleted").otherwise(F.col("reason")).alias("reason"))
         decided = stored(decided, "rescan-decided")
         said.append(decided)
-        bound = M.bound_imports(imports.join(modules.select(*keys, F.col("module").alias("importer")), keys).drop("path"), modules)
-        edges = stored(M.dependency_edges(bound, modules), "rescan-edges")
+        bound = stored(M.bound_imports(imports.join(modules.select(*keys, F.col("module").alias("importer")), keys).drop("path"), modules), "rescan-bound")
+        edges, ways = M.dependency_edges(bound, modules), stored(M.dependency_ways(bound, modules), "rescan-ways")
         full = decided.where("mode = 'full'").select("bundle_id")
         part = new.join(full, "bundle_id", "left_anti").join(modules, keys).select("bundle_id", "module")
         lazy = files.where(F.col("path").endswith("__init__.py") & F.col("text").rlike(_LAZY)).join(modules, keys).select("bundle_id", "module")
-        affected = M.affected_modules(part, edges, bound, lazy)
+        affected = M.affected_modules(part, ways, bound, lazy)
         whole = modules.select("bundle_id", "module").join(full, "bundle_id", "left_semi")
         targets = stored(affected.unionByName(whole).distinct(), "rescan-targets")
         found = self.scan(files.join(modules.select(*keys, "module"), keys), edges, targets)
