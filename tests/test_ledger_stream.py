@@ -83,3 +83,15 @@ def test_a_stream_needs_its_state_store(spark, tmp_path):
     spark.createDataFrame([], SHAPE).write.parquet(str(tmp_path / "x"))
     with pytest.raises(ValueError, match="providerClass"):
         S.checked_chains(spark.readStream.schema(SHAPE).parquet(str(tmp_path / "x")), "bundle", FIELDS)
+
+
+def test_many_bundles_cost_a_bucket_each_at_most(spark, tmp_path, monkeypatch):
+    """2000 bundles, one of them null, one forged: as many calls of the processor and states as there are buckets, and numbers beyond 2 ** 53 stay what they are."""
+    first = 2**53 + 1
+    entries = spark.range(4000).select(F.when(F.col("id") % 2000 > 0, F.col("id") % 2000 + first).alias("bundle"), F.col("id").alias("at"), F.lit("s").alias("scan"), F.lit("me").alias("actor"))
+    chained = L.hash_chain(entries, "bundle", ["at"], FIELDS).drop("at").withColumn("actor", F.when((F.col("bundle") == first + 7) & (F.col("seq") == 2), "forger").otherwise(F.col("actor")))
+    groups = S.checked_chains(chained, "bundle", FIELDS, buckets=8)
+    assert "bucket" in groups._jdf.queryExecution().analyzed().toString()
+    found = {tuple(r) for r in groups.collect()}
+    wanted = {tuple(r) for r in L.verify(chained, "bundle", FIELDS).select("bundle", "entries", "ok", "first_bad_seq", "tip_hash").collect()}
+    assert found == wanted and len(found) == 2000 and [r[:4] for r in found if not r[2]] == [(first + 7, 2, False, 2)]
