@@ -85,14 +85,15 @@ def unbound(nodes: DataFrame, bound: DataFrame, key: str) -> DataFrame:
 def reached(seeds: DataFrame, edges_: DataFrame, most: int | None = None) -> DataFrame:
     """Nodes (node, hops) reached from ``seeds`` (node) along ``edges_`` (src, dst), seeds included, cycles allowed.
 
-    Each round joins only the last frontier, removes what is known, and is stored; the loop ends with an empty frontier.
+    Each round joins only the last frontier, removes what is known, and is stored; the loop ends with an empty frontier. Joins sort: a stored table of few columns is many times its files' size in a
+    broadcast, and that of every round would go through the driver.
     """
     frontier = stored(seeds.select("node").distinct().withColumn("hops", F.lit(0)), "frontier")
     seen, hop = frontier, 0
     while frontier.take(1) and (most is None or hop < most):
         hop += 1
-        after = frontier.join(edges_, frontier["node"] == edges_["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = stored(after.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)), "frontier")
+        after = frontier.join(edges_.hint("merge"), frontier["node"] == edges_["src"]).select(F.col("dst").alias("node")).distinct()
+        frontier = stored(after.join(seen.select("node").hint("merge"), "node", "left_anti").withColumn("hops", F.lit(hop)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -119,9 +120,9 @@ def strong_components(edges_: DataFrame, nodes: DataFrame | None = None) -> Data
     left = stored((every if nodes is None else every.unionByName(nodes.select("node"))).distinct(), "left")
     done = []
     while left.take(1):
-        both = ways.select(F.col("src").alias("node")).distinct().join(ways.select(F.col("dst").alias("node")).distinct(), "node")
+        both = ways.select(F.col("src").alias("node")).distinct().join(ways.select(F.col("dst").alias("node")).distinct().hint("merge"), "node")
         inner = stored(both, "inner")
-        done.append(stored(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")), "components"))
+        done.append(stored(left.join(inner.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("component")), "components"))
         trimmed = left.count() > (n := inner.count())
         left = inner
         ways = stored(_within(ways, left), "ways")
@@ -131,22 +132,22 @@ def strong_components(edges_: DataFrame, nodes: DataFrame | None = None) -> Data
             continue
         colour = left.select("node", F.col("node").alias("colour"))
         while True:  # the greatest colour spreads along the edges
-            spread = ways.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_more"))
-            after = stored(colour.join(spread, "node", "left").select("node", F.greatest("colour", "_more").alias("colour"), (F.col("_more") > F.col("colour")).alias("_new")), "colour")
+            spread = ways.join(colour.hint("merge"), F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_more"))
+            after = stored(colour.join(spread.hint("merge"), "node", "left").select("node", F.greatest("colour", "_more").alias("colour"), (F.col("_more") > F.col("colour")).alias("_new")), "colour")
             colour = after.select("node", "colour")
             if not after.where("_new").take(1):
                 break
-        inside = ways.join(colour.withColumnsRenamed({"node": "src", "colour": "_a"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "_b"}), "dst").where("_a = _b").select("src", "dst")
+        inside = ways.join(colour.withColumnsRenamed({"node": "src", "colour": "_a"}).hint("merge"), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "_b"}).hint("merge"), "dst").where("_a = _b").select("src", "dst")
         own = reached(colour.where("node = colour").select("node"), inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        found = stored(own.select("node").join(colour, "node").select("node", F.col("colour").alias("component")), "components")
+        found = stored(own.select("node").join(colour.hint("merge"), "node").select("node", F.col("colour").alias("component")), "components")
         done.append(found)
-        left = stored(left.join(found, "node", "left_anti"), "left")
+        left = stored(left.join(found.hint("merge"), "node", "left_anti"), "left")
         ways = stored(_within(ways, left), "ways")
     return reduce(DataFrame.unionByName, done) if done else left.select("node", F.col("node").alias("component"))
 
 
 def _within(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    return ways.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return ways.join(nodes.withColumnRenamed("node", "src").hint("merge"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst").hint("merge"), "dst", "left_semi")
 
 
 def reached_items(edges_: DataFrame, items: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -157,25 +158,25 @@ def reached_items(edges_: DataFrame, items: DataFrame, roots: DataFrame) -> tupl
     """
     nodes = roots.select(F.col("root").alias("node")).unionByName(items.select("node"))
     part = stored(strong_components(edges_, nodes), "strong")
-    of = lambda end: part.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    of = lambda end: part.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")).hint("merge")
     up = stored(edges_.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct(), "condensed")
     at = F.monotonically_increasing_id()
     places = stored(items.select("item").distinct().select("item", at.alias("_at")).select("item", F.shiftright("_at", 6).alias("word"), F.col("_at").bitwiseAND(F.lit(63)).cast("int").alias("bit")), "places")
-    own = items.join(places, "item").join(part, "node").groupBy(F.col("component").alias("node"), "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    own = items.join(places, "item").join(part.hint("merge"), "node").groupBy(F.col("component").alias("node"), "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
     waiting, sets = stored(part.select(F.col("component").alias("node")).distinct(), "waiting"), []
     own = stored(own, "sets")
     while waiting.take(1):
         # Nodes all of whose ways lead to settled ones are next.
-        held = up.join(waiting.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        ready = stored(waiting.join(held, "node", "left_anti"), "ready")
-        below = [up.join(ready.withColumnRenamed("node", "src"), "src", "left_semi").join(s.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "word", "bits") for s in sets]
-        mine = own.join(ready, "node", "left_semi").select("node", "word", "bits")
+        held = up.join(waiting.withColumnRenamed("node", "dst").hint("merge"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        ready = stored(waiting.join(held.hint("merge"), "node", "left_anti"), "ready")
+        below = [up.join(ready.withColumnRenamed("node", "src").hint("merge"), "src", "left_semi").join(s.withColumnRenamed("node", "dst").hint("merge"), "dst").select(F.col("src").alias("node"), "word", "bits") for s in sets]
+        mine = own.join(ready.hint("merge"), "node", "left_semi").select("node", "word", "bits")
         sets.append(stored(reduce(DataFrame.unionByName, below, mine).groupBy("node", "word").agg(F.expr("bit_or(bits)").alias("bits")), "sets"))
         if len(sets) > 8:
             sets = [stored(reduce(DataFrame.unionByName, sets), "sets")]
-        waiting = stored(waiting.join(ready, "node", "left_anti"), "waiting")
+        waiting = stored(waiting.join(ready.hint("merge"), "node", "left_anti"), "waiting")
     every = reduce(DataFrame.unionByName, sets) if sets else own
-    found = roots.select("root").distinct().join(part.withColumnRenamed("node", "root"), "root").join(every.withColumnRenamed("node", "component"), "component").select("root", "word", "bits")
+    found = roots.select("root").distinct().join(part.withColumnRenamed("node", "root").hint("merge"), "root").join(every.withColumnRenamed("node", "component").hint("merge"), "component").select("root", "word", "bits")
     return found, places
 
 

@@ -165,3 +165,15 @@ def test_intervals_never_go_through_the_driver(spark):
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
     assert (left.where("s >= 0").count(), left.where("s < 0").count()) == (n, n + 50)
     assert V.subtracted(spark.createDataFrame([(None, 1, 0, 9), ("a", 2, 0, 9)], "key string, s int, start long, stop long"), spark.createDataFrame([(None, 0, 5), ("a", 9, 9)], "key string, start long, stop long"), ["key"], "start", "stop").orderBy("s").collect() == [(None, 1, 0, 9), ("a", 2, 0, 8)]
+
+
+def test_closures_send_no_table_through_the_driver(spark, monkeypatch):
+    """Neither the rounds nor the result of reached items over a graph broadcast a table that grows with it; the places of items may be."""
+    plans = []
+    monkeypatch.setattr(G, "stored", lambda df, name, keep=G.stored: (plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()), keep(df, name))[1])
+    e = spark.createDataFrame([(0, 1), (1, 0), (1, 2)], "src long, dst long")
+    items = spark.createDataFrame([(0, "a"), (2, "b")], "node long, item string")
+    sets, _ = G.reached_items(e, items, spark.range(3).withColumnRenamed("id", "root"))
+    assert {r.root: r.n for r in G.item_counts(sets).collect()} == {0: 2, 1: 2, 2: 1}
+    sent = [p for p in [*plans, sets._jdf.queryExecution().executedPlan().toString()] if "BroadcastExchange" in p]
+    assert len(sent) <= 1  # that of the places
