@@ -278,7 +278,33 @@ def _leaves(nodes: DataFrame, picks_of: Callable[[DataFrame], DataFrame], block:
     leaves = written(reduce(DataFrame.unionByName, [d.select("path", "n", "node") for d in done]), "leaves")
     for table in used:
         discard(table)
-    return leaves
+    return _pooled(leaves, block)
+
+
+def _pooled(leaves: DataFrame, block: int) -> DataFrame:
+    """``leaves`` (path, n, node) in which buckets over ``block`` nodes that are connected by common nodes are one, if that makes no more pairs.
+
+    A group of near copies fills a bucket for every shingle that they share. Pooled, its nodes go to tiles once and not once a bucket, and all pairs of every bucket are still pairs.
+    """
+    large = leaves.where(F.col("n") > block)
+    if not large.take(1):
+        return leaves
+    least = large.groupBy("node").agg(F.min("path").alias("v"))
+    edges = large.join(least, "node").select(F.col("path").alias("u"), "v").distinct()
+    roots = components(edges).select(F.col("node").alias("path"), "root")
+    buckets = large.select("path", "n").distinct().join(roots, "path", "left").select("path", "n", F.coalesce("root", "path").alias("root"))
+    buckets = written(buckets, "buckets")
+    # A row a bucket, so this is small; broadcast, as a bucket's rows would meet in one task.
+    pools = written(large.drop("n").join(F.broadcast(buckets.select("path", "root")), "path").select("root", "node").distinct(), "pools")
+    sizes = pools.groupBy("root").agg(F.count("*").alias("n")).join(buckets.groupBy("root").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")), "root")
+    fewer = written(sizes.where(F.col("n").cast("double") * F.col("n") <= F.col("pairs")).select("root", "n"), "fewer")
+    gone = buckets.join(F.broadcast(fewer.select("root")), "root", "left_semi").select("path")
+    kept = leaves.join(F.broadcast(gone), "path", "left_anti")
+    one = pools.join(F.broadcast(fewer), "root").select(F.col("root").alias("path"), "n", "node")
+    out = written(kept.unionByName(one), "leaves")
+    for table in (leaves, buckets, pools, fewer):
+        discard(table)
+    return out
 
 
 @small_batches

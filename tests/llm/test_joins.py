@@ -83,6 +83,22 @@ def test_join_edge_cases(texts):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in found) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
 
 
+def test_near_copies_meet_once(texts, monkeypatch):
+    """A group of near copies fills many buckets of more than a block, which are compared as one."""
+    rng = random.Random(17)
+    base = text(rng, 120)
+    rows = [(i, edited(rng, base, 0.008)) for i in range(80)] + [(100 + i, text(rng, 60)) for i in range(20)]
+    counts, stored = {}, J.written
+    monkeypatch.setattr(J, "written", lambda df, name: counts.__setitem__(name, (out := stored(df, name)).count()) or out)
+    found = {r.doc_id: r for r in J.jaccard_join(texts(rows), block=16).collect()}
+    links = brute_links(rows)
+    of = classes(links)
+    assert {k: r.n_links for k, r in found.items()} == {k: len(links[k]) for k, _ in rows}
+    assert {k: r.class_id for k, r in found.items()} == {k: of[k] for k, _ in rows}
+    # Each meets every block once, not once a bucket.
+    assert counts["members"] < 80 * (1 + 80 / 16) * 2
+
+
 def test_runs_follow_recall():
     assert J.runs_for(0.9, 0.8) < J.runs_for(0.99, 0.8) < J.runs_for(0.9999, 0.8)
     rng = np.random.default_rng(2)
