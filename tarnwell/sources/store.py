@@ -145,10 +145,10 @@ class Store:
                 rows = rows.dropDuplicates(list(keys[name]))
             old = self._of(entry, touched)
             if old is not None:
-                # The key of a scope may be null; such rows are replaced like others.
+                # The key of a scope may be null; such rows are replaced like others. The join sorts, as there may be a scope a row.
                 marks = scopes.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(scope)]).distinct()
                 same = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(scope)]
-                rows = old.join(marks, same, "left_anti").unionByName(rows, allowMissingColumns=True)
+                rows = old.join(marks.hint("merge"), same, "left_anti").unionByName(rows, allowMissingColumns=True)
             folder = f"data/{run}/{name}"
             spread = rows.withColumn(_BUCKET, self._bucket_of(scope[0], n)).hint("rebalance", _BUCKET)  # a hot bucket is split over tasks
             spread.write.partitionBy(_BUCKET).parquet(f"{self.root}/{folder}")

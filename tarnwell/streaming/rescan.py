@@ -2,7 +2,7 @@
 
 Every micro-batch is one version of a store: its files, what they import, the facts of the affected modules and the number of the
 batch are published together, so a batch that is delivered again changes nothing and one that fails half-way is as if it had never
-begun. After any sequence of batches the tables hold what a scan of the whole trees would.
+begun. After any sequence of batches the tables hold what a scan of the whole trees would. Joins by file or module sort, so that no table that grows with the trees goes through the driver.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ class Rescan:
         last = last.withColumn("content_hash", F.sha2("text", 256))
         old = self._table(base, "files", _FILES)
         known = old.select("bundle_id", "path", F.col("content_hash").alias("_was"))
-        new = stored(last.join(known, ["bundle_id", "path"], "left").where(~F.col("content_hash").eqNullSafe(F.col("_was"))).drop("_was"), "rescan-changed")
+        new = stored(last.join(known.hint("merge"), ["bundle_id", "path"], "left").where(~F.col("content_hash").eqNullSafe(F.col("_was"))).drop("_was"), "rescan-changed")
         bundles = new.select("bundle_id").distinct()
         marks = spark.createDataFrame([(stream, batch)], "stream string, batch long")
         done = self.store._merged({"batches": marks}, marks.select("stream"), ["stream"], {}, base)
@@ -63,7 +63,7 @@ class Rescan:
             return done
         keys = ["bundle_id", "path"]
         touched = lambda rows: rows.join(bundles, "bundle_id", "left_semi")
-        renewed = lambda rows, more: touched(rows).join(new.select(*keys), keys, "left_anti").unionByName(more)
+        renewed = lambda rows, more: touched(rows).join(new.select(*keys).hint("merge"), keys, "left_anti").unionByName(more)
         present = new.where(F.col("text").isNotNull())
         files = stored(renewed(old, present), "rescan-files")
         imported = M.python_imports(present)
@@ -79,15 +79,15 @@ class Rescan:
         decided = decided.join(gone, "bundle_id", "left").select("bundle_id", F.when(lost, "full").otherwise(F.col("mode")).alias("mode"), F.when(lost, "source file deleted").otherwise(F.col("reason")).alias("reason"))
         decided = stored(decided, "rescan-decided")
         said.append(decided)
-        bound = stored(M.bound_imports(imports.join(modules.select(*keys, F.col("module").alias("importer")), keys).drop("path"), modules), "rescan-bound")
+        bound = stored(M.bound_imports(imports.join(modules.select(*keys, F.col("module").alias("importer")).hint("merge"), keys).drop("path"), modules), "rescan-bound")
         edges, ways = M.dependency_edges(bound, modules), stored(M.dependency_ways(bound, modules), "rescan-ways")
         full = decided.where("mode = 'full'").select("bundle_id")
-        part = new.join(full, "bundle_id", "left_anti").join(modules, keys).select("bundle_id", "module")
-        lazy = files.where(F.col("path").endswith("__init__.py") & F.col("text").rlike(_LAZY)).join(modules, keys).select("bundle_id", "module")
+        part = new.join(full, "bundle_id", "left_anti").join(modules.hint("merge"), keys).select("bundle_id", "module")
+        lazy = files.where(F.col("path").endswith("__init__.py") & F.col("text").rlike(_LAZY)).join(modules.hint("merge"), keys).select("bundle_id", "module")
         affected = M.affected_modules(part, ways, bound, lazy)
         whole = modules.select("bundle_id", "module").join(full, "bundle_id", "left_semi")
         targets = stored(affected.unionByName(whole).distinct(), "rescan-targets")
-        found = self.scan(files.join(modules.select(*keys, "module"), keys), edges, targets)
+        found = self.scan(files.join(modules.select(*keys, "module").hint("merge"), keys), edges, targets)
         # Modules that a full scan no longer finds lose their facts.
         stale = before.select("bundle_id", "module").join(full, "bundle_id", "left_semi")
         entries = dict(done)

@@ -1,6 +1,7 @@
 """Incremental rescans leave what a scan of the whole trees would, after any sequence of changes."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tarnwell.operators import graph as G
 from tarnwell.operators import modules as M
 from tarnwell.sources.store import Store
+from tarnwell.streaming import rescan as R
 from tarnwell.streaming.rescan import Rescan, differences
 
 SHAPE = "bundle_id string, path string, text string, at long"
@@ -110,3 +112,19 @@ def test_only_affected_modules_are_scanned(spark, tmp_path):
         rescan.start(spark.readStream.schema(SHAPE).parquet(folder), str(tmp_path / "marks")).awaitTermination()
     assert asked == [["p", "p.a", "p.b", "p.c", "q"], ["p.a", "p.b", "p.c"], ["q"]]
     assert rescan.applied("changes") == 2
+
+
+def test_no_join_by_module_is_a_broadcast(spark, tmp_path, monkeypatch):
+    """Only joins by bundle alone may send a table through the driver, as those by file or module grow with the trees."""
+    plans = []
+    for place in (M, R):
+        monkeypatch.setattr(place, "stored", lambda df, name, keep=place.stored: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, name))[1])
+    store = Store(spark, str(tmp_path), buckets=2)
+    merged = store._merged
+    monkeypatch.setattr(store, "_merged", lambda tables, *more: (plans.extend(t._jdf.queryExecution().executedPlan().toString() for t in tables.values()), merged(tables, *more))[1])
+    rescan = Rescan(store, lambda files, edges, targets: targets.withColumn("value", F.lit(1)))
+    rescan.apply(changes(spark, ("x", "a.py", "v = 1\n"), ("x", "b.py", "import a\n"), ("x", "c.py", "v = 2\n")), 0)
+    rescan.apply(changes(spark, ("x", "a.py", "v = 3\n")), 1)
+    assert sorted(r.module for r in store.table("facts").collect()) == ["a", "b", "c"]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if re.search(r"BroadcastHashJoin \[bundle_id#\w+, ", p)]
