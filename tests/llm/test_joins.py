@@ -1,6 +1,7 @@
 """Similarity join and passages against brute force."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -351,3 +352,30 @@ def test_chains_are_the_best_of_all(seed):
     score = sum(int(runs[i][2]) for i in top) - cost * sum(int(runs[j][0] - runs[i][0] - runs[i][2] + runs[j][1] - runs[i][1] - runs[i][2]) for i, j in zip(top, top[1:]))
     assert abs(score - max(best.values())) < 1e-9
     assert all(runs[i][0] + runs[i][2] <= runs[j][0] and runs[i][1] + runs[i][2] <= runs[j][1] for i, j in zip(top, top[1:]))
+
+
+def test_seeds_in_common_are_counted_with_repeats():
+    rng = random.Random(1)
+    rows = [np.array([rng.randrange(4) for _ in range(rng.randrange(0, 40))], dtype=np.uint64) for _ in range(60)]
+    grams = [Counter(tuple(r[i : i + 3].tolist()) for i in range(len(r) - 2)) for r in rows]
+    for dense in (3, 32):
+        found = P.shared_grams(np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows])), dense=dense)
+        assert all(found[i, j] == (grams[i] & grams[j]).total() for i in range(60) for j in range(60) if i != j)
+
+
+@pytest.mark.parametrize("tile", [1024, 16])
+def test_holders_of_a_frequent_seed_are_all_tried(texts, monkeypatch, tile):
+    """Pairs whose only seeds are those of a line that many hold, and that go on alike behind it but for each fourth word."""
+    rng = random.Random(31)
+    line, pairs, rows = text(rng, 24), [], []
+    for _ in range(12):
+        behind = text(rng, 40).split()
+        for _ in range(2):
+            other = [w if i % 4 != 3 else f"x{rng.randrange(10**6)}" for i, w in enumerate(behind)]
+            rows.append(f"{text(rng, 60)} {line} {' '.join(other)} {text(rng, 60)}")
+        pairs.append((len(rows) - 2, len(rows) - 1))
+    rows += [f"{text(rng, 60)} {line} {text(rng, 60)}" for _ in range(40)]
+    monkeypatch.setattr(P.rest, "__kwdefaults__", {**P.rest.__kwdefaults__, "tile": tile})
+    found, links = P.repeated_passages(texts(list(enumerate(rows))))
+    assert {(r.left_id, r.right_id) if r.left_id < r.right_id else (r.right_id, r.left_id) for r in links.collect()} == set(pairs)
+    assert {r.doc_id: r.class_id for r in found.collect()} == {i: p[0] for p in pairs for i in p}
