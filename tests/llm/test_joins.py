@@ -379,3 +379,61 @@ def test_holders_of_a_frequent_seed_are_all_tried(texts, monkeypatch, tile):
     found, links = P.repeated_passages(texts(list(enumerate(rows))))
     assert {(r.left_id, r.right_id) if r.left_id < r.right_id else (r.right_id, r.left_id) for r in links.collect()} == set(pairs)
     assert {r.doc_id: r.class_id for r in found.collect()} == {i: p[0] for p in pairs for i in p}
+
+
+def test_holders_of_a_line_alone_make_no_pairs(spark):
+    """Many texts hold one line of 24 words, too few for a passage: of all their pairs only the one that goes on alike is handed on to be compared."""
+    rng = random.Random(8)
+    line, behind = words_of(rng, 24), words_of(rng, 40)
+    rows = [np.concatenate((words_of(rng, 60), line, words_of(rng, 60))) for _ in range(60)]
+    for i in (3, 41):
+        rows[i] = np.concatenate((rows[i][:84], behind, words_of(rng, 20)))
+    frequent = spark.createDataFrame([(i, key, 60 + key) for i in range(60) for key in (0, 6, 12, 18)], "node long, key long, at int")
+    words = spark.createDataFrame([(i, bytearray(r.astype("<u4").tobytes())) for i, r in enumerate(rows)], "node long, words binary")
+    classes = spark.createDataFrame([], "node long, root long")
+    for tile in (1024, 16):
+        found = P.rest(frequent, classes, words, least=50, identity=0.8, all_=True, tile=tile).collect()
+        assert sorted((r.left, r.right, r.key, r.l, r.r) for r in found) == [(3, 41, key, 60 + key, 60 + key) for key in (0, 6, 12, 18)]
+
+
+def test_words_and_grams_in_common_of_parts():
+    rng = random.Random(2)
+    rows = [np.array([rng.randrange(6) for _ in range(rng.randrange(0, 40))], dtype=np.uint64) for _ in range(50)]
+    words, bounds = np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
+    full = P.shared_grams(words, bounds)
+    for dense in (3, 96):
+        assert (P.shared_grams(words, bounds, dense=dense, split=20) == full[:20, 20:]).all()
+    i, j = np.triu_indices(50, 1)
+    common = [(Counter(rows[a].tolist()) & Counter(rows[b].tolist())).total() for a, b in zip(i, j)]
+    assert all((P.words_met(words, bounds, i, j, at_once) == common).all() for at_once in (64, 1 << 13))
+    assert all(P.words_in_both(rows[a].tolist(), rows[b].tolist()) >= n for a, b, n in zip(i, j, common))
+
+
+def test_best_parts_equal_trying_all_ranges():
+    """The best part, by agreeing words less two for each that differs, of all ranges of agreeing words; ties go to the first."""
+    rng = random.Random(6)
+    for _ in range(300):
+        p, q, at, to = [], [], 0, 0
+        for _ in range(rng.randrange(1, 12)):
+            n = rng.randrange(1, 9)
+            p += range(at, at + n)
+            q += range(to, to + n)
+            at, to = at + n + rng.choice([1, 1, 2, 5]), to + n + rng.choice([0, 1, 1, 2])
+        ranges = [(i, j) for i in range(len(p)) for j in range(i, len(p)) if min(p[j] - p[i], q[j] - q[i]) + 1 >= 10 and j - i + 1 >= 0.8 * (max(p[j] - p[i], q[j] - q[i]) + 1)]
+        score = lambda r: 3 * (r[1] - r[0] + 1) - 2 * (max(p[r[1]] - p[r[0]], q[r[1]] - q[r[0]]) + 1)
+        found = P.best_parts(np.array(p), np.array(q), 10, 0.8)
+        assert bool(found) == bool(ranges) and (not ranges or score(found[0]) == max(map(score, ranges)))
+
+
+def test_shared_places_equal_all_places():
+    """Places of equal k-mers, in texts long enough for most k-mers to have no equal."""
+    rng = np.random.default_rng(9)
+    for size, n in ((4, 12), (40, 300), (10**6, 3000)):
+        x, y = (rng.integers(0, size, n).astype(np.uint64) for _ in range(2))
+        y[: n // 4] = x[n // 2 : n // 2 + n // 4]
+        places = {}
+        for i in range(n - 3):
+            places.setdefault(tuple(x[i : i + 4]), []).append(i)
+        wanted = {(i, j) for j in range(n - 3) for i in places.get(tuple(y[j : j + 4]), ())}
+        assert set(zip(*(v.tolist() for v in P.shared(x, y, 4, most=10**6)))) == wanted
+        assert len(P.shared(x, y, 4, at_least=n)[0]) == 0
