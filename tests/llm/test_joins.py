@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnwell.llm import components as K
@@ -437,3 +438,46 @@ def test_shared_places_equal_all_places():
         wanted = {(i, j) for j in range(n - 3) for i in places.get(tuple(y[j : j + 4]), ())}
         assert set(zip(*(v.tolist() for v in P.shared(x, y, 4, most=10**6)))) == wanted
         assert len(P.shared(x, y, 4, at_least=n)[0]) == 0
+
+
+def test_one_seed_in_common_is_tried(texts):
+    """Passages of 52 words of which a fifth are changed, so that two texts share one seed and no other text has it."""
+    rng = random.Random(41)
+    hashed = lambda t: P.text_words(pa.array([t]))[0]
+    rows = []
+    while len(rows) < 12:
+        base = text(rng, 52).split()
+        other = [w if i % 5 != 4 else f"y{rng.randrange(10**6)}" for i, w in enumerate(base)]
+        a, b = f"{text(rng, 50)} {' '.join(base)} {text(rng, 50)}", f"{text(rng, 70)} {' '.join(other)} {text(rng, 30)}"
+        x, y = hashed(a), hashed(b)
+        if len(np.intersect1d(P.seeds(x, 4, 24)[0], P.seeds(y, 4, 24)[0])) == 1 and P.passages(x, y, *P.shared(x, y, 4), k=4, least=50, identity=0.8):
+            rows += [a, b]
+    found, links = P.repeated_passages(texts(list(enumerate(rows))))
+    assert {tuple(sorted((r.left_id, r.right_id))) for r in links.collect()} == {(i, i + 1) for i in range(0, 12, 2)}
+    assert {r.doc_id: r.class_id for r in found.collect()} == {i: i - i % 2 for i in range(12)}
+
+
+def test_words_that_only_a_class_repeats_count(texts):
+    """Two texts that a third one joins, and that share a passage whose seeds many texts hold: its words count although both are of one class already."""
+    rng = random.Random(43)
+    line, rows = text(rng, 24), []
+    for _ in range(6):
+        one, two, behind = text(rng, 60), text(rng, 60), text(rng, 40).split()
+        alike = lambda: " ".join(w if i % 4 != 3 else f"x{rng.randrange(10**6)}" for i, w in enumerate(behind))  # noqa: B023, E731
+        rows += [f"{one} {text(rng, 70)} {two}", f"{one} {text(rng, 110)} {line} {alike()} {text(rng, 60)}", f"{two} {text(rng, 110)} {line} {alike()} {text(rng, 60)}"]
+    rows += [f"{text(rng, 60)} {line} {text(rng, 60)}" for _ in range(40)]
+    found, links = P.repeated_passages(texts(list(enumerate(rows))))
+    found = {r.doc_id: r for r in found.collect()}
+    assert set(found) == set(range(18)) and all(found[i].class_id == i - i % 3 for i in found)
+    assert all(found[i].n_passages == 2 and found[i].n_dup_words >= 60 + 55 for i in found)
+    assert links.count() == 18
+
+
+def test_grams_in_common_of_many_small_groups():
+    rng = random.Random(4)
+    rows = [np.array([rng.randrange(4) for _ in range(rng.randrange(0, 40))], dtype=np.uint64) for _ in range(50)]
+    group = np.sort(np.array([rng.randrange(12) for _ in rows]))
+    grams = [Counter(tuple(r[i : i + 3].tolist()) for i in range(len(r) - 2)) for r in rows]
+    i, j, counts = P.grams_met(np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows])), group)
+    wanted = {(a, b): n for a in range(50) for b in range(a + 1, 50) if group[a] == group[b] and (n := (grams[a] & grams[b]).total())}
+    assert dict(zip(zip(i.tolist(), j.tolist()), counts.tolist())) == wanted and wanted
