@@ -473,6 +473,30 @@ def test_words_that_only_a_class_repeats_count(texts):
     assert links.count() == 18
 
 
+def test_rounds_hold_few_windows_and_change_nothing(spark, monkeypatch):
+    """Seeds of many holders go to many tiles, and candidates shuffle all seeds: both in rounds, whose results are those of one."""
+    rng = random.Random(47)
+    line, rows = words_of(rng, 24), [words_of(rng, 150) for _ in range(80)]
+    for i, r in enumerate(rows):
+        r[60:84] = line
+        if i % 4 == 1:
+            r[84:124] = rows[i - 1][84:124]
+    seeds = spark.createDataFrame([(i, key, 60 + key) for i in range(80) for key in (0, 6, 12, 18)], "node long, key long, at int")
+    words = spark.createDataFrame([(i, bytearray(r.astype("<u4").tobytes())) for i, r in enumerate(rows)], "node long, words binary")
+    names, plain = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, name: names.append(name) or plain(df, name))
+    found = []
+    for at_once in (1 << 20, 1):
+        names.clear()
+        out = P.rest(seeds, spark.createDataFrame([], "node long, root long"), words, least=50, identity=0.8, all_=True, tile=16, at_once=at_once)
+        found.append((names.count("rest"), sorted(map(tuple, out.collect()))))
+    # Each of 320 rows goes to five tiles, with up to 204 words; there are 12,000 words in all.
+    assert found[0][0] == 1 and found[1][0] > 20 and found[0][1] == found[1][1] and len(found[0][1]) == 80
+    held = spark.createDataFrame([(i, int(key), n, 3 * n) for i, r in enumerate(rows) for n, key in enumerate(P.seeds(r, 4, 24)[0])], "node long, key long, place int, at int")
+    pairs = [sorted(map(tuple, P.candidates(held, rounds=rounds)[0].collect())) for rounds in (1, 3)]
+    assert pairs[0] == pairs[1] and pairs[0]
+
+
 def test_grams_in_common_of_many_small_groups():
     rng = random.Random(4)
     rows = [np.array([rng.randrange(4) for _ in range(rng.randrange(0, 40))], dtype=np.uint64) for _ in range(50)]
